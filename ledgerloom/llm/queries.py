@@ -6,15 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.fingerprint import version_likeness
+from ledgerloom.llm.html import main_text
+from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.neardup import near_duplicates
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import line_quality, train
+from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.substring import substring_dedup
+from ledgerloom.llm.tokens import token_counts
+from ledgerloom.llm.warc import read_warc, write_warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "representative")
 
 
+def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    eight = {s: 1.0 for s in range(8)}
+    return shard(docs, ["doc_id"], eight, eight | {8: 1.0}, order=["size", "text_crc32"])
+
+
+def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept_text", 256).alias("kept_sha256"))
@@ -39,6 +59,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM words d LEFT JOIN kept k USING (doc_id)
 """
 
+#: No source is repeated more often than this; see corpus_pipeline.
+MAX_REPEATS = 1.5
+
+
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, max_repeats=MAX_REPEATS).select("doc_id", "source", "mix.tokens", "mix.epoch", "mix.block", "mix.place")
+
+
+def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(table(spark, sf_dir, "pages"))
+    text = F.array_join("blocks", "\n\n")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = version_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    section = found.select("doc_id", F.col("tokens.total").alias("doc_tokens"), F.explode("tokens.sections").alias("s"))
+    return section.select("doc_id", "doc_tokens", "s.section", F.col("s.start").alias("start_char"), F.col("s.stop").alias("end_char"), F.col("s.tokens").cast("long").alias("n_tokens"), F.col("s.crossing").alias("n_crossing"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_warc(table(spark, sf_dir, "pages"))
+    found = read_warc(spark, folder, manifest)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,7 +106,14 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_rendezvous_sharding": op2_rendezvous_sharding,
+    "op3_crf_quality": op3_crf_quality,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_temperature_mixing": op5_temperature_mixing,
+    "op6_site_template_removal": op6_site_template_removal,
+    "op7_iblt_fingerprint": op7_iblt_fingerprint,
+    "op8_section_token_counts": op8_section_token_counts,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_mixture_packing": op10_mixture_packing,
 }
 ORACLES = {
