@@ -76,7 +76,8 @@ class Words:
 
     __slots__ = ("bounds", "data", "ends", "hashes", "offsets", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
+        """cuts: further places at which words end."""
         self.data, self.offsets = data, offsets
         n = len(data)
         if n == 0:
@@ -88,6 +89,8 @@ class Words:
         first = np.empty(n + 1, dtype=bool)  # a text begins here
         first[:] = False
         first[offsets] = True
+        if cuts is not None:
+            first[cuts] = True
         before = np.empty(n, dtype=bool)
         before[0] = False
         before[1:] = solid[:-1]
@@ -129,17 +132,23 @@ def grams(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return mix((total[size:] - total[: n - size + 1]) * q[: n - size + 1])
 
 
-def runs(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, one past the last, Words) for runs of whole texts of about ``limit`` bytes."""
+def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, one past the last, bytes, offsets) for runs of whole texts of about ``limit`` bytes."""
     data, offsets = text_buffers(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         to = min(to, n)
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def runs(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """The same with Words."""
+    for lo, hi, data, offsets in pieces(column, limit):
+        yield lo, hi, Words(data, offsets)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the smallest value in each window of ``width`` (the leftmost of equal ones)."""
     n = len(values) - width + 1

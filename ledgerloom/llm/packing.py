@@ -27,64 +27,123 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import hashing
 from ledgerloom.llm.common import saved
 
 LENGTH, END = 4096, 2
 #: Words whose ids a worker remembers; beyond, it forgets them all. Bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Sources are the categories of a mixture: their totals are brought to the driver, up to so many.
 MAX_SOURCES = 100_000
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_BETWEEN = "\ua66e"
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, so that words are encoded alone.
+    """Ids of whole texts by a tokenizer that lowers case and drops white space, so that words are encoded alone.
 
-    The tokenizer's normalizer works on characters and its splitter never joins across white space,
-    so a text's ids are its words' ids in order. Words met before are looked up.
+    The tokenizer's normalizer works on characters, and its splitter joins nothing across white
+    space, nor a letter and a following mark other than an apostrophe; so a text's ids are those of
+    its parts in order. Parts met before are looked up by a 64-bit hash. Texts with "<|", with which
+    special tokens begin, are parted at white space only. ``by_word=False`` encodes whole texts, for
+    other tokenizers.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.between = np.array(self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.sizes, self.ids, self.used, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in data, and each text's bounds in them."""
         if not self.by_word:
-            found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-            return [np.array(x.ids, np.uint32) for x in found]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = [x.split() for x in texts]
-        new = list(set().union(*words).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(x.ids, np.uint32).tobytes() for x in found)))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32) for x in words]
+            found = self.tokenizer.encode_batch([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)
+            return np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in found)]), np.concatenate([[0], np.cumsum([len(x.ids) for x in found])]).astype(np.int64)
+        if self.words > REMEMBERED:
+            self._forget()
+        cuts = None
+        if b"<|" not in data.tobytes():
+            data = _LOWER[data]
+            cuts = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1 if len(data) > 1 else None
+        words = hashing.Words(data, offsets, cuts)
+        if not len(words.hashes):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == unique[inside]
+        if not known.all():
+            self._learn(unique[~known], at[~known], [words.word(i).decode("utf-8", "replace") for i in first[~known].tolist()])
+            at = np.searchsorted(self.hashes, unique)
+        slot = self.slots[at][inverse]
+        size = self.sizes[slot]
+        end = np.cumsum(size)
+        place = np.repeat(self.starts[slot] - (end - size), size) + np.arange(end[-1])
+        return self.ids[place], np.concatenate([[0], end])[words.bounds]
+
+    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        for lo in range(0, len(words), 2048):
+            for ids in self._encode(words[lo : lo + 2048]):
+                if self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+                if self.words == len(self.starts):
+                    self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.starts[self.words], self.sizes[self.words] = self.used, len(ids)
+                self.used, self.words = self.used + len(ids), self.words + 1
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.slots = np.insert(self.slots, at, np.arange(self.words - len(words), self.words))
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """Many words in one call, parted by a rare word; one by one if its ids turn up elsewhere."""
+        ids = np.array(self.tokenizer.encode(f" {_BETWEEN} ".join(words), add_special_tokens=False).ids, np.uint32)
+        n = len(self.between)
+        cut = np.flatnonzero(np.logical_and.reduce([ids[i : len(ids) - n + 1 + i] == self.between[i] for i in range(n)])) if len(ids) >= n else np.zeros(0, np.int64)
+        if len(cut) != len(words) - 1:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [ids[a:b] for a, b in zip([0, *(cut + n)], [*cut, len(ids)])]
 
 
 _encoders: dict = {}
 
 
 def _encoder(path: str, by_word: bool) -> WordEncoder:
-    return _encoders.setdefault((path, by_word), None) or _encoders.__setitem__((path, by_word), WordEncoder(path, by_word)) or _encoders[path, by_word]
+    if (path, by_word) not in _encoders:
+        _encoders[path, by_word] = WordEncoder(path, by_word)
+    return _encoders[path, by_word]
 
 
 def _tokenize(path: str, by_word: bool, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, given = _encoder(path, by_word), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                texts = [x or b"" for x in some.column("t").cast(pa.binary()).to_pylist()]
-                ids = [np.append(x, np.uint32(end)) for x in encoder.encode(texts)]
-                starts, sources = [], some.column("q").to_pylist()
-                for q, x in zip(sources, ids):
+            for lo, hi, data, offsets in hashing.pieces(batch.column("t")):
+                some = batch.slice(lo, hi - lo)
+                ids, bounds = encoder.encode(data, offsets)
+                sources, size = some.column("q").to_pylist(), np.diff(bounds) + 1
+                ids = np.insert(ids, bounds[1:], end)
+                starts = []
+                for q, n in zip(sources, size.tolist()):
                     starts.append(given.get(q, 0))
-                    given[q] = starts[-1] + len(x)
-                small = all(int(x.max()) < 65536 for x in ids)
-                raw = [x.astype(np.uint16 if small else np.uint32).tobytes() for x in ids]
-                yield pa.record_batch({"rest": some.column("rest"), "q": some.column("q"), "part": pa.array([part] * len(ids), pa.int32()), "start": pa.array(starts, pa.int64()), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(raw, pa.binary())})
+                    given[q] = starts[-1] + n
+                raw = ids.astype("<u2" if int(ids.max()) < 65536 else "<u4")
+                edge = np.concatenate([[0], np.cumsum(size)]) * raw.itemsize
+                held = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.record_batch({"rest": some.column("rest"), "q": some.column("q"), "part": pa.array(np.full(len(size), part), pa.int32()), "start": pa.array(starts, pa.int64()), "n": pa.array(size, pa.int64()), "ids": held})
 
     return run
 
