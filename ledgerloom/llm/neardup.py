@@ -11,11 +11,13 @@ weighted Jaccard similarity, and one with few shingles costs no more darts than
 From signatures to classes:
 1. Texts with the same shingles are one node (a digest of the set), so copies cost one row.
 2. Bands of rows of the signature are bucket keys; keys of one node alone are dropped.
-3. In each bucket some nodes are hubs, first those that meet most others in all their buckets.
-   Every other member is compared with the hubs exactly, on shingles. Members of one component need
-   no further comparison; others are compared with more hubs in the next round, eight times as many
-   each round, until no bucket has two members of different components that were not compared. So no
-   link is lost, and a bucket of copies of one text takes one comparison a member, not one a pair.
+3. Each bucket has a hub, the member that meets most others in all its buckets. Every other member
+   is compared with it exactly, on shingles, so a bucket of copies of one text takes a comparison a
+   member, not one a pair. Members of one component need no further comparison. Those of different
+   components are compared unless a bound rules a link out: a set that has too few shingles in
+   common with all open members together is set aside, and two sets can have no more in common than
+   the smaller of what each has in common with their hub, class by class of shingles, and of what
+   each has in common with others beside. These bounds are exact, so no link within a bucket is lost.
 4. Classes are the components of the links.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import row_key, saved
+from ledgerloom.llm.common import list_column, row_key, saved
 from ledgerloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,6 +42,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 _FIRST_SPAN = 1 / 16
 _FANOUT = 64
+#: Shingles are told apart by so many classes when two sets are bounded by what they share with a hub.
+_CLASSES = 64
 
 
 def shingle_sets(words: hashing.Words, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -137,36 +141,50 @@ def _sign(size: int, weighted: bool, bands: int, rows: int):
     return run
 
 
-def _shingles(size: int):
+def _shingles(size: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words in hashing.runs(batch.column("t")):
                 sets = shingle_sets(words, size)
-                yield pa.record_batch({"k": batch.column("k").slice(lo, hi - lo), "e": pa.array([e.tobytes() for e, _ in sets], pa.binary()), "c": pa.array([c.astype(np.int32).tobytes() for _, c in sets], pa.binary())})
+                yield pa.record_batch({"k": batch.column("k").slice(lo, hi - lo), "e": pa.array([e.tobytes() for e, _ in sets], pa.binary()), "c": pa.array([c.astype(np.int32).tobytes() for _, c in sets], pa.binary()), "n": pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())})
+
+    return run
+
+
+def _each_shingle(weighted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                k, e, c = (batch.column(x)[lo : lo + 512].to_pylist() for x in ("k", "e", "c"))
+                w = np.frombuffer(b"".join(c), np.int32).astype(np.int64)
+                yield pa.record_batch({"k": np.repeat(np.array(k, np.int64), [len(x) // 8 for x in e]), "x": np.frombuffer(b"".join(e), np.int64), "w": w if weighted else np.ones(len(w), np.int64)})
 
     return run
 
 
 def _compare(weighted: bool):
-    """Exact similarity of each row's two sets, which are sorted."""
+    """Exact similarity of each row's two sets, which are sorted, and what they have in common by class of shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                some, out = batch.slice(lo, 512), []
+                some, out, profiles = batch.slice(lo, 512), [], []
                 for e1, c1, e2, c2 in zip(*(some.column(c) for c in ("e1", "c1", "e2", "c2"))):
                     x, y = (np.frombuffer(e.as_buffer(), np.uint64) for e in (e1, e2))
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
                     both = y[at] == x
+                    shared = (x[both] % np.uint64(_CLASSES)).astype(np.int64)
                     if weighted:
                         m, n = (np.frombuffer(c.as_buffer(), np.int32) for c in (c1, c2))
-                        common = int(np.minimum(m[both], n[at[both]]).sum())
-                        total = int(m.sum()) + int(n.sum())
+                        weight = np.minimum(m[both], n[at[both]])
+                        profile, total = np.bincount(shared, weight, _CLASSES), int(m.sum()) + int(n.sum())
                     else:
-                        common, total = int(both.sum()), len(x) + len(y)
+                        profile, total = np.bincount(shared, minlength=_CLASSES), len(x) + len(y)
+                    common = int(profile.sum())
                     out.append(common / (total - common))
-                yield pa.record_batch({"u": some.column("u"), "v": some.column("v"), "similarity": pa.array(out, pa.float64())})
+                    profiles.append(profile.astype(np.int32))
+                yield pa.record_batch({"u": some.column("u"), "v": some.column("v"), "similarity": pa.array(out, pa.float64()), "profile": list_column(np.concatenate(profiles), np.arange(len(out) + 1) * _CLASSES, pa.int32())})
 
     return run
 
@@ -191,15 +209,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     member = saved(member.join(shared, "band"), "members")
     reach = member.groupBy("node").agg(F.sum("count").alias("reach"))
     met = saved(reach.select("node"), "met")
-    sets = saved(base.join(met, base.k == met.node, "left_semi").select("k", "t").mapInArrow(_shingles(shingle), "k long, e binary, c binary"), "shingles")
+    sets = saved(base.join(met, base.k == met.node, "left_semi").select("k", "t").mapInArrow(_shingles(shingle, weighted), "k long, e binary, c binary, n long"), "shingles")
     links = _links(saved(member.join(reach, "node").select("node", "band", "reach"), "reached"), sets, similarity, weighted)
-    component = connected_components(links, "u", "v") if links is not None else None
-    group = nodes.select("digest", "node")
-    if component is not None:
-        group = group.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    else:
-        group = group.select("digest", F.col("node").alias("component"))
-    group = saved(group, "groups")
+    group = nodes.select("digest", "node").join(connected_components(links, "u", "v"), "node", "left")
+    group = saved(group.select("digest", F.coalesce("component", "node").alias("component")), "groups")
     row = base.select("k", "i").join(signed.select("k", "digest"), "k").join(group, "digest", "left").select("k", "i", F.coalesce("component", "k").alias("component"))
     row = saved(row, "rows")
     classes = row.groupBy("component").agg(F.min("i").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("i").isNull().alias("n"), "i", "k")).getField("k").alias("first"))
@@ -208,42 +221,68 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
 
 
 def _links(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool):
-    """All links within buckets that join different components; see the module's text for the rounds."""
-    links = label = compared = None
-    hubs = 1
-    order = Window.partitionBy("band").orderBy(F.desc("reach"), "node")
-    while True:
-        # The first hub is a maximum, with map-side maxima; row_number() <= n is cut to n before the shuffle.
-        if hubs == 1:
-            first = member.groupBy("band").agg(F.max_by("node", F.struct("reach", F.negative("node"))).alias("hub"))
-        else:
-            first = member.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hubs).select("band", F.col("node").alias("hub"))
-        first = saved(first, "hubs")
-        pairs = member.join(first, "band").where("node <> hub")
-        if label is not None:
-            pairs = pairs.join(label.select("node", F.col("component").alias("c1")), "node", "left").join(label.select(F.col("node").alias("hub"), F.col("component").alias("c2")), "hub", "left")
-            pairs = pairs.where("coalesce(c1, node) <> coalesce(c2, hub)")
-        pairs = pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["u", "v"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if pairs.limit(1).count():
-            # A hub's set is copied to at most _FANOUT places, so its comparisons aren't one task's.
-            spread = pairs.withColumn("p", F.pmod(F.xxhash64("u", "v"), F.lit(_FANOUT)))
-            copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")), "v")
-            both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")), "u").join(copies, ["v", "p"])
-            result = saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double"), "compared")
-            good = result.where(F.col("similarity") >= similarity).select("u", "v")
-            links = good if links is None else links.union(good)
-            now = result.select("u", "v")
-            compared = now if compared is None else compared.union(now)
-            label = saved(connected_components(links, "u", "v"), "labels")
-        elif hubs == 1:
-            return None
-        # Buckets all of whose members are in one component, or were all hubs, are finished.
-        state = member if label is None else member.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        open_ = state.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {hubs} + 1").select("band")
-        member = saved(member.join(open_, "band", "left_semi"), "open")
-        if not member.limit(1).count():
-            return links
-        hubs *= 8
+    """All links within buckets that join different components; see the module's text for the steps."""
+    # The hub is a maximum, with map-side maxima; a bucket isn't gathered.
+    hub = saved(member.groupBy("band").agg(F.max_by("node", F.struct("reach", F.negative("node"))).alias("hub")), "hubs")
+    member = saved(member.join(hub, "band").select("band", "node", "hub"), "members")
+    pairs = saved(member.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "pairs")
+    met = _similarities(pairs, sets, weighted)
+    links = met.where(F.col("similarity") >= similarity).select("u", "v")
+    label = saved(connected_components(links, "u", "v"), "labels")
+    member = _prune(_open(member.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")), sets, similarity, weighted)
+    if not member.limit(1).count():
+        return links
+    # Any two members of different components: one of them isn't in the bucket's largest component.
+    member = member.withColumn("u", F.greatest("node", "hub")).withColumn("v", F.least("node", "hub")).join(met.select("u", "v", "profile"), ["u", "v"])
+    member = saved(member.select("band", "node", "c", "n", "profile", (F.col("common") - F.aggregate("profile", F.lit(0), lambda a, x: a + x)).alias("beside")), "profiles")
+    largest = member.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("largest"))
+    other = saved(member.join(largest, "band").where("c <> largest").select(*(F.col(x).alias(f"{x}2") for x in member.columns)), "others")
+    most = F.expr("aggregate(zip_with(profile, profile2, (x, y) -> least(x, y)), 0, (a, x) -> a + x) + least(beside, beside2)")
+    possible = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) <= most + F.lit(1e-6)
+    pairs = member.join(other, (F.col("band") == F.col("band2")) & (F.col("c") != F.col("c2")) & possible)
+    pairs = pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti")
+    more = _similarities(saved(pairs, "pairs"), sets, weighted)
+    return links.union(more.where(F.col("similarity") >= similarity).select("u", "v"))
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
+    """A hub's set is copied to at most _FANOUT places, so that its comparisons aren't one task's."""
+    spread = pairs.withColumn("p", F.pmod(F.xxhash64("u", "v"), F.lit(_FANOUT)))
+    copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")), "v")
+    both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")), "u").join(copies, ["v", "p"])
+    return saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
+
+
+def _open(member: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    member = saved(member, "labelled")
+    mixed = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return saved(member.join(mixed, "band", "left_semi"), "open")
+
+
+def _prune(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Drop members that can't be linked to any open member of another component; adds n and common.
+
+    What two sets have in common is at most what one has in common with all open sets (and hubs)
+    together, and a link needs similarity / (1 + similarity) of both sizes. A partner isn't smaller
+    than the smallest member of another component in the same buckets, nor than similarity times the
+    set's own size. With members gone, others have less in common; so again, while a tenth goes.
+    """
+    before = None
+    while (now := member.count()) and (before is None or now < 0.9 * before):
+        before = now
+        member = member.drop("n", "common")
+        wanted = member.select(F.explode(F.array("node", "hub")).alias("k")).distinct()
+        own = sets.join(wanted, "k", "left_semi")
+        each = own.select("k", "e", "c").mapInArrow(_each_shingle(weighted), "k long, x long, w long")
+        twice = saved(each.groupBy("x").count().where("count > 1").select("x"), "common")
+        common = each.join(twice, "x", "left_semi").groupBy("k").agg(F.sum("w").alias("common"))
+        size = saved(own.select(F.col("k").alias("node"), "n").join(common.withColumnRenamed("k", "node"), "node", "left").select("node", "n", F.coalesce("common", F.lit(0)).alias("common")), "sizes")
+        sized = saved(member.join(size, "node"), "sized")
+        small = sized.groupBy("band", "c").agg(F.min("n").alias("n"))
+        first = small.groupBy("band").agg(F.min(F.struct("n", "c")).alias("x"))
+        other = small.join(first, "band").where(F.col("c") != F.col("x.c")).groupBy("band").agg(F.first("x").alias("x"), F.min("n").alias("second"))
+        least = F.when(F.col("c") == F.col("x.c"), F.col("second")).otherwise(F.col("x.n"))
+        need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.greatest(least, F.lit(similarity) * F.col("n"))) - F.lit(1e-6)
+        member = _open(sized.join(other, "band").where(F.col("common") >= need).drop("x", "second"))
+    return member
