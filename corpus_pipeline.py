@@ -1,13 +1,64 @@
-"""The corpus pipeline: quality rules, near-duplicates, substring duplicates, source mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, substring duplicates, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last
+return the columns of documents. Between stages the rows are written and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.common import KEY, row_key, saved, table
+from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.neardup import near_duplicates
+from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import line_quality, train
+from ledgerloom.llm.queries import MAX_REPEATS, tokenizer_path
+from ledgerloom.llm.substring import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go. The field is fitted on the labelled ones among docs."""
+    return line_quality(docs, train(docs, table(spark, sf_dir, "labels"))).where("quality.kept").select(docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that with the smallest id."""
+    gone = saved(near_duplicates(docs).where(~F.col("representative")).select(F.col("row_key").alias(KEY)), "gone")
+    return docs.withColumn(KEY, row_key()).join(gone, KEY, "left_anti").select(docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words under repeated windows go, at all their places; the rest keeps its layout."""
+    text = F.col("dedup.kept_text")
+    found = substring_dedup(docs, layout="original").withColumns({"text": text, "n_chars": F.length(text).cast("long")})
+    return found.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of rare sources are repeated up to MAX_REPEATS times."""
+    return mix(docs, max_repeats=MAX_REPEATS).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_duplicate),
+    ("substring_dedup", substring),
+    ("temperature_mixing", mixing),
+    ("mixture_packing", packing),
+]
+
+#: The labelling, the signatures, the bisection and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
