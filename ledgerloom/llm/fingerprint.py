@@ -96,7 +96,7 @@ def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
     all) of the next document, in descending order of id; after the last comes the first. Returns
-    id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
+    id, next_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
     A null text is an empty one, whose sketch has only empty cells; two empty texts are alike (1).
     Null ids come last, equal ids in the order of the table; each repeated row is a document. A
@@ -114,8 +114,8 @@ def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     chain = firsts.select(F.col("r"), F.coalesce(F.lead("first").over(Window.orderBy("r")), F.first("first").over(Window.orderBy("r"))).alias("after"))  # at most RANGES rows
     led = led.join(F.broadcast(chain), "r").select(F.col("k").alias("for"), F.coalesce("next", "after").alias("k"), F.expr("cast(n div 3 as int)").alias("cut"))
     led = saved(led, "next")
-    following = base.join(led, "k").select(F.col("for").alias("k"), "cut", F.expr("substring(t, 1, cut)").alias("tail"), F.expr(keys("t")).alias("kn"))
-    # Both joins are on k, so they read one shuffle of the texts.
-    both = base.join(following, "k").select("i", "t", "kn", F.length("t").cast("long").alias("n_chars"), F.expr("concat(substring(t, 1, length(t) - cut), tail)").alias("edited_text"))
+    following = base.join(led, "k").select(F.col("for").alias("k"), F.col("i").alias("next_id"), "cut", F.expr("substring(t, 1, cut)").alias("tail"), F.expr(keys("t")).alias("kn"))
+    # Both joins are on k and read the same columns, so they read one shuffle of the texts.
+    both = base.join(following, "k").select("i", "next_id", "t", "kn", F.length("t").cast("long").alias("n_chars"), F.expr("concat(substring(t, 1, length(t) - cut), tail)").alias("edited_text"))
     ready = both.select("*", F.expr(keys("t")).alias("ka"), F.expr(keys("edited_text")).alias("ke"))
-    return ready.select(F.col("i").alias(id), "n_chars", "edited_text", F.expr(sketch("ka")).alias("fingerprint"), F.expr(sketch("ke")).alias("edited_fingerprint"), F.expr(likeness("ka", "ke")).alias("near_edited"), F.expr(likeness("ka", "kn")).alias("near_next"))
+    return ready.select(F.col("i").alias(id), "next_id", "n_chars", "edited_text", F.expr(sketch("ka")).alias("fingerprint"), F.expr(sketch("ke")).alias("edited_fingerprint"), F.expr(likeness("ka", "ke")).alias("near_edited"), F.expr(likeness("ka", "kn")).alias("near_next"))

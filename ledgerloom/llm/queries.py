@@ -76,7 +76,7 @@ def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = version_likeness(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 
 def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
