@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column names that the operators add start so; input columns may have any other name.
 KEY = "__row_key"
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,15 +44,11 @@ def row_key() -> Column:
     return F.monotonically_increasing_id()
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                out = f(batch.slice(at, 2048))
-                if out is not None and out.num_rows:
-                    yield out
-
-    return run
+def bound_batches(spark: SparkSession) -> None:
+    """Send Python workers at most BATCH_ROWS texts at a time, since texts may be long. Set on the session, never raised."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def list_column(values, bounds, kind) -> pa.Array:

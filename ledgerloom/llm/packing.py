@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import saved
+from ledgerloom.llm.common import bound_batches, saved
 
 LENGTH, END = 4096, 2
 #: Words whose ids a worker remembers; beyond, it forgets them all. Bounds memory, not results.
@@ -258,6 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     sources' shares of the tokens. Over MAX_SOURCES different sources are refused.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rest = F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in keep))
     base = docs.select(rest.alias("rest"), source_name(F.col(f"`{source}`")).alias("q"), F.col(f"`{text}`").cast("string").alias("t"))
     kept = base.schema["rest"]
