@@ -146,18 +146,21 @@ def _shingles(size: int, weighted: bool):
         for batch in batches:
             for lo, hi, words in hashing.runs(batch.column("t")):
                 sets = shingle_sets(words, size)
-                yield pa.record_batch({"k": batch.column("k").slice(lo, hi - lo), "e": pa.array([e.tobytes() for e, _ in sets], pa.binary()), "c": pa.array([c.astype(np.int32).tobytes() for _, c in sets], pa.binary()), "n": pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())})
+                yield pa.record_batch({"k": batch.column("k").slice(lo, hi - lo), "e": pa.array([e.tobytes() for e, _ in sets], pa.binary()), "c": pa.array([c.astype(np.int32).tobytes() if weighted else b"" for _, c in sets], pa.binary()), "n": pa.array([int(c.sum()) if weighted else len(e) for e, c in sets], pa.int64())})
 
     return run
 
 
 def _each_shingle(weighted: bool):
+    """A row for each shingle, by 32 bits of its hash: two that share them only seem to be common."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 k, e, c = (batch.column(x)[lo : lo + 512].to_pylist() for x in ("k", "e", "c"))
-                w = np.frombuffer(b"".join(c), np.int32).astype(np.int64)
-                yield pa.record_batch({"k": np.repeat(np.array(k, np.int64), [len(x) // 8 for x in e]), "x": np.frombuffer(b"".join(e), np.int64), "w": w if weighted else np.ones(len(w), np.int64)})
+                x = (np.frombuffer(b"".join(e), np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                w = np.frombuffer(b"".join(c), np.int32) if weighted else np.ones(len(x), np.int32)
+                yield pa.record_batch({"k": np.repeat(np.array(k, np.int64), [len(y) // 8 for y in e]), "x": x, "w": w})
 
     return run
 
@@ -246,8 +249,9 @@ def _links(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
-    """A hub's set is copied to at most _FANOUT places, so that its comparisons aren't one task's."""
-    spread = pairs.withColumn("p", F.pmod(F.xxhash64("u", "v"), F.lit(_FANOUT)))
+    """The sets of u are sent to their v. A v with very many pairs is copied to _FANOUT places, so they aren't one task's."""
+    hot = pairs.groupBy("v").count().where(F.col("count") > _FANOUT * 8).select("v", F.lit(_FANOUT).alias("ways"))
+    spread = saved(pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("ways", F.lit(1))).alias("p")), "spread")
     copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")), "v")
     both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")), "u").join(copies, ["v", "p"])
     return saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
@@ -263,21 +267,23 @@ def _open(member: DataFrame) -> DataFrame:
 def _prune(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
     """Drop members that can't be linked to any open member of another component; adds n and common.
 
-    What two sets have in common is at most what one has in common with all open sets (and hubs)
+    What two sets have in common is at most what one has in common with all the others (with hubs)
     together, and a link needs similarity / (1 + similarity) of both sizes. A partner isn't smaller
     than the smallest member of another component in the same buckets, nor than similarity times the
     set's own size. With members gone, others have less in common; so again, while a tenth goes.
     """
     before = None
     while (now := member.count()) and (before is None or now < 0.9 * before):
+        own = sets
+        if before is not None:  # first with all sets, without a join
+            own = saved(sets.join(member.select(F.explode(F.array("node", "hub")).alias("k")).distinct(), "k", "left_semi"), "left")
         before = now
         member = member.drop("n", "common")
-        wanted = member.select(F.explode(F.array("node", "hub")).alias("k")).distinct()
-        own = sets.join(wanted, "k", "left_semi")
-        each = own.select("k", "e", "c").mapInArrow(_each_shingle(weighted), "k long, x long, w long")
-        twice = saved(each.groupBy("x").count().where("count > 1").select("x"), "common")
-        common = each.join(twice, "x", "left_semi").groupBy("k").agg(F.sum("w").alias("common"))
-        size = saved(own.select(F.col("k").alias("node"), "n").join(common.withColumnRenamed("k", "node"), "node", "left").select("node", "n", F.coalesce("common", F.lit(0)).alias("common")), "sizes")
+        each = own.select("k", "e", "c").mapInArrow(_each_shingle(weighted), "k long, x int, w int")
+        # A shingle whose owners have one smallest and largest key has one owner.
+        alone = each.groupBy("x").agg(F.min("k").alias("k"), F.max("k").alias("last"), F.sum("w").alias("w")).where("k = last")
+        alone = saved(alone.groupBy("k").agg(F.sum("w").alias("alone")), "alone")
+        size = own.select("k", "n").join(alone, "k", "left").select(F.col("k").alias("node"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
         sized = saved(member.join(size, "node"), "sized")
         small = sized.groupBy("band", "c").agg(F.min("n").alias("n"))
         first = small.groupBy("band").agg(F.min(F.struct("n", "c")).alias("x"))
