@@ -222,7 +222,7 @@ def _kept(words: hashing.Words, d: int, gone: np.ndarray, edge: np.ndarray, layo
     return b"".join([*parts, words.data[at:hi].tobytes()]).decode("utf-8", "replace")
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, layout: str = "words", hot_rows: int = 2000) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, layout: str = "words", hot_rows: int = 500) -> DataFrame:
     """Remove every word under a window of ``window`` words that also starts anywhere else.
 
     Returns the columns of docs with a struct ``dedup`` added: n_words, n_removed, spans (of removed
