@@ -1,10 +1,331 @@
-"""All queries by name, with their SQL."""
+"""All queries by name, with their SQL. Ledger queries run over the order tables (see sources.tables)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ledgerloom.functions import money, text
+from ledgerloom.operators import checks, corrupt, gate, ledger, memory, oracle, render, reports, score, stats, tools
+from ledgerloom.operators.extract import detect, extract_claims
+from ledgerloom.oracles import ORACLES as SQL
+from ledgerloom.plans import rounds
+from ledgerloom.schema import LABELS
+from ledgerloom.sources.tables import Ledger, order_ledger
+
+Query = Callable[[SparkSession, str], DataFrame]
+SID = "scenario_id"
+QUERIES: dict[str, Query] = {}
+
+
+def _on_ledger(name: str) -> Callable[[Callable[[Ledger], DataFrame]], Callable[[Ledger], DataFrame]]:
+    def add(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(order_ledger(spark, sf_dir))
+        return f
+
+    return add
+
+
+def _query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def _joined(column: str, between: str = ",") -> F.Column:
+    return F.array_join(column, between)
+
+
+# Derived figures.
+_on_ledger("applied_to_invoice")(lambda x: ledger.applied_to_invoice(x).select(SID, "id", "applied_cents"))
+_on_ledger("open_amount")(lambda x: ledger.invoice_facts(x).select(SID, "id", "open_cents"))
+_on_ledger("applied_from_source")(lambda x: ledger.source_facts(x).select(SID, "id", "applied_cents"))
+_on_ledger("unapplied_amount")(lambda x: ledger.source_facts(x).select(SID, "kind", "id", "unapplied_cents"))
+_on_ledger("invoice_status")(lambda x: ledger.invoice_facts(x).select(SID, "id", "status"))
+for _total in ("open_invoice_total", "unapplied_cash_total", "unapplied_credit_total", "net_balance"):
+    _on_ledger(_total)(lambda x, c=_total: ledger.totals(x).select(SID, c))
+_on_ledger("ambiguous_allocations")(lambda x: ledger.ambiguous_allocations(x).select(SID, "source_id", _joined("candidates").alias("candidates")))
+_on_ledger("signature")(lambda x: ledger.signature(x).drop("labels"))
+_on_ledger("detected_labels")(lambda x: ledger.signature(x).select(SID, _joined("labels").alias("labels")))
+_on_ledger("net_balance_naive")(ledger.naive_net)
+_on_ledger("document_ids")(lambda x: ledger.documents(x).select(SID, "id").distinct())
+
+
+@_on_ledger("validate_ledger")
+def _validate(x: Ledger) -> DataFrame:
+    """The problems of a ledger spoiled on purpose: every eleventh invoice is gone, every fifth application doubled."""
+    spoiled = Ledger(x.client, x.invoice.where("pos % 11 <> 0"), x.payment, x.credit_memo, x.application.withColumn("amount_cents", F.expr("if(pos % 5 = 0, 2 * amount_cents, amount_cents)")))
+    return ledger.validate(spoiled)
+
+
+@_on_ledger("find_document")
+def _find(x: Ledger) -> DataFrame:
+    wanted = ledger.documents(x).select(SID, "id").union(x.client.select(SID, F.lit("INV-0000")))
+    return ledger.find_document(x, wanted).select(SID, "id", "kind", F.col("date").cast("string").alias("date"), "amount_cents")
+
+
+# Lookups and text blocks.
+@_on_ledger("account_summary")
+def _summary(x: Ledger) -> DataFrame:
+    shown = [f"{c}_text" for c in tools.FIGURES]
+    return tools.account_summary(x).select(SID, "client_id", "name", F.col("as_of").cast("string").alias("as_of"), "net_balance", *shown, memory.class_key().alias("bits"))
+
+
+_on_ledger("list_open_invoices")(lambda x: tools.open_invoices(x).select(SID, "id", F.col("due").cast("string").alias("due"), "status", "memo", "original_text", "applied_text", "open_text"))
+_on_ledger("list_unapplied_sources")(lambda x: tools.unapplied_sources(x).select(SID, "type", "id", "original_text", "unapplied_text"))
+_on_ledger("application_history")(lambda x: tools.application_history(x).select(SID, "source_id", "source_type", "target_invoice", "amount_text"))
+_on_ledger("applied_totals")(tools.applied_totals)
+
+
+def _used(other: str) -> F.Column:
+    return F.when(F.col("applications").isNotNull(), F.array_join(F.transform("applications", lambda a: F.concat(a[other], F.lit("="), a["amount_cents"].cast("string"))), ",")).alias("applications")
+
+
+@_on_ledger("get_invoice")
+def _invoice(x: Ledger) -> DataFrame:
+    wanted = x.invoice.select(SID, F.concat(F.lit("invoice no. 00"), F.col("pos").cast("string")).alias("argument")).union(x.client.select(SID, F.lit(" nothing ")))
+    return tools.invoice_detail(x, wanted).select(SID, "argument", "id", "open_cents", _used("source_id"), "error")
+
+
+@_on_ledger("get_source")
+def _source(x: Ledger) -> DataFrame:
+    wanted = ledger.documents(x).select(SID, F.lower(F.replace("id", F.lit("-"), F.lit("_"))).alias("argument"))
+    return tools.source_detail(x, wanted).select(SID, "argument", "id", "unapplied_cents", _used("target_invoice"), "error")
+
+
+_on_ledger("ledger_block")(render.ledger_block)
+_on_ledger("records_block")(render.records_block)
+_on_ledger("golden_draft")(lambda x: render.golden(ledger.view(x)).select(SID, "draft"))
+
+
+@_on_ledger("prompt_assembly")
+def _prompt(x: Ledger) -> DataFrame:
+    template = F.lit("To {{name}}\n\n{{exemplars}}\n\n{{correction}}\n\nRecords:\n{{net}}\n")
+    shown = render.prompt(template, {"name": F.col("name"), "exemplars": F.lit(None).cast("string"), "correction": F.lit(""), "net": F.expr(money.render("net_balance"))})
+    return ledger.view(x).select(SID, shown.alias("prompt"))
+
+
+# Scalar functions over the ledger's figures.
+_on_ledger("money_render")(lambda x: ledger.totals(x).select(SID, F.expr(money.render("net_balance")).alias("shown"), F.expr(money.render("(-net_balance - 7)")).alias("negative")))
+_on_ledger("money_parse")(lambda x: ledger.totals(x).select(SID, F.expr(money.parse_dollars(money.render("net_balance"))).alias("parsed"), F.expr(money.parse_dollars("'$1,25.00'")).alias("odd"), F.expr(money.parse_dollars("'1250.5'")).alias("tenths")))
+_on_ledger("whole_percent")(lambda x: ledger.invoice_facts(x).select(SID, "id", F.expr(money.whole_percent("applied_cents", "amount_cents")).alias("share")))
+
+
+@_on_ledger("report_shares")
+def _shares(x: Ledger) -> DataFrame:
+    n = lambda kind: f"size(filter(docs, d_ -> d_.kind = '{kind}' and d_.open > 0))"
+    rows = ledger.view(x).select(SID, *(F.expr(f"cast({n(k)} as bigint)").alias(k) for k in ("invoice", "payment", "credit_memo")))
+    rows = rows.withColumn("whole", F.expr("invoice + payment + credit_memo"))
+    return rows.select(SID, F.expr(money.percent("invoice", "whole")).alias("share"), F.expr(money.ratio("invoice", "whole")).alias("ratio"), F.expr(money.delta("payment", "credit_memo")).alias("delta"))
+
+
+@_on_ledger("amount_tokens")
+def _amounts(x: Ledger) -> DataFrame:
+    """Each open amount written in several ways and read back; amounts are whole numbers of ten thousand dollars."""
+    shown = money.render("open_cents")
+    forms = {"dollars": shown, "plain": "cast(open_cents div 100 as string)", "usd": f"concat('USD ', ltrim('$', {shown}))", "suffixed": "concat(format_number(open_cents div 100, 0), ' dollars.')", "share": "concat(cast(open_cents % 97 as string), ' percent')"}
+    return ledger.invoice_facts(x).select(SID, "id", *(F.expr(text.amount_cents(t)).alias(n) for n, t in forms.items()))
+
+
+@_on_ledger("date_tokens")
+def _dates(x: Ledger) -> DataFrame:
+    forms = {"iso": "cast(date as string)", "named": "concat(date_format(date, 'MMMM'), ' ', day(date), ', ', year(date))", "slashed": "concat(month(date), '/', day(date), '/', year(date), ';')", "impossible": "'2/30/2020'"}
+    return x.invoice.select(SID, "id", *(F.expr(text.date_value(t)).cast("string").alias(n) for n, t in forms.items()))
+
+
+@_on_ledger("canonical_ids")
+def _ids(x: Ledger) -> DataFrame:
+    """Each invoice named in several ways, and an unknown one, resolved among its scenario's documents."""
+    ids = ledger.documents(x).groupBy(SID).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    forms = {"explicit": "concat('inv_', pos)", "loose": "concat('invoice number ', pos)", "padded": "concat('INV 000', pos)", "unknown": "'INV-999999999'"}
+    return x.invoice.join(ids, SID).select(SID, "id", *(F.expr(text.document_argument(t, "ids")).alias(n) for n, t in forms.items()))
+
+
+_on_ledger("class_keys")(lambda x: ledger.signature(x).select(SID, memory.class_key().alias("class_key")))
+
+
+@_query("split_sentences")
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(text.sentences("coalesce(text, '')")).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(_joined("x", "|")).alias("digest"))
+
+
+@_query("text_hashes")
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select("doc_id", F.expr(text.sha16("t")).alias("sha"), F.expr(text.sha16(text.strip_thinking("concat('<think>', t, '</think>\\n', t)"))).alias("thought"))
+
+
+@_query("subject_context")
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.expr(checks.context("text")).alias("context"))
+
+
+@_query("document_claims")
+def _document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims in text that isn't about ledgers: how often the detectors fire on foreign prose."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("draft_id"), F.col("text").alias("draft"), F.expr("cast(array() as array<struct<id:string>>)").alias("docs"))
+    rows = detect(docs)
+    return rows.groupBy("draft_id").agg(F.count("*").alias("sentences"), F.sum(F.size("amounts")).alias("amounts"), F.sum(F.size("dates")).alias("dates"), F.sum(F.size("ids")).alias("ids"))
+
+
+# Drafts: claims, checks, decisions, scores.
+def _golden(x: Ledger) -> DataFrame:
+    return render.golden(ledger.view(x)).withColumn("draft_id", F.col(SID)).withColumn("revision_index", F.lit(0))
+
+
+def _n(test: str) -> F.Column:
+    return F.count_if(F.expr(test))
+
+
+@_on_ledger("golden_claims")
+def _claims(x: Ledger) -> DataFrame:
+    return extract_claims(_golden(x)).groupBy(F.col("draft_id").alias(SID)).agg(_n("type = 'C-EXIST'").alias("n_exist"), _n("type = 'C-AMT'").alias("n_amount"), _n("type = 'C-SUM'").alias("n_sum"), _n("type = 'C-DATE'").alias("n_date"), _n("type = 'C-STATUS'").alias("n_status_of_invoices"))
+
+
+@_on_ledger("golden_checks")
+def _checks(x: Ledger) -> DataFrame:
+    drafts = _golden(x)
+    checked = checks.check_claims(extract_claims(drafts), drafts)
+    return checked.groupBy(SID).agg(_n("result.status is null or result.status <> 'pass'").alias("failed"), _n("result.status = 'pass'").alias("passed"))
+
+
+@_on_ledger("golden_decisions")
+def _decisions(x: Ledger) -> DataFrame:
+    return rounds.verify(_golden(x))[2].select(SID, "action", "reason")
+
+
+@_on_ledger("golden_scores")
+def _scores(x: Ledger) -> DataFrame:
+    drafts = _golden(x).withColumns({"pass_label": F.lit("pass1"), "stage": F.lit("first_pass"), "revision_count": F.lit(0), "terminal_action": F.lit("human_gate")})
+    checked = checks.check_claims(extract_claims(drafts), drafts)
+    return score.score_events(drafts, checked).select(SID, "grounding_checked", "grounding_total", "completeness_present", "completeness_total")
+
+
+_on_ledger("oracle_grounding")(lambda x: oracle.grounding(_golden(x), oracle.figures(x)).select(F.col("draft_id").alias(SID), "verified", "total"))
+_on_ledger("truth_sets")(lambda x: oracle.figures(x).select(SID, F.size("truth").cast("long").alias("figures"), F.aggregate("truth", F.lit(0).cast("long"), lambda a, y: a + y).alias("figure_sum")))
+_on_ledger("precheck_abstain")(lambda x: gate.precheck(ledger.view(x)))
+_on_ledger("break_sum")(lambda x: _golden(x).select(SID, F.expr(corrupt.break_sum()).alias("draft")))
+_on_ledger("inject_fuzzy")(lambda x: _golden(x).select(SID, F.expr(corrupt.inject_fuzzy()).alias("draft")))
+_on_ledger("swap_amount")(lambda x: _golden(x).select(SID, F.expr(corrupt.swap_amount()).alias("draft")))
+_on_ledger("fabricate_id")(lambda x: _golden(x).select(SID, F.expr(corrupt.fabricate_id()).alias("draft")))
+
+
+@_on_ledger("error_decisions")
+def _error_decisions(x: Ledger) -> DataFrame:
+    """What becomes of drafts with errors whose outcome doesn't depend on chance figures."""
+    found = rounds.errors_run(render.golden(ledger.view(x)))
+    return found.where(F.col("error").isin("break_sum", "fabricate_id", "inject_fuzzy")).select(SID, "error", "action")
+
+
+_on_ledger("injected_errors")(lambda x: reports.injected_errors(rounds.errors_run(render.golden(ledger.view(x)))))
+
+
+@_on_ledger("gaps")
+def _gaps(x: Ledger) -> DataFrame:
+    return gate.aggregate_gaps(gate.derive_gaps(rounds.verify(_golden(x))[2])).select("missing", "gap_count")
+
+
+@_on_ledger("run_rounds")
+def _rounds(x: Ledger) -> DataFrame:
+    """Every scenario drafted with a broken total, then rightly: two rounds, or an abstention without any."""
+    drafts = _golden(x)
+    first = drafts.select(SID, F.lit(0).alias("revision_index"), F.expr(corrupt.break_sum()).alias("draft"))
+    return rounds.run_scenarios(ledger.view(x), first.union(drafts.select(SID, F.lit(1), "draft"))).select(SID, "revision_index", "action", "reason", "terminal")
+
+
+@_on_ledger("required_evidence")
+def _evidence(x: Ledger) -> DataFrame:
+    subjects = ledger.invoice_facts(x).where("status = 'overdue'").select(SID, F.col("id").alias("subject"))
+    return rounds.required_evidence(ledger.view(x).select(SID, "unapplied_cash_total", "unapplied_credit_total"), subjects)
+
+
+_on_ledger("behaviours")(lambda x: reports.behaviours(_golden(x).withColumn("pass_label", F.lit("pass1"))))
+
+
+# Memory: the scenarios of pool A are entries, those of pool B ask.
+def _entries(x: Ledger) -> DataFrame:
+    number = F.substring(SID, 3, 20).cast("long")
+    rows = ledger.signature(x).join(x.client.where("pool = 'A'").select(SID, "pool"), SID)
+    weight = F.lit(1.0) + F.floor((number % 4) / 2)
+    return rows.select(F.concat(F.lit("mem-"), F.lpad(number.cast("string"), 6, "0")).alias("entry_id"), "pool", weight.alias("weight"), number.alias("ingested_offset"), *LABELS)
+
+
+_on_ledger("memory_kept")(lambda x: memory.kept(_entries(x)).select("entry_id", "class_key"))
+
+
+@_on_ledger("memory_retrieve")
+def _retrieve(x: Ledger) -> DataFrame:
+    asks = ledger.signature(x).join(x.client.where("pool = 'B'").select(SID), SID).withColumnRenamed(SID, "query_id")
+    return memory.retrieve(asks, memory.kept(_entries(x)), 3)
+
+
+# Reports over a log read out of the event table.
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _log_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("offset"), F.get(F.array(*map(F.lit, reports.PASSES)), (F.col("event_id") % 3).cast("int")).alias("pass_label"), F.concat(F.lit("S-"), F.col("user_id").cast("string")).alias(SID), F.lit("first_pass").alias("stage"),
+        (k % 10).alias("grounding_checked"), (10 + F.floor(k / 10)).alias("grounding_total"), F.lit(1).alias("completeness_present"), F.lit(2).alias("completeness_total"), F.lit(0).alias("revision_count"), F.col("event_type").alias("terminal_action"),
+    )
+
+
+_query("report_before_after")(lambda spark, sf: reports.before_after(_log_scores(spark, sf)).select("pass_label", "scenarios", "grounding_checked", "grounding_total", "grounding"))
+_query("report_action_histogram")(lambda spark, sf: reports.action_histogram(_log_scores(spark, sf)))
+_query("report_paired")(lambda spark, sf: reports.paired(_log_scores(spark, sf)).select(SID, "paired", "change"))
+
+
+@_query("report_traces")
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.when(F.col("event_id") % 2 == 0, "Parse error").otherwise("timeout")
+    return reports.trace_stats(_events(spark, sf_dir).select(F.col("event_type").alias("task"), (F.col("value") >= 5).alias("ok"), error.alias("error")))
+
+
+@_query("report_pairwise")
+def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("event_type") == "view", "b").when(F.col("event_type") == "click", "a").otherwise("tie")
+    return reports.pairwise(_events(spark, sf_dir).select(verdict.alias("verdict"), (F.col("value") > 20).alias("flipped")))
+
+
+@_query("pending_review")
+def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gen = F.concat(F.lit("g-"), F.floor(F.col("event_id") / 5).cast("string"))
+    log = _events(spark, sf_dir).select(F.col("event_id").alias("offset"), gen.alias("gen_id"), "event_type")
+    judged = log.where("event_type in ('view', 'click')").select("offset", "gen_id", F.when(F.col("event_type") == "view", "human_gate").otherwise("revise").alias("action"))
+    return reports.pending_review(log.select("offset", "gen_id"), judged, log.where("event_type = 'purchase'")).select("gen_id")
+
+
+@_query("revision_loops")
+def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _events(spark, sf_dir).select((F.col("user_id") % 7).alias("run_id"), F.concat(F.lit("S-"), F.col("user_id").cast("string")).alias(SID), F.col("event_id").alias("revision_index"), F.col("props").alias("draft"), F.lit("revise").alias("action"), F.lit("").alias("reason"))
+    return gate.stop_loops(log).groupBy("run_id", SID).agg(_n("action = 'escalate'").alias("loops"))
+
+
+# Agreement of the two labels of documents, by language.
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read("labels").join(read("documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality", "toxic", (F.col("quality") + 2 * (F.col("doc_id") % 2)).cast("int").alias("a"), (F.col("toxic") + 2 * (F.col("doc_id") % 2)).cast("int").alias("b"), (F.col("toxic") + 2 * (F.col("doc_id") % 3)).cast("int").alias("c"))
+
+
+_query("raw_agreement")(lambda spark, sf: stats.raw_agreement(_ratings(spark, sf), "quality", "toxic", ["lang"]).withColumn("raw_agreement", F.round("raw_agreement", 6)))
+_query("cohen_kappa")(lambda spark, sf: stats.cohen_kappa(_ratings(spark, sf), "quality", "toxic", ["lang"]).select("lang", "n", F.round("kappa", 6).alias("kappa"), F.round("pabak", 6).alias("pabak")))
+_query("weighted_kappa")(lambda spark, sf: stats.weighted_kappa(_ratings(spark, sf), "a", "b", [0, 1, 2, 3], ["lang"]).select("lang", F.round("weighted_kappa", 6).alias("weighted_kappa")))
+_query("kendall_tau_b")(lambda spark, sf: stats.kendall_tau_b(_ratings(spark, sf), "a", "c", ["lang"]).select("lang", F.round("tau_b", 6).alias("tau_b")))
+
+
+@_query("both_orders")
+def _both_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordering = F.when(F.col("event_id") % 2 == 0, "ab").otherwise("ba").alias("ordering")
+    last = _events(spark, sf_dir).groupBy("user_id", ordering).agg(F.max_by("event_type", "event_id").alias("t"))
+    winner = F.when(F.col("t") == "view", "1").when(F.col("t") == "click", "2").otherwise("tie")
+    return stats.both_orders(last.select(F.concat(F.lit("p-"), F.col("user_id").cast("string")).alias("pair_id"), "ordering", winner.alias("winner"), (F.col("t") != "error").alias("parse_ok")))
+
+
+ORACLES = {name: sql for name, sql in SQL.items() if name in QUERIES}
