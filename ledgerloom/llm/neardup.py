@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import list_column, row_key, saved
+from ledgerloom.llm.common import bound_batches, list_column, row_key, saved
 from ledgerloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -203,13 +203,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     representative. Null ids sort last. An empty table gives no rows. docs must be a table or a
     checkpoint, since row_key numbers its rows; columns other than id and text aren't read.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(row_key().alias("k"), F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
     signed = saved(base.select("k", "t").mapInArrow(_sign(shingle, weighted, bands, rows), "k long, digest binary, bands array<long>"), "signatures")
     # Copies: one node each, named by the smallest row key of its set.
     nodes = saved(signed.where("digest is not null").groupBy("digest").agg(F.min("k").alias("node"), F.min_by("bands", "k").alias("bands")), "nodes")
     member = nodes.select("node", F.explode("bands").alias("band"))
     shared = saved(member.groupBy("band").count().where("count > 1"), "shared")
-    member = saved(member.join(shared, "band"), "members")
+    member = saved(member.join(shared.hint("merge"), "band"), "members")
     reach = member.groupBy("node").agg(F.sum("count").alias("reach"))
     met = saved(reach.select("node"), "met")
     sets = saved(base.join(met, base.k == met.node, "left_semi").select("k", "t").mapInArrow(_shingles(shingle, weighted), "k long, e binary, c binary, n long"), "shingles")
@@ -252,8 +253,8 @@ def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFram
     """The sets of u are sent to their v. A v with very many pairs is copied to _FANOUT places, so they aren't one task's."""
     hot = pairs.groupBy("v").count().where(F.col("count") > _FANOUT * 8).select("v", F.lit(_FANOUT).alias("ways"))
     spread = saved(pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("ways", F.lit(1))).alias("p")), "spread")
-    copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")), "v")
-    both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")), "u").join(copies, ["v", "p"])
+    copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")).hint("merge"), "v")
+    both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")).hint("merge"), "u").join(copies.hint("merge"), ["v", "p"])
     return saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
 
 

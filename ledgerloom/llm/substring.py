@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import KEY, row_key, saved
+from ledgerloom.llm.common import KEY, bound_batches, row_key, saved
 
 WINDOW, ANCHOR = 35, 10
 _SEGMENT = "a long, k long, s int, ws binary"
@@ -235,6 +235,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, a
     repeated rows are each other's duplicates; an empty table gives an empty result. Columns of docs
     may have any names but ``dedup``, which is replaced. docs must be a table or a checkpoint.
     """
+    bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "dedup"]
     base = docs.select(row_key().alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias(KEY), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"))
     anchors = saved(base.select("k", "t").mapInArrow(_emit_anchors(window, anchor), "a long, k long"), "anchors")
@@ -245,15 +246,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, a
 
     def segments(which: str) -> DataFrame:
         own = wanted.where(F.size(which) > 0).select("k", F.col(which).alias("anchors"))
-        return base.join(own, "k").mapInArrow(_emit_segments(window, anchor), _SEGMENT)
+        return base.join(own.hint("merge"), "k").mapInArrow(_emit_segments(window, anchor), _SEGMENT)
 
-    # In one query with the parse below, so that both read one shuffle of the texts.
+    # In one query with the parse below, so that both read one shuffle of the texts; the hints keep that so at any size.
     found = segments("cold").repartition("a").sortWithinPartitions("a").mapInArrow(_match_block, _FOUND)
     if repeated.where("hot").limit(1).count():
         found = found.unionByName(_hot(saved(segments("hot"), "segments")))
     found = found.groupBy("k").agg(F.collect_list(F.struct("s", "mask", "source", "source_at")).alias("found"))
     out = T.StructType([base.schema["rest"], T.StructField("t", T.StringType()), T.StructField("dedup", DEDUP)])
-    parsed = base.join(found, "k", "left").mapInArrow(_parse(window, layout), out)
+    parsed = base.join(found.hint("merge"), "k", "left").mapInArrow(_parse(window, layout), out)
     return parsed.select(*((F.col("t") if c == text else F.col("rest").getField(c)).alias(c) for c in cols), "dedup")
 
 
