@@ -20,7 +20,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 _BYTE = np.random.Generator(np.random.PCG64(977)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed in one numpy pass, which bounds the memory of the temporary arrays.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=16)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import saved
+from ledgerloom.llm.common import bound_batches, saved
 
 #: A subtree is template if it is on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.1
@@ -233,6 +233,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     url) are one host. Repeated rows count as pages each. An empty table gives no rows; a column
     named blocks is replaced.
     """
+    bound_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c != "blocks"]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     base = pages.select(host.alias("host"), F.col(f"`{html}`").cast("string").alias("page"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != html)).alias("rest"))

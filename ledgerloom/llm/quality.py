@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
+from ledgerloom.llm.common import bound_batches
 
-MAX_LABELLED, MAX_LINES = 2000, 200
+MAX_LABELLED, MAX_LINES = 2000, 64
 MIN_SHARE = 0.5
 FEATURES = ("one", "empty", "long", "symbols", "any_symbols", "bars", "capitals", "shouted", "exclaimed", "digits", "stutter", "word_length", "ended")
 
@@ -157,6 +158,7 @@ def _featurize(max_lines: int):
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Field | None:
     """Fit on labelled documents; None if there are none of both labels. Null labels don't count."""
+    bound_batches(docs.sparkSession)
     some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("i")).agg(F.min(F.col(label).cast("int")).alias("quality"))
     some = some.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(some), "i")
@@ -226,6 +228,7 @@ def line_quality(docs: DataFrame, field: Field | None, text: str = "text", min_s
     an empty one: no words, base_failed. Without a field (no labels) every line is content. Repeated
     rows get equal results; an empty table gives no rows; a column named quality is replaced.
     """
+    bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "quality"]
     base = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"))
     out = base.mapInArrow(_judge(field), T.StructType([base.schema["rest"], T.StructField("t", T.StringType()), T.StructField("quality", QUALITY)]))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
+from ledgerloom.llm.common import bound_batches
 
 RULES = ("first", "last", "majority", "split")
 _encoders: dict = {}
@@ -126,6 +127,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "tokens"]
     more = [] if sections is None else [sections.alias("sections")]
     base = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"), *more)

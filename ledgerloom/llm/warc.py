@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved, shared_dir
+from ledgerloom.llm.common import bound_batches, saved, shared_dir
 
 VERSION = "WARC/1.1"
 #: A new file begins after so many compressed bytes.
@@ -202,6 +202,7 @@ def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
     responses. A task that is run again writes new files; only those in the manifest are the archive.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.cast("binary").alias("payload"))
