@@ -91,4 +91,4 @@ def prompt(template: Column, values: dict[str, Column]) -> Column:
     out = template
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
-    return F.trim(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
