@@ -12,6 +12,7 @@ from ledgerloom.operators.corrupt import EXPECTED, variants
 from ledgerloom.operators.extract import extract_claims
 from ledgerloom.operators.gate import BUDGET, decide, precheck
 from ledgerloom.schema import CODE_TYPES
+from ledgerloom.sources.shared import saved
 
 #: A model at the boundary: from requests (key, prompt) to (key, output, ok). Offline it is a table.
 Completer = Callable[[DataFrame], DataFrame]
@@ -45,9 +46,13 @@ def with_retries(complete: Completer, valid: str, attempts: int = 3) -> Callable
 
 
 def verify(drafts: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(claims, checked claims, decisions) of drafts: draft_id, scenario_id, draft, revision_index and the columns of ledger.view."""
+    """(claims, checked claims, decisions) of drafts: draft_id, scenario_id, draft, revision_index and the columns of ledger.view.
+
+    Drafts and checked claims are written once, as both are used more than once.
+    """
+    drafts = saved(drafts, "drafts")
     claims = extract_claims(drafts)
-    checked = check_claims(claims, drafts, verdicts)
+    checked = saved(check_claims(claims, drafts, verdicts), "checked")
     return claims, checked, decide(drafts, checked)
 
 
@@ -58,6 +63,7 @@ def run_scenarios(scenarios: DataFrame, drafts: DataFrame, verdicts: DataFrame |
     scenario that must abstain is never drafted, one without a draft for its round ends; a revision
     that repeats an earlier draft of its scenario escalates.
     """
+    scenarios = saved(scenarios, "scenarios")
     unclear = precheck(scenarios)
     out = unclear.select("scenario_id", F.lit(0).alias("revision_index"), "action", "reason", F.lit("").alias("payload"))
     left = scenarios.join(unclear.select("scenario_id"), "scenario_id", "left_anti")
@@ -71,7 +77,7 @@ def run_scenarios(scenarios: DataFrame, drafts: DataFrame, verdicts: DataFrame |
             loop = (F.col("action") == "revise") & F.coalesce("again", F.lit(False))
             decisions = decisions.join(repeated, "scenario_id", "left").withColumn("reason", F.when(loop, "revision loop").otherwise(F.col("reason"))).withColumn("action", F.when(loop, "escalate").otherwise(F.col("action")))
         earlier = text if earlier is None else earlier.union(text)
-        decisions = decisions.select("scenario_id", "revision_index", "action", "reason", "payload")
+        decisions = saved(decisions.select("scenario_id", "revision_index", "action", "reason", "payload"), "decisions")
         out = out.unionByName(decisions)
         left = left.join(decisions.where("action = 'revise'").select("scenario_id"), "scenario_id", "left_semi")
     return out.withColumn("first_pass", F.col("revision_index") == 0).withColumn("terminal", F.col("action") != "revise")
@@ -128,7 +134,7 @@ def errors_run(drafts: DataFrame, verdicts: DataFrame | None = None) -> DataFram
     caught: the decision is what the error should lead to, with a finding of its kind; for a clean
     control, that it is flagged.
     """
-    rows = variants(drafts).withColumn("revision_index", F.lit(0))
+    rows = saved(variants(drafts).withColumn("revision_index", F.lit(0)), "variants")
     _, _, decisions = verify(rows, verdicts)
     kinds = F.transform("findings", lambda f: f["kind"])
     found = decisions.join(rows.select("draft_id", "error", "tier"), "draft_id").withColumn("kinds", kinds)

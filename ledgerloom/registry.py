@@ -13,6 +13,7 @@ from ledgerloom.operators.extract import detect, extract_claims
 from ledgerloom.oracles import ORACLES as SQL
 from ledgerloom.plans import rounds
 from ledgerloom.schema import LABELS
+from ledgerloom.sources.shared import saved
 from ledgerloom.sources.tables import Ledger, order_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,7 +190,7 @@ def _claims(x: Ledger) -> DataFrame:
 
 @_on_ledger("golden_checks")
 def _checks(x: Ledger) -> DataFrame:
-    drafts = _golden(x)
+    drafts = saved(_golden(x), "drafts")
     checked = checks.check_claims(extract_claims(drafts), drafts)
     return checked.groupBy(SID).agg(_n("result.status is null or result.status <> 'pass'").alias("failed"), _n("result.status = 'pass'").alias("passed"))
 
@@ -201,7 +202,7 @@ def _decisions(x: Ledger) -> DataFrame:
 
 @_on_ledger("golden_scores")
 def _scores(x: Ledger) -> DataFrame:
-    drafts = _golden(x).withColumns({"pass_label": F.lit("pass1"), "stage": F.lit("first_pass"), "revision_count": F.lit(0), "terminal_action": F.lit("human_gate")})
+    drafts = saved(_golden(x).withColumns({"pass_label": F.lit("pass1"), "stage": F.lit("first_pass"), "revision_count": F.lit(0), "terminal_action": F.lit("human_gate")}), "drafts")
     checked = checks.check_claims(extract_claims(drafts), drafts)
     return score.score_events(drafts, checked).select(SID, "grounding_checked", "grounding_total", "completeness_present", "completeness_total")
 
@@ -233,7 +234,7 @@ def _gaps(x: Ledger) -> DataFrame:
 @_on_ledger("run_rounds")
 def _rounds(x: Ledger) -> DataFrame:
     """Every scenario drafted with a broken total, then rightly: two rounds, or an abstention without any."""
-    drafts = _golden(x)
+    drafts = saved(_golden(x), "drafts")
     first = drafts.select(SID, F.lit(0).alias("revision_index"), F.expr(corrupt.break_sum()).alias("draft"))
     return rounds.run_scenarios(ledger.view(x), first.union(drafts.select(SID, F.lit(1), "draft"))).select(SID, "revision_index", "action", "reason", "terminal")
 

@@ -68,7 +68,7 @@ def generate(spark: SparkSession, scenarios: int, seed: int = 7) -> DataFrame:
     """
     draw = lambda name, lo, hi: (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "id"), F.lit(hi - lo)) + lo)
     as_of, kind = F.lit("2026-03-31").cast("date"), F.col("id") % 6
-    amount = lambda i: F.when((F.lit(i) == 2) & kind.isin(4, 5), draw("amount1", 1000, 9000) * 100).otherwise(draw(f"amount{i}", 1000, 9000) * 100 + i * 7_000_00)
+    amount = lambda i: F.when((F.lit(i) == 2) & kind.isin(4, 5), draw("amount1", 1000, 9000) * 100 + 7_000_00).otherwise(draw(f"amount{i}", 1000, 9000) * 100 + i * 7_000_00)
     paid = amount(0)
     base = (F.lit(1000) + draw("number", 0, 8000)).cast("string")
     doc = lambda prefix, i: F.concat(F.lit(prefix), (base.cast("int") + i).cast("string"))
