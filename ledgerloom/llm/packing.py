@@ -8,9 +8,11 @@ without running it: with P(q) tokens up to queue q of N in all, the queues up to
 floor(P(q) * w * length / N) tokens. So each task finds the windows of its own documents, and no
 task has to follow another. Only the last sequence is shorter.
 
-With target weights the schedule has phases: one ends when its scarcest source is used up, the next
-goes on with the others' weights. Without, the targets are the sources' shares of all tokens.
-Sources too rare for two tokens a window share the first queue, one after the other.
+With target weights, sources are used up one after the other, and the rest goes on with the others'
+weights. Without, the targets are the sources' shares of all tokens. Sources too rare for two tokens
+a window share the first queue, where each has a turn of at least a TURN-th of a window at distances
+that follow from its own share, with a deficit of its own (``Turns``). Sources without a weight come
+last.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,10 @@ LENGTH, END = 4096, 2
 REMEMBERED = 1_000_000
 #: Sources are the categories of a mixture: their totals are brought to the driver, up to so many.
 MAX_SOURCES = 100_000
+#: A rare source's turn has at least this part of a window, and two tokens.
+TURN = 64
+#: Target weights are rounded to this part of their sum.
+WEIGHTS = 2**64
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -148,42 +155,110 @@ def _tokenize(path: str, by_word: bool, end: int):
     return run
 
 
+class Turns:
+    """The order of tokens in the queue that rare sources share.
+
+    A source has its turn of ``least`` to twice as many tokens at equal distances, by its weight; what
+    a turn has beyond whole tokens is its deficit and is carried to the next. Sources whose weights
+    are within a factor of two are a tier; one of tier t has a turn in every 2**t-th round, and a
+    tier's sources are dealt over these rounds. Within a tier those used up first come first, so the
+    tokens that the first i have given by turn r are a closed form.
+    """
+
+    def __init__(self, totals: dict[str, int], weights: dict[str, int], least: int):
+        self.top = max(weights[s] for s in totals)
+        tiers: dict[int, list[tuple[int, str]]] = {}
+        for s, n in totals.items():
+            t = (self.top // weights[s]).bit_length() - 1
+            tiers.setdefault(t, []).append((-(-n * self.top // (weights[s] * (least << (t + 1)))), s))
+        self.at: dict[str, tuple[int, int]] = {}
+        self.weights = {s: weights[s] for s in totals}
+        self.tiers = []  # exponent, size of a turn at the top weight, last turns, sums of tokens, sums of weights
+        for t, found in sorted(tiers.items()):
+            found.sort()
+            self.at.update((s, (len(self.tiers), i)) for i, (_, s) in enumerate(found))
+            tokens = [0, *accumulate(totals[s] for _, s in found)]
+            self.tiers.append((t, least << (t + 1), [x for x, _ in found], tokens, [0, *accumulate(weights[s] for _, s in found)]))
+
+    def _upto(self, tier: int, i: int, r: int) -> int:
+        """Tokens that the first i sources of a tier have given in their first r turns."""
+        _, step, ends, tokens, weights = self.tiers[tier]
+        e = bisect_right(ends, r)
+        return tokens[i] if i <= e else tokens[e] + r * step * (weights[i] - weights[e]) // self.top
+
+    def _before(self, tier: int, b: int) -> int:
+        """Tokens that a tier has given before round b."""
+        t, _, ends, _, _ = self.tiers[tier]
+        r, part = divmod(b, 1 << t)
+        i = len(ends) * part >> t
+        return self._upto(tier, i, r + 1) + self._upto(tier, len(ends), r) - self._upto(tier, i, r)
+
+    def runs(self, source: str, start: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(start, length, start in the shared queue) of the turns that hold tokens start to start+n of a source."""
+        tier, i = self.at[source]
+        t, step, ends, _, _ = self.tiers[tier]
+        part = (((i + 1) << t) - 1) // len(ends)
+        first = len(ends) * part >> t
+
+        def given(r: int) -> int:
+            return self._upto(tier, i + 1, r) - self._upto(tier, i, r)
+
+        at, end = start, start + n
+        r = start * self.top // (self.weights[source] * step)
+        while r and given(r) > at:
+            r -= 1
+        begin, to = given(r), given(r + 1)
+        while at < end:
+            while to <= at:
+                r += 1
+                begin, to = to, given(r + 1)
+            b = (r << t) + part
+            place = sum(self._before(x, b + (x < tier)) for x in range(len(self.tiers)))
+            place += self._upto(tier, i, r + 1) - self._upto(tier, i, r) - self._upto(tier, first, r + 1) + self._upto(tier, first, r)
+            stop = min(end, to)
+            yield at, stop - at, place + at - begin
+            at = stop
+
+
 class Schedule:
-    """After g tokens in all, ``upto(q, g)`` of them came from the first q queues."""
+    """After g tokens in all, ``upto(q, g)`` of them came from the first q queues.
+
+    Sources are used up in the order of tokens by weight. With that order's sums of tokens and of
+    weights, the tokens given by any queues after g in all are a closed form.
+    """
 
     def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, length: int):
         self.length, self.total = length, sum(totals.values())
-        names = sorted(s for s, n in totals.items() if n)
-        share = {s: Fraction(weights.get(s, 0)).limit_denominator(10**9) if weights else Fraction(totals[s]) for s in names}
+        left = {s: totals[s] for s in sorted(totals) if totals[s]}
+        share = {s: Fraction(weights.get(s, 0)) for s in left} if weights else {s: Fraction(n) for s, n in left.items()}
         whole = sum(share.values()) or Fraction(1)
-        rare = [s for s in names if share[s] * length < 2 * whole]
-        queues = [rare, *([s] for s in names if s not in set(rare))]
-        self.queue = {s: (q, sum(totals[x] for x in rare[: rare.index(s)]) if not q else 0) for q, group in enumerate(queues) for s in group}
-        left = [sum(totals[s] for s in group) for group in queues]
-        rate = [sum((share[s] for s in group), Fraction(0)) for group in queues]
-        self.begins: list[int] = []
-        self.phases: list[tuple[int, int, list[int], list[int]]] = []  # start, tokens, sums of the phase, sums before it
-        at, before = 0, [0] * (len(queues) + 1)
-        while any(left):
-            live = [q for q, n in enumerate(left) if n]
-            own = [rate[q] if n else Fraction(0) for q, n in enumerate(left)]
-            if not sum(own):  # sources without a weight come last
-                own = [Fraction(n) for n in left]
-            scarce = min((q for q in live if own[q]), key=lambda q: Fraction(left[q]) / own[q])
-            times = Fraction(left[scarce]) / own[scarce]
-            take = [left[q] if q == scarce else min(left[q], int(own[q] * times)) for q in range(len(left))]
-            sums = [0]
-            for n in take:
-                sums.append(sums[-1] + n)
-            self.begins.append(at)
-            self.phases.append((at, sums[-1], sums, before))
-            at, before = at + sums[-1], [x + y for x, y in zip(before, sums)]
-            left = [x - y for x, y in zip(left, take)]
+        rate = {s: max(1, round(x / whole * WEIGHTS)) if weights else left[s] for s, x in share.items() if x}
+        order = sorted(rate, key=lambda s: Fraction(left[s], rate[s]))
+        least, twice = max(2, length // TURN), 2 * sum(rate.values())
+        rare = {s: left[s] for s in sorted(rate) if rate[s] * length < twice}
+        hot = [s for s in order if s not in rare]
+        self.shared = [(0, Turns(rare, rate, least))] if rare else []
+        if last := {s: n for s, n in left.items() if s not in rate}:  # sources without a weight come last
+            self.shared.append((sum(rare.values()), Turns(last, last, least)))
+        self.queue = {s: q for q, s in enumerate(hot, 1)}
+        self.tokens, self.weights = ([0, *accumulate(x[s] for s in order)] for x in (left, rate))
+        self.rare_tokens, self.rare_weights = ([0, *accumulate(x[s] if s in rare else 0 for s in order)] for x in (left, rate))
+        self.hot_tokens, self.hot_weights = ([0, *accumulate(x[s] for s in hot)] for x in (left, rate))
+        self.hot_ended = [0, *accumulate(int(s not in rare) for s in order)]
+        # So many tokens have been given in all when a source is used up.
+        self.ends = [self.tokens[i] - (-left[s] * (self.weights[-1] - self.weights[i]) // rate[s]) for i, s in enumerate(order)]
 
     def upto(self, q: int, g: int) -> int:
+        if not q:
+            return 0
         g = min(g, self.total)
-        at, n, sums, before = self.phases[max(0, bisect_right(self.begins, g) - 1)]
-        return before[q] + sums[q] * (g - at) // n
+        if g >= self.tokens[-1]:
+            return self.rare_tokens[-1] + g - self.tokens[-1] + self.hot_tokens[q - 1]
+        e = bisect_right(self.ends, g)
+        h, weights = self.hot_ended[e], self.rare_weights[-1] - self.rare_weights[e]
+        if q - 1 > h:
+            weights += self.hot_weights[q - 1] - self.hot_weights[h]
+        return self.rare_tokens[e] + self.hot_tokens[min(q - 1, h)] + (g - self.tokens[e]) * weights // (self.weights[-1] - self.weights[e])
 
     def given(self, q: int, w: int) -> int:
         """Tokens that queue q has given to the first w windows."""
@@ -192,7 +267,7 @@ class Schedule:
     def window(self, q: int, x: int) -> int:
         """The window with token x of queue q: the last one that begins at or before it."""
         lo, hi = 0, -(-self.total // self.length)
-        guess = x * self.total // max(1, self.given(q, hi)) // self.length  # exact but for rounding if there is one phase
+        guess = x * self.total // max(1, self.given(q, hi)) // self.length  # exact but for rounding if no source ends before others
         for near in (guess - 2, guess + 3):
             near = min(max(near, 0), hi)
             if self.given(q, near) <= x:
@@ -206,8 +281,16 @@ class Schedule:
 
     def pieces(self, source: str, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, window, offset in the window) for tokens start to start+n of a source."""
-        q, shift = self.queue[source]
-        at, end = start + shift, start + shift + n
+        if q := self.queue.get(source, 0):
+            yield from self._pieces(q, 0, start, n)
+            return
+        shift, turns = next(x for x in self.shared if source in x[1].at)
+        for at, size, place in turns.runs(source, start, n):
+            yield from self._pieces(0, at - start, place + shift, size)
+
+    def _pieces(self, q: int, begins: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Pieces for tokens start to start+n of a queue, the first of which is at ``begins`` in its document."""
+        at, end = start, start + n
         w = self.window(q, at)
         begin, to = self.given(q, w), self.given(q, w + 1)
         while at < end:
@@ -216,7 +299,7 @@ class Schedule:
                 begin, to = to, self.given(q, w + 1)
             stop = min(end, to)
             offset = self.upto(q, (w + 1) * self.length) - self.upto(q, w * self.length) + at - begin
-            yield at - start - shift, stop - at, w, offset
+            yield at - start + begins, stop - at, w, offset
             at = stop
 
 

@@ -355,3 +355,36 @@ def test_schedule_keeps_proportions():
     x = Schedule(totals, {"=a": 1, "=b": 1, "=c": 1}, 100)
     assert sum(x.given(q, 10**6) for q in range(4)) == 100000 and abs(x.given(1, 100) - 3333) <= 2
 
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_rare_sources_keep_their_proportions(hot):
+    """Over spans of windows every one of 5000 rare sources gives its share, within two turns."""
+    totals = {f"=s{i}": 2000 + i % 7 * 500 for i in range(5000)}
+    if hot:
+        totals["=hot"] = sum(totals.values()) // 2
+    s = Schedule(totals, None, 4096)
+    windows, span = -(-s.total // 4096), 500
+    for name in [f"=s{i}" for i in range(0, 5000, 250)]:
+        given = Counter()
+        for _, size, w, _ in s.pieces(name, 0, totals[name]):
+            given[w // span] += size
+        for k in range(windows // span):
+            assert abs(given[k] - totals[name] * span * 4096 / s.total) <= 4 * 64
+
+
+@pytest.mark.parametrize("wanted", [None, "uneven"])
+def test_schedule_places_every_token_once(wanted):
+    totals = {f"={i}": 1 + i * i % 97 * (1 + i % 3) for i in range(400)} | {"=hot": 9000}
+    weights = wanted and {f"={i}": (i % 11) * 10.0 ** -(i % 4) for i in range(399)} | {"=hot": 50.0}
+    s = Schedule(totals, weights, 128)
+    places = [w * 128 + offset + i for name, n in totals.items() for _, size, w, offset in s.pieces(name, 0, n) for i in range(size)]
+    assert sorted(places) == list(range(s.total))
+    if weights:  # single weights count among rare sources, and those without a weight come last
+        first = lambda name, n: next(s.pieces(name, n, 1))[2]
+        ten = [name for name in weights if weights[name] == 10]
+        got = sum(size for name in ten for _, size, w, _ in s.pieces(name, 0, totals[name]) if w < 20)
+        flow = lambda t: sum(min(totals[name], x * t) for name, x in weights.items())
+        t = min((t / 100 for t in range(2000)), key=lambda t: abs(flow(t) - 20 * 128))  # what is left after sources end goes to the others
+        assert got == pytest.approx(sum(min(totals[name], 10 * t) for name in ten), abs=2 * len(ten))
+        assert first("=399", 0) * 128 + 128 > s.total - sum(totals[n] for n in totals if not weights.get(n))
