@@ -1,7 +1,7 @@
 """Invertible Bloom lookup sketches of documents, in DataFrame and SQL functions only.
 
-A text's paragraphs (lines, long ones cut every PIECE code points) have 64-bit digests; a sketch is
-made of the distinct ones. Digests are dealt by their low bits to small tables, about LOAD to each;
+A text's paragraphs (lines, long ones cut every so many code points, see ``piece``) have 64-bit digests;
+a sketch is made of the distinct ones. Digests are dealt by their low bits to small tables, about LOAD to each;
 a table has 3 x c cells of a count, an XOR of digests and an XOR of check sums, and a digest is added
 to one cell of each third. Two sketches are subtracted cell by cell: equal paragraphs cancel. Peeling
 then takes digests out of cells that hold one alone, until the cells are empty, and so recovers the
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import row_key, saved
 
 PIECE, LOAD, CELLS = 300, 4, 4
+#: With a finest piece below PIECE, a text on one line is cut into about so many pieces.
+PARTS = 16
 #: Ranges of the order of documents; each is numbered by a task.
 RANGES = 200
 
@@ -28,9 +30,14 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def keys(text: str) -> str:
+def piece(n: str, finest: int) -> str:
+    """Code points to a piece for a text of n: a PARTS-th of it, but from finest to PIECE."""
+    return f"cast(least({PIECE}, greatest({finest}, {n} div {PARTS})) as int)"
+
+
+def keys(text: str, piece: str) -> str:
     """Distinct digests of a text's paragraphs, with the hashes that place and check them."""
-    units = f"regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}', 0)"
+    units = f"regexp_extract_all({text}, concat('[^\\\\n]{{1,', {piece}, '}}'), 0)"
     return f"transform(array_distinct(transform({units}, u -> xxhash64(u))), k -> named_struct('k', k, 'h', xxhash64(k), 'c', {_check('k')}))"
 
 
@@ -91,13 +98,16 @@ def likeness(a: str, b: str) -> str:
     return f"if({both} = 0, 1D, {_let(difference(a, b), 'e', f'({both} - e) / cast({both} + e as double)')})"
 
 
-def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text", finest: int = PIECE) -> DataFrame:
     """Fingerprints of each text and of an edited version of it, and how alike they and the next text are.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
     all) of the next document, in descending order of id; after the last comes the first. Returns
     id, next_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
+    A document's piece follows from its own n_chars, with ``finest`` as the least; its text, the edited
+    one and the next are cut by it. So fingerprints of texts with different pieces can't be subtracted.
+
     A null text is an empty one, whose sketch has only empty cells; two empty texts are alike (1).
     Null ids come last, equal ids in the order of the table; each repeated row is a document. A
     single document is its own next. An empty table gives no rows. docs must be a table or a
@@ -112,10 +122,10 @@ def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     led = ranged.select("k", "n", "r", F.lead("k").over(within).alias("next"), F.row_number().over(within).alias("at"))
     firsts = led.where("at = 1").select("r", F.col("k").alias("first"))
     chain = firsts.select(F.col("r"), F.coalesce(F.lead("first").over(Window.orderBy("r")), F.first("first").over(Window.orderBy("r"))).alias("after"))  # at most RANGES rows
-    led = led.join(F.broadcast(chain), "r").select(F.col("k").alias("for"), F.coalesce("next", "after").alias("k"), F.expr("cast(n div 3 as int)").alias("cut"))
+    led = led.join(F.broadcast(chain), "r").select(F.col("k").alias("for"), F.coalesce("next", "after").alias("k"), F.expr("cast(n div 3 as int)").alias("cut"), F.expr(piece("n", finest)).alias("piece"))
     led = saved(led, "next")
-    following = base.join(led, "k").select(F.col("for").alias("k"), F.col("i").alias("next_id"), "cut", F.expr("substring(t, 1, cut)").alias("tail"), F.expr(keys("t")).alias("kn"))
+    following = base.join(led, "k").select(F.col("for").alias("k"), F.col("i").alias("next_id"), "cut", F.expr("substring(t, 1, cut)").alias("tail"), "piece", F.expr(keys("t", "piece")).alias("kn"))
     # Both joins are on k and read the same columns, so they read one shuffle of the texts.
-    both = base.join(following, "k").select("i", "next_id", "t", "kn", F.length("t").cast("long").alias("n_chars"), F.expr("concat(substring(t, 1, length(t) - cut), tail)").alias("edited_text"))
-    ready = both.select("*", F.expr(keys("t")).alias("ka"), F.expr(keys("edited_text")).alias("ke"))
+    both = base.join(following, "k").select("i", "next_id", "t", "kn", "piece", F.length("t").cast("long").alias("n_chars"), F.expr("concat(substring(t, 1, length(t) - cut), tail)").alias("edited_text"))
+    ready = both.select("*", F.expr(keys("t", "piece")).alias("ka"), F.expr(keys("edited_text", "piece")).alias("ke"))
     return ready.select(F.col("i").alias(id), "next_id", "n_chars", "edited_text", F.expr(sketch("ka")).alias("fingerprint"), F.expr(sketch("ke")).alias("edited_fingerprint"), F.expr(likeness("ka", "ke")).alias("near_edited"), F.expr(likeness("ka", "kn")).alias("near_next"))

@@ -74,8 +74,12 @@ def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+#: Code points to a piece of a short text; see fingerprint.piece.
+FINEST = 40
+
+
 def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = version_likeness(table(spark, sf_dir, "documents"))
+    found = version_likeness(table(spark, sf_dir, "documents"), finest=FINEST)
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 

@@ -271,6 +271,22 @@ def test_fingerprints(spark, docs):
     assert version_likeness(docs.where("false")).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark, tmp_path):
+    """Two thirds of a text are unchanged, so a short text on one line is like its edited version."""
+    texts = ["".join(chr(97 + x) for x in np.random.Generator(np.random.PCG64(i)).integers(0, 26, n)) for i, n in enumerate([60, 100, 299, 448, 700, 3000, 9000])]
+    path = str(tmp_path / "short.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    short = spark.read.parquet(path)
+    got = {r.doc_id: r for r in version_likeness(short, finest=40).collect()}
+    for i, t in enumerate(texts):
+        size, x = min(300, max(40, len(t) // 16)), texts[i - 1]
+        keys = lambda t: {t[j : j + size] for j in range(0, len(t), size)}
+        a, b = keys(t), keys(t[: len(t) - len(t) // 3] + x[: len(t) // 3])
+        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b)) and got[i].near_edited > 0
+        assert got[i].near_next == 0
+    assert {r.doc_id for r in version_likeness(short).collect() if not r.near_edited} == {0, 1, 2, 3}
+
+
 def test_token_counts(spark, docs):
     for rule in ("first", "last", "majority", "split"):
         got = token_counts(docs, RANKS, tokenizers.PATTERN, rule=rule).collect()
