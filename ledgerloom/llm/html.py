@@ -34,7 +34,15 @@ _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"
 #: Elements that are never part of an article's text.
 _DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer aside form button select input textarea label svg canvas object embed audio video dialog menu title math map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|navbar|nav|navigation|menu|breadcrumbs?|footer|header|masthead|cookies?|notice|notification|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|login|signup|signin|search|toolbar|widget|pagination|pager|skip|skip-link|hidden|sr-only|alert)(?:$|[\s_-])", re.I)
+_NAME = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|navbar|nav|navigation|menu|breadcrumbs?|footer|header|masthead|cookies?|notice|notification|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|login|signup|signin|search|toolbar|widget|pagination|pager|skip|skip-link|hidden|sr-only|alert)"
+_NAMES = re.compile(rf"(?:^|[\s_-]){_NAME}(?:$|[\s_-])", re.I)
+#: Inside an article a name must be all of a class or id, or have only words for a container beside it.
+_WHOLE = re.compile(rf"(?!(?:header|masthead)$){_NAME}(?:[_-]{_NAME})*(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|links?|list|posts|articles|slot|unit|widget|wrap|wrapper))*", re.I)
+_NEGATED = re.compile(r"(?:no|has|without)[_-]", re.I)
+#: Elements of an article that aren't judged by their names; of a section the id isn't.
+_UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Classes of article elements that hold a reader's comment.
+_COMMENT = frozenset("comment comments comment-body comment-item comment-reply reply replies".split())
 #: Elements whose text is an article's own even if other pages have it too.
 _OWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main body html b i em strong a span u code q cite small sub sup br".split())
 
@@ -135,13 +143,17 @@ def _unwanted(node: Node, inside: bool) -> bool:
         return not inside
     if node.tag in ("html", "body", "main", "article") or not node.attributes:
         named = node.named() if node.tag == "article" else {}
-        return bool(named.get("class") and re.search(r"comment|reply", named["class"], re.I))
+        return not _COMMENT.isdisjoint(named.get("class", "").lower().split())
     named = node.named()
     if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style", ""), re.I):
         return True
     if named.get("role", "").lower() in _ROLES:
         return True
-    return any(name in named and _NAMES.search(named[name]) for name in ("class", "id"))
+    if inside and node.tag in _UNNAMED:
+        return False
+    names = ("class",) if inside and node.tag == "section" else ("class", "id")
+    tokens = [x for name in names for x in named.get(name, "").split() if not _NEGATED.match(x)]
+    return any(_WHOLE.fullmatch(x) if inside else _NAMES.search(x) for x in tokens)
 
 
 def _scopes(root: Node) -> list[Node]:

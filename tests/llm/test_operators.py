@@ -244,6 +244,15 @@ def test_html():
     assert blocks(parse("")) == [] and blocks(parse("<p>a<!-- b --><p class='ad'>c<p>d")) == ["a", "d"]
 
 
+def test_names_in_an_article():
+    """Only whole names drop a part of an article; headings, section ids and negated names don't."""
+    kept = '<section id="side-effects"><p>a</p></section><h2 id="related-work">b</h2><h2 id="market-share">c</h2><div class="entry-header"><h1>d</h1></div><div class="post-content no-sidebar">e</div><p class="alert">f</p>'
+    gone = '<div class="ad">1</div><div class="box Related">2</div><div id="comments">3</div><div class="share-buttons">4</div><section class="related-posts">5</section><div class="ad-slot">6</div>'
+    assert blocks(parse(f"<article>{kept}{gone}</article>")) == list("abcdef")
+    assert blocks(parse(f'<div class="page without-sidebar"><article class="commentary">{kept}</article></div><article class="odd comment"><p>7</p></article>')) == list("abcdef")
+    assert blocks(parse('<div class="site-header">1</div><p>a</p>')) == ["a"]
+
+
 def test_site_template(spark):
     rows = [(i, "http://h.example/%d" % i, f"<body><div class=x>Same on all</div><div>Own text {i}</div><section><p>Quoted</p></section></body>") for i in range(30)]
     rows += [(100, "http://other.example/", "<body><div class=x>Same on all</div></body>"), (101, None, None), (102, "x", "")]
