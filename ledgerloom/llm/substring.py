@@ -235,6 +235,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, a
     repeated rows are each other's duplicates; an empty table gives an empty result. Columns of docs
     may have any names but ``dedup``, which is replaced. docs must be a table or a checkpoint.
     """
+    if window - anchor + 1 > 63:  # a run's hits are bits of one int64
+        raise ValueError(f"a window of {window} words with an anchor of {anchor} has runs of over 63 windows")
     bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "dedup"]
     base = docs.select(row_key().alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias(KEY), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"))

@@ -217,6 +217,11 @@ def test_substring_dedup_keeps_the_layout(spark, docs):
         assert all(f.windows > 0 for f in r.dedup.factors)
 
 
+def test_substring_dedup_refuses_runs_over_a_mask():
+    with pytest.raises(ValueError, match="over 63 windows"):
+        substring_dedup(None, window=100, anchor=10)
+
+
 def test_mixing(spark, docs):
     tokens = {"big": 900, "mid": 90, "small": 10}
     a = find_exponent(tokens, max_repeats=2.0)
