@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 #: Column names that the operators add start so; input columns may have any other name.
 KEY = "__row_key"
 BATCH_ROWS = 1000
+#: Removes a query's shuffle files when it has ended, instead of when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A row key is a file's number times this, and the row's place in the file.
+_FILE_ROWS = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +24,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one if unset (local runs)."""
+    """The folder all executors see: spark.checkpoint.dir. If unset, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
     if hasattr(found, "isDefined"):
         found = found.get() if found.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return str(found).rstrip("/")
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-
-def row_key() -> Column:
-    """A number for each row of a scan.
-
-    It depends on the scan's splits and order, so the input must be a table or a checkpoint, not a
-    plan whose row order differs from run to run. Repeated rows and null ids keep distinct keys.
+    Shuffle files of the query that made it go at once, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove tables made by saved(), once all that was made of them is itself saved."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _of_one_table(df: DataFrame) -> bool:
+    """Whether df selects rows and columns of one Parquet table, so that each row has a place in a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    return plan.relation().fileFormat().toString() == "Parquet" and roots.distinct().size() == roots.size()  # a folder read twice has two rows in a place
+
+
+def keyed(df: DataFrame, name: str = KEY) -> DataFrame:
+    """df with a long that tells its rows apart, however often and by whichever tasks it is computed.
+
+    The key is the row's place: the number of its file, in order of the names, and its index there.
+    It doesn't depend on splits, cores or settings, nor on nulls and repeats. A df that isn't a
+    selection from one Parquet table is written first, since its rows have no place of their own.
     """
-    return F.monotonically_increasing_id()
+    if not _of_one_table(df):
+        df = saved(df, "rows")
+    place = df.metadataColumn("_metadata")
+    files = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()})
+    rows = df.select("*", place.getField("row_index").alias(name), F.regexp_replace(place.getField("file_path"), "^([a-z0-9]+):/+", "$1:/").alias("__file"))
+    if len(files) > 1:  # a row for each file, which Spark broadcasts if that is small
+        numbers = df.sparkSession.createDataFrame([(f, i * _FILE_ROWS) for i, f in enumerate(files)], "__file string, __base long")
+        rows = rows.join(numbers, "__file", "left")
+        # A file that isn't listed can't be told from others by its number.
+        base = F.when(F.col("__base").isNull(), F.raise_error(F.concat(F.lit("no number for "), "__file")).cast("long")).otherwise(F.col("__base"))
+        rows = rows.withColumn(name, base + F.col(name)).drop("__base")
+    return rows.drop("__file")
+
+
+def packed(docs: DataFrame, columns: list[str]) -> Column:
+    """These columns of docs as one struct ``rest``, so that their names can't clash with an operator's."""
+    return F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in columns)).alias("rest")
 
 
 def bound_batches(spark: SparkSession) -> None:

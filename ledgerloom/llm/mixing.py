@@ -13,52 +13,53 @@ is the last one taken, so a source is over by less than a block).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved
-from ledgerloom.llm.packing import MAX_SOURCES, source_name
+from ledgerloom.llm.common import packed, saved
+from ledgerloom.llm.packing import source_name
 
 BLOCKS = 256
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Exponents that one pass over the sources tries at once.
+TRIED = 32
 
 
-def weights(tokens: dict[str, int], exponent: float) -> dict[str, float]:
-    total = sum(tokens.values())
-    raised = {s: (n / total) ** exponent for s, n in tokens.items() if n}
-    return {s: x / sum(raised.values()) for s, x in raised.items()}
-
+def bisect(too_high: Callable[[list[float]], list[bool]], steps: int = 60, tried: int = 1) -> float:
+    """The smallest exponent in [0, 1] that isn't too high up, by bisection; with ``tried`` points at a time, by that many parts."""
+    if not too_high([0.0])[0]:
+        return 0.0
+    lo, hi = 0.0, 1.0
+    for _ in range(-(-steps // max(1, math.ceil(math.log2(tried + 1))))):
+        points = [lo + (hi - lo) * (i + 1) / (tried + 1) for i in range(tried)]
+        rising = too_high(points)
+        at = rising.index(False) if False in rising else tried
+        lo, hi = (points[at - 1] if at else lo), (points[at] if at < tried else hi)
+    return hi
 
-def entropy(shares: dict[str, float]) -> float:
-    return -sum(p * math.log(p) for p in shares.values() if p > 0)
 
+def repeat_exponent(least: int, most: int, max_repeats: float) -> float:
+    """The exponent at which the source of fewest tokens is repeated max_repeats times while that of most runs once."""
+    return bisect(lambda points: [(most / least) ** (1 - a) > max_repeats for a in points])
 
-def repetitions(tokens: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
-    """Epochs of each source when the source that lasts longest runs once."""
-    budget = max((tokens[s] / p for s, p in shares.items()), default=0)
-    return {s: max(1.0, p * budget / tokens[s]) for s, p in shares.items()}
 
+def entropy_exponent(totals: DataFrame, target: float) -> float:
+    """The exponent at which the weights' entropy is the target. totals: a column ``total``, of positive numbers.
 
-def find_exponent(tokens: dict[str, int], max_repeats: float | None = None, target_entropy: float | None = None, steps: int = 60) -> float:
-    """Bisect [0, 1] for the exponent; entropy and repetitions both fall as it grows."""
-    if (max_repeats is None) == (target_entropy is None):
-        raise ValueError("give max_repeats or target_entropy")
-    live = {s: n for s, n in tokens.items() if n}
+    With z the sum of s**a, the entropy is ln z - a * sum(s**a * ln s) / z; each pass over the
+    sources sums it for TRIED exponents, so no list of sources is gathered.
+    """
+    whole = totals.agg(F.sum("total")).first()[0]
+    share = F.col("total") / F.lit(float(whole))
 
-    def flat_enough(a: float) -> bool:  # the exponent may still rise
-        shares = weights(live, a)
-        if max_repeats is not None:
-            return max(repetitions(live, shares).values()) > max_repeats
-        return entropy(shares) > target_entropy
+    def above(points: list[float]) -> list[bool]:
+        sums = [x for i, a in enumerate(points) for x in (F.sum(F.pow(share, F.lit(a))).alias(f"z{i}"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"l{i}"))]
+        r = totals.agg(*sums).first()
+        return [math.log(r[f"z{i}"]) - a * r[f"l{i}"] / r[f"z{i}"] > target for i, a in enumerate(points)]
 
-    if not live or not flat_enough(0.0):
-        return 0.0
-    lo, hi = 0.0, 1.0
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if flat_enough(mid) else (lo, mid)
-    return hi
+    return bisect(above, 60, TRIED)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_repeats: float | None = None, target_entropy: float | None = None, seed: int = 1, blocks: int = BLOCKS, tokens: Column | None = None) -> DataFrame:
@@ -67,23 +68,27 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     tokens defaults to the number of words. A document without tokens (null or empty text) belongs
     to a block like others. Null sources are one source of their own; a source without any token is
     used once. Rows with equal or null keys share a block; repeated rows are each used. An empty
-    table gives no rows. A column of docs named mix is replaced.
+    table gives no rows. A column of docs named mix is replaced; others may have any name. There may
+    be any number of sources: what is known of each stays in a table.
     """
-    docs = docs.drop("mix")
-    tokens = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
+    if (max_repeats is None) == (target_entropy is None):
+        raise ValueError("give max_repeats or target_entropy")
+    cols = [c for c in docs.columns if c != "mix"]
+    tokens = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(blocks)).cast("int")
-    rows = docs.select("*", source_name(F.col(f"`{source}`")).alias("__source"), block.alias("__block"), tokens.alias("__tokens"))
-    sums = saved(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "blocks")
-    found = sums.groupBy("__source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = {r["__source"]: r["tokens"] for r in found}
-    times = repetitions(totals, weights(totals, find_exponent(totals, max_repeats, target_entropy))) if any(totals.values()) else {}
-    plan = docs.sparkSession.createDataFrame([(s, n, times.get(s, 1.0)) for s, n in totals.items()], "__source string, total long, times double")
-    epochs = sums.join(plan, "__source").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("times") - 1).cast("int"))))
-    order = Window.partitionBy("__source", "epoch").orderBy(F.xxhash64(F.lit(seed), "__source", "epoch", "__block"), "__block")
+    rows = docs.select(packed(docs, cols), source_name(F.col(f"`{source}`")).alias("s"), block.alias("block"), tokens.alias("tokens"))
+    sums = saved(rows.groupBy("s", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    totals = sums.groupBy("s").agg(F.sum("tokens").alias("total"))
+    live = totals.where("total > 0")
+    least, most = live.agg(F.min("total"), F.max("total")).first()
+    exponent = 1.0 if not most else repeat_exponent(least, most, max_repeats) if max_repeats is not None else entropy_exponent(saved(live, "totals"), target_entropy)
+    # Weights are total**exponent; with the budget at which the largest source runs once, a source runs so often:
+    times = F.when(F.col("total") > 0, F.greatest(F.lit(1.0), F.pow(F.lit(float(most or 1)) / F.col("total"), F.lit(1 - exponent)))).otherwise(F.lit(1.0))
+    plan = totals.select("s", "total", times.alias("times"))
+    epochs = sums.join(plan, "s").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil("times") - 1).cast("int"))))
+    order = Window.partitionBy("s", "epoch").orderBy(F.xxhash64(F.lit(seed), "s", "epoch", "block"), "block")
     placed = epochs.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.where((F.col("epoch") == 0) | (F.col("before") < (F.col("times") - F.col("epoch")) * F.col("total")))
-    uses = saved(placed.groupBy("__source", "__block").agg(F.sort_array(F.collect_list(F.struct("epoch", "place"))).alias("uses")), "uses")
-    out = rows.join(uses, ["__source", "__block"]).select("*", F.explode("uses").alias("use"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(F.col("use.epoch"), F.col("__block").alias("block"), F.col("use.place"), F.col("__tokens").alias("tokens")).alias("mix"))
+    uses = saved(placed.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "place"))).alias("uses")), "uses")
+    out = rows.join(uses, ["s", "block"]).select("*", F.explode("uses").alias("use"))
+    return out.select(*(F.col("rest").getField(c).alias(c) for c in cols), F.struct(F.col("use.epoch"), "block", F.col("use.place"), "tokens").alias("mix"))

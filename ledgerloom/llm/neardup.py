@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import bound_batches, list_column, row_key, saved
+from ledgerloom.llm.common import KEY, bound_batches, forget, keyed, list_column, saved
 from ledgerloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -200,11 +200,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     smallest id in the class, representative marks one row of each class. Texts of fewer than
     ``shingle`` words are one shingle. Null texts and texts without a word are alone in their class
     (class_id is their own id). Repeated rows are in one class, of which one row is the
-    representative. Null ids sort last. An empty table gives no rows. docs must be a table or a
-    checkpoint, since row_key numbers its rows; columns other than id and text aren't read.
+    representative. Null ids sort last. An empty table gives no rows. row_key is that of
+    ``common.keyed``; columns other than id and text aren't read.
     """
+    return _classes(keyed(docs.select(F.col(f"`{id}`").alias(id), F.col(f"`{text}`").alias(text)), KEY), id, text, similarity, shingle, weighted, bands, rows)
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs that represent their class: of each class that with the smallest id, of equal ids the first row.
+
+    Nulls, repeated rows and short texts are as in near_duplicates(). All columns are kept.
+    """
+    own = keyed(docs, KEY)
+    found = _classes(own.select(KEY, F.col(f"`{id}`"), F.col(f"`{text}`")), id, text, similarity, shingle, weighted, bands, rows)
+    gone = saved(found.where(~F.col("representative")).select(F.col("row_key").alias(KEY)), "gone")
+    return own.join(gone, KEY, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _classes(docs: DataFrame, id: str, text: str, similarity: float, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
     bound_batches(docs.sparkSession)
-    base = docs.select(row_key().alias("k"), F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    base = docs.select(F.col(KEY).alias("k"), F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
     signed = saved(base.select("k", "t").mapInArrow(_sign(shingle, weighted, bands, rows), "k long, digest binary, bands array<long>"), "signatures")
     # Copies: one node each, named by the smallest row key of its set.
     nodes = saved(signed.where("digest is not null").groupBy("digest").agg(F.min("k").alias("node"), F.min_by("bands", "k").alias("bands")), "nodes")
@@ -214,39 +229,52 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     reach = member.groupBy("node").agg(F.sum("count").alias("reach"))
     met = saved(reach.select("node"), "met")
     sets = saved(base.join(met, base.k == met.node, "left_semi").select("k", "t").mapInArrow(_shingles(shingle, weighted), "k long, e binary, c binary, n long"), "shingles")
-    links = _links(saved(member.join(reach, "node").select("node", "band", "reach"), "reached"), sets, similarity, weighted)
-    group = nodes.select("digest", "node").join(connected_components(links, "u", "v"), "node", "left")
+    reached = saved(member.join(reach, "node").select("node", "band", "reach"), "reached")
+    forget(shared, member, met)
+    component, used = connected_components(_links(reached, sets, similarity, weighted), "u", "v")
+    group = nodes.select("digest", "node").join(component, "node", "left")
     group = saved(group.select("digest", F.coalesce("component", "node").alias("component")), "groups")
+    forget(nodes, sets, *used)
     row = base.select("k", "i").join(signed.select("k", "digest"), "k").join(group, "digest", "left").select("k", "i", F.coalesce("component", "k").alias("component"))
     row = saved(row, "rows")
+    forget(signed, group)
     classes = row.groupBy("component").agg(F.min("i").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("i").isNull().alias("n"), "i", "k")).getField("k").alias("first"))
     classes = saved(classes, "classes")
     return row.join(classes, "component").select(F.col("i").alias(id), F.col("k").alias("row_key"), "class_id", "class_size", (F.col("k") == F.col("first")).alias("representative"))
 
 
-def _links(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool):
-    """All links within buckets that join different components; see the module's text for the steps."""
+def _links(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """All links within buckets that join different components, saved; see the module's text for the steps."""
     # The hub is a maximum, with map-side maxima; a bucket isn't gathered.
     hub = saved(member.groupBy("band").agg(F.max_by("node", F.struct("reach", F.negative("node"))).alias("hub")), "hubs")
-    member = saved(member.join(hub, "band").select("band", "node", "hub"), "members")
+    reached, member = member, saved(member.join(hub, "band").select("band", "node", "hub"), "members")
     pairs = saved(member.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "pairs")
     met = _similarities(pairs, sets, weighted)
+    forget(reached, hub, pairs)
     links = met.where(F.col("similarity") >= similarity).select("u", "v")
-    label = saved(connected_components(links, "u", "v"), "labels")
-    member = _prune(_open(member.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")), sets, similarity, weighted)
+    component, used = connected_components(links, "u", "v")
+    labelled = saved(member.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "labelled")
+    forget(member, *used)
+    member = _prune(_open(labelled), sets, similarity, weighted)
     if not member.limit(1).count():
-        return links
+        out = saved(links, "links")
+        forget(member, met)
+        return out
     # Any two members of different components: one of them isn't in the bucket's largest component.
-    member = member.withColumn("u", F.greatest("node", "hub")).withColumn("v", F.least("node", "hub")).join(met.select("u", "v", "profile"), ["u", "v"])
-    member = saved(member.select("band", "node", "c", "n", "profile", (F.col("common") - F.aggregate("profile", F.lit(0), lambda a, x: a + x)).alias("beside")), "profiles")
-    largest = member.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("largest"))
-    other = saved(member.join(largest, "band").where("c <> largest").select(*(F.col(x).alias(f"{x}2") for x in member.columns)), "others")
+    profiles = member.withColumn("u", F.greatest("node", "hub")).withColumn("v", F.least("node", "hub")).join(met.select("u", "v", "profile"), ["u", "v"])
+    profiles = saved(profiles.select("band", "node", "c", "n", "profile", (F.col("common") - F.aggregate("profile", F.lit(0), lambda a, x: a + x)).alias("beside")), "profiles")
+    forget(member)
+    # Saved in between, so that Spark can split the join of a hot bucket.
+    largest = saved(profiles.groupBy("band", "c").count().groupBy("band").agg(F.max_by("c", F.struct("count", "c")).alias("largest")), "largest")
+    other = saved(profiles.join(largest, "band").where("c <> largest").select(*(F.col(x).alias(f"{x}2") for x in profiles.columns)), "others")
     most = F.expr("aggregate(zip_with(profile, profile2, (x, y) -> least(x, y)), 0, (a, x) -> a + x) + least(beside, beside2)")
     possible = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) <= most + F.lit(1e-6)
-    pairs = member.join(other, (F.col("band") == F.col("band2")) & (F.col("c") != F.col("c2")) & possible)
-    pairs = pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti")
-    more = _similarities(saved(pairs, "pairs"), sets, weighted)
-    return links.union(more.where(F.col("similarity") >= similarity).select("u", "v"))
+    pairs = profiles.join(other, (F.col("band") == F.col("band2")) & (F.col("c") != F.col("c2")) & possible)
+    pairs = saved(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(met.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    more = _similarities(pairs, sets, weighted)
+    out = saved(links.union(more.where(F.col("similarity") >= similarity).select("u", "v")), "links")
+    forget(profiles, largest, other, pairs, met, more)
+    return out
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
@@ -255,14 +283,17 @@ def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFram
     spread = saved(pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("ways", F.lit(1))).alias("p")), "spread")
     copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")).hint("merge"), "v")
     both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")).hint("merge"), "u").join(copies.hint("merge"), ["v", "p"])
-    return saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
+    found = saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
+    forget(spread)
+    return found
 
 
 def _open(member: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    member = saved(member, "labelled")
+    """The members of buckets that hold more than one component; ``member`` is a saved table, which goes."""
     mixed = member.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    return saved(member.join(mixed, "band", "left_semi"), "open")
+    found = saved(member.join(mixed, "band", "left_semi"), "open")
+    forget(member)
+    return found
 
 
 def _prune(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
@@ -278,18 +309,22 @@ def _prune(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool
         own = sets
         if before is not None:  # first with all sets, without a join
             own = saved(sets.join(member.select(F.explode(F.array("node", "hub")).alias("k")).distinct(), "k", "left_semi"), "left")
-        before = now
-        member = member.drop("n", "common")
         each = own.select("k", "e", "c").mapInArrow(_each_shingle(weighted), "k long, x int, w int")
         # A shingle whose owners have one smallest and largest key has one owner.
         alone = each.groupBy("x").agg(F.min("k").alias("k"), F.max("k").alias("last"), F.sum("w").alias("w")).where("k = last")
         alone = saved(alone.groupBy("k").agg(F.sum("w").alias("alone")), "alone")
         size = own.select("k", "n").join(alone, "k", "left").select(F.col("k").alias("node"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-        sized = saved(member.join(size, "node"), "sized")
-        small = sized.groupBy("band", "c").agg(F.min("n").alias("n"))
+        sized = saved(member.drop("n", "common").join(size, "node"), "sized")
+        forget(member, alone, *([own] if before is not None else []))
+        before = now
+        small = saved(sized.groupBy("band", "c").agg(F.min("n").alias("n")), "small")
         first = small.groupBy("band").agg(F.min(F.struct("n", "c")).alias("x"))
-        other = small.join(first, "band").where(F.col("c") != F.col("x.c")).groupBy("band").agg(F.first("x").alias("x"), F.min("n").alias("second"))
+        # Saved before it is summed by bucket, so that Spark can split the join of a hot bucket.
+        beside = saved(small.join(first, "band").where(F.col("c") != F.col("x.c")).select("band", "x", "n"), "beside")
+        other = saved(beside.groupBy("band").agg(F.first("x").alias("x"), F.min("n").alias("second")), "bounds")
         least = F.when(F.col("c") == F.col("x.c"), F.col("second")).otherwise(F.col("x.n"))
         need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.greatest(least, F.lit(similarity) * F.col("n"))) - F.lit(1e-6)
-        member = _open(sized.join(other, "band").where(F.col("common") >= need).drop("x", "second"))
+        left = saved(sized.join(other, "band").where(F.col("common") >= need).drop("x", "second"), "left")
+        forget(sized, small, beside, other)
+        member = _open(left)
     return member

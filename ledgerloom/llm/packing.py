@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import bound_batches, saved
+from ledgerloom.llm.common import bound_batches, packed, saved
 
 LENGTH, END = 4096, 2
 #: Words whose ids a worker remembers; beyond, it forgets them all. Bounds memory, not results.
 REMEMBERED = 1_000_000
-#: Sources are the categories of a mixture: their totals are brought to the driver, up to so many.
-MAX_SOURCES = 100_000
+#: The queues' totals are brought to the driver: the sources of most documents have queues of their own, so many of them, ...
+QUEUES = 50_000
+#: ... and all other sources, if there are any, are dealt by a hash to so many queues.
+SHARED_QUEUES = 50_000
 #: A rare source's turn has at least this part of a window, and two tokens.
 TURN = 64
 #: Target weights are rounded to this part of their sum.
@@ -330,7 +332,18 @@ def source_name(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", length: int = LENGTH, end: int = END, weights: dict[str, float] | None = None, by_word: bool = True) -> DataFrame:
+def _queue(docs: DataFrame, source: str, weights: dict[str, float] | None, queues: int) -> Column:
+    """The queue of a row. If there are more than ``queues`` sources, those of fewest documents share some."""
+    name = source_name(F.col(f"`{source}`"))
+    sizes = docs.groupBy(name.alias("q")).count()
+    most = [r["q"] for r in sizes.orderBy(F.desc("count"), "q").limit(queues + 1).collect()]
+    if len(most) <= queues:
+        return name
+    own = [*most[:queues], *(f"={k}" for k in weights or ())]
+    return F.when(name.isin(own), name).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(SHARED_QUEUES)).cast("string")))
+
+
+def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", length: int = LENGTH, end: int = END, weights: dict[str, float] | None = None, by_word: bool = True, queues: int = QUEUES) -> DataFrame:
     """Pack every token of docs into sequences of ``length``; a row for each piece of a document.
 
     Returns the columns ``keep`` of docs, then start, length, ids_crc32, doc_tokens, sequence_id and
@@ -338,12 +351,14 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     are cut where a window's quantum ends. Repeated rows are packed as often as they occur; null
     sources are one queue, null ids are kept; an empty table gives no rows. Columns in ``keep`` that
     are named like a result column come out as ``input_<name>``. weights: by source, else the
-    sources' shares of the tokens. Over MAX_SOURCES different sources are refused.
+    sources' shares of the tokens; sources without a weight come last. There may be any number of
+    sources: those beyond ``queues`` of most documents (and of those with a weight) share queues, dealt
+    by a hash; a shared queue has its sources' share of the window, and gives their documents in the
+    table's order.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rest = F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in keep))
-    base = docs.select(rest.alias("rest"), source_name(F.col(f"`{source}`")).alias("q"), F.col(f"`{text}`").cast("string").alias("t"))
+    base = docs.select(packed(docs, list(keep)), _queue(docs, source, weights, queues).alias("q"), F.col(f"`{text}`").cast("string").alias("t"))
     kept = base.schema["rest"]
     told = T.StructType([kept, T.StructField("q", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     tokens = saved(base.mapInArrow(_tokenize(tokenizer, by_word, end), told), "tokens")
@@ -351,9 +366,7 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     parts = tokens.groupBy("q", "part").agg(F.sum("n").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = saved(parts.select("q", "part", "sum", before.alias("before")), "parts")
-    found = parts.groupBy("q").agg(F.sum("sum").alias("sum")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = parts.groupBy("q").agg(F.sum("sum").alias("sum")).collect()  # at most queues + SHARED_QUEUES + len(weights)
     out = T.StructType([kept, *(T.StructField(c, T.LongType()) for c in _PIECE)])
     named = [F.col("rest").getField(c).alias(f"input_{c}" if c in _PIECE else c) for c in keep]
     if not found:

@@ -15,7 +15,7 @@ from ledgerloom.llm.quality import line_quality, train
 from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.substring import substring_dedup
 from ledgerloom.llm.tokens import token_counts
-from ledgerloom.llm.warc import read_warc, write_warc
+from ledgerloom.llm.warc import read_warc, resolved, write_warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     eight = {s: 1.0 for s in range(8)}
-    return shard(docs, ["doc_id"], eight, eight | {8: 1.0}, order=["size", "text_crc32"])
+    return shard(docs, ["doc_id"], eight, eight | {8: 1.0})
 
 
 def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,9 @@ def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
-#: Code points to a piece of a short text; see fingerprint.piece.
-FINEST = 40
-
-
 def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = version_likeness(table(spark, sf_dir, "documents"), finest=FINEST)
-    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
+    found = version_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 
 def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +90,27 @@ def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_warc(table(spark, sf_dir, "pages"))
-    found = read_warc(spark, folder, manifest)
+    found = resolved(read_warc(spark, folder, manifest))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: 160 bits of SHA-1 as base32: four characters for five hexadecimal digits.
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p
+), last AS (
+  SELECT h, max(page_id) AS best, count(*) AS times FROM d GROUP BY h
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(1 + i // 4 * 5 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN times > 1 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN times > 1 AND page_id <> best THEN best END AS refers_to
+FROM d JOIN last USING (h)
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -122,4 +135,5 @@ QUERIES = {
 }
 ORACLES = {
     "op4_substring_dedup": OP4_SQL,
+    "op9_warc_round_trip": OP9_SQL,
 }

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import KEY, keyed, packed
+
 #: Parts into which a shard's records are dealt to number them; each is one task's at most.
-SLOT_PARTS = 256
+SLOT_PARTS = 1024
 
 
 def rendezvous(key: list[Column], shards: dict[int, float]) -> Column:
@@ -29,23 +31,24 @@ def rendezvous(key: list[Column], shards: dict[int, float]) -> Column:
     return F.array_min(F.array(*(draw(s, w) for s, w in sorted(shards.items())))).getField("shard")
 
 
-def shard(docs: DataFrame, key: list[str], shards: dict[int, float], grown: dict[int, float] | None = None, order: list[str] | None = None, parts: int = SLOT_PARTS) -> DataFrame:
+def shard(docs: DataFrame, key: list[str], shards: dict[int, float], grown: dict[int, float] | None = None, parts: int = SLOT_PARTS) -> DataFrame:
     """docs with shard, slot (gapless from 0 in each shard) and grown_shard (with ``grown``, else null) added.
 
-    Slots follow a hash of the key, then the key and the columns of ``order``; the sums that offset
-    them are shards x parts rows, whatever the size of docs. Records with equal keys share a shard,
-    as do those with a null key; each has its own slot. An empty table gives no rows. Columns of
-    docs named like an added one are replaced.
+    The shard follows from the key alone. Slots follow a hash of the row's place in its table, so
+    rows of one key, however many, are numbered by many tasks; the sums that offset them are shards x
+    parts rows, whatever the size of docs. Records with equal keys share a shard, as do those with a
+    null key; each has its own slot. An empty table gives no rows. Columns of docs named like an
+    added one are replaced; others may have any name.
     """
-    added = ("shard", "slot", "grown_shard")
-    docs = docs.drop(*added)
+    cols = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     keys = [F.col(f"`{c}`") for c in key]
-    part = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("\u0001", *(F.coalesce(c.cast("string"), F.lit("")) for c in keys))), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
-    where = docs.select("*", rendezvous(keys, shards).alias("shard"), part.alias("__part"))
-    sums = where.groupBy("shard", "__part").count()
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sums.select("shard", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("shard", "__part").orderBy(*keys, *(F.col(f"`{c}`") for c in order or ()))
-    numbered = where.withColumn("__n", F.row_number().over(within)).join(F.broadcast(offset), ["shard", "__part"])
     wider = rendezvous(keys, grown) if grown else F.lit(None).cast("int")
-    return numbered.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", (F.col("__before") + F.col("__n") - 1).cast("long").alias("slot"), wider.alias("grown_shard"))
+    part = F.pmod(F.xxhash64(KEY), F.lit(parts)).cast("int")
+    where = keyed(docs, KEY).select(packed(docs, cols), KEY, rendezvous(keys, shards).alias("shard"), wider.alias("grown_shard"), part.alias("part"))
+    sums = where.groupBy("shard", "part").count()
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sums.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "part").orderBy(KEY)
+    # shards x parts rows are broadcast.
+    numbered = where.withColumn("n", F.row_number().over(within)).join(F.broadcast(offset), ["shard", "part"])
+    return numbered.select(*(F.col("rest").getField(c).alias(c) for c in cols), "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")

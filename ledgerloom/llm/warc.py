@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bound_batches, saved, shared_dir
+from ledgerloom.llm.common import KEY, bound_batches, keyed, saved, shared_dir
 
 VERSION = "WARC/1.1"
 #: A new file begins after so many compressed bytes.
@@ -175,7 +175,6 @@ def _write(folder: str, file_bytes: int):
                     headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _name(str(id))), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
                     headers += [("WARC-Target-URI", row["url"])] if row["url"] is not None else []
                     headers += [("X-Record-Key", str(id))] if id is not None else []
-                    headers += [("X-Payload-Length", str(len(payload)))]
                     if revisit:
                         headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", _name(str(row["refers_to"]))), ("X-Refers-To-Key", str(row["refers_to"]))]
                     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -196,19 +195,23 @@ def _write(folder: str, file_bytes: int):
 def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Write a record for each row; (folder, manifest of path, bytes, records).
 
-    Of rows with equal payloads of ``min_bytes`` bytes or more, that with the largest id is the
-    response and the others revisit it; a null id never wins over another. A null payload is an empty
-    one, a null url has no WARC-Target-URI. Rows that repeat the winner's id and payload are all
-    responses. A task that is run again writes new files; only those in the manifest are the archive.
+    Of rows with equal payloads of ``min_bytes`` bytes or more, that with the largest id (of equal
+    ids, the last row) is the response and the others revisit it; a null id never wins over another,
+    and if all are null, all are responses. A null payload is an empty one, a null url has no
+    WARC-Target-URI. An empty table gives no files. A task that is run again writes new files; only
+    those in the manifest are the archive.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
-    rows = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.cast("binary").alias("payload"))
+    rows = keyed(pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.cast("binary").alias("payload")), KEY)
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha2("payload", 256)))
-    best = saved(rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null").select("digest", "winner"), "winners")
-    named = rows.join(best, "digest", "left").select("id", "url", "payload", F.when(F.col("id").isNull() | (F.col("id") != F.col("winner")), F.col("winner")).alias("refers_to"))
+    best = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.max(F.struct("id", KEY)).alias("winner"))
+    often = rows.where("digest is not null").groupBy("digest").count().where("count > 1")
+    best = saved(best.join(often, "digest").select("digest", "winner"), "winners")
+    refers = F.when(F.col("winner").isNotNull() & (F.col(KEY) != F.col(f"winner.{KEY}")), F.col("winner.id"))
+    named = rows.join(best, "digest", "left").select("id", "url", "payload", refers.alias("refers_to"))
     return folder, saved(named.mapInArrow(_write(folder, file_bytes), "path string, bytes long, records long"), "manifest")
 
 
@@ -230,7 +233,13 @@ def _read(folder: str):
                         if h["warc-type"] not in ("response", "revisit"):
                             continue
                         number = lambda name, h=h: int(h[name]) if name in h else None
-                        rows.append((number("x-record-key"), h.get("warc-target-uri"), h["warc-type"], number("x-payload-length"), h["warc-payload-digest"].removeprefix("sha1:"), number("x-refers-to-key"), record.payload if h["warc-type"] == "response" else None))
+                        told = h["warc-payload-digest"].removeprefix("sha1:")
+                        if h["warc-type"] == "response":  # as read, not as told
+                            payload, to = record.payload, None
+                            length, digest = len(payload), sha1(payload)
+                        else:
+                            payload, to, length, digest = None, number("x-refers-to-key"), None, told
+                        rows.append((number("x-record-key"), h.get("warc-target-uri"), h["warc-type"], length, digest, to, payload))
                         size += len(record.body)
                         if len(rows) >= 1000 or size > 8 << 20:
                             yield batch(rows)
@@ -242,10 +251,26 @@ def _read(folder: str):
 
 
 def read_warc(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for a revisit) of every record.
+    """id, url, record_type, payload_bytes, payload_digest, refers_to, payload of every record.
 
-    A file is one task's, and files are at most about ``file_bytes`` long. A damaged archive fails
-    with a WarcError. An empty manifest gives no rows.
+    payload_bytes and payload_digest are those of the payload that was read; a revisit, which has
+    none, has the digest it names and no bytes (see resolved()). A file is one task's, and files are
+    at most about ``file_bytes`` long. A damaged archive fails with a WarcError. An empty manifest
+    gives no rows.
     """
-    files = manifest.select("path").repartition(F.col("path"))
+    # An explicit number of partitions, which Spark doesn't merge: a file each, up to eight rounds of all cores.
+    tasks = max(1, min(manifest.count(), max(200, 8 * spark.sparkContext.defaultParallelism)))
+    files = manifest.select("path").coalesce(1).repartition(tasks) if tasks <= 1000 else manifest.select("path").repartition(tasks)
     return files.mapInArrow(_read(folder), "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """records without payload, each revisit with the payload_bytes of the response that it refers to.
+
+    A revisit whose response, by id and digest, isn't among the records fails.
+    """
+    rows = saved(records.drop("payload"), "records")
+    own = rows.where("record_type = 'response'").select(F.col("id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("found"))
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit with digest "), "payload_digest")).cast("long")
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.coalesce("found", lost))
+    return rows.join(own.dropDuplicates(["refers_to", "payload_digest"]), ["refers_to", "payload_digest"], "left").select(*(size.alias(c) if c == "payload_bytes" else F.col(c) for c in rows.columns))

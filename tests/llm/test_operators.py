@@ -1,9 +1,11 @@
 """Each operator against brute force, a round trip, or its definition; with nulls, empty texts, ties, repeats and clashing names."""
 
 import gzip
+import hashlib
 import io
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,10 +15,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import hashing, warc
+from ledgerloom.llm.common import KEY, keyed
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.fingerprint import version_likeness
+from ledgerloom.llm.fingerprint import differences, version_likeness
 from ledgerloom.llm.html import blocks, main_text, parse
-from ledgerloom.llm.mixing import entropy, find_exponent, mix, repetitions, weights
+from ledgerloom.llm.mixing import entropy_exponent, mix, repeat_exponent
 from ledgerloom.llm.neardup import near_duplicates, signatures
 from ledgerloom.llm.packing import Schedule, WordEncoder, pack
 from ledgerloom.llm.quality import FEATURES, Field, fit, line_quality, train
@@ -82,7 +85,7 @@ def test_signatures_estimate_weighted_similarity():
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
-    got = dict(connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())
+    got = dict(connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b")[0].collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200}
 
 
@@ -144,7 +147,8 @@ def test_sharding(spark, docs):
     assert all(r.grown_shard == 8 for r in moved) and 350 < len(moved) < 540
     heavy = Counter(r.shard for r in shard(rows, ["doc_id"], {0: 1.0, 1: 3.0}).collect())
     assert 2800 < heavy[1] < 3200
-    odd = shard(docs, ["doc_id"], eight, order=["text"]).collect()
+    odd = shard(docs.withColumn("rest", F.lit(1)).withColumn("part", F.lit(2)).withColumn("before", F.lit(3)), ["doc_id"], eight).collect()
+    assert {(r.rest, r.part, r.before) for r in odd} == {(1, 2, 3)} and Counter(r.text for r in odd) == Counter(r.text for r in docs.collect())
     assert len(odd) == docs.count() and len({(r.shard, r.slot) for r in odd}) == len(odd) and all(r.grown_shard is None for r in odd)
     assert shard(docs.where("false"), ["doc_id"], eight).count() == 0
 
@@ -196,15 +200,39 @@ def removed(rows, size):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
-def test_substring_dedup(spark, docs, hot):
+@pytest.mark.parametrize("group", [500, 1])
+def test_substring_dedup(spark, docs, group):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = substring_dedup(docs, hot_rows=hot).collect()
+    got = substring_dedup(docs, group=group).collect()
     assert Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, r.dedup.kept_text) for r in got) == removed(rows, 35)
     assert all(sum(s.length for s in r.dedup.spans) == r.dedup.n_removed for r in got)
     assert substring_dedup(docs.where("false")).count() == 0
-    short = substring_dedup(docs, window=12, anchor=4, hot_rows=hot).collect()
-    assert Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, r.dedup.kept_text) for r in short) == removed(rows, 12)
+    for size, anchor in ((12, 4), (100, 10)):
+        other = substring_dedup(docs, window=size, anchor=anchor, group=group).collect()
+        assert Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, r.dedup.kept_text) for r in other) == removed(rows, size)
+
+
+@pytest.mark.parametrize("group", [500, 3])
+def test_factors_are_true_and_greedy(spark, tmp_path, group):
+    """Every factor's words are its source's; shared passages in many contexts, whole copies, and a text that repeats itself."""
+    passage, other = prose(45, 21), prose(40, 22)
+    texts = [f"{prose(60, 30 + i)} {passage} {prose(20, 90 + i)}" for i in range(12)] + [prose(80, 5)] * 5
+    texts += [passage + " " + other, other + " x", prose(50, 7) + " y " + prose(50, 7), None, ""]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = {r[KEY]: words(r.text) for r in keyed(docs).collect()}
+    got = substring_dedup(docs, group=group).collect()
+    assert Counter((r.doc_id, r.dedup.n_words, r.dedup.n_removed, r.dedup.kept_text) for r in got) == removed(list(enumerate(texts)), 35)
+    for r in got:
+        end = 0
+        for f in r.dedup.factors:
+            size = f.windows + 34
+            own, source = words(r.text)[f.start : f.start + size], whole[f.source][f.source_start : f.source_start + size]
+            assert own == source and len(own) == size and f.start >= end
+            end = f.start + f.windows
+    copy = next(r for r in got if r.doc_id == 13)
+    assert [(f.start, f.windows) for f in copy.dedup.factors] == [(0, 46)]
 
 
 def test_substring_dedup_keeps_the_layout(spark, docs):
@@ -217,29 +245,61 @@ def test_substring_dedup_keeps_the_layout(spark, docs):
         assert all(f.windows > 0 for f in r.dedup.factors)
 
 
-def test_substring_dedup_refuses_runs_over_a_mask():
-    with pytest.raises(ValueError, match="over 63 windows"):
-        substring_dedup(None, window=100, anchor=10)
+def plan(tokens, max_repeats):
+    """Brute force: how often each source runs, with the exponent found by bisection on the definition."""
+    live = {s: n for s, n in tokens.items() if n}
+    lo, hi = 0.0, 1.0
+
+    def times(a):
+        weight = {s: n**a for s, n in live.items()}
+        budget = max(live[s] / w for s, w in weight.items())
+        return {s: w * budget / live[s] for s, w in weight.items()}
+
+    if max(times(0.0).values()) <= max_repeats:
+        return times(0.0)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if max(times(mid).values()) > max_repeats else (lo, mid)
+    return times(hi)
+
+
+def test_exponents(spark):
+    assert max((900 / n) ** (1 - repeat_exponent(10, 900, 2.0)) for n in (900, 90, 10)) == pytest.approx(2.0)
+    assert repeat_exponent(5, 5, 2.0) == 0.0
+    totals = [900, 90, 10, 400]
+    a = entropy_exponent(spark.createDataFrame([(n,) for n in totals], "total long"), 0.9)
+    shares = [n**a / sum(m**a for m in totals) for n in totals]
+    assert -sum(p * math.log(p) for p in shares) == pytest.approx(0.9, abs=1e-9)
 
 
 def test_mixing(spark, docs):
-    tokens = {"big": 900, "mid": 90, "small": 10}
-    a = find_exponent(tokens, max_repeats=2.0)
-    assert max(repetitions(tokens, weights(tokens, a)).values()) == pytest.approx(2.0, abs=1e-6)
-    b = find_exponent(tokens, target_entropy=0.9)
-    assert entropy(weights(tokens, b)) == pytest.approx(0.9, abs=1e-6)
-    assert find_exponent({"one": 5}, max_repeats=2.0) == 0.0
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("if(id % 10 = 0, 'rare', 'many')").alias("source"), F.expr("repeat('word ', cast(1 + id % 7 as int))").alias("text"))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("case when id % 10 = 0 then 'rare' when id % 10 < 4 then 'some' when id = 2999 then 'none' else 'many' end").alias("source"), F.expr("if(id = 2999, '', repeat('word ', cast(1 + id % 7 as int)))").alias("text"), F.lit(9).alias("use"), F.lit(8).alias("uses"), F.lit(7).alias("__source"), F.lit(6).alias("s"))
     got = mix(rows, max_repeats=2.5).collect()
-    uses = Counter(r.doc_id for r in got)
-    assert len(uses) == 3000 and {uses[i] for i in range(3000) if i % 10} == {1} and {uses[i] for i in range(0, 3000, 10)} <= {2, 3}
-    total = sum(1 + i % 7 for i in range(0, 3000, 10))
-    assert sum(r.mix.tokens for r in got if r.source == "rare") == pytest.approx(2.5 * total, rel=0.02)
-    for e in (0, 1, 2):
-        place = {(r.mix.block, r.mix.place) for r in got if r.source == "rare" and r.mix.epoch == e}
-        assert len({b for b, _ in place}) == len(place)
+    assert {(r.use, r.uses, r["__source"], r.s) for r in got} == {(9, 8, 7, 6)}
+    tokens, blocks = Counter(), Counter()
+    where = {r.doc_id: r.mix.block for r in got}
+    for r in rows.collect():
+        tokens[r.source] += len(r.text.split())
+        blocks[r.source, where[r.doc_id]] += len(r.text.split())
+    want, uses = plan(tokens, 2.5), defaultdict(Counter)
+    assert sorted(where) == list(range(3000))
+    for r in got:
+        assert r.mix.tokens == len(r.text.split())
+        uses[r.source, r.mix.epoch][r.mix.place, r.mix.block] += r.mix.tokens
+    for s in tokens:
+        times, epochs = want.get(s, 1.0), [e for x, e in uses if x == s]
+        assert sorted(epochs) == list(range(max(epochs) + 1)) and math.ceil(times - 1e-9) == len(epochs)
+        for e in epochs:
+            placed = sorted(uses[s, e])
+            assert [p for p, _ in placed] == list(range(len(placed))) and len({b for _, b in placed}) == len(placed)
+            assert all(n == blocks[s, b] for (_, b), n in uses[s, e].items())  # whole blocks, each once
+            given, budget = sum(uses[s, e].values()), min(1.0, times - e) * tokens[s]
+            last = uses[s, e][placed[-1]]
+            assert given == tokens[s] if budget == tokens[s] else given - last < budget <= given
+    assert [b for _, b in sorted(uses["rare", 0])] != [b for _, b in sorted(uses["rare", 1])]
     odd = mix(docs, max_repeats=1.5)
     assert odd.where("mix.epoch = 0").count() == docs.count() and mix(docs.where("false"), max_repeats=1.5).count() == 0
+    assert mix(docs, target_entropy=1.0).where("mix.epoch = 0").count() == docs.count()
 
 
 def test_html():
@@ -268,37 +328,78 @@ def test_site_template(spark):
     assert all(r.blocks == ["Quoted by all", f"Own {r.page_id}"] for r in got)
 
 
-def test_fingerprints(spark, docs):
-    got = version_likeness(docs).collect()
-    rows = docs.withColumn("k", F.monotonically_increasing_id()).collect()
-    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.k))
-    keys = lambda t: set(re.findall(r"[^\n]{1,300}", t))
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    want = []
+def pieces(text):
+    find = lambda x, n: re.findall(rf"[^\n.!?]{{1,{n}}}[.!?]*|[.!?]+", x)
+    return {*find(text[:256], 16), *find(text[256:], 64)}
+
+
+def edited(docs):
+    """(row, next row, edited text) in the contract's order."""
+    rows = keyed(docs).collect()
+    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r[KEY]))
     for r, n in zip(order, order[1:] + order[:1]):
         t, x = r.text or "", n.text or ""
-        edited = t[: len(t) - len(t) // 3] + x[: len(t) // 3]
-        want.append((r.doc_id, len(t), edited, round(alike(keys(t), keys(edited)), 9), round(alike(keys(t), keys(x)), 9)))
-    assert Counter((r.doc_id, r.n_chars, r.edited_text, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == Counter(want)
-    same = {r.fingerprint for r in got if r.doc_id in (1, 2)}
-    assert len(same) == 1 and len({r.fingerprint for r in got}) > 8
+        yield r, n, t[: len(t) - len(t) // 3] + x[: len(t) // 3]
+
+
+def read_sketch(told, w):
+    """The cells of a published fingerprint, folded to w."""
+    width, _, cells = told.partition("|")
+    out = defaultdict(lambda: [0, 0, 0])
+    for cell in filter(None, cells.split(",")):
+        at, n, key, check = cell.split(":")
+        part, place = divmod(int(at), int(width))
+        c = out[part * w + place % w]
+        c[0], c[1], c[2] = c[0] + int(n), c[1] ^ int(key, 16), c[2] ^ int(check, 16)
+    return out
+
+
+def test_fingerprints(spark, docs):
+    got = {r.row_key: r for r in version_likeness(docs).collect()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    seen = 0
+    for r, n, e in edited(docs):
+        f, t = got[r[KEY]], r.text or ""
+        a, b = pieces(t), pieces(e)
+        assert (f.doc_id, f.next_id, f.n_chars, f.edited_sha256) == (r.doc_id, n.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (f.only_text, f.only_edited) == (len(a - b), len(b - a))
+        assert f.near_edited == pytest.approx(alike(a, b)) and f.near_next == pytest.approx(alike(a, pieces(n.text or "")))
+        # A part of the published cells, folded to one width and subtracted, counts what the versions differ by.
+        w = min(int(x.partition("|")[0]) for x in (f.fingerprint, f.edited_fingerprint))
+        x, y = read_sketch(f.fingerprint, w), read_sketch(f.edited_fingerprint, w)
+        assert sum(x[c][0] - y[c][0] for c in {*x, *y} if c < w) == len(a) - len(b)
+        seen += 1
+    assert seen == len(got) == docs.count()
+    assert len({r.fingerprint for r in got.values() if r.doc_id in (1, 2)}) == 1 and len({r.fingerprint for r in got.values()}) > 8
     assert version_likeness(docs.where("false")).count() == 0
 
 
-def test_fingerprints_of_short_texts(spark, tmp_path):
-    """Two thirds of a text are unchanged, so a short text on one line is like its edited version."""
-    texts = ["".join(chr(97 + x) for x in np.random.Generator(np.random.PCG64(i)).integers(0, 26, n)) for i, n in enumerate([60, 100, 299, 448, 700, 3000, 9000])]
+def test_fingerprints_of_short_and_long_texts(spark, tmp_path):
+    """Two thirds of a text are unchanged, so a short text on one line is like its edited version; 100,000 lines take no longer than they must."""
+    texts = ["".join(chr(97 + x) for x in np.random.Generator(np.random.PCG64(i)).integers(0, 26, n)) for i, n in enumerate([25, 60, 299, 448, 9000])]
+    texts.append("\n".join(f"line {i}" for i in range(100_000)))
     path = str(tmp_path / "short.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
     short = spark.read.parquet(path)
-    got = {r.doc_id: r for r in version_likeness(short, finest=40).collect()}
-    for i, t in enumerate(texts):
-        size, x = min(300, max(40, len(t) // 16)), texts[i - 1]
-        keys = lambda t: {t[j : j + size] for j in range(0, len(t), size)}
-        a, b = keys(t), keys(t[: len(t) - len(t) // 3] + x[: len(t) // 3])
-        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b)) and got[i].near_edited > 0
-        assert got[i].near_next == 0
-    assert {r.doc_id for r in version_likeness(short).collect() if not r.near_edited} == {0, 1, 2, 3}
+    began = time.time()
+    got = {r.doc_id: r for r in version_likeness(short).collect()}
+    assert time.time() - began < 120
+    assert all(r.near_edited > 0 and r.near_next == 0 for r in got.values())
+    long = next(e for r, _, e in edited(short) if r.doc_id == 5)
+    assert got[5].only_text == len(pieces(texts[5]) - pieces(long)) > 30_000
+
+
+@pytest.mark.parametrize("size", [3, 40, 700])
+def test_differences_of_any_sizes(spark, size):
+    """Sets of very different sizes, equal ones, and empty ones; small ones often fail to peel at first."""
+    draw = np.random.Generator(np.random.PCG64(size))
+    rows = []
+    for i in range(300):
+        a = {int(x) for x in draw.integers(-(2**62), 2**62, int(draw.integers(0, size)))}
+        b = {x for x in a if draw.random() < 0.7} | {int(x) for x in draw.integers(-(2**62), 2**62, int(draw.integers(0, size)))} if i % 7 else a
+        rows.append((i, 0, sorted(a), sorted(b)))
+    got = {r.k: (r.only_a, r.only_b) for r in differences(spark.createDataFrame(rows, "k long, which int, a array<long>, b array<long>"), ["k", "which"]).collect()}
+    assert got == {i: (len(set(a) - set(b)), len(set(b) - set(a))) for i, _, a, b in rows if a != b}
 
 
 def test_token_counts(spark, docs):
@@ -317,18 +418,29 @@ def test_token_counts(spark, docs):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "v", "é" * 70000), (None, "w", "same"), (6, "z", "only"), (6, "z", "only")]
+    rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "v", "é" * 70000), (None, "w", "same"), (6, "z", "only"), (6, "z", "only"), (None, None, "lost"), (None, "q", "lost")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     folder, manifest = warc.write_warc(pages, folder=f"file://{tmp_path}/w", file_bytes=400)
-    got = Counter((r.id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.payload if r.payload is None else bytes(r.payload).decode()) for r in warc.read_warc(spark, folder, manifest).collect())
-    best = {"same": 2, "": 4}
-    want = Counter()
+    read = warc.read_warc(spark, folder, manifest)
+    got = Counter((r.id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.resolved(read).collect())
+    best, first = {"same": 2, "": 4, "only": 6}, set()
+    want, bodies = Counter(), Counter()
     for i, _, html in rows:
         t = html or ""
-        to = best.get(t) if i != best.get(t) else None
-        want[i, "revisit" if to else "response", len(t.encode()), warc.sha1(t.encode()), to, None if to else t] += 1
+        wins = i == best.get(t, i) and (t not in best or t not in first)
+        if wins:
+            first.add(t)
+            bodies[t] += 1
+        want[i, "response" if wins else "revisit", len(t.encode()), warc.sha1(t.encode()), None if wins else best[t]] += 1
     assert got == want and sum(r.records for r in manifest.collect()) == len(rows)
+    assert Counter(bytes(r.payload).decode() for r in read.collect() if r.payload is not None) == bodies
+    assert all(r.payload_bytes is None for r in read.collect() if r.record_type == "revisit")
+    short = warc.read_warc(spark, *warc.write_warc(pages.where("html = 'same'"), min_bytes=5, folder=f"file://{tmp_path}/x"))
+    assert {r.record_type for r in short.collect()} == {"response"}
     assert warc.read_warc(spark, *warc.write_warc(pages.where("false"))).count() == 0
+    lone = read.where("record_type = 'revisit'")
+    with pytest.raises(Exception, match="no response for the revisit"):
+        warc.resolved(lone).collect()
 
 
 def test_warc_reader_is_strict():
@@ -355,12 +467,17 @@ def test_packing(spark, docs, wanted):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    whole = Counter()
+    whole, ids_of = Counter(), {}
     for r in docs.collect():
-        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        ids_of[r.shard] = ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         whole[r.doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
-    rows = pack(docs.withColumn("start", F.lit("mine")), BPE, keep=("doc_id", "start"), length=64, weights=wanted).collect()
+    rows = pack(docs.withColumn("start", F.lit("mine")).withColumn("rest", F.lit(1)), BPE, keep=("doc_id", "start", "shard", "rest"), length=64, weights=wanted).collect()
     assert {r.input_start for r in rows} == {"mine"}
+    end = Counter()
+    for r in sorted(rows, key=lambda r: (r.shard, r.start)):  # each id lies in one piece, and its checksum is right
+        assert r.start == end[r.shard] and r.ids_crc32 == zlib.crc32(ids_of[r.shard][r.start : r.start + r.length].tobytes())
+        end[r.shard] += r.length
+    assert end == Counter({s: len(x) for s, x in ids_of.items()})
     windows = defaultdict(list)
     for r in rows:
         windows[r.sequence_id].append(r)
@@ -376,6 +493,17 @@ def test_packing(spark, docs, wanted):
     assert pack(docs.where("false"), BPE).count() == 0
 
 
+def test_packing_of_more_sources_than_queues(spark):
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'hot', concat('s', id))").alias("source"), F.lit("a few words of text here").alias("text"))
+    got = pack(rows, BPE, length=256, queues=20).collect()
+    tokens = {r.doc_tokens for r in got}
+    assert len(tokens) == 1 and sum(r.length for r in got) == 600 * tokens.pop() and len({(r.doc_id, r.start) for r in got}) == len(got)
+    by = Counter()
+    for r in got:
+        by[r.sequence_id, r.doc_id % 3 == 0] += r.length
+    assert all(abs(by[w, True] - 256 / 3) <= 2 for w in range(max(r.sequence_id for r in got)))
+
+
 def test_schedule_keeps_proportions():
     totals = {"=a": 70000, "=b": 20000, "=c": 9990, "=d": 10}
     s = Schedule(totals, None, 100)
