@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import KEY, row_key, saved, table
+from ledgerloom.llm.common import saved, table
 from ledgerloom.llm.mixing import mix
-from ledgerloom.llm.neardup import near_duplicates
+from ledgerloom.llm.neardup import drop_near_duplicates
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import line_quality, train
 from ledgerloom.llm.queries import MAX_REPEATS, tokenizer_path
@@ -25,8 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that with the smallest id."""
-    gone = saved(near_duplicates(docs).where(~F.col("representative")).select(F.col("row_key").alias(KEY)), "gone")
-    return docs.withColumn(KEY, row_key()).join(gone, KEY, "left_anti").select(docs.columns)
+    return drop_near_duplicates(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +36,9 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; those of rare sources are repeated up to MAX_REPEATS times."""
-    return mix(docs, max_repeats=MAX_REPEATS).select(docs.columns)
+    """Every document stays; those of rare sources are repeated up to MAX_REPEATS times, block by block in each epoch's order."""
+    mixed = mix(docs, max_repeats=MAX_REPEATS)
+    return mixed.repartitionByRange("mix.epoch", "mix.place").sortWithinPartitions("mix.epoch", "mix.place").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
