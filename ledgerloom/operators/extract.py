@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import let
 from ledgerloom.functions.text import ANY_CASE, EXPLICIT_ID, LOOSE_ID, MONTH, NUMBER_WORD, UNICODE, amount_cents, found, matches, mention_id, sentences
+from ledgerloom.sources.shared import saved
 
 # What the detectors look for, amounts and dates in order of priority.
 AMOUNTS = (
@@ -125,9 +126,10 @@ def extract_claims(drafts: DataFrame) -> DataFrame:
 
     drafts: draft_id, draft, docs. A document is claimed to exist once a draft, at its first mention;
     other claims that agree in type, span, token, subjects and role are one. preset is the status of
-    amounts that can't be read. A null or empty draft has no claims.
+    amounts that can't be read. A null or empty draft has no claims. Sentences and what the detectors
+    find in them are written once; the types of claims are read from that.
     """
-    rows = detect(drafts)
+    rows = saved(detect(drafts), "sentences")
     exist = _claim(rows.select("draft_id", "sent", "s", F.explode("ids").alias("i")), "'C-EXIST'", "i.pos", 0, "i.id")
     fuzzy = rows.withColumn("f", F.expr(f"get({matches('s', FUZZY, ANY_CASE)}, 0)")).where("f is not null")
     claims = exist.unionByName(_amount_claims(rows)).unionByName(_date_claims(rows)).unionByName(_status_claims(rows)).unionByName(_claim(fuzzy, "'C-FUZZY'", "f.start", 4, "''"))

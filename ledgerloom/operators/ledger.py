@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import CUTOFF_DAYS, LABELS
-from ledgerloom.sources.tables import Ledger
+from ledgerloom.sources.tables import Ledger, status
 
 SID = "scenario_id"
 
@@ -17,43 +17,55 @@ def sources(ledger: Ledger) -> DataFrame:
     return own(ledger.payment, "payment", 1).unionByName(own(ledger.credit_memo, "credit_memo", 2))
 
 
-def applied_to_invoice(ledger: Ledger) -> DataFrame:
-    """Applied cents of every invoice, 0 if none."""
-    sums = ledger.application.groupBy(SID, F.col("target_invoice").alias("id")).agg(F.sum("amount_cents").alias("applied_cents"))
-    return ledger.invoice.join(sums, [SID, "id"], "left").withColumn("applied_cents", F.coalesce("applied_cents", F.lit(0)))
+def document_facts(ledger: Ledger) -> DataFrame:
+    """All documents with as_of, memo, applied_cents (to an invoice, from a source), open_cents (what is left) and an invoice's status.
+
+    One aggregation of the applications serves both their sides.
+    """
+    if ledger.facts is not None:
+        return ledger.facts
+    sides = F.array(F.struct(F.lit(True).alias("billed"), F.col("target_invoice").alias("id")), F.struct(F.lit(False).alias("billed"), F.col("source_id").alias("id")))
+    used = ledger.application.select(SID, "amount_cents", F.inline(sides)).groupBy(SID, "billed", "id").agg(F.sum("amount_cents").alias("applied_cents"))
+    own = ledger.invoice.select(SID, F.lit("invoice").alias("kind"), F.lit(0).alias("kind_rank"), "pos", "id", "date", "due", "amount_cents", "memo")
+    docs = own.unionByName(sources(ledger).withColumn("due", F.lit(None).cast("date")).withColumn("memo", F.lit(None).cast("string"))).withColumn("billed", F.col("kind_rank") == 0)
+    docs = docs.join(used, [SID, "billed", "id"], "left").drop("billed").withColumn("applied_cents", F.coalesce("applied_cents", F.lit(0)))
+    docs = docs.withColumn("open_cents", F.col("amount_cents") - F.col("applied_cents")).join(ledger.client.select(SID, "as_of"), SID)
+    return docs.withColumn("status", F.when(F.col("kind_rank") == 0, status()))
 
 
 def invoice_facts(ledger: Ledger) -> DataFrame:
     """Invoices with applied_cents, open_cents and status: paid, overdue (due before as_of) or outstanding."""
-    facts = applied_to_invoice(ledger).withColumn("open_cents", F.col("amount_cents") - F.col("applied_cents"))
-    facts = facts.join(ledger.client.select(SID, "as_of"), SID)
-    status = F.when(F.col("open_cents") == 0, "paid").when(F.col("due") < F.col("as_of"), "overdue").otherwise("outstanding")
-    return facts.withColumn("status", status)
+    return document_facts(ledger).where("kind_rank = 0").select(SID, "pos", "id", "date", "due", "amount_cents", "memo", "applied_cents", "open_cents", "as_of", "status")
+
+
+def applied_to_invoice(ledger: Ledger) -> DataFrame:
+    """Applied cents of every invoice, 0 if none."""
+    return invoice_facts(ledger).drop("open_cents", "as_of", "status")
 
 
 def source_facts(ledger: Ledger) -> DataFrame:
     """Sources with applied_cents and unapplied_cents."""
-    sums = ledger.application.groupBy(SID, F.col("source_id").alias("id")).agg(F.sum("amount_cents").alias("applied_cents"))
-    facts = sources(ledger).join(sums, [SID, "id"], "left").withColumn("applied_cents", F.coalesce("applied_cents", F.lit(0)))
-    return facts.withColumn("unapplied_cents", F.col("amount_cents") - F.col("applied_cents"))
+    return document_facts(ledger).where("kind_rank > 0").select(SID, "kind", "kind_rank", "pos", "id", "date", "amount_cents", "applied_cents", F.col("open_cents").alias("unapplied_cents"))
+
+
+def _sum_of(kind: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("open_cents"))), F.lit(0))
+
+
+_TOTALS = {"open_invoice_total": "invoice", "unapplied_cash_total": "payment", "unapplied_credit_total": "credit_memo"}
 
 
 def totals(ledger: Ledger) -> DataFrame:
     """open_invoice_total, unapplied_cash_total, unapplied_credit_total and net_balance of every scenario."""
-    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("unapplied_cents")).otherwise(0))
-    opened = invoice_facts(ledger).groupBy(SID).agg(F.sum("open_cents").alias("open_invoice_total"))
-    unapplied = source_facts(ledger).groupBy(SID).agg(part("payment").alias("unapplied_cash_total"), part("credit_memo").alias("unapplied_credit_total"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    found = ledger.client.select(SID).join(opened, SID, "left").join(unapplied, SID, "left")
-    found = found.select(SID, zero("open_invoice_total"), zero("unapplied_cash_total"), zero("unapplied_credit_total"))
+    sums = document_facts(ledger).groupBy(SID).agg(*(_sum_of(kind).alias(c) for c, kind in _TOTALS.items()))
+    found = ledger.client.select(SID).join(sums, SID, "left").select(SID, *(F.coalesce(c, F.lit(0)).alias(c) for c in _TOTALS))
     return found.withColumn("net_balance", F.expr("open_invoice_total - unapplied_cash_total - unapplied_credit_total"))
 
 
 def naive_net(ledger: Ledger) -> DataFrame:
-    """The net balance by one signed sum over all records; applications cancel. A cross-check of totals()."""
-    signed = lambda df, sign: df.select(SID, (F.lit(sign) * F.col("amount_cents")).alias("x"))
-    parts = signed(ledger.invoice, 1).union(signed(ledger.application, -1)).union(signed(sources(ledger), -1)).union(signed(ledger.application, 1))
-    sums = parts.groupBy(SID).agg(F.sum("x").alias("net_balance"))
+    """The net balance from face amounts: an application takes as much from its invoice as from its source, so none is read. A cross-check of totals()."""
+    signed = F.when(F.col("kind_rank") == 0, F.col("amount_cents")).otherwise(-F.col("amount_cents"))
+    sums = documents(ledger).groupBy(SID).agg(F.sum(signed).alias("net_balance"))
     return ledger.client.select(SID).join(sums, SID, "left").select(SID, F.coalesce("net_balance", F.lit(0)).alias("net_balance"))
 
 
@@ -68,8 +80,11 @@ def ambiguous_allocations(ledger: Ledger) -> DataFrame:
 
 def documents(ledger: Ledger) -> DataFrame:
     """All documents: kind, kind_rank (invoices first), pos, id, date, due (null for sources), amount_cents."""
+    columns = (SID, "kind", "kind_rank", "pos", "id", "date", "due", "amount_cents")
+    if ledger.facts is not None:
+        return ledger.facts.select(*columns)
     own = ledger.invoice.select(SID, F.lit("invoice").alias("kind"), F.lit(0).alias("kind_rank"), "pos", "id", "date", "due", "amount_cents")
-    return own.unionByName(sources(ledger).withColumn("due", F.lit(None).cast("date")))
+    return own.unionByName(sources(ledger).withColumn("due", F.lit(None).cast("date"))).select(*columns)
 
 
 def find_document(ledger: Ledger, wanted: DataFrame) -> DataFrame:
@@ -79,21 +94,23 @@ def find_document(ledger: Ledger, wanted: DataFrame) -> DataFrame:
 
 
 def signature(ledger: Ledger) -> DataFrame:
-    """Six booleans of every scenario, and labels, the names of the true ones in their order."""
-    opened = invoice_facts(ledger).groupBy(SID).agg(
-        F.bool_or((F.col("applied_cents") > 0) & (F.col("applied_cents") < F.col("amount_cents"))).alias("partial"),
-        (F.count("*") != F.countDistinct("amount_cents")).alias("near_duplicate"),
-    )
-    source = source_facts(ledger).groupBy(SID).agg(
-        F.bool_or((F.col("kind") == "payment") & (F.col("unapplied_cents") > 0)).alias("unapplied_cash"),
-        F.bool_or((F.col("kind") == "credit_memo") & (F.col("unapplied_cents") > 0)).alias("open_credit"),
-    )
-    late = documents(ledger).join(ledger.client.select(SID, "as_of"), SID).groupBy(SID).agg(F.bool_or(F.col("date") >= F.date_sub("as_of", CUTOFF_DAYS)).alias("cutoff_risk"))
-    unclear = ambiguous_allocations(ledger).select(SID, F.lit(True).alias("ambiguous")).distinct()
-    found = ledger.client.select(SID)
-    for part in (opened, source, late, unclear):
-        found = found.join(part, SID, "left")
-    bits = found.select(SID, *(F.coalesce(c, F.lit(False)).alias(c) for c in LABELS))
+    """Six booleans of every scenario, and labels, the names of the true ones in their order.
+
+    One pass: documents are counted by the amounts that may agree (of two invoices, or of a source and
+    the open amounts of invoices), and these counts are summed up by scenario.
+    """
+    invoice, rest = F.col("kind_rank") == 0, F.col("open_cents") > 0
+    amount = lambda of, cents: F.struct(F.lit(of).alias("of"), F.col(cents).alias("cents"))
+    compared = F.when(invoice, F.array(amount("face", "amount_cents"), amount("open", "open_cents"))).otherwise(F.array(F.when(rest, amount("open", "amount_cents")).otherwise(F.struct(F.lit("none").alias("of"), F.lit(0).cast("long").alias("cents")))))
+    flags = {
+        "partial": invoice & (F.col("applied_cents") > 0) & (F.col("applied_cents") < F.col("amount_cents")), "unapplied_cash": (F.col("kind") == "payment") & rest,
+        "open_credit": (F.col("kind") == "credit_memo") & rest, "cutoff_risk": F.col("date") >= F.date_sub("as_of", CUTOFF_DAYS),
+    }
+    rows = document_facts(ledger).select(SID, invoice.alias("invoice"), *(t.alias(c) for c, t in flags.items()), F.inline(compared))
+    each = rows.groupBy(SID, "of", "cents").agg(F.count_if("invoice").alias("invoices"), F.count_if(~F.col("invoice")).alias("sources"), *(F.bool_or(c).alias(c) for c in flags))
+    several = F.col("invoices") > 1
+    found = each.groupBy(SID).agg(F.bool_or((F.col("of") == "face") & several).alias("near_duplicate"), F.bool_or((F.col("of") == "open") & several & (F.col("sources") > 0)).alias("ambiguous"), *(F.bool_or(c).alias(c) for c in flags))
+    bits = ledger.client.select(SID).join(found, SID, "left").select(SID, *(F.coalesce(c, F.lit(False)).alias(c) for c in LABELS))
     return bits.withColumn("labels", labels_of(LABELS))
 
 
@@ -133,11 +150,11 @@ def view(ledger: Ledger) -> DataFrame:
     docs: invoices, payments, credit memos in ledger order, with original, applied and open (for a
     source: unapplied) cents. A row is as large as its ledger; scenarios are many and ledgers small.
     """
-    doc = F.struct("kind_rank", "pos", "kind", "id", "date", "due", F.col("amount_cents").alias("original"), F.col("applied_cents").alias("applied"), "open", "status")
-    own = invoice_facts(ledger).select(SID, F.lit(0).alias("kind_rank"), "pos", F.lit("invoice").alias("kind"), "id", "date", "due", "amount_cents", "applied_cents", F.col("open_cents").alias("open"), "status")
-    other = source_facts(ledger).select(SID, "kind_rank", "pos", "kind", "id", "date", F.lit(None).cast("date").alias("due"), "amount_cents", "applied_cents", F.col("unapplied_cents").alias("open"), F.lit(None).cast("string").alias("status"))
-    docs = own.unionByName(other).groupBy(SID).agg(F.sort_array(F.collect_list(doc)).alias("docs"))
-    unclear = ambiguous_allocations(ledger).groupBy(SID).agg(F.transform(F.sort_array(F.collect_list(F.struct("kind_rank", "source_pos", "source_id", "candidates"))), lambda x: F.struct(x["source_id"].alias("source_id"), x["candidates"].alias("candidates"))).alias("ambiguous"))
-    found = ledger.client.join(totals(ledger), SID).join(docs, SID, "left").join(unclear, SID, "left")
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(found.dtypes)[c])).alias(c)
-    return found.select(*(empty(c) if c in ("docs", "ambiguous") else c for c in found.columns))
+    doc = F.struct("kind_rank", "pos", "kind", "id", "date", "due", F.col("amount_cents").alias("original"), F.col("applied_cents").alias("applied"), F.col("open_cents").alias("open"), "status")
+    own = document_facts(ledger).groupBy(SID).agg(F.sort_array(F.collect_list(doc)).alias("docs"), *(_sum_of(kind).alias(c) for c, kind in _TOTALS.items()))
+    found = ledger.client.join(own, SID, "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in _TOTALS}).withColumn("net_balance", F.expr("open_invoice_total - unapplied_cash_total - unapplied_credit_total"))
+    found = found.withColumn("docs", F.coalesce("docs", F.array().cast(dict(found.dtypes)["docs"])))
+    could_pay = "transform(filter(docs, i_ -> i_.kind_rank = 0 and i_.open = s_.original), i_ -> i_.id)"
+    unclear = f"filter(transform(filter(docs, s_ -> s_.kind_rank > 0 and s_.open > 0), s_ -> named_struct('source_id', s_.id, 'candidates', {could_pay})), x_ -> size(x_.candidates) >= 2)"
+    return found.select(*ledger.client.columns, *_TOTALS, "net_balance", "docs", F.expr(unclear).alias("ambiguous"))

@@ -11,10 +11,14 @@ def percent(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) <= 0 THEN 'n/a' ELSE CAST((100 * {a}) // ({b}) AS VARCHAR) || '%' END"
 
 
+def cents(c: str) -> str:
+    return f"(CAST(ceil({c} / 10000) AS BIGINT) * 1000000 - CAST(ceil({c} / 10000) AS BIGINT) * 37 % 100)"
+
+
 BASE = """
 WITH inv AS (
   SELECT 'S-' || c_custkey AS scenario_id, o_orderkey AS pos, 'INV-' || o_orderkey AS id, CAST(o_orderdate AS DATE) AS date,
-    CAST(o_orderdate AS DATE) + CAST(30 + 15 * (c_nationkey % 3) AS INTEGER) AS due, CAST(ceil(o_totalprice / 10000) * 1000000 AS BIGINT) AS cents, o_orderpriority AS memo
+    CAST(o_orderdate AS DATE) + CAST(30 + 15 * (c_nationkey % 3) AS INTEGER) AS due, """ + cents("o_totalprice") + """ AS cents, o_orderpriority AS memo
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(o_orderdate AS DATE) <= DATE '2000-06-30'
 ), client AS (
   SELECT 'S-' || c_custkey AS scenario_id, CASE c_custkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS pool, 'CL-' || c_custkey AS client_id, c_name AS name,
@@ -25,7 +29,7 @@ WITH inv AS (
 ), src AS (
   SELECT inv.scenario_id, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'credit_memo' ELSE 'payment' END AS kind, line.pos,
     CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'CM-' ELSE 'PMT-' END || line.pos AS id, greatest(CAST(l_shipdate AS DATE), inv.date) AS date,
-    CAST(ceil(l_extendedprice / 10000) * 1000000 AS BIGINT) AS cents, inv.id AS invoice, inv.cents AS room, l_linenumber
+    """ + cents("l_extendedprice") + """ AS cents, inv.id AS invoice, inv.cents AS room, l_linenumber
   FROM line JOIN inv ON l_orderkey = inv.pos WHERE CAST(l_shipdate AS DATE) <= DATE '2000-06-30' AND (l_linestatus = 'F' OR l_returnflag = 'R')
 ), app AS (
   SELECT scenario_id, pos, id AS source_id, invoice AS target_invoice, CAST(least(cents, room - used) AS BIGINT) AS cents
@@ -116,9 +120,9 @@ LEDGER = {
     "prompt_assembly": "SELECT c.scenario_id, 'To ' || name || chr(10) || chr(10) || 'Records:' || chr(10) || " + money("net") + " AS prompt FROM client c JOIN tot USING (scenario_id)",
     "money_render": "SELECT scenario_id, " + money("net") + " AS shown, " + money("-net - 7") + " AS negative FROM tot",
     "money_parse": "SELECT scenario_id, net AS parsed, CAST(NULL AS BIGINT) AS odd, CAST(125050 AS BIGINT) AS tenths FROM tot",
-    "whole_percent": "SELECT scenario_id, id, CAST(round_even(100.0 * applied / cents, 0) AS BIGINT) AS share FROM (SELECT scenario_id, id, CAST(applied // 1000000 AS DECIMAL(18,0)) AS applied, CAST(cents // 1000000 AS DECIMAL(18,0)) AS cents FROM ifact)",
+    "whole_percent": "SELECT scenario_id, id, CAST(round_even(100.0 * applied / cents, 0) AS BIGINT) AS share FROM ifact",
     "report_shares": "SELECT scenario_id, " + percent("ni", "ni + np + nc") + " AS share, ni || '/' || (ni + np + nc) || ' (' || " + percent("ni", "ni + np + nc") + " || ')' AS ratio, CASE WHEN np > nc THEN '+' ELSE '' END || (np - nc) AS delta FROM owed",
-    "amount_tokens": "SELECT scenario_id, id, opened AS dollars, opened AS plain, opened AS usd, opened AS suffixed, CAST(NULL AS BIGINT) AS share FROM ifact",
+    "amount_tokens": "SELECT scenario_id, id, opened AS dollars, opened AS plain, opened AS usd, opened AS suffixed, opened // 100 * 100 AS whole, [CAST(700 AS BIGINT), 2100, 40000, 309900][1 + opened % 4] AS words, CAST(NULL AS BIGINT) AS share FROM ifact",
     "date_tokens": "SELECT scenario_id, id, CAST(date AS VARCHAR) AS iso, CAST(date AS VARCHAR) AS named, CAST(date AS VARCHAR) AS slashed, CAST(NULL AS VARCHAR) AS impossible FROM inv",
     "canonical_ids": "SELECT scenario_id, id, id AS explicit, id AS loose, id AS padded, 'INV-999999999' AS unknown FROM inv",
     "class_keys": f"SELECT scenario_id, {_BITS} AS class_key FROM sig",

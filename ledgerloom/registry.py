@@ -126,9 +126,10 @@ def _shares(x: Ledger) -> DataFrame:
 
 @_on_ledger("amount_tokens")
 def _amounts(x: Ledger) -> DataFrame:
-    """Each open amount written in several ways and read back; amounts are whole numbers of ten thousand dollars."""
+    """Each open amount written in several ways and read back."""
     shown = money.render("open_cents")
-    forms = {"dollars": shown, "plain": "cast(open_cents div 100 as string)", "usd": f"concat('USD ', ltrim('$', {shown}))", "suffixed": "concat(format_number(open_cents div 100, 0), ' dollars.')", "share": "concat(cast(open_cents % 97 as string), ' percent')"}
+    bare = f"ltrim('$', {shown})"
+    forms = {"dollars": shown, "plain": f"replace({bare}, ',', '')", "usd": f"concat('USD ', {bare})", "suffixed": f"concat({bare}, ' dollars.')", "whole": "concat(format_number(open_cents div 100, 0), ' dollars')", "words": "concat(element_at(array('seven', 'twenty-one', 'four hundred', 'three thousand and ninety-nine'), cast(1 + open_cents % 4 as int)), ' dollars')", "share": "concat(cast(open_cents % 97 as string), ' percent')"}
     return ledger.invoice_facts(x).select(SID, "id", *(F.expr(text.amount_cents(t)).alias(n) for n, t in forms.items()))
 
 

@@ -2,56 +2,87 @@
 
 Order tables: a scenario is a customer, an invoice an order, a payment or credit memo a shipped or
 returned line; sources are applied to their own order first come first served, up to its amount, but
-for seventh lines, which are remittances without a reference. Amounts are whole multiples of ten
-thousand dollars, so that equal amounts occur.
+for seventh lines, which are remittances without a reference. Amounts are multiples of ten thousand
+dollars less some cents that follow from the multiple, so that equal amounts occur and cents matter.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import saved
+
 AS_OF = "2000-06-30"
 
 
 @dataclass(frozen=True)
 class Ledger:
-    """client: scenario_id, pool, client_id, name, terms_days, as_of. Others: scenario_id, pos and their fields."""
+    """client: scenario_id, pool, client_id, name, terms_days, as_of. Others: scenario_id, pos and their fields.
+
+    facts, if known: all documents with what is applied to or from each (see operators.ledger.document_facts).
+    """
 
     client: DataFrame
     invoice: DataFrame
     payment: DataFrame
     credit_memo: DataFrame
     application: DataFrame
+    facts: DataFrame | None = None
 
 
-def _bucket(column: str):
-    return (F.ceil(F.col(column) / 10000) * 1000000).cast("long")
+def _cents(column: str) -> Column:
+    bucket = F.ceil(F.col(column) / 10000).cast("long")
+    return bucket * 1000000 - bucket * 37 % 100
 
 
-def order_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """Lines of an order are numbered by all their columns, as no shorter key is unique; under a hundred an order."""
+def status(opened: str = "open_cents") -> Column:
+    """Of an invoice: paid, overdue (due before as_of) or outstanding."""
+    return F.when(F.col(opened) == 0, "paid").when(F.col("due") < F.col("as_of"), "overdue").otherwise("outstanding")
+
+
+def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, from one scan of each table; written once.
+
+    Lines of an order are numbered by all their columns, as no shorter key is unique; there are under
+    a hundred an order. Numbering, join and running sums are all dealt by the order, in one shuffle of
+    the lines.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     as_of = F.lit(AS_OF).cast("date")
-    scenario = lambda key: F.concat(F.lit("S-"), F.col(key).cast("string"))
-    terms = (F.lit(30) + F.lit(15) * (F.col("c_nationkey") % 3)).cast("int")
-    customer = read("customer").select("c_custkey", "c_name", terms.alias("terms_days"))
-    order = read("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"), _bucket("o_totalprice").alias("amount_cents"), F.col("o_orderpriority").alias("memo")).where(F.col("date") <= as_of)
+    customer = read("customer").select("c_custkey", "c_name", (F.lit(30) + F.lit(15) * (F.col("c_nationkey") % 3)).cast("int").alias("terms_days"))
+    order = read("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("ordered"), _cents("o_totalprice").alias("room"), "o_orderpriority").where(F.col("ordered") <= as_of)
     order = order.join(customer, order.o_custkey == customer.c_custkey)
-    client = order.select(scenario("c_custkey").alias("scenario_id"), F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("B").alias("pool"), F.concat(F.lit("CL-"), F.col("c_custkey").cast("string")).alias("client_id"), F.col("c_name").alias("name"), "terms_days", as_of.alias("as_of")).distinct()
-    invoice = order.select(scenario("c_custkey").alias("scenario_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("id"), "date", F.expr("date_add(date, terms_days)").alias("due"), "amount_cents", "memo")
     line = read("lineitem")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*sorted(line.columns)))
     line = line.withColumn("pos", F.col("l_orderkey") * 100 + number).withColumn("ship", F.col("l_shipdate").cast("date"))
     line = line.where((F.col("ship") <= as_of) & ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "R")))
-    line = line.select("l_orderkey", "l_linenumber", "pos", "ship", _bucket("l_extendedprice").alias("cents"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("credit"), "l_returnflag", "l_linestatus")
-    source = line.join(order.select("o_orderkey", "c_custkey", F.col("date").alias("ordered"), F.col("amount_cents").alias("room")), line.l_orderkey == F.col("o_orderkey"))
-    source = source.select(scenario("c_custkey").alias("scenario_id"), "pos", F.concat(F.when(F.col("credit"), "CM-").otherwise("PMT-"), F.col("pos").cast("string")).alias("id"), F.greatest("ship", "ordered").alias("date"), F.col("cents").alias("amount_cents"), "credit", "o_orderkey", "room", "l_linenumber")
-    payment = source.where(~F.col("credit")).select("scenario_id", "pos", "id", "date", "amount_cents", F.lit("ach").alias("method"), F.lit("").alias("reference"))
-    credit = source.where("credit").select("scenario_id", "pos", "id", "date", "amount_cents", F.lit("").alias("reason"))
-    before = Window.partitionBy("o_orderkey").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    applied = source.where("l_linenumber <> 7").withColumn("used", F.coalesce(F.sum("amount_cents").over(before), F.lit(0)))
-    applied = applied.select("scenario_id", "pos", F.col("id").alias("source_id"), F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("target_invoice"), F.greatest(F.lit(0), F.least("amount_cents", F.col("room") - F.col("used"))).cast("long").alias("amount_cents"))
-    return Ledger(client, invoice, payment, credit, applied.where("amount_cents > 0"))
+    line = line.select("l_orderkey", "pos", "ship", _cents("l_extendedprice").alias("cents"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).alias("credit"), (F.col("l_linenumber") != 7).alias("named"))
+    rows = order.join(line, order.o_orderkey == line.l_orderkey, "left")
+    own = Window.partitionBy("o_orderkey")
+    before = F.coalesce(F.sum(F.when(F.col("named"), F.col("cents"))).over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("given", F.when(F.col("named"), F.greatest(F.lit(0), F.least("cents", F.col("room") - before))).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("taken", F.sum("given").over(own)).withColumn("first", F.row_number().over(own.orderBy("pos")) == 1)
+    none = lambda kind: F.lit(None).cast(kind)
+    invoice = F.struct(F.lit(0).alias("kind_rank"), F.lit("invoice").alias("kind"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("id"), F.col("ordered").alias("date"), F.expr("date_add(ordered, terms_days)").alias("due"), F.col("room").alias("amount_cents"), F.col("taken").alias("applied_cents"), F.col("o_orderpriority").alias("memo"), none("string").alias("target_invoice"))
+    source = F.struct(F.when(F.col("credit"), 2).otherwise(1).alias("kind_rank"), F.when(F.col("credit"), "credit_memo").otherwise("payment").alias("kind"), F.col("pos"), F.concat(F.when(F.col("credit"), "CM-").otherwise("PMT-"), F.col("pos").cast("string")).alias("id"), F.greatest("ship", "ordered").alias("date"), none("date").alias("due"), F.col("cents").alias("amount_cents"), F.col("given").alias("applied_cents"), none("string").alias("memo"), F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("target_invoice"))
+    each = F.when(F.col("pos").isNull(), F.array(invoice)).when(F.col("first"), F.array(invoice, source)).otherwise(F.array(source))
+    rows = rows.select(F.concat(F.lit("S-"), F.col("c_custkey").cast("string")).alias("scenario_id"), F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("B").alias("pool"), F.concat(F.lit("CL-"), F.col("c_custkey").cast("string")).alias("client_id"), F.col("c_name").alias("name"), "terms_days", as_of.alias("as_of"), F.inline(each))
+    rows = rows.withColumn("open_cents", F.col("amount_cents") - F.col("applied_cents"))
+    return saved(rows.withColumn("status", F.when(F.col("kind_rank") == 0, status())), "facts")
+
+
+def order_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger of the order tables: one written table of documents, and the five tables as selections from it."""
+    facts = _order_facts(spark, sf_dir)
+    of = lambda rank: facts.where(F.col("kind_rank") == rank)
+    return Ledger(
+        of(0).select("scenario_id", "pool", "client_id", "name", "terms_days", "as_of").distinct(),
+        of(0).select("scenario_id", "pos", "id", "date", "due", "amount_cents", "memo"),
+        of(1).select("scenario_id", "pos", "id", "date", "amount_cents", F.lit("ach").alias("method"), F.lit("").alias("reference")),
+        of(2).select("scenario_id", "pos", "id", "date", "amount_cents", F.lit("").alias("reason")),
+        facts.where("kind_rank > 0 and applied_cents > 0").select("scenario_id", "pos", F.col("id").alias("source_id"), "target_invoice", F.col("applied_cents").alias("amount_cents")),
+        facts.drop("pool", "client_id", "name", "terms_days", "target_invoice"),
+    )
