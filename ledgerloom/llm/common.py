@@ -15,6 +15,8 @@ KEY = "__row_key"
 BATCH_ROWS = 1000
 #: Removes a query's shuffle files when it has ended, instead of when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Numbers of so many files are sent to every task, some 20 MB.
+MOST_FILES = 100_000
 #: A row key is a file's number times this, and the row's place in the file.
 _FILE_ROWS = 1 << 40
 
@@ -37,19 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return str(found).rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-    Shuffle files of the query that made it go at once, since nothing reads them again.
+    Shuffle files of the query that made it go at once, since nothing reads them again. settings hold
+    for that query only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", **(settings or {})}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -88,9 +94,10 @@ def keyed(df: DataFrame, name: str = KEY) -> DataFrame:
     place = df.metadataColumn("_metadata")
     files = sorted({re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()})
     rows = df.select("*", place.getField("row_index").alias(name), F.regexp_replace(place.getField("file_path"), "^([a-z0-9]+):/+", "$1:/").alias("__file"))
-    if len(files) > 1:  # a row for each file, which Spark broadcasts if that is small
+    if len(files) > 1:
         numbers = df.sparkSession.createDataFrame([(f, i * _FILE_ROWS) for i, f in enumerate(files)], "__file string, __base long")
-        rows = rows.join(numbers, "__file", "left")
+        # A row for each file, so the bound is checked here; with more files the rows are dealt by file.
+        rows = rows.join(F.broadcast(numbers) if len(files) <= MOST_FILES else numbers, "__file", "left")
         # A file that isn't listed can't be told from others by its number.
         base = F.when(F.col("__base").isNull(), F.raise_error(F.concat(F.lit("no number for "), "__file")).cast("long")).otherwise(F.col("__base"))
         rows = rows.withColumn(name, base + F.col(name)).drop("__base")
