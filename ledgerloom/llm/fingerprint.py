@@ -1,7 +1,7 @@
 """Invertible Bloom lookup sketches of documents, in DataFrame and SQL functions only.
 
-A text's paragraphs are its sentences and lines; long ones are cut every PIECE code points, those at
-the head of a text more finely, so that short texts have several too. Where a text is cut depends on
+A text's paragraphs are its lines; long ones are cut every PIECE code points, those at the head of a
+text more finely, so that short texts have several too. Where a text is cut depends on
 what stands before only, so texts that begin alike are cut alike, and any two sketches can be compared.
 
 A sketch has three parts of w cells; w is the least power of two that isn't below the number of
@@ -28,16 +28,20 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import KEY, forget, keyed, saved
 
 #: Code points to a piece at most; in the first HEAD code points of a text, FINE.
-PIECE, HEAD, FINE = 64, 256, 16
+PIECE, HEAD, FINE = 96, 256, 16
 #: Least cells in each part of a sketch, and of one that is tried again.
 LEAST, LEAST_AGAIN = 4, 64
 ROUNDS, MAX_TRIES = 8, 12
+#: Digests whose cells a task sums up at once, in so many tasks at most; a cell is some 150 bytes there.
+TASK_DIGESTS, MOST_TASKS = 100_000, 200_000
+#: A chain of aggregations in a task needs no second map before each one's own, which takes a page of memory from the start.
+ONE_MAP = {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}
 #: Ranges of the order of documents at least, and rows to one at most; each is numbered by a task.
 RANGES, RANGE_ROWS = 200, 1_000_000
 
 
 def _units(text: str, size: int) -> str:
-    return f"regexp_extract_all({text}, '[^\\\\n.!?]{{1,{size}}}[.!?]*|[.!?]+', 0)"
+    return f"regexp_extract_all({text}, '[^\\\\n]{{1,{size}}}', 0)"
 
 
 def digests(text: str) -> str:
@@ -78,6 +82,12 @@ def _peel(cells: DataFrame, by: list[str], seed: int) -> DataFrame:
     return left.where("not (kind = 0 and n = 0 and key = 0 and check = 0)")
 
 
+def _dealt(rows: DataFrame, digests: str, by: str) -> DataFrame:
+    """rows dealt by a key, to as many tasks as follow from the number of digests."""
+    total = rows.agg(F.sum(F.expr(digests))).first()[0] or 0
+    return rows.repartition(max(1, min(MOST_TASKS, -(-total // TASK_DIGESTS))), by)
+
+
 def differences(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, only_a, only_b): how many paragraphs either version has alone, by subtracting and peeling sketches.
 
@@ -91,11 +101,11 @@ def differences(pairs: DataFrame, by: list[str]) -> DataFrame:
     for seed in range(MAX_TRIES):
         width = fold if not seed else f"greatest({LEAST_AGAIN}, wa, wb) * {4 ** (seed - 1)}"
         sides = F.inline(F.expr("array(named_struct('sign', 1L, 'list', a), named_struct('sign', -1L, 'list', b))"))
-        signed = pairs.repartition(by[0]).select(*by, F.expr(width).alias("w"), sides)
+        signed = _dealt(pairs, "size(a) + size(b)", by[0]).select(*by, F.expr(width).alias("w"), sides)
         cells = _in_cells(signed, by, seed).where("not (n = 0 and key = 0 and check = 0)").withColumn("kind", F.lit(0))
         cells = reduce(lambda rows, _: _peel(rows, by, seed), range(ROUNDS), cells)  # noqa: B023
         count = lambda test: F.coalesce(F.sum(F.when(F.expr(test), F.col("n"))), F.lit(0))
-        tried = saved(cells.groupBy(*by).agg(count("kind = 2 and id = 1").alias("only_a"), count("kind = 2 and id = -1").alias("only_b"), F.bool_or(F.expr("kind = 0")).alias("failed")), "tried")
+        tried = saved(cells.groupBy(*by).agg(count("kind = 2 and id = 1").alias("only_a"), count("kind = 2 and id = -1").alias("only_b"), F.bool_or(F.expr("kind = 0")).alias("failed")), "tried", ONE_MAP)
         found.append(tried.where("not failed").drop("failed"))
         if not tried.where("failed").limit(1).count():
             break
@@ -161,7 +171,7 @@ def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     found = differences(ready.select("k", versions), ["k", "which"])
     only = lambda which, c: F.coalesce(F.max(F.when(F.col("which") == which, F.col(c))), F.lit(0))
     found = found.groupBy("k").agg(only(0, "only_a").alias("only_text"), only(0, "only_b").alias("only_edited"), (only(1, "only_a") + only(1, "only_b")).alias("unlike_next"))
-    rows = ready.repartition("k")
+    rows = _dealt(ready, "size(ka) + size(ke)", "k")
     told = sketches(rows.select("k", F.expr("inline(array(named_struct('which', 0, 'list', ka), named_struct('which', 1, 'list', ke)))")), ["k", "which"])
     rows = rows.join(found, "k", "left").join(told, "k", "left")
     size = {c: F.size(c) for c in ("ka", "ke", "kn")}
