@@ -1,10 +1,13 @@
 """Main text of web pages, with site template removal.
 
 Every element's subtree is hashed (tag, class, and the hashes and words below it). Spark counts, for
-each host, on how many of its pages a subtree occurs; those on many pages are the site's template
-and are cut from its pages. What a page repeats of no other page (an advert drawn at random, a form)
-is known by its element or class name instead. Paragraphs and headings of an article are never cut
-as template, as an article may quote what others quote.
+each host and for each section of it (the first part of the path), on how many different pages a
+subtree occurs; those on many are template and are cut from the pages there, wherever they stand.
+Copies of a page count once, so what is on a page often copied isn't template for that.
+
+Within an article a subtree must be on more pages to be template, as articles may quote what others
+quote. What a page repeats of no other page (an advert drawn at random, menus of a host with a single
+page, a reader's comment) is known by its element or class name instead.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bound_batches, saved
+from ledgerloom.llm.common import bound_batches, forget, packed, saved
 
-#: A subtree is template if it is on so many pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 10, 0.1
+#: A subtree is template if it is on so many different pages of its host or section, and on such a share of them.
+MIN_PAGES, MIN_SHARE = 3, 0.1
+#: The same for parts of an article.
+OWN_PAGES, OWN_SHARE = 5, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -43,9 +48,6 @@ _NEGATED = re.compile(r"(?:no|has|without)[_-]", re.I)
 _UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Classes of article elements that hold a reader's comment.
 _COMMENT = frozenset("comment comments comment-body comment-item comment-reply reply replies".split())
-#: Elements whose text is an article's own even if other pages have it too.
-_OWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main body html b i em strong a span u code q cite small sub sup br".split())
-
 
 class Node:
     __slots__ = ("attributes", "children", "digest", "tag")
@@ -171,8 +173,8 @@ def _scopes(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Text blocks of the main text in page order. Needs digest() first if there is a template."""
+def blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), within: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Text blocks of the main text in page order, without subtrees of the template (``within``: in an article). Needs digest() first if there is one."""
     out, words = [], []
 
     def flush() -> None:
@@ -196,7 +198,7 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
                         flush()
                     continue
                 block = child.tag in _BLOCK
-                if _unwanted(child, inside) or (child.digest in template and not (inside and child.tag in _OWN)):
+                if _unwanted(child, inside) or child.digest in (within if inside else template):
                     if block:
                         flush()
                     continue
@@ -214,46 +216,70 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different subtrees of each page, with a hash of the page; one row without a subtree for the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            host, found = [], []
-            for h, page in zip(batch.column("host")[at : at + 512].to_pylist(), batch.column("page")[at : at + 512].to_pylist()):
-                own = {n.digest for n in digest(parse(page or "")) if n.children and n.tag not in ("#root", "html")}
-                host.extend([h] * len(own))
-                found.extend(own)
-            yield pa.record_batch({"host": pa.array(host, pa.string()), "digest": pa.array(found, pa.int64())})
+            some = batch.slice(at, 512)
+            host, section, found, whole = [], [], [], []
+            for h, s, page in zip(*(some.column(c).to_pylist() for c in ("host", "section", "page"))):
+                nodes = digest(parse(page or ""))
+                own = {n.digest for n in nodes if n.children and n.tag not in ("#root", "html", "body")}
+                host.extend([h] * (len(own) + 1))
+                section.extend([s] * (len(own) + 1))
+                found.extend([*own, None])
+                whole.extend([nodes[-1].digest] * (len(own) + 1))
+            yield pa.record_batch({"host": pa.array(host, pa.string()), "section": pa.array(section, pa.string()), "digest": pa.array(found, pa.int64()), "whole": pa.array(whole, pa.int64())})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("page", "template", "section_template", "within", "section_within")
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             some, out = batch.slice(at, 512), []
-            for page, template in zip(some.column("page").to_pylist(), some.column("template").to_pylist()):
+            for page, *lists in zip(*(some.column(c).to_pylist() for c in names)):
                 root = parse(page or "")
-                if template:
+                template, more, within, more_within = (x or () for x in lists)
+                if template or more:
                     digest(root)
-                out.append(blocks(root, frozenset(template or ())))
+                out.append(blocks(root, frozenset(template).union(more), frozenset(within).union(more_within)))
             yield pa.record_batch([some.column("rest"), some.column("page"), pa.array(out, pa.list_(pa.string()))], names=["rest", "page", "blocks"])
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def _template(counts: DataFrame, by: list[str], prefix: str, limits: tuple[int, float, int, float]) -> DataFrame:
+    """by, and the digests that are template outside and within articles. counts: by, digest (null: the pages), n.
+
+    At most 1 / share times as many as a page has subtrees, for each host or section.
+    """
+    pages = counts.where("digest is null").select(*by, F.col("n").alias("pages"))
+    least, share, own_least, own_share = limits
+    often = counts.where(F.col("digest").isNotNull() & (F.col("n") >= min(least, own_least))).join(pages, by)
+    enough = lambda n, s: (F.col("n") >= n) & (F.col("n") >= F.lit(s) * F.col("pages"))
+    often = often.where(enough(least, share) | enough(own_least, own_share))
+    return often.groupBy(*by).agg(F.collect_list(F.when(enough(least, share), F.col("digest"))).alias(f"{prefix}template"), F.collect_list(F.when(enough(own_least, own_share), F.col("digest"))).alias(f"{prefix}within"))
+
+
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, own_pages: int = OWN_PAGES, own_share: float = OWN_SHARE) -> DataFrame:
     """pages with ``blocks`` added, the text blocks of the main text of each.
 
     The main text is that of the article elements, else of main elements, else of the whole page,
     without navigation, headers, footers, asides, notices, adverts, forms, scripts, comments of
-    readers and the host's template. A null or empty page has no blocks. Pages without a host (null
-    url) are one host. Repeated rows count as pages each. An empty table gives no rows; a column
-    named blocks is replaced.
+    readers and the template of the host and its section. A null or empty page has no blocks. Pages
+    without a host (null url) are one host. Rows with equal pages of one section count as one page.
+    A host with fewer than ``min_pages`` different pages has no template. An empty table gives no
+    rows; a column named blocks is replaced, others may have any name.
     """
     bound_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c != "blocks"]
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    base = pages.select(host.alias("host"), F.col(f"`{html}`").cast("string").alias("page"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != html)).alias("rest"))
-    sizes = base.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = base.select("host", "page").mapInArrow(_subtrees, "host string, digest long").groupBy("host", "digest").count().where(F.col("count") >= min_pages)
-    often = counts.join(sizes, "host").where(F.col("count") >= F.lit(min_share) * F.col("pages"))
-    # At most 1 / min_share times as many as a page has subtrees, for each host.
-    template = saved(often.groupBy("host").agg(F.collect_list("digest").alias("template")), "template")
+    address = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
+    pattern = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*/?([^/?#]*)"
+    base = pages.select(F.lower(F.regexp_extract(address, pattern, 1)).alias("host"), F.regexp_extract(address, pattern, 2).alias("section"), F.col(f"`{html}`").cast("string").alias("page"), packed(pages, [c for c in cols if c != html]))
+    found = base.select("host", "section", "page").mapInArrow(_subtrees, "host string, section string, digest long, whole long")
+    counts = saved(found.distinct().groupBy("host", "section", "digest").agg(F.count("*").alias("n")), "subtrees")
+    limits = (min_pages, min_share, own_pages, own_share)
+    by_host = saved(_template(counts.groupBy("host", "digest").agg(F.sum("n").alias("n")), ["host"], "", limits), "template")
+    by_section = saved(_template(counts, ["host", "section"], "section_", limits), "template")
+    forget(counts)
     out = T.StructType([base.schema["rest"], T.StructField("page", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
-    found = base.join(template, "host", "left").select("page", "rest", "template").mapInArrow(_extract, out)
-    return found.select(*((F.col("page") if c == html else F.col("rest").getField(c)).alias(c) for c in cols), "blocks")
+    rows = base.join(by_host, "host", "left").join(by_section, ["host", "section"], "left")
+    got = rows.select("page", "rest", "template", "section_template", "within", "section_within").mapInArrow(_extract, out)
+    return got.select(*((F.col("page") if c == html else F.col("rest").getField(c)).alias(c) for c in cols), "blocks")

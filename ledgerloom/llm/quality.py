@@ -5,10 +5,15 @@ the like). The field scores a labelling by a weight for each feature and label a
 of neighbouring labels, so a doubtful line follows its neighbours. Viterbi decoding finds the best
 labelling of a whole text; the share of its words that lie on content lines decides retention.
 
-The field is fitted here, by gradient ascent on the conditional likelihood, on at most
-``max_labelled`` labelled documents (those with the smallest hashes of their id) and of each at most
-``max_lines`` lines, every line taking its document's label. That bounds the fit only: every
-document is decoded whole.
+Only documents are labelled, lines aren't. So a model of single lines is fitted first, each line with
+its document's label; lines that it finds to be of the other kind change theirs, as long as most words
+of a document keep its label, and the model is fitted again. On the labellings that result, in which
+junk has clean lines and clean texts have boilerplate, the field is fitted by gradient ascent on the
+conditional likelihood.
+
+The fit takes at most ``max_labelled`` labelled documents (those with the smallest hashes of their
+id), and of each up to ``max_runs`` runs of RUN lines, drawn by a hash over its whole length. That
+bounds the fit only: every document is decoded whole.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import hashing
 from ledgerloom.llm.common import bound_batches
 
-MAX_LABELLED, MAX_LINES = 2000, 64
+MAX_LABELLED, MAX_RUNS, RUN = 2000, 4, 64
 MIN_SHARE = 0.5
 FEATURES = ("one", "empty", "long", "symbols", "any_symbols", "bars", "capitals", "shouted", "exclaimed", "digits", "stutter", "word_length", "ended")
 
@@ -111,62 +116,118 @@ class Field:
         return np.array(out[::-1])
 
 
-def fit(texts: list[np.ndarray], labels: list[np.ndarray], rounds: int = 200, rate: float = 0.1, shrink: float = 1e-3) -> Field:
-    """Maximise the conditional likelihood of line labels, with Adam; the two labels weigh alike."""
-    n, longest, f = len(texts), max(map(len, texts)), texts[0].shape[1]
-    x, y, live = np.zeros((n, longest, f)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
-    for i, (a, b) in enumerate(zip(texts, labels)):
-        x[i, : len(a)], y[i, : len(a)], live[i, : len(a)] = a, b, True
-    whole = np.array([b[0] for b in labels])
-    share = np.where(whole == 1, 0.5 / max(1, (whole == 1).sum()), 0.5 / max(1, (whole == 0).sum())) / np.array([len(a) for a in texts])
-    theta, m, v = np.zeros(2 * f + 4), np.zeros(2 * f + 4), np.zeros(2 * f + 4)
-    one = np.eye(2)[y] * live[..., None]
-    pair = np.einsum("nti,ntj,n->ij", one[:, :-1], one[:, 1:], share)
-    seen = np.einsum("ntf,nti,n->fi", x, one, share)
+def _adam(gradient, theta: np.ndarray, rounds: int, rate: float) -> np.ndarray:
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for r in range(1, rounds + 1):
+        g = gradient(theta)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+    return theta
+
+
+def shares(documents: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of runs, given each run's document and that one's label: the two labels weigh alike, and so do documents of one label."""
+    _, of, runs = np.unique(documents, return_inverse=True, return_counts=True)
+    own = 1.0 / runs[of]
+    return np.where(labels == 1, 0.5 / max(1e-9, own[labels == 1].sum()), 0.5 / max(1e-9, own[labels == 0].sum())) * own
+
+
+def line_labels(runs: list[np.ndarray], words: list[np.ndarray], documents: np.ndarray, labels: np.ndarray, turns: int = 3) -> list[np.ndarray]:
+    """Labels of lines from labels of documents; see the module's text. words: of each line."""
+    x, n = np.concatenate(runs), np.concatenate(words)
+    size = np.array([len(r) for r in runs])
+    of = np.repeat(np.unique(documents, return_inverse=True)[1], size)
+    whole = np.repeat(labels, size)
+    weight = np.repeat(shares(documents, labels) / size, size)
+    y = whole.copy()
+    for _ in range(turns):
+        theta = _adam(lambda w, y=y: x.T @ (weight * (y - 1 / (1 + np.exp(-(x @ w))))) - 1e-3 * w, np.zeros(x.shape[1]), 200, 0.1)
+        y = np.where(n > 0, (x @ theta >= 0).astype(int), whole)
+        # Most words of a document keep its label, or all do.
+        kept = np.bincount(of, n * (y == whole)) > 0.5 * np.bincount(of, n)
+        y = np.where(kept[of], y, whole)
+    return np.split(y, np.cumsum(size)[:-1])
+
+
+def fit(runs: list[np.ndarray], labels: list[np.ndarray], share: np.ndarray, rounds: int = 200, rate: float = 0.1, shrink: float = 1e-3) -> Field:
+    """Maximise the conditional likelihood of the lines' labels, with Adam; a run weighs its share, over its lines."""
+    n, longest, f = len(runs), max(map(len, runs)), runs[0].shape[1]
+    order = np.argsort([-len(r) for r in runs], kind="stable")
+    x, y, live = np.zeros((longest, n, f)), np.zeros((longest, n), int), np.zeros((longest, n), bool)
+    for i, j in enumerate(order):
+        size = len(runs[j])
+        x[:size, i], y[:size, i], live[:size, i] = runs[j], labels[j], True
+    share = share[order] / live.sum(0)
+    many = live.sum(1)  # runs that have a line at each place: the first ones, as they come by length
+    one = np.eye(2)[y] * live[..., None]
+    pair = np.einsum("tni,tnj,n->ij", one[:-1], one[1:], share)
+    seen = np.einsum("tnf,tni,n->fi", x, one, share)
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
         w, step = theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2)
         e = x @ w
-        alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        alpha[0] = e[:, 0]
-        for t in range(1, longest):
-            alpha[t] = np.where(live[:, t, None], np.logaddexp(alpha[t - 1][:, :1] + step[0], alpha[t - 1][:, 1:] + step[1]) + e[:, t], alpha[t - 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = beta[t + 1] + e[:, t + 1]
-            beta[t] = np.where(live[:, t + 1, None], np.logaddexp(nxt[:, :1] + step[:, 0], nxt[:, 1:] + step[:, 1]), beta[t + 1])
-        z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        node = np.exp(alpha + beta - z[None, :, None]).transpose(1, 0, 2) * live[..., None]
-        edge = np.zeros((2, 2))
+        alpha, beta, last = np.zeros((longest, n, 2)), np.zeros((longest, n, 2)), np.zeros((n, 2))
+        alpha[0] = last[:] = e[0]
         for t in range(1, longest):
-            p = np.exp(alpha[t - 1][:, :, None] + step[None] + (e[:, t] + beta[t])[:, None, :] - z[:, None, None])
-            edge += (p * (live[:, t] * share)[:, None, None]).sum(0)
-        gradient = np.concatenate([(seen - np.einsum("ntf,nti,n->fi", x, node, share)).ravel(), (pair - edge).ravel()]) - shrink * theta
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+            k = many[t]
+            a = alpha[t - 1, :k]
+            alpha[t, :k] = last[:k] = np.logaddexp(a[:, :1] + step[0], a[:, 1:] + step[1]) + e[t, :k]
+        edge, z = np.zeros((2, 2)), np.logaddexp(last[:, 0], last[:, 1])
+        for t in range(longest - 1, 0, -1):
+            k = many[t]
+            nxt = beta[t, :k] + e[t, :k]
+            beta[t - 1, :k] = np.logaddexp(nxt[:, :1] + step[:, 0], nxt[:, 1:] + step[:, 1])
+            edge += np.einsum("nij,n->ij", np.exp(alpha[t - 1, :k, :, None] + step + nxt[:, None, :] - z[:k, None, None]), share[:k])
+        node = np.exp(alpha + beta - z[None, :, None]) * live[..., None]
+        return np.concatenate([(seen - np.einsum("tnf,tni,n->fi", x, node, share)).ravel(), (pair - edge).ravel()]) - shrink * theta
+
+    theta = _adam(gradient, np.zeros(2 * f + 4), rounds, rate)
     return Field(theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2))
 
 
-def _featurize(max_lines: int):
+def _featurize(max_runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("i").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi, words in hashing.runs(batch.column("t")):
-                lines = Lines(words)
-                raw = [lines.features[b : min(c, b + max_lines)].tobytes() for b, c in zip(lines.bounds[:-1], lines.bounds[1:])]
-                yield pa.record_batch({"i": batch.column("i").slice(lo, hi - lo), "quality": batch.column("quality").slice(lo, hi - lo), "x": pa.array(raw, pa.binary())})
+                lines, raw, cut = Lines(words), [], []
+                for d in range(hi - lo):
+                    first = np.arange(lines.bounds[d], lines.bounds[d + 1], RUN)
+                    if len(first) > max_runs:
+                        drawn = hashing.mix(ids[lo + d] + np.arange(len(first), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        first = np.sort(first[np.argsort(drawn, kind="stable")[:max_runs]])
+                    spans = [(a, min(a + RUN, lines.bounds[d + 1])) for a in first.tolist()]
+                    raw.append(b"".join(np.column_stack([lines.features[a:b], lines.n_words[a:b]]).tobytes() for a, b in spans))
+                    cut.append([int(b - a) for a, b in spans])
+                yield pa.record_batch({"i": batch.column("i").slice(lo, hi - lo), "quality": batch.column("quality").slice(lo, hi - lo), "x": pa.array(raw, pa.binary()), "cut": pa.array(cut, pa.list_(pa.int32()))})
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Field | None:
-    """Fit on labelled documents; None if there are none of both labels. Null labels don't count."""
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_runs: int = MAX_RUNS) -> Field | None:
+    """Fit on labelled documents; None if there are none of both labels.
+
+    Null labels and ids don't count; of several labels of an id the smallest does, and of several
+    texts of an id one does, the same in every run. Labels without a document have no effect.
+    """
     bound_batches(docs.sparkSession)
-    some = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("i")).agg(F.min(F.col(label).cast("int")).alias("quality"))
+    some = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{id}`").isNotNull()).groupBy(F.col(f"`{id}`").cast("long").alias("i")).agg(F.min(F.col(f"`{label}`").cast("int")).alias("quality"))
     some = some.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(some), "i")
-    found = sorted(rows.select("i", "t", "quality").mapInArrow(_featurize(max_lines), "i long, quality int, x binary").limit(2 * max_labelled).collect(), key=lambda r: (r["i"], r["x"]))
+    once = rows.select("i", "t", "quality").mapInArrow(_featurize(max_runs), "i long, quality int, x binary, cut array<int>").groupBy("i").agg(F.min(F.struct("x", "cut", "quality")).alias("r"))
+    found = [r["r"] for r in once.orderBy("i").collect()]  # at most max_labelled rows
     if {r["quality"] for r in found} != {0, 1}:
         return None
-    texts = [np.frombuffer(r["x"], np.float64).reshape(-1, len(FEATURES)) for r in found]
-    return fit(texts, [np.full(len(x), r["quality"]) for x, r in zip(texts, found)])
+    runs, documents, whole = [], [], []
+    for d, r in enumerate(found):
+        lines = np.frombuffer(r["x"], np.float64).reshape(-1, len(FEATURES) + 1)
+        for part in np.split(lines, np.cumsum(r["cut"])[:-1]):
+            runs.append(part)
+            documents.append(d)
+            whole.append(r["quality"])
+    documents, whole = np.array(documents), np.array(whole)
+    features = [r[:, :-1] for r in runs]
+    return fit(features, line_labels(features, [r[:, -1] for r in runs], documents, whole), shares(documents, whole))
 
 
 _QUALITY = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "content_words": pa.int64(), "content_share": pa.float64(), "labels": pa.binary()}
