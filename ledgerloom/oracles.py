@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerloom.spoiled import CASES
+
 
 def money(c: str) -> str:
     return f"(CASE WHEN {c} < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', abs({c}) // 100) || '.' || lpad(CAST(abs({c}) % 100 AS VARCHAR), 2, '0'))"
@@ -144,6 +146,39 @@ LEDGER = {
     "required_evidence": "SELECT scenario_id, 'get_account_summary' AS tool_name, '' AS argument FROM client UNION ALL SELECT scenario_id, 'list_open_invoices', '' FROM client UNION ALL SELECT scenario_id, 'list_unapplied_sources', '' FROM tot WHERE cash <> 0 OR credit <> 0 UNION ALL SELECT scenario_id, 'get_invoice', id FROM ifact WHERE status = 'overdue'",
     "behaviours": "SELECT 'pass1' AS pass_label, b AS behaviour, CAST(p AS BIGINT) AS present, CAST(a AS BIGINT) AS applicable FROM (SELECT count(*) AS n, count_if(ni > 0) AS i, count_if(np + nc > 0) AS u FROM owed), LATERAL (VALUES ('greets the client by name', n, n), ('itemizes open invoices with issue and due dates', i, i), ('explains unapplied cash or credit in place', u, u), ('invites reconciliation in the closing', 0, n)) AS v(b, p, a)",
 }
+# Sentences that are wrong in known ways: what each must come to, by case.
+_CASES = "(VALUES " + ", ".join(f"('{c}', {2 if two else 1}, '{kind}', '{role}', '{status}')" for c, (_, two, kind, role, status) in CASES.items()) + ") AS v(\"case\", needs, type, role, status)"
+_FIRST = """, o AS (
+  SELECT scenario_id, max(opened) FILTER (n = 1) AS i, max(cents) FILTER (n = 1) AS face, max(applied) FILTER (n = 1) AS used, max(opened) FILTER (n = 2) AS j
+  FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY pos) AS n FROM ifact WHERE opened > 0) GROUP BY 1
+) """
+_CENTS = {
+    "open_right": "i", "open_wrong": "i + 100", "open_usd": "i", "open_dollars": "i", "open_commas": "i // 100 * 100 + 100000000", "open_plain": "i", "open_grouped": "i", "open_words": "309900", "original_right": "face", "original_wrong": "face + 1",
+    "applied_right": "used", "applied_wrong": "used + 1", "unbound": "77", "received_wrong": "77", "remit_right": "net", "remit_wrong": "net + 1", "total_wrong": "net + 1", "subtotal_right": "i + j", "subtotal_wrong": "i + j + 1",
+}
+_RIGHT = "CASE WHEN ambiguous THEN '{}' ELSE '{}' END"
+_PASSED = (_RIGHT.format("abstain", "human_gate"), _RIGHT.format("ambiguous allocation", "all checks passed"))
+LEDGER |= {
+    "spoiled_claims": _FIRST + 'SELECT scenario_id, "case", type, role, CAST(CASE "case" ' + " ".join(f"WHEN '{c}' THEN {x}" for c, x in _CENTS.items()) + f" END AS BIGINT) AS cents, status FROM o JOIN tot USING (scenario_id) JOIN owed USING (scenario_id), {_CASES} WHERE needs <= ni",
+    "spoiled_decisions": f"""SELECT scenario_id, "case", CAST(r AS INTEGER) AS revision_index,
+        CASE WHEN status = 'fail' AND r = 0 THEN 'revise' ELSE 'escalate' END AS action,
+        CASE WHEN status <> 'fail' THEN 'unverifiable quantitative claim' WHEN r = 0 THEN 'correctable code-check failure' ELSE 'revision budget exhausted' END AS reason
+        FROM owed, {_CASES}, (VALUES (0), (2)) AS w(r) WHERE needs <= ni AND status <> 'pass'""",
+    "fuzzy_decisions": f"""SELECT scenario_id, "case", CAST(r AS INTEGER) AS revision_index,
+        CASE "case" WHEN 'supported' THEN {_PASSED[0]} WHEN 'unsupported' THEN CASE r WHEN 0 THEN 'revise' ELSE 'escalate' END ELSE 'escalate' END AS action,
+        CASE "case" WHEN 'supported' THEN {_PASSED[1]} WHEN 'unsupported' THEN CASE r WHEN 0 THEN 'unsupported fuzzy claim' ELSE 'unsupported fuzzy claim after revision' END ELSE 'fuzzy claim cannot be determined from the records' END AS reason
+        FROM sig, (VALUES ('supported'), ('uncited'), ('miscited'), ('unsupported'), ('unsure'), ('failed')) AS v("case"), (VALUES (0), (1)) AS w(r)""",
+    "content_decisions": f""", c AS (
+        SELECT scenario_id, "case", ambiguous, ni >= 2 AND np + nc = 0 AND "case" = 'originals' AND EXISTS (SELECT 1 FROM ifact i WHERE i.scenario_id = owed.scenario_id AND opened > 0 AND applied > 0) AS contradicts,
+          "case" = 'bare' AND ni > 0 OR np + nc > 0 AS incomplete FROM owed JOIN sig USING (scenario_id), (VALUES ('bare'), ('originals')) AS v("case"))
+        SELECT scenario_id, "case", CASE WHEN ambiguous THEN 'abstain' WHEN contradicts OR incomplete THEN 'revise' ELSE 'human_gate' END AS action,
+          CASE WHEN ambiguous THEN 'ambiguous allocation' WHEN contradicts THEN 'itemized amounts contradict the computed totals' WHEN incomplete THEN 'draft is missing required content' ELSE 'all checks passed' END AS reason FROM c""",
+    "run_rounds": "SELECT scenario_id, 0 AS revision_index, CASE WHEN ambiguous THEN 'abstain' ELSE 'revise' END AS action, CASE WHEN ambiguous THEN 'ambiguous allocation' ELSE 'correctable code-check failure' END AS reason, ambiguous AS terminal FROM sig UNION ALL SELECT scenario_id, 1, 'human_gate', 'all checks passed', true FROM sig WHERE NOT ambiguous",
+    "fabricate_id": """, g AS (SELECT scenario_id, draft, (SELECT list(id) FROM inv i WHERE i.scenario_id = golden.scenario_id) AS ids FROM golden), f AS (
+        SELECT scenario_id, draft, list_sort(list_transform(list_filter(ids, lambda x: strpos(draft, x) > 0), lambda x: {'at': strpos(draft, x), 'id': x}))[1] AS r,
+          list_filter(list_transform(range(1000), lambda n: 'INV-9' || lpad(CAST(n AS VARCHAR), 3, '0')), lambda x: NOT list_contains(ids, x) AND strpos(draft, x) = 0)[1] AS k FROM g)
+        SELECT scenario_id, CASE WHEN r IS NOT NULL THEN substr(draft, 1, r.at - 1) || k || substr(draft, r.at + length(r.id)) END AS draft FROM f""",
+}
 # A log of scores, generations and decisions read out of the event table.
 _LOG = """WITH score AS (
   SELECT event_id AS o, ['pass1', 'pass2', 'pass2R'][1 + event_id % 3] AS pass_label, 'S-' || user_id AS scenario_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS terminal_action FROM events

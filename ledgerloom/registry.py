@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import spoiled
 from ledgerloom.functions import money, text
 from ledgerloom.operators import checks, corrupt, gate, ledger, memory, oracle, render, reports, score, stats, tools
 from ledgerloom.operators.extract import detect, extract_claims
@@ -227,6 +228,45 @@ def _error_decisions(x: Ledger) -> DataFrame:
 _on_ledger("injected_errors")(lambda x: reports.injected_errors(rounds.errors_run(render.golden(ledger.view(x)))))
 
 
+# Drafts and sentences that are wrong in known ways.
+@_on_ledger("spoiled_claims")
+def _spoiled_claims(x: Ledger) -> DataFrame:
+    drafts = saved(spoiled.sentences(ledger.view(x)).withColumnRenamed("sentence", "draft"), "drafts")
+    checked = checks.check_claims(extract_claims(drafts), drafts).where("type <> 'C-EXIST'").drop(SID)
+    return checked.join(drafts.select("draft_id", SID, "case"), "draft_id").select(SID, "case", "type", "role", "cents", F.coalesce("result.status", F.lit("none")).alias("status"))
+
+
+def _with_revisions(drafts: DataFrame, *revisions: int) -> DataFrame:
+    """Each draft as each of these revisions."""
+    each = drafts.withColumn("revision_index", F.explode(F.array(*map(F.lit, revisions))))
+    return each.withColumn("draft_id", F.concat_ws("/", SID, "case", "revision_index"))
+
+
+@_on_ledger("spoiled_decisions")
+def _spoiled_decisions(x: Ledger) -> DataFrame:
+    """Drafts of one sentence that doesn't pass, first and when the budget is spent."""
+    wrong = [name for name, case in spoiled.CASES.items() if case[-1] != "pass"]
+    drafts = spoiled.sentences(ledger.view(x)).where(F.col("case").isin(wrong)).withColumnRenamed("sentence", "draft")
+    drafts = saved(_with_revisions(drafts, 0, gate.BUDGET), "drafts")
+    return rounds.verify(drafts)[2].drop(SID, "revision_index").join(drafts.select("draft_id", SID, "case", "revision_index"), "draft_id").select(SID, "case", "revision_index", "action", "reason")
+
+
+@_on_ledger("content_decisions")
+def _content_decisions(x: Ledger) -> DataFrame:
+    drafts = saved(spoiled.with_content(ledger.view(x)), "drafts")
+    return rounds.verify(drafts)[2].drop(SID).join(drafts.select("draft_id", SID, "case"), "draft_id").select(SID, "case", "action", "reason")
+
+
+@_on_ledger("fuzzy_decisions")
+def _fuzzy_decisions(x: Ledger) -> DataFrame:
+    """A right draft with a sentence that no record supports, under each verdict on it, first and once revised."""
+    drafts = _golden(x).withColumn("draft", F.expr(corrupt.inject_fuzzy())).withColumn("case", F.explode(F.array(*map(F.lit, spoiled.VERDICTS))))
+    drafts = saved(_with_revisions(drafts, 0, gate.FUZZY_BUDGET), "drafts")
+    claims = saved(extract_claims(drafts), "claims")
+    checked = saved(checks.check_claims(claims, drafts, spoiled.verdicts(claims, drafts)), "checked")
+    return gate.decide(drafts, checked).drop(SID, "revision_index").join(drafts.select("draft_id", SID, "case", "revision_index"), "draft_id").select(SID, "case", "revision_index", "action", "reason")
+
+
 @_on_ledger("gaps")
 def _gaps(x: Ledger) -> DataFrame:
     return gate.aggregate_gaps(gate.derive_gaps(rounds.verify(_golden(x))[2])).select("missing", "gap_count")
