@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +94,42 @@ def prompt(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
     return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def sections(template: str) -> tuple[str, str]:
+    """The texts after the lines [SYSTEM] and [USER] of a template."""
+    found = {name: text.strip() for name, text in re.findall(r"^\[([A-Z]+)\][ \t]*$(.*?)(?=^\[[A-Z]+\][ \t]*$|\Z)", template, re.M | re.S)}
+    if not {"SYSTEM", "USER"} <= set(found):
+        raise ValueError("a template needs the lines [SYSTEM] and [USER]")
+    return found["SYSTEM"], found["USER"]
+
+
+def exemplars_block(texts: Column, header: str = "Replies that reviewers approved:") -> Column:
+    """Approved replies, numbered; empty without any. texts: an array of strings."""
+    each = F.transform(texts, lambda x, i: F.concat(F.format_string("--- EXAMPLE %d START ---\n", i + 1), F.btrim(x, F.lit(" \t\r\n")), F.format_string("\n--- EXAMPLE %d END ---", i + 1)))
+    return F.when(F.size(texts) > 0, F.concat(F.lit(header + "\n"), F.array_join(each, "\n"))).otherwise("")
+
+
+def correction_block(text: Column, header: str = "Your last draft has errors:", close: str = "Mend these only and leave all else as it is.") -> Column:
+    """What a revision has to mend; empty without."""
+    told = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    return F.when(told != "", F.concat(F.lit(header + "\n"), told, F.lit("\n" + close))).otherwise("")
+
+
+def draft_prompt(template: str, block: Column, exemplars: Column, correction: Column) -> Column:
+    """struct<system, user>: the drafter's prompt, for {{ledger_block}}, {{exemplars_block}} and {{correction_block}}."""
+    system, user = sections(template)
+    return F.struct(F.lit(system).alias("system"), prompt(F.lit(user), {"ledger_block": block, "exemplars_block": exemplars_block(exemplars), "correction_block": correction_block(correction)}).alias("user"))
+
+
+def claim_prompt(template: str, records: Column, sentence: Column) -> Column:
+    """struct<system, user>: the verifier's prompt on one sentence, which sees nothing else of its draft."""
+    system, user = sections(template)
+    return F.struct(F.lit(system).alias("system"), prompt(F.lit(user), {"ledger_records": records, "claim_sentence": sentence}).alias("user"))
+
+
+def judge_prompt(template: str, block: Column, *drafts: Column) -> Column:
+    """struct<system, user>: the judge's prompt on one draft ({{draft}}), or on two ({{draft_1}}, {{draft_2}})."""
+    system, user = sections(template)
+    names = ["draft"] if len(drafts) == 1 else [f"draft_{i}" for i in range(1, len(drafts) + 1)]
+    return F.struct(F.lit(system).alias("system"), prompt(F.lit(user), {"ledger_block": block, **dict(zip(names, drafts))}).alias("user"))

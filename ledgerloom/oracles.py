@@ -136,8 +136,13 @@ LEDGER = {
     "truth_sets": ", every AS (SELECT scenario_id, cents AS x FROM doc UNION SELECT scenario_id, opened FROM ifact UNION SELECT scenario_id, opened FROM sfact UNION SELECT scenario_id, unnest([open_total, cash, credit, net]) FROM tot)"
     " SELECT e.scenario_id, count(*) AS figures, CAST(sum(x) AS BIGINT) AS figure_sum FROM every e JOIN tot t USING (scenario_id) WHERE x <> 0 OR net = 0 GROUP BY ALL",
     "break_sum": "SELECT scenario_id, regexp_replace(draft, '(balance due on your account is )[^ ]*[.]' || chr(10), '\\1' || " + money("net + 1000") + " || '.' || chr(10)) AS draft FROM golden",
-    "inject_fuzzy": "SELECT scenario_id, draft || chr(10) || CASE length(draft) % 2 WHEN 0 THEN 'Your account manager approved a waiver of the late fees on this balance.' ELSE 'As we discussed by phone, we will hold this invoice until next quarter.' END AS draft FROM golden",
-    "error_decisions": "SELECT scenario_id, error, action FROM sig JOIN owed USING (scenario_id), (VALUES ('break_sum', 'revise', 0), ('fabricate_id', 'escalate', 1), ('inject_fuzzy', 'escalate', 0)) AS v(error, action, needs) WHERE needs <= ni",
+    "inject_fuzzy": "SELECT scenario_id, draft || chr(10) || chr(10) || CASE length(draft) % 2 WHEN 0 THEN 'Your account manager approved a waiver of the late fees on this balance.' ELSE 'As we discussed by phone, we will hold this invoice until next quarter.' END AS draft FROM golden",
+    "error_decisions": """, e AS (
+        SELECT scenario_id, v.*, ambiguous, ni > 0 AS listed, cash > 0 AS loose, credit > 0 AS credited, EXISTS (SELECT 1 FROM ifact i WHERE i.scenario_id = sig.scenario_id AND opened > 0 AND applied > 0) AS partly
+        FROM sig JOIN owed USING (scenario_id) JOIN tot USING (scenario_id), (VALUES ('clean', 0, 'human_gate'), ('fabricate_id', 1, 'escalate'), ('break_sum', 1, 'revise'), ('T2-SUM-IGNORES-UNAPPLIED', 2, 'revise'),
+          ('T2-FULL-ORIGINAL-AMOUNTS', 2, 'revise'), ('T2-CREDITS-ASSUMED-APPLIED', 2, 'revise'), ('ambiguous', 3, 'abstain'), ('inject_fuzzy', 4, 'escalate')) AS v(error, tier, action))
+        SELECT scenario_id, error, tier, CASE WHEN error = 'T2-CREDITS-ASSUMED-APPLIED' AND ambiguous THEN 'abstain' ELSE action END AS action, error <> 'clean' AS caught FROM e
+        WHERE CASE error WHEN 'clean' THEN NOT ambiguous WHEN 'ambiguous' THEN ambiguous WHEN 'fabricate_id' THEN listed WHEN 'T2-SUM-IGNORES-UNAPPLIED' THEN loose WHEN 'T2-FULL-ORIGINAL-AMOUNTS' THEN partly WHEN 'T2-CREDITS-ASSUMED-APPLIED' THEN credited ELSE true END""",
     "gaps": "SELECT 'allocation_reference' AS missing, count(*) AS gap_count FROM sig WHERE ambiguous HAVING count(*) > 0",
     "precheck_abstain": "SELECT scenario_id, 'abstain' AS action, 'ambiguous allocation' AS reason FROM sig WHERE ambiguous",
     "memory_kept": f", m AS (SELECT 'mem-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS entry_id, c_custkey AS o, {_BITS} AS class_key FROM sig JOIN client USING (scenario_id) WHERE pool = 'A') SELECT entry_id, class_key FROM (SELECT *, row_number() OVER (PARTITION BY class_key ORDER BY o DESC, entry_id DESC) AS n FROM m) WHERE n <= 3",
@@ -179,6 +184,9 @@ LEDGER |= {
           list_filter(list_transform(range(1000), lambda n: 'INV-9' || lpad(CAST(n AS VARCHAR), 3, '0')), lambda x: NOT list_contains(ids, x) AND strpos(draft, x) = 0)[1] AS k FROM g)
         SELECT scenario_id, CASE WHEN r IS NOT NULL THEN substr(draft, 1, r.at - 1) || k || substr(draft, r.at + length(r.id)) END AS draft FROM f""",
 }
+LEDGER["draft_prompt"] = ", b AS (" + LEDGER["ledger_block"] + """) SELECT scenario_id, 'You draft replies.' AS system, 'Records:' || chr(10) || block
+    || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || 'Replies that reviewers approved:' || chr(10) || '--- EXAMPLE 1 START ---' || chr(10) || 'One.' || chr(10) || '--- EXAMPLE 1 END ---' || chr(10) || '--- EXAMPLE 2 START ---' || chr(10) || 'For ' || scenario_id || chr(10) || '--- EXAMPLE 2 END ---' ELSE '' END
+    || CASE WHEN n % 3 = 0 THEN chr(10) || chr(10) || 'Your last draft has errors:' || chr(10) || 'The total is wrong.' || chr(10) || 'Mend these only and leave all else as it is.' ELSE '' END AS "user" FROM (SELECT *, CAST(substr(scenario_id, 3) AS BIGINT) AS n FROM b)"""
 # A log of scores, generations and decisions read out of the event table.
 _LOG = """WITH score AS (
   SELECT event_id AS o, ['pass1', 'pass2', 'pass2R'][1 + event_id % 3] AS pass_label, 'S-' || user_id AS scenario_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS terminal_action FROM events

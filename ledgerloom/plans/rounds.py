@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.checks import check_claims
-from ledgerloom.operators.corrupt import EXPECTED, variants
+from ledgerloom.operators.corrupt import variants
 from ledgerloom.operators.extract import extract_claims
 from ledgerloom.operators.gate import BUDGET, decide, precheck
-from ledgerloom.schema import CODE_TYPES
 from ledgerloom.sources.shared import saved
 
 #: A model at the boundary: from requests (key, prompt) to (key, output, ok). Offline it is a table.
@@ -131,19 +130,16 @@ def step_problem(step: str = "step") -> str:
 def errors_run(drafts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Each error in each draft, and clean controls, through one verification: scenario_id, error, tier, action, reason, kinds, caught.
 
-    caught: the decision is what the error should lead to, with a finding of its kind; for a clean
-    control, that it is flagged.
+    caught, by tier: a clean control that isn't left for approval (so flagged wrongly); a spoiled or
+    misread draft that is sent back, escalated or abstained from; an ambiguous scenario that is
+    abstained from or escalated; a fuzzy claim that is sent back or escalated with a finding.
     """
     rows = saved(variants(drafts).withColumn("revision_index", F.lit(0)), "variants")
     _, _, decisions = verify(rows, verdicts)
-    kinds = F.transform("findings", lambda f: f["kind"])
-    found = decisions.join(rows.select("draft_id", "error", "tier"), "draft_id").withColumn("kinds", kinds)
-    amount = F.array_contains("kinds", "c_amt_fail") | F.array_contains("kinds", "c_sum_fail")
-    kind = {"swap_amount": amount, "fabricate_id": F.array_contains("kinds", "c_exist_fail"), "break_sum": F.array_contains("kinds", "c_sum_fail"), "inject_fuzzy": F.size("kinds") > 0}
-    caught = F.when(F.col("error") == "clean", F.col("action").isin("revise", "escalate"))
-    for name, test in kind.items():
-        right = F.col("action").isin("revise", "escalate") if name == "inject_fuzzy" else F.col("action") == EXPECTED[name][1]
-        caught = caught.when(F.col("error") == name, test & right)
+    found = decisions.join(rows.select("draft_id", "error", "tier"), "draft_id").withColumn("kinds", F.transform("findings", lambda f: f["kind"]))
+    action = lambda *names: F.col("action").isin(*names)
+    caught = F.when(F.col("tier") == 0, ~action("human_gate")).when(F.col("tier").isin(1, 2), action("revise", "escalate", "abstain"))
+    caught = caught.when(F.col("tier") == 3, action("abstain", "escalate")).otherwise(action("revise", "escalate") & (F.size("kinds") > 0))
     return found.select("draft_id", "scenario_id", "error", "tier", "action", "reason", "kinds", caught.alias("caught"))
 
 
@@ -154,8 +150,3 @@ def recovery_bench(errors: DataFrame, prompt_arm: DataFrame, agentic_arm: DataFr
     one = prompt_arm.select("draft_id", ok.alias("prompt_recovered"), F.col("llm_calls").alias("prompt_llm_calls"))
     two = agentic_arm.select("draft_id", ok.alias("agentic_recovered"), F.col("llm_calls").alias("agentic_llm_calls"), F.col("tool_calls").alias("agentic_tool_calls"), F.col("forced_final").alias("agentic_forced_final"), F.col("coverage_forced").alias("agentic_coverage_forced"))
     return cases.join(one, "draft_id", "left").join(two, "draft_id", "left")
-
-
-def deterministic(checked: DataFrame) -> DataFrame:
-    """Claims that code alone settles."""
-    return checked.where(F.col("type").isin(*CODE_TYPES))

@@ -111,6 +111,18 @@ def _prompt(x: Ledger) -> DataFrame:
     return ledger.view(x).select(SID, shown.alias("prompt"))
 
 
+_TEMPLATE = "Notes.\n[SYSTEM]\nYou draft replies.\n\n[USER]\nRecords:\n{{ledger_block}}\n\n{{exemplars_block}}\n\n{{correction_block}}\n"
+
+
+@_on_ledger("draft_prompt")
+def _draft_prompt(x: Ledger) -> DataFrame:
+    """The drafter's prompt; every second scenario has two examples, every third a correction."""
+    n = F.substring(SID, 3, 20).cast("long")
+    examples = F.when(n % 2 == 0, F.array(F.lit("One. \n"), F.concat(F.lit("For "), SID))).otherwise(F.array().cast("array<string>"))
+    made = render.draft_prompt(_TEMPLATE, F.col("block"), examples, F.when(n % 3 == 0, F.lit("\nThe total is wrong.\n")))
+    return render.ledger_block(x).select(SID, made.alias("p")).select(SID, "p.system", "p.user")
+
+
 # Scalar functions over the ledger's figures.
 _on_ledger("money_render")(lambda x: ledger.totals(x).select(SID, F.expr(money.render("net_balance")).alias("shown"), F.expr(money.render("(-net_balance - 7)")).alias("negative")))
 _on_ledger("money_parse")(lambda x: ledger.totals(x).select(SID, F.expr(money.parse_dollars(money.render("net_balance"))).alias("parsed"), F.expr(money.parse_dollars("'$1,25.00'")).alias("odd"), F.expr(money.parse_dollars("'1250.5'")).alias("tenths")))
@@ -221,8 +233,8 @@ _on_ledger("fabricate_id")(lambda x: _golden(x).select(SID, F.expr(corrupt.fabri
 @_on_ledger("error_decisions")
 def _error_decisions(x: Ledger) -> DataFrame:
     """What becomes of drafts with errors whose outcome doesn't depend on chance figures."""
-    found = rounds.errors_run(render.golden(ledger.view(x)))
-    return found.where(F.col("error").isin("break_sum", "fabricate_id", "inject_fuzzy")).select(SID, "error", "action")
+    found = rounds.errors_run(render.golden(ledger.view(x))).where(F.col("error") != "swap_amount")
+    return found.select(SID, "error", "tier", "action", "caught")
 
 
 _on_ledger("injected_errors")(lambda x: reports.injected_errors(rounds.errors_run(render.golden(ledger.view(x)))))

@@ -14,19 +14,35 @@ HUMAN_ACTIONS = ("approve", "edit", "decline")
 POOLS = ("A", "B")
 NET = "NET"
 CUTOFF_DAYS = 5
-EVENT_KEYS = {
-    "run_start": ("pass_label", "seed", "git_sha", "model_draft", "model_verify", "model_judge", "config_hash", "pool", "memory_state_hash"),
-    "generation": ("gen_id", "scenario_id", "pool", "pass_label", "ledger_ref", "prompt_sha", "draft", "revision_index", "is_first_pass", "generation_mode"),
-    "verification": ("gen_id", "claims", "decision"),
-    "human_decision": ("gen_id", "scenario_id", "pool", "action", "final_text", "reason", "decided_at"),
-    "capability_gap": ("gen_id", "scenario_id", "missing", "detail", "would_need", "resolvable_by"),
-    "ingest": ("consumed_through_offset", "entries_added", "entries_evicted", "memory_state_hash"),
-    "score": ("gen_id", "scenario_id", "pass_label", "stage", "grounding_checked", "grounding_total", "completeness_present", "completeness_total", "revision_count", "terminal_action"),
-    "judgment": ("gen_id", "pair_id", "mode", "ordering", "scores", "verdict", "prompt_sha", "parse_ok", "judge_model"),
-    "tool_call": ("gen_id", "revision_index", "round_index", "call_index", "tool_name", "arguments", "result", "ok", "error"),
-    "trace": ("task", "prompt_sha", "prompt", "output", "model_name", "attempt", "ok", "error", "meta"),
+#: Event types, their keys and the keys' types; a question mark is for keys that may be left out.
+EVENT_TYPES = {
+    "run_start": "pass_label:str seed:int git_sha:str model_name:str model_digest:str config_hash:str pool:str memory_state_hash:str",
+    "generation": "gen_id:str scenario_id:str pool:str pass_label:str ledger_ref:str prompt_sha:str draft:str revision_index:int is_first_pass:bool generation_mode?:str",
+    "verification": "gen_id:str claims:list decision:object",
+    "human_decision": "gen_id:str scenario_id:str pool:str action:str final_text:str reason:str decided_at?:str",
+    "capability_gap": "gen_id:str scenario_id:str missing:str detail:str would_need:str resolvable_by:str",
+    "ingest": "consumed_through_offset:int entries_added:int entries_evicted:int memory_state_hash:str",
+    "score": "gen_id:str scenario_id:str pass_label:str stage:str grounding_checked:int grounding_total:int completeness_present:int completeness_total:int revision_count:int terminal_action:str",
+    "judgment": "gen_id?:str pair_id?:str mode:str ordering?:str scores?:object verdict?:str prompt_sha:str parse_ok:bool judge_model?:str",
+    "tool_call": "gen_id:str revision_index:int round_index:int call_index:int tool_name:str arguments?:object result?:object ok:bool error?:str",
+    "trace": "task:str prompt_sha:str prompt:str output:str model_name:str attempt:int ok:bool error?:str meta?:object",
 }
-EVENT_BASE = ("event_type", "schema_version", "ts", "run_id")
+EVENT_BASE = "event_type:str schema_version?:int ts?:str run_id?:str"
+#: Keys whose values are of a closed vocabulary.
+EVENT_VALUES = {
+    ("generation", "generation_mode"): ("prompt_initial", "prompt_revision", "agentic_recovery"), ("human_decision", "action"): HUMAN_ACTIONS, ("score", "stage"): ("first_pass", "final"),
+    ("capability_gap", "missing"): ("allocation_reference", "unverifiable_quant", "ambiguous_reference", "document_absent", "other"), ("capability_gap", "resolvable_by"): ("human", "tool", "records", "nobody"), ("judgment", "mode"): ("rubric", "pairwise"),
+}
+
+
+def event_keys(event_type: str) -> dict[str, tuple[str, bool]]:
+    """Type and whether it must be there, of each key of an event."""
+    out = {}
+    for part in f"{EVENT_BASE} {EVENT_TYPES[event_type]}".split():
+        name, kind = part.split(":")
+        out[name.rstrip("?")] = (kind, not name.endswith("?"))
+    return out
+
 
 _S, _L, _D, _I = T.StringType(), T.LongType(), T.DateType(), T.IntegerType()
 

@@ -6,16 +6,23 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.schema import EVENT_BASE, EVENT_KEYS
+from ledgerloom.schema import EVENT_TYPES, EVENT_VALUES, event_keys
 
 
 def read_lines(spark: SparkSession, path: str, start_offset: int = 0) -> DataFrame:
-    """offset, line for every line that isn't blank; blank ones take an offset. Exact for one file; a log is one file by nature."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("offset", "line"))
+    """offset, line for every line that isn't blank; blank ones take an offset. Exact for one file; a log is one file by nature.
+
+    The file is read in splits: lines are numbered within each, and splits by the lines before them.
+    """
+    raw = spark.read.text(path, lineSep="\n")
+    raw = raw.select(F.col("value").alias("line"), raw.metadataColumn("_metadata").getField("file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    sums = raw.groupBy("split").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    numbered = raw.withColumn("n", F.row_number().over(Window.partitionBy("split").orderBy("at")) - 1).join(sums.select("split", before.alias("before")), "split")
+    lines = numbered.select((F.col("before") + F.col("n")).alias("offset"), "line")
     return lines.where((F.trim("line") != "") & (F.col("offset") >= start_offset))
 
 
@@ -26,13 +33,31 @@ def read_events(spark: SparkSession, path: str, event_type: str, schema: str, st
     return rows.select("offset", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("e")).select("offset", "e.*")
 
 
+_VARIANT = {"str": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "list": "ARRAY", "object": "OBJECT"}
+_JSON = {"str": "string", "int": "integer", "bool": "boolean", "list": "array", "object": "object"}
+
+
+def _map(rows: dict, value) -> Column:
+    return F.create_map(*(x for k, v in rows.items() for x in (F.lit(k), value(v))))
+
+
 def problems(lines: DataFrame) -> DataFrame:
-    """offset, line, event_type, problem (null if none) against the closed schema."""
-    keys = F.json_object_keys("line")
-    known = F.create_map(*(x for t, k in EVENT_KEYS.items() for x in (F.lit(t), F.array(*(F.lit(c) for c in (*EVENT_BASE, *k))))))
-    rows = lines.withColumn("event_type", F.get_json_object("line", "$.event_type")).withColumn("keys", keys).withColumn("known", F.try_element_at(known, F.col("event_type")))
-    more = F.array_except("keys", "known")
-    problem = F.when(F.col("keys").isNull(), "not a JSON object").when(F.col("known").isNull(), "unknown event type").when(F.size(more) > 0, F.concat(F.lit("unknown keys: "), F.array_join(more, ", ")))
+    """offset, line, event_type, problem (null if none) against the closed schema: keys, value types and vocabularies."""
+    keys = {t: event_keys(t) for t in EVENT_TYPES}
+    kinds = _map(keys, lambda k: _map(k, lambda v: F.lit(_VARIANT[v[0]])))
+    must = _map(keys, lambda k: F.array(*(F.lit(c) for c, (_, needed) in k.items() if needed)))
+    words = _map({f"{t}.{k}": v for (t, k), v in EVENT_VALUES.items()}, lambda v: F.array(*map(F.lit, v)))
+    rows = lines.withColumn("v", F.expr("try_parse_json(line)")).withColumn("event_type", F.get_json_object("line", "$.event_type"))
+    rows = rows.withColumn("given", F.expr("transform(map_entries(try_variant_get(v, '$', 'map<string,variant>')), e -> struct(e.key as key, schema_of_variant(e.value) as kind, try_variant_get(e.value, '$', 'string') as text))"))
+    rows = rows.withColumn("kinds", F.try_element_at(kinds, "event_type")).withColumn("must", F.try_element_at(must, "event_type")).withColumn("words", words)
+    names = "transform(given, g -> g.key)"
+    more, less = F.expr(f"array_sort(filter({names}, k -> not map_contains_key(kinds, k)))"), F.expr(f"filter(must, k -> not array_contains({names}, k))")
+    odd = F.expr("transform(filter(given, g -> not startswith(g.kind, kinds[g.key])), g -> g.key)")
+    unknown = F.expr("transform(filter(given, g -> map_contains_key(words, concat(event_type, '.', g.key)) and not array_contains(words[concat(event_type, '.', g.key)], g.text)), g -> concat(g.key, '=', g.text))")
+    told = lambda text, column: F.concat(F.lit(text), F.array_join(column, ", "))
+    problem = F.when(F.col("given").isNull(), "not a JSON object").when(F.col("kinds").isNull(), "unknown event type")
+    for text, column in (("unknown keys: ", more), ("missing keys: ", less), ("wrong types: ", odd), ("unknown values: ", unknown)):
+        problem = problem.when(F.size(column) > 0, told(text, column))
     return rows.select("offset", "line", "event_type", problem.alias("problem"))
 
 
@@ -44,7 +69,16 @@ def validated(lines: DataFrame) -> DataFrame:
 
 def event_schema() -> dict:
     """The closed schema as JSON Schema."""
-    return {"oneOf": [{"type": "object", "properties": {k: ({"const": t} if k == "event_type" else {}) for k in (*EVENT_BASE, *keys)}, "required": list(EVENT_BASE), "additionalProperties": False} for t, keys in EVENT_KEYS.items()]}
+
+    def one(event_type: str) -> dict:
+        keys = event_keys(event_type)
+        kinds = {k: {"const": event_type} if k == "event_type" else {"type": _JSON[kind]} for k, (kind, _) in keys.items()}
+        for (t, k), words in EVENT_VALUES.items():
+            if t == event_type:
+                kinds[k]["enum"] = list(words)
+        return {"type": "object", "properties": kinds, "required": [k for k, (_, needed) in keys.items() if needed], "additionalProperties": False}
+
+    return {"oneOf": [one(t) for t in EVENT_TYPES]}
 
 
 def canonical(event: dict) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import ledger
 from ledgerloom.schema import LABELS, LEDGER, POOLS
 from ledgerloom.sources.tables import Ledger
 
@@ -53,11 +54,31 @@ def ledger_ref(nested: DataFrame) -> DataFrame:
     return nested.select("scenario_id", F.substring(F.sha2(F.to_json(F.struct(*(F.col(f.name) for f in LEDGER))), 256), 1, 16).alias("ref"))
 
 
+#: Fixtures are a test pool, a file each; more ledgers belong in a table.
+MOST_FIXTURES = 10_000
+
+
 def write_fixtures(nested: DataFrame, folder: str) -> None:
-    """Nested ledgers as JSON lines and an index with labels and refs."""
-    nested.select(*(f.name for f in LEDGER)).write.mode("overwrite").json(f"{folder}/ledgers")
-    index = nested.select("scenario_id", "pool", "structure_labels").join(ledger_ref(nested), "scenario_id")
-    index.write.mode("overwrite").json(f"{folder}/index")
+    """Nested ledgers as <scenario_id>.json and an index.json of labels and refs, as load_pool() reads them.
+
+    They are audited first: the labels must be those of the figures, and there may be no problems.
+    """
+    spark = nested.sparkSession
+    books = from_documents(nested)
+    named = ledger.signature(books).select("scenario_id", F.array_sort("labels").alias("found")).join(nested.select("scenario_id", F.array_sort("structure_labels").alias("told")), "scenario_id")
+    wrong = [r["scenario_id"] for r in named.where("found <> told").limit(5).collect()] + [r["scenario_id"] for r in ledger.validate(books).limit(5).collect()]
+    if wrong:
+        raise ValueError(f"ledgers that aren't what they are labelled, or have problems: {wrong}")
+    index = nested.select("scenario_id", "pool", "structure_labels").join(ledger_ref(nested), "scenario_id").select(F.to_json(F.struct("scenario_id", "pool", "structure_labels", "ref")).alias("row"), "scenario_id")
+    rows = nested.select("scenario_id", F.to_json(F.struct(*(f.name for f in LEDGER))).alias("text")).join(index, "scenario_id").orderBy("scenario_id").limit(MOST_FIXTURES + 1).collect()
+    if len(rows) > MOST_FIXTURES:
+        raise ValueError(f"more than {MOST_FIXTURES} fixtures")
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in [*((r["scenario_id"], r["text"]) for r in rows), ("index", "[" + ",\n".join(r["row"] for r in rows) + "]")]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
 
 def generate(spark: SparkSession, scenarios: int, seed: int = 7) -> DataFrame:

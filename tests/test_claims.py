@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import gate, ledger, oracle, render, score
+from ledgerloom.operators import corrupt, gate, ledger, oracle, render, score
 from ledgerloom.operators.checks import check_claims
 from ledgerloom.operators.extract import extract_claims
 from ledgerloom.plans import rounds
@@ -152,3 +152,51 @@ def test_rounds_stop(spark, books):
     assert run(bad, good) == [(0, "revise", gate.CORRECTABLE), (1, "human_gate", gate.PASSED)]
     assert run(bad, bad, good) == [(0, "revise", gate.CORRECTABLE), (1, "escalate", gate.LOOP)]
     assert run(bad, worse, good + "\nINV-1012 is paid.")[-1] == (2, "escalate", gate.EXHAUSTED)
+
+
+@pytest.mark.parametrize(("cents", "want"), [(123456, 132456), (100, 10), (1123, 1213), (5, None), (777, None), (0, None), (-120, None), (21, 12), (1121, 1211), (200, 20), (10, 1)])
+def test_transposed_digits(spark, cents, want):
+    """The first two different neighbours behind the leading digit; only if there are none, the leading pair."""
+    assert spark.range(1).select(F.expr(corrupt.transpose(f"{cents}L"))).first()[0] == want
+
+
+def test_errors_and_their_tiers(spark, books):
+    scenarios = render.golden(ledger.view(books))
+    got = {(r.scenario_id, r.error): r for r in rounds.errors_run(scenarios).collect()}
+    good = {r.scenario_id: r for r in scenarios.collect()}
+    texts = {(r.scenario_id, r.error): r.draft for r in corrupt.variants(scenarios).collect()}
+    assert ("S-2", "clean") not in got and ("S-1", "ambiguous") not in got  # S-2 is the ambiguous one
+    assert not got["S-1", "clean"].caught and got["S-2", "ambiguous"].caught and got["S-2", "ambiguous"].action == "abstain"
+    assert all(r.caught for (_, error), r in got.items() if error != "clean")
+    assert {r.tier for r in got.values()} == {0, 1, 2, 3, 4}
+    swapped = texts["S-1", "swap_amount"]
+    changed = [(a, b) for a, b in zip(good["S-1"].draft.split(), swapped.split()) if a != b]
+    assert len(changed) == 1 and sorted(changed[0][0]) == sorted(changed[0][1]) and changed[0][0].startswith("$")
+    assert got["S-1", "swap_amount"].action == "revise" and got["S-1", "fabricate_id"].action == "escalate"
+    fake = set(texts["S-1", "fabricate_id"].split()) - set(good["S-1"].draft.split())
+    assert fake == {"INV-9000"}
+    told = {(r.scenario_id, r.error): r.prompt for r in corrupt.misreading_requests(scenarios.withColumn("prompt", F.lit("Draft."))).collect()}
+    assert set(told) == {k for k in texts if k[1] in corrupt.DIRECTIVES} and all(p.startswith("Draft.\n\nIMPORTANT OVERRIDE: ") for p in told.values())
+
+
+def test_failed_subjects_and_recovery(spark, books):
+    text = "INV-1012 is overdue. INV-1011 was issued for $1.00. INV-1012 is settled. INV-9 is odd."
+    drafts = ledger.view(books).where("scenario_id = 'S-1'").withColumns({"draft": F.lit(text), "draft_id": F.lit("d")})
+    checked = check_claims(extract_claims(drafts), drafts)
+    assert [r.subjects for r in rounds.failed_subjects(checked).collect()] == [["INV-1012", "INV-1011"]]
+    errors = spark.createDataFrame([("a", "S-1", "swap_amount", "revise", "r"), ("b", "S-1", "fabricate_id", "escalate", "r"), ("c", "S-1", "break_sum", "revise", "r")], "draft_id string, scenario_id string, error string, action string, reason string")
+    prompted = spark.createDataFrame([("a", "human_gate", 1), ("c", "escalate", 2)], "draft_id string, action string, llm_calls int")
+    agentic = spark.createDataFrame([("a", "human_gate", 3, 4, False, False)], "draft_id string, action string, llm_calls int, tool_calls int, forced_final boolean, coverage_forced boolean")
+    got = {r.draft_id: r for r in rounds.recovery_bench(errors, prompted, agentic).collect()}
+    assert set(got) == {"a", "c"} and got["a"].prompt_recovered and got["a"].agentic_recovered and got["a"].agentic_tool_calls == 4
+    assert not got["c"].prompt_recovered and got["c"].agentic_recovered is None
+
+
+def test_prompts(spark):
+    template = "About.\n\n[SYSTEM]\nBe right.\n\n[USER]\nSentence: {{claim_sentence}}\n\n\n{{ledger_records}}\n"
+    row = spark.range(1).select(render.claim_prompt(template, F.lit("R"), F.lit("It is so.")).alias("p")).first().p
+    assert (row.system, row.user) == ("Be right.", "Sentence: It is so.\n\nR")
+    two = "[SYSTEM]\nJudge.\n[USER]\n{{ledger_block}}|{{draft_1}}|{{draft_2}}"
+    assert spark.range(1).select(render.judge_prompt(two, F.lit("L"), F.lit("a"), F.lit("b")).alias("p")).first().p.user == "L|a|b"
+    with pytest.raises(ValueError):
+        render.sections("[SYSTEM]\nonly")

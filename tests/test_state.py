@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger, memory, reports, stats, tools
 from ledgerloom.plans import rounds
-from ledgerloom.schema import LABELS
+from ledgerloom.schema import EVENT_TYPES, EVENT_VALUES, LABELS, event_keys
 from ledgerloom.sources import events, fixtures
 from ledgerloom.sources.tables import order_ledger
 from ledgerloom.streaming.ingest import entries, ingest_stream
@@ -116,18 +116,32 @@ def test_ingest_stream_adds_nothing_twice(spark, tmp_path):
     assert (counts.consumed_through_offset, counts.added, counts.declined) == (7, 4, 1)
 
 
+def event(kind, **given):
+    """A right event: a value of its type for each key that must be there."""
+    sample = {"str": "x", "int": 1, "bool": True, "list": [], "object": {}}
+    values = {key: sample[type_] for key, (type_, needed) in event_keys(kind).items() if needed} | {k: v[0] for (t, k), v in EVENT_VALUES.items() if t == kind}
+    return values | {"event_type": kind, "run_id": "r"} | given
+
+
 def test_event_log(spark, tmp_path):
-    base = {"schema_version": 1, "ts": "2026-01-01T00:00:00Z", "run_id": "r"}
-    lines = [events.canonical({**base, "event_type": "trace", "task": "draft", "ok": True, "error": None}), "", events.canonical({**base, "event_type": "score", "gen_id": "g"})]
+    lines = [events.canonical(event("trace", error=None)), "", events.canonical(event("score", gen_id="g"))]
     path = tmp_path / "log.jsonl"
     path.write_text("\n".join(lines) + "\n")
     assert [r.offset for r in events.read_lines(spark, str(path)).orderBy("offset").collect()] == [0, 2]
     got = events.read_events(spark, str(path), "score", "run_id string, gen_id string").collect()
     assert [(r.offset, r.gen_id) for r in got] == [(2, "g")]
     assert events.read_lines(spark, str(path), 1).count() == 1 and events.line_count(events.read_lines(spark, str(path))) == 3
-    path.write_text(json.dumps({**base, "event_type": "score", "odd": 1}) + "\n{")
-    assert {r.problem for r in events.problems(events.read_lines(spark, str(path))).collect()} == {"unknown keys: odd", "not a JSON object"}
+    bad = {
+        "not a JSON object": "{", "unknown event type": json.dumps({"event_type": "odd"}), "unknown keys: odd": json.dumps(event("score", odd=1)), "missing keys: gen_id": json.dumps({k: v for k, v in event("ingest").items()} | {"event_type": "verification", "claims": [], "decision": {}}),
+        "wrong types: grounding_total, seed": "", "unknown values: stage=middle": json.dumps(event("score", stage="middle")), "wrong types: grounding_total": json.dumps(event("score", grounding_total="3")), "wrong types: ok": json.dumps(event("tool_call", ok=None)),
+    }
+    bad["missing keys: gen_id"] = json.dumps({k: v for k, v in event("verification").items() if k != "gen_id"})
+    del bad["wrong types: grounding_total, seed"]
+    path.write_text("\n".join([*bad.values(), *(json.dumps(event(t)) for t in EVENT_TYPES)]))
+    found = {r.offset: r.problem for r in events.problems(events.read_lines(spark, str(path))).collect()}
+    assert [found[i] for i in range(len(bad))] == list(bad) and len(found) == len(bad) + 10 and set(found.values()) == {*bad, None}
     with pytest.raises(Exception, match="unknown keys"):
+        path.write_text(json.dumps(event("score", odd=1)))
         events.read_events(spark, str(path), "score", "gen_id string").collect()
     table = str(tmp_path / "table")
     for part in (["a", "b"], ["c"]):
@@ -140,6 +154,20 @@ def test_event_log(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])["run_id"] == "r"
 
 
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    """Offsets are those of the file, blank lines and long ones too, whatever the splits."""
+    lines = ["" if i % 7 == 3 else f"{i} " + "x" * (i % 50) for i in range(5000)]
+    path = tmp_path / "long.txt"
+    path.write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+        got = {r.offset: r.line for r in events.read_lines(spark, str(path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: x for i, x in enumerate(lines) if x}
+
+
 def test_generated_ledgers_have_their_structure(spark, tmp_path):
     nested = fixtures.generate(spark, 60)
     books = fixtures.from_documents(nested)
@@ -148,8 +176,13 @@ def test_generated_ledgers_have_their_structure(spark, tmp_path):
     assert got.where("labels <> structure_labels").count() == 0
     assert ledger.totals(books).select("scenario_id", "net_balance").exceptAll(ledger.naive_net(books)).count() == 0
     fixtures.write_fixtures(nested, str(tmp_path / "f"))
-    again = spark.read.json(str(tmp_path / "f/index"))
-    assert again.count() == 60 and again.select("ref").distinct().count() == 60
+    index = json.loads((tmp_path / "f/index.json").read_text())
+    assert len(index) == 60 and len({r["ref"] for r in index}) == 60
+    for pool in "AB":
+        again = fixtures.load_pool(spark, str(tmp_path / "f"), pool).drop("place")
+        assert again.exceptAll(nested.where(F.col("pool") == pool).select(again.columns)).count() == 0 and again.count() == 30
+    with pytest.raises(ValueError, match="labelled"):
+        fixtures.write_fixtures(nested.withColumn("structure_labels", F.array(F.lit("ambiguous"))), str(tmp_path / "g"))
     folder = tmp_path / "single"
     folder.mkdir()
     for row in nested.limit(3).toJSON().collect():
