@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import LABELS
+from ledgerloom.sources.shared import saved
 
 CAP = 3
 WEIGHTS = {"edit": 2.0, "approve": 1.0}
@@ -45,9 +46,9 @@ def retrieve(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """
     if k <= 0:
         return queries.select("query_id", F.lit(0).alias("place"), F.lit("").alias("entry_id")).where("false")
-    if (n := memory.count()) > CAP * 2 ** len(LABELS):
+    own = saved(memory.select("entry_id", "weight", "ingested_offset", class_key().alias("m_class"), *(F.col(c).alias(f"m_{c}") for c in LABELS)), "store")
+    if (n := own.count()) > CAP * 2 ** len(LABELS):
         raise ValueError(f"{n} entries are more than a store holds; take kept() of them")
-    own = memory.select("entry_id", "weight", "ingested_offset", class_key().alias("m_class"), *(F.col(c).alias(f"m_{c}") for c in LABELS))
     # Scenarios of one class retrieve the same entries: rank once for each class.
     classes = queries.select(class_key().alias("class"), *LABELS).distinct()
     pairs = classes.join(F.broadcast(own)).withColumn("shared", overlap("", "m_")).withColumn("exact", F.col("class") == F.col("m_class")).where("shared > 0 or exact")

@@ -130,8 +130,8 @@ def apply_decisions(pending: DataFrame, asked: DataFrame, failing: DataFrame) ->
 
 
 def fixed3(column: str) -> str:
-    """SQL: three decimals, n/a for NaN."""
-    return f"if(isnan({column}), 'n/a', format_string('%.3f', {column}))"
+    """SQL: three decimals, n/a for NaN and null."""
+    return f"if({column} is null or isnan({column}), 'n/a', format_string('%.3f', {column}))"
 
 
 def cell(value: object) -> str:
@@ -147,20 +147,60 @@ def markdown(df: DataFrame, order: list[str]) -> str:
 INJECTION = "<!-- results:"
 
 
-def write_all(reports: dict[str, DataFrame], order: dict[str, list[str]], folder: str) -> list[str]:
-    """Write each report as <name>.md, with equal bytes for equal figures; text that holds an injection mark is refused."""
+#: The fixed set of reports: name, title, and what it says as long as there is nothing to report.
+REPORTS = {
+    "before_after": ("First drafts by pass", "No first-pass scores are logged yet."),
+    "injected_errors": ("Injected errors", "No errors were injected yet."),
+    "capability_gaps": ("Capability gaps", "No gaps are logged yet."),
+    "calibration": ("Agreement of the judge with people", "No judge scores were compared yet."),
+    "pairwise": ("Drafts in pairs, in both orders", "No pairs were judged yet."),
+    "trace_stats": ("Model calls", "No calls are logged yet."),
+    "oracle_crosscheck": ("Gate and independent judgement", "No drafts were cross-checked yet."),
+    "agentic_recovery": ("Recovery by prompt and with tools", "No recoveries were compared yet."),
+}
+
+
+def report_set(found: dict[str, list[tuple[DataFrame, list[str]]]]) -> dict[str, str]:
+    """All reports as Markdown: a title and a table for each (figures, order); the placeholder where all figures are empty."""
+    if unknown := set(found) - set(REPORTS):
+        raise ValueError(f"unknown reports: {sorted(unknown)}")
+    out = {}
+    for name, (title, placeholder) in REPORTS.items():
+        tables = [markdown(df, order) for df, order in found.get(name, ()) if not df.isEmpty()]
+        out[name] = "\n\n".join([f"# {title}", *(tables or [placeholder])]) + "\n"
+    return out
+
+
+def log_reports(scores: DataFrame, errors: DataFrame, gaps: DataFrame, agreement: DataFrame, pairs: DataFrame, traces: DataFrame, checked: DataFrame, cases: DataFrame) -> dict[str, str]:
+    """The eight reports from their inputs: score events, rows of rounds.errors_run, derived gaps, an agreement report,
+    verdicts on pairs, trace events, rows of crosscheck() and of rounds.recovery_bench. Any may be empty."""
+    from ledgerloom.operators.gate import aggregate_gaps
+
+    shown = agreement.select("measure", "n", *(F.expr(fixed3(c)).alias(c) for c in ("statistic", "lo", "hi")), F.expr(fixed3("pabak")).alias("pabak"), F.expr(fixed3("raw_agreement")).alias("raw_agreement"))
+    some = lambda df, rows: df.where("false") if rows.isEmpty() else df  # noqa: E731  sums over nothing are a row too
+    verdicts = checked.groupBy("agree").agg(F.count("*").alias("drafts"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("agree"), F.col("gen_id")))), ", ").alias("disagreements"))
+    return report_set({
+        "before_after": [(before_after(scores).select("pass_label", "scenarios", "grounding", "completeness", "revision_count"), ["pass_label"]), (action_histogram(scores), ["pass_label", "place"]), (paired(scores).where("paired").select("scenario_id", "change"), ["scenario_id"])],
+        "injected_errors": [(injected_errors(errors), ["tier"]), (errors.select("tier", "error", "scenario_id", "action", "reason", "caught"), ["tier", "error", "scenario_id"])],
+        "capability_gaps": [(aggregate_gaps(gaps).select("missing", "gap_count", F.array_join("draft_ids", ", ").alias("draft_ids")), ["missing"])],
+        "calibration": [(shown, ["measure"])],
+        "pairwise": [(some(pairwise(pairs), pairs), ["pairs"])],
+        "trace_stats": [(trace_stats(traces), ["task"])],
+        "oracle_crosscheck": [(verdicts, ["agree"])],
+        "agentic_recovery": [(some(recovery(cases), cases), ["cases"]), (cases.select("draft_id", "failure_kind", "prompt_recovered", "agentic_recovered", "agentic_llm_calls", "agentic_tool_calls", "agentic_forced_final"), ["draft_id"])],
+    })
+
+
+def write_reports(texts: dict[str, str], folder: str) -> list[str]:
+    """Write each text as <name>.md; one that holds an injection mark is refused before anything is written."""
     from pathlib import Path
 
-    out = []
-    for name in sorted(reports):
-        text = markdown(reports[name], order[name]) + "\n"
-        if INJECTION in text:
-            raise ValueError(f"{name} holds an injection mark")
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        path = Path(folder) / f"{name}.md"
-        path.write_text(text, encoding="utf-8")
-        out.append(str(path))
-    return out
+    if bad := [name for name, text in texts.items() if INJECTION in text]:
+        raise ValueError(f"reports that hold an injection mark: {bad}")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for name, text in sorted(texts.items()):
+        (Path(folder) / f"{name}.md").write_text(text, encoding="utf-8")
+    return [str(Path(folder) / f"{name}.md") for name in sorted(texts)]
 
 
 def inject(text: str, blocks: dict[str, str]) -> str:

@@ -69,14 +69,20 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, by: list[str] | None = None) ->
     return whole.select(*by, "n", F.when(below == 0, NAN).otherwise(F.col("balance2") / 2 / F.sqrt(below)).alias("tau_b"))
 
 
+#: Indices that the driver draws at most.
+MOST_DRAWS = 2_000_000
+
+
 def resamples(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
     """Rows of df drawn with replacement, once for each boot. For small tables: n_boot x n indices come from the driver."""
     if n_boot <= 0:
         raise ValueError("n_boot must be positive")
     spark = df.sparkSession
-    rows = df.orderBy(*keys).collect()
+    rows = df.orderBy(*keys).limit(MOST_DRAWS // n_boot + 1).collect()
     if not rows:
         raise ValueError("no ratings")
+    if len(rows) * n_boot > MOST_DRAWS:
+        raise ValueError("too many ratings to draw from on the driver; use hashed_resamples")
     draw = random.Random(seed)
     picks = [(b, draw.randrange(len(rows))) for b in range(n_boot) for _ in rows]
     numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))

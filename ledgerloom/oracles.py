@@ -187,6 +187,9 @@ LEDGER |= {
 LEDGER["draft_prompt"] = ", b AS (" + LEDGER["ledger_block"] + """) SELECT scenario_id, 'You draft replies.' AS system, 'Records:' || chr(10) || block
     || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || 'Replies that reviewers approved:' || chr(10) || '--- EXAMPLE 1 START ---' || chr(10) || 'One.' || chr(10) || '--- EXAMPLE 1 END ---' || chr(10) || '--- EXAMPLE 2 START ---' || chr(10) || 'For ' || scenario_id || chr(10) || '--- EXAMPLE 2 END ---' ELSE '' END
     || CASE WHEN n % 3 = 0 THEN chr(10) || chr(10) || 'Your last draft has errors:' || chr(10) || 'The total is wrong.' || chr(10) || 'Mend these only and leave all else as it is.' ELSE '' END AS "user" FROM (SELECT *, CAST(substr(scenario_id, 3) AS BIGINT) AS n FROM b)"""
+LEDGER["recovery_loop"] = """, r AS (SELECT scenario_id, CAST(substr(scenario_id, 3) AS BIGINT) % 4 AS w, CAST(2 + (cash <> 0 OR credit <> 0)::INTEGER AS INTEGER) AS n FROM tot)
+    SELECT scenario_id, CASE w WHEN 2 THEN '' ELSE 'done' END AS text, CASE w WHEN 0 THEN 2 ELSE 3 END AS llm_calls, CASE w WHEN 0 THEN 3 WHEN 3 THEN 4 ELSE n END AS tool_calls, w <> 0 AS forced_final,
+      CASE w WHEN 1 THEN n - 1 WHEN 2 THEN n ELSE 0 END AS forced_calls, CASE w WHEN 3 THEN 2 ELSE 0 END AS cached_calls FROM r"""
 # A log of scores, generations and decisions read out of the event table.
 _LOG = """WITH score AS (
   SELECT event_id AS o, ['pass1', 'pass2', 'pass2R'][1 + event_id % 3] AS pass_label, 'S-' || user_id AS scenario_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS terminal_action FROM events

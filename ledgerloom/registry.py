@@ -12,7 +12,7 @@ from ledgerloom.functions import money, text
 from ledgerloom.operators import checks, corrupt, gate, ledger, memory, oracle, render, reports, score, stats, tools
 from ledgerloom.operators.extract import detect, extract_claims
 from ledgerloom.oracles import ORACLES as SQL
-from ledgerloom.plans import rounds
+from ledgerloom.plans import recovery, rounds
 from ledgerloom.schema import LABELS
 from ledgerloom.sources.shared import saved
 from ledgerloom.sources.tables import Ledger, order_ledger
@@ -298,6 +298,29 @@ def _evidence(x: Ledger) -> DataFrame:
     return rounds.required_evidence(ledger.view(x).select(SID, "unapplied_cash_total", "unapplied_credit_total"), subjects)
 
 
+@_on_ledger("recovery_loop")
+def _recovery(x: Ledger) -> DataFrame:
+    """Recoveries whose model answers in one of four ways, by the scenario's number."""
+    scenarios = saved(ledger.view(x), "scenarios")
+    cases = scenarios.select(F.col(SID).alias("draft_id"), SID)
+    required = rounds.required_evidence(scenarios.select(SID, "unapplied_cash_total", "unapplied_credit_total"), cases.select(SID, F.lit("").alias("subject")).where("false")).withColumnRenamed(SID, "draft_id")
+    calls = lambda *names: "array(" + ", ".join(f"named_struct('tool_name', '{n}', 'argument', '')" for n in names) + ")"
+    step = lambda kind, calls="null", draft="null": f"named_struct('type', '{kind}', 'calls', {calls}, 'draft', {draft})"
+    summary, invoices, sources = "get_account_summary", "list_open_invoices", "list_unapplied_sources"
+    final = step("final", draft="' done '")
+    answers = {
+        (0, 0): step("tools", calls(summary, invoices, sources)), (0, 1): final, (1, 0): final, (1, 1): step("tools", calls(summary)), (1, 2): final,
+        (2, 0): step("odd"), (2, 2): step("tools", calls(summary)), (3, 0): step("tools", calls(summary, summary, summary)), (3, 1): step("tools", calls("no_such_tool", invoices, sources)), (3, 2): final,
+    }
+    kind = "struct<type:string,calls:array<struct<tool_name:string,argument:string>>,draft:string>"
+    way = f"cast(substring({SID}, 3, 20) as bigint) % 4"
+    each = ", ".join(f"if({way} = {w}, named_struct('step', {n}, 'answer', cast({a} as {kind})), null)" for (w, n), a in answers.items())
+    given = cases.select("draft_id", SID, F.explode(F.expr(f"array({each})")).alias("s")).where("s is not null").select("draft_id", "s.step", "s.answer")
+    known = cases.select(SID, F.explode(F.array(*map(F.lit, (summary, invoices, sources)))).alias("tool_name"), F.lit("").alias("argument"))
+    found = recovery.recover(cases, required, given, known)
+    return found.select(SID, "text", "llm_calls", "tool_calls", "forced_final", F.size("coverage_forced").alias("forced_calls"), F.size(F.filter("calls", lambda c: c["cached"])).alias("cached_calls"))
+
+
 _on_ledger("behaviours")(lambda x: reports.behaviours(_golden(x).withColumn("pass_label", F.lit("pass1"))))
 
 

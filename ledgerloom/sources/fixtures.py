@@ -46,7 +46,7 @@ def load_pool(spark: SparkSession, folder: str, pool: str) -> DataFrame:
     if pool not in POOLS:
         raise ValueError(f"unknown pool: {pool}")
     index = spark.read.text(f"{folder}/index.json", wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<scenario_id:string,pool:string>>")).alias("place", "x")).select("place", "x.*").where(F.col("pool") == pool)
-    return read_nested(spark, f"{folder}/S-*.json").join(F.broadcast(index.select("place", "scenario_id")), "scenario_id")  # the index of a folder of files
+    return read_nested(spark, f"{folder}/S-*.json").join(index.select("place", "scenario_id"), "scenario_id")
 
 
 def ledger_ref(nested: DataFrame) -> DataFrame:

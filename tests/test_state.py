@@ -6,8 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger, memory, reports, stats, tools
-from ledgerloom.plans import rounds
+from ledgerloom.operators import ledger, memory, render, reports, stats, tools
+from ledgerloom.plans import recovery, rounds
 from ledgerloom.schema import EVENT_TYPES, EVENT_VALUES, LABELS, event_keys
 from ledgerloom.sources import events, fixtures
 from ledgerloom.sources.tables import order_ledger
@@ -154,6 +154,29 @@ def test_event_log(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "manifest")).first()[0])["run_id"] == "r"
 
 
+def test_recoveries_within_their_budget(spark):
+    """Calls beyond six don't run, forced ones neither; a recovery that can't be grounded has no text and is escalated."""
+    call = lambda *names: [(n, "") for n in names]
+    answers = [("a", 0, ("tools", call("x1", "x2", "x3"), None)), ("a", 1, ("tools", call("x4", "x5", "x6"), None)), ("a", 2, ("final", None, "text")), ("b", 0, ("tools", call("need", "NEED"), None)), ("b", 1, ("final", None, " text "))]
+    answers.append(("c", 0, ("tools", call("x1", "x2", "x3", "need"), None)))
+    given = spark.createDataFrame(answers, "draft_id string, step int, answer struct<type:string,calls:array<struct<tool_name:string,argument:string>>,draft:string>")
+    cases = spark.createDataFrame([(d, "S-1") for d in "abc"], "draft_id string, scenario_id string")
+    required = spark.createDataFrame([(d, "need", "") for d in "abc"], "draft_id string, tool_name string, argument string")
+    got = {r.draft_id: r for r in recovery.recover(cases, required, given, spark.createDataFrame([("S-1", "need", "")], "scenario_id string, tool_name string, argument string")).collect()}
+    assert (got["a"].text, got["a"].tool_calls, got["a"].llm_calls, got["a"].calls[-1].error) == ("", 6, 2, recovery.BUDGET_SPENT)
+    assert (got["b"].text, got["b"].forced_final, [c.ok for c in got["b"].calls]) == ("text", False, [True, False])
+    assert (got["c"].tool_calls, got["c"].coverage_forced, got["c"].text) == (1, ["need"], "")  # four calls at once ask for nothing
+
+
+def test_settled_recoveries(spark):
+    nested = fixtures.generate(spark, 3)
+    scenarios = ledger.view(fixtures.from_documents(nested))
+    good = {r.scenario_id: r.draft for r in render.golden(scenarios).collect()}
+    texts = [("good", "S-0", good["S-0"]), ("short", "S-0", "Hello."), ("none", "S-0", "")]
+    got = {r.draft_id: (r.action, r.reason) for r in recovery.settle(spark.createDataFrame(texts, "draft_id string, scenario_id string, text string"), scenarios).collect()}
+    assert got == {"good": ("human_gate", "all checks passed"), "short": ("escalate", recovery.EXHAUSTED), "none": ("escalate", recovery.EXHAUSTED)}
+
+
 def test_lines_of_a_file_in_many_splits(spark, tmp_path):
     """Offsets are those of the file, blank lines and long ones too, whatever the splits."""
     lines = ["" if i % 7 == 3 else f"{i} " + "x" * (i % 50) for i in range(5000)]
@@ -222,9 +245,27 @@ def test_reports_are_stable(spark, tmp_path):
     rows = spark.createDataFrame([(0, False), (0, True), (1, True), (1, True), (2, False)], "tier int, caught boolean")
     found = {r.tier: (r.errors, r.caught, r.sensitivity, r.specificity, r.balanced) for r in reports.injected_errors(rows).collect()}
     assert found == {1: (2, 2, 100, 50, 75), 2: (1, 0, 0, 50, 25)}
-    table = {"errors": reports.injected_errors(rows)}
-    first = [open(p).read() for p in reports.write_all(table, {"errors": ["tier"]}, str(tmp_path))]
-    assert first == [open(p).read() for p in reports.write_all(table, {"errors": ["tier"]}, str(tmp_path))] and "| 1 | 2 |" in first[0]
+    score = "gen_id string, scenario_id string, pass_label string, stage string, grounding_checked int, grounding_total int, completeness_present int, completeness_total int, revision_count int, terminal_action string, offset int"
+    inputs = {
+        "scores": spark.createDataFrame([("g", "S-1", "pass1", "first_pass", 1, 2, 1, 1, 0, "human_gate", 0), ("h", "S-1", "pass2", "first_pass", 2, 2, 1, 1, 0, "human_gate", 1)], score),
+        "errors": rows.select("tier", F.lit("e").alias("error"), F.lit("S-1").alias("scenario_id"), F.lit("revise").alias("action"), F.lit("a|b").alias("reason"), "caught"),
+        "gaps": spark.createDataFrame([("d2", "other"), ("d1", "other")], "draft_id string, missing string"),
+        "agreement": spark.createDataFrame([("tone", 16, 0.5, float("nan"), 1.0, None, 0.25)], "measure string, n int, statistic double, lo double, hi double, pabak double, raw_agreement double"),
+        "pairs": spark.createDataFrame([("b", True), ("tie", False)], "verdict string, flipped boolean"), "traces": spark.createDataFrame([("draft", True, None)], "task string, ok boolean, error string"),
+        "checked": spark.createDataFrame([("g1", True), ("g2", False)], "gen_id string, agree boolean"),
+        "cases": spark.createDataFrame([("c", "break_sum", True, 1, False, 3, 4, True, False)], "draft_id string, failure_kind string, prompt_recovered boolean, prompt_llm_calls int, agentic_recovered boolean, agentic_llm_calls int, agentic_tool_calls int, agentic_forced_final boolean, agentic_coverage_forced boolean"),
+    }
+    first = reports.log_reports(**inputs)
+    again = reports.log_reports(**{k: df.repartition(3) for k, df in inputs.items()})
+    assert list(first) == list(reports.REPORTS) and first == again  # equal bytes, however the rows lie
+    assert "| pass1 | 1 | 1/2 (50%) | 1/1 (100%) | 0 |" in first["before_after"] and "| S-1 | +50pp |" in first["before_after"] and "| 1 | 2 | 2 |" in first["injected_errors"]
+    assert "| other | 2 | d1, d2 |" in first["capability_gaps"] and "| tone | 16 | 0.500 | n/a | 1.000 | n/a | 0.250 |" in first["calibration"] and "| false | 1 | g2 |" in first["oracle_crosscheck"].lower()
+    none = reports.log_reports(**{k: df.where("false") for k, df in inputs.items()})
+    assert all(none[name].endswith(placeholder + "\n") for name, (_, placeholder) in reports.REPORTS.items())
+    paths = reports.write_reports(first, str(tmp_path))
+    assert [open(p).read() for p in paths] == [first[n] for n in sorted(first)]
+    with pytest.raises(ValueError, match="mark"):
+        reports.write_reports({"x": reports.INJECTION}, str(tmp_path))
     text = "a\n<!-- results:errors -->\nold\n<!-- /results:errors -->\nb"
     once = reports.inject(text, {"errors": "new"})
     assert once == reports.inject(once, {"errors": "new"}) and "new" in once and "old" not in once
