@@ -19,10 +19,20 @@ from ledgerloom.llm.warc import read_warc, resolved, write_warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document, at a Jaccard similarity of 0.8 of word 5-shingles.
+
+    Null and wordless texts are alone; repeated rows share a class, of which one row is the
+    representative; null ids are kept. No documents, no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "representative")
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard by its doc_id (law key), and its slot there.
+
+    A null text has size 1; null and repeated ids share a shard, each row with a slot of its own. No
+    documents, no rows.
+    """
     raw = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     eight = {s: 1.0 for s in range(8)}
@@ -30,12 +40,22 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, and the verdict of a field fitted on the labelled documents.
+
+    A null or empty text has no words and fails; without labels of both kinds every line is content.
+    Repeated rows get equal results. No documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_quality(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 35 words that start elsewhere too.
+
+    A null text has no words, and an empty kept text; repeated rows remove each other. No documents,
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept_text", 256).alias("kept_sha256"))
 
@@ -64,22 +84,42 @@ MAX_REPEATS = 1.5
 
 
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight asks, no source over MAX_REPEATS times.
+
+    Null sources are one source; documents without words are dealt like others; a source without
+    words is used once; repeated rows are each used. No documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, max_repeats=MAX_REPEATS).select("doc_id", "source", "mix.tokens", "mix.epoch", "mix.block", "mix.place")
 
 
 def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    A null or empty page has an empty text; null urls are one host; repeated pages count once for the
+    template, and each has its text. No pages, no rows.
+    """
     found = main_text(table(spark, sf_dir, "pages"))
     text = F.array_join("blocks", "\n\n")
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
 def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they and the next document's are.
+
+    A null text is an empty one; null ids come last in the order; repeated rows are documents each. No
+    documents, no rows.
+    """
     found = version_likeness(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_id")
 
 
 def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, crossing ones with the line of their first byte.
+
+    A null or empty text has one empty line without tokens; repeated rows have equal counts. No
+    documents, no rows.
+    """
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +129,11 @@ def op8_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back.
+
+    A null html is an empty payload; of rows with equal payloads and ids one is the response; null ids
+    win over no other. No pages, no rows.
+    """
     folder, manifest = write_warc(table(spark, sf_dir, "pages"))
     found = resolved(read_warc(spark, folder, manifest))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -118,6 +163,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token of every document goes in sequences of 4096.
+
+    A null or empty text has the end token alone; null sources are one queue; repeated rows are packed
+    each. No documents, no rows.
+    """
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
