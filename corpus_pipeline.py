@@ -19,17 +19,20 @@ from ledgerloom.llm.substring import substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The field is fitted on the labelled ones among docs."""
+    """Rejected documents go. The field is fitted on the labelled ones among docs.
+
+    Null, empty and short texts are rejected; without labels of both kinds only base failures are.
+    """
     return line_quality(docs, train(docs, table(spark, sf_dir, "labels"))).where("quality.kept").select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest id."""
+    """One document of each class stays, that with the smallest id; null and wordless texts all stay."""
     return drop_near_duplicates(docs)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under repeated windows go, at all their places; the rest keeps its layout."""
+    """Words under repeated windows go, at all their places; the rest keeps its layout. A null text becomes an empty one."""
     text = F.col("dedup.kept_text")
     found = substring_dedup(docs, layout="original").withColumns({"text": text, "n_chars": F.length(text).cast("long")})
     return found.select(docs.columns)
@@ -42,6 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each time it comes, in sequences of tokens; a null or empty text has the end token alone."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
