@@ -40,8 +40,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of rare sources are repeated up to MAX_REPEATS times, block by block in each epoch's order."""
-    mixed = mix(docs, max_repeats=MAX_REPEATS)
-    return mixed.repartitionByRange("mix.epoch", "mix.place").sortWithinPartitions("mix.epoch", "mix.place").select(docs.columns)
+    order = ("mix.epoch", "mix.place", F.xxhash64("doc_id", "text"))  # the hash parts a block's rows, which are many
+    return mix(docs, max_repeats=MAX_REPEATS).repartitionByRange(*order).sortWithinPartitions(*order).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
