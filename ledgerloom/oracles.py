@@ -190,12 +190,19 @@ LEDGER["draft_prompt"] = ", b AS (" + LEDGER["ledger_block"] + """) SELECT scena
 LEDGER["recovery_loop"] = """, r AS (SELECT scenario_id, CAST(substr(scenario_id, 3) AS BIGINT) % 4 AS w, CAST(2 + (cash <> 0 OR credit <> 0)::INTEGER AS INTEGER) AS n FROM tot)
     SELECT scenario_id, CASE w WHEN 2 THEN '' ELSE 'done' END AS text, CASE w WHEN 0 THEN 2 ELSE 3 END AS llm_calls, CASE w WHEN 0 THEN 3 WHEN 3 THEN 4 ELSE n END AS tool_calls, w <> 0 AS forced_final,
       CASE w WHEN 1 THEN n - 1 WHEN 2 THEN n ELSE 0 END AS forced_calls, CASE w WHEN 3 THEN 2 ELSE 0 END AS cached_calls FROM r"""
+LEDGER |= {
+    "draft_length": "SELECT pool AS pass_label, CAST(sum(length(draft)) // count(*) AS BIGINT) AS mean_chars FROM golden JOIN client USING (scenario_id) GROUP BY 1",
+    "missing_evidence": "SELECT scenario_id, 'get_account_summary' AS tool_name, '' AS argument FROM client WHERE c_custkey % 2 <> 0 UNION ALL SELECT scenario_id, 'list_open_invoices', '' FROM client UNION ALL SELECT scenario_id, 'list_unapplied_sources', '' FROM tot WHERE cash <> 0 OR credit <> 0 UNION ALL SELECT scenario_id, 'get_invoice', id FROM ifact WHERE status = 'overdue' AND pos % 3 <> 0",
+    "random_entries": f", m AS (SELECT * FROM (SELECT 'mem-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS entry_id, row_number() OVER (PARTITION BY {_BITS} ORDER BY c_custkey DESC) AS n FROM sig JOIN client USING (scenario_id) WHERE pool = 'A') WHERE n <= 3)"
+    " SELECT query_id, CAST(place AS INTEGER) AS place, entry_id FROM (SELECT scenario_id AS query_id, entry_id, row_number() OVER (PARTITION BY scenario_id ORDER BY md5('5|' || scenario_id || '|' || entry_id), entry_id) AS place FROM client, m WHERE pool = 'B') WHERE place <= 2",
+}
 # A log of scores, generations and decisions read out of the event table.
 _LOG = """WITH score AS (
   SELECT event_id AS o, ['pass1', 'pass2', 'pass2R'][1 + event_id % 3] AS pass_label, 'S-' || user_id AS scenario_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS terminal_action FROM events
 ), last AS (
   SELECT * FROM score s WHERE NOT EXISTS (SELECT 1 FROM score t WHERE t.pass_label = s.pass_label AND t.scenario_id = s.scenario_id AND t.o > s.o)
 ) """
+_K = "WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) "
 _PAIRS = "FROM labels JOIN documents USING (doc_id)"
 OTHER = {
     "report_before_after": _LOG + f"SELECT pass_label, count(*) AS scenarios, CAST(sum(k % 10) AS BIGINT) AS grounding_checked, CAST(sum(10 + k // 10) AS BIGINT) AS grounding_total, CAST(sum(k % 10) AS BIGINT) || '/' || CAST(sum(10 + k // 10) AS BIGINT) || ' (' || {percent('CAST(sum(k % 10) AS BIGINT)', 'CAST(sum(10 + k // 10) AS BIGINT)')} || ')' AS grounding FROM last GROUP BY 1",
@@ -205,6 +212,23 @@ OTHER = {
     "report_pairwise": f"SELECT count_if(event_type = 'view') AS wins, count_if(event_type NOT IN ('view', 'click')) AS ties, count_if(event_type = 'click') AS losses, count_if(event_type IN ('view', 'click')) AS decisive, count_if(value > 20) AS flips, count(*) AS pairs, {percent('count_if(value > 20)', 'count(*)')} AS flip_rate FROM events",
     "pending_review": "WITH g AS (SELECT event_id // 5 AS gen, max(event_id) FILTER (event_type IN ('view', 'click')) AS v, bool_or(event_type = 'purchase') AS decided FROM events GROUP BY 1) SELECT 'g-' || gen AS gen_id FROM g JOIN events ON event_id = v WHERE event_type = 'view' AND NOT decided",
     "revision_loops": "SELECT run_id, scenario_id, CAST(count_if(again) AS BIGINT) AS loops FROM (SELECT user_id % 7 AS run_id, 'S-' || user_id AS scenario_id, EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_id < e.event_id AND f.props = e.props) AS again FROM events e) GROUP BY ALL",
+    "crosscheck": _K + """, g AS (SELECT event_id // 4 AS g, max(k % 3) FILTER (event_id % 4 = 3) AS v, max(k) FILTER (event_id % 4 = 1) AS one, max(k) FILTER (event_id % 4 = 2) AS two, bool_or(event_id % 8 = 0) AS f FROM e GROUP BY 1)
+        SELECT 'g-' || g AS gen_id, s % 2 = 1 AND s % 3 = 2 AS gate_clean, v = 2 AS oracle_clean, (s % 2 = 1 AND s % 3 = 2) = (v = 2) AS agree FROM (SELECT *, coalesce(two, one) AS s FROM g) WHERE f AND s IS NOT NULL AND v IS NOT NULL""",
+    "recovery_report": _K + f"""SELECT *, CAST(agentic_calls // cases AS VARCHAR) || '.' || (10 * agentic_calls // cases) % 10 AS mean_agentic_calls, CAST(tool_calls // cases AS VARCHAR) || '.' || (10 * tool_calls // cases) % 10 AS mean_tool_calls, {percent('forced_final', 'cases')} AS forced_share
+        FROM (SELECT count(*) AS cases, count_if(event_type = 'view') AS prompt_recovered, count_if(value > 5) AS agentic_recovered, count(*) AS prompt_calls, CAST(sum(1 + k % 3) AS BIGINT) AS agentic_calls, CAST(sum(k % 5) AS BIGINT) AS tool_calls, count_if(k % 2 = 0) AS forced_final, count_if(k % 7 = 0) AS coverage_forced FROM e)""",
+    "apply_decisions": _K + """, d AS (SELECT 'g-' || event_id AS gen_id, CASE event_type WHEN 'click' THEN 'decline' WHEN 'purchase' THEN 'edit' ELSE 'approve' END AS action, k, user_id % 4 <> 0 AS pending FROM e),
+        r AS (SELECT *, CASE WHEN k % 5 <> 0 AND NOT pending THEN 'not pending' WHEN k % 5 <> 0 AND action <> 'decline' AND k % 3 = 0 THEN 'fails a check' END AS refused FROM d)
+        SELECT gen_id, action, refused, CASE WHEN refused IS NOT NULL THEN NULL WHEN action = 'decline' THEN '' WHEN action = 'approve' AND k % 2 = 0 THEN CASE WHEN pending THEN 'draft ' || gen_id END WHEN k % 2 = 0 THEN '' ELSE 'T' END AS sent_text FROM r""",
+    "over_limits": _K + """, c AS (SELECT event_id % 60 AS gen_id, k % 4 - 1 AS round_index, event_id % 3 = 0 AS cached FROM e)
+        SELECT gen_id, 'rounds' AS "limit", count(DISTINCT round_index) AS x FROM c WHERE round_index >= 0 GROUP BY gen_id HAVING count(DISTINCT round_index) > 2
+        UNION ALL SELECT gen_id, 'calls_per_round', count(*) FROM c WHERE NOT cached AND round_index >= 0 GROUP BY gen_id, round_index HAVING count(*) > 3
+        UNION ALL SELECT gen_id, 'executions', count(*) FROM c WHERE NOT cached GROUP BY gen_id HAVING count(*) > 6""",
+    "step_problems": _K + """SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_type NOT IN ('view', 'click') THEN 'type must be tools or final' WHEN event_type = 'view' AND k % 5 = 0 THEN 'a tools step needs calls' WHEN event_type = 'view' AND k % 5 = 4 THEN 'too many calls'
+        WHEN event_type = 'click' AND k % 3 = 0 THEN 'a final step needs a draft' WHEN event_type = 'click' AND k % 5 > 0 THEN 'a final step takes no calls' END AS problem FROM e""",
+    "ingest_counts": "SELECT max(event_id) AS consumed_through_offset, count_if(user_id % 2 = 0 AND event_type <> 'click') AS added, count_if(user_id % 2 = 0 AND event_type = 'click') AS declined FROM events WHERE event_id >= 100",
+    "calibration_items": "WITH d AS (SELECT 'd-' || event_id AS draft_id, event_id % 2 = 0 AS clean FROM events), s AS (SELECT *, CAST(row_number() OVER (PARTITION BY clean ORDER BY md5('3|pick|' || draft_id), draft_id) AS BIGINT) AS n FROM d) SELECT 'C-' || lpad(CAST(row_number() OVER (ORDER BY md5('3|blind|' || draft_id), draft_id) AS VARCHAR), 2, '0') AS item_id, draft_id, clean FROM s WHERE n <= 8",
+    "rubric_rows": _K + ", r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN k % 6 WHEN 1 THEN 2 END AS tone, CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN k % 6 END AS clarity, event_id % 4 = 0 AS acceptable, event_id % 4 < 2 AND k % 6 BETWEEN 1 AND 4 AS ok FROM e) SELECT event_id AS item_id, CASE WHEN ok THEN CAST(tone AS INTEGER) END AS tone, CASE WHEN ok THEN CAST(clarity AS INTEGER) END AS clarity, CASE WHEN ok THEN acceptable END AS acceptable, ok AS parse_ok FROM r",
+    "percentile": "SELECT round(quantile_cont(value, 0.3), 6) AS value FROM events",
     "raw_agreement": f"SELECT lang, count(*) AS n, round(avg(CAST(quality = toxic AS DOUBLE)), 6) AS raw_agreement {_PAIRS} GROUP BY 1",
     "cohen_kappa": f"SELECT lang, n, round((po - pe) / (1 - pe), 6) AS kappa, round(2 * po - 1, 6) AS pabak FROM (SELECT lang, count(*) AS n, avg(CAST(quality = toxic AS DOUBLE)) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe {_PAIRS} GROUP BY 1)",
     "weighted_kappa": f"SELECT lang, round(1 - avg((a - b) * (a - b)) / (avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b)), 6) AS weighted_kappa FROM (SELECT lang, quality + 2 * (doc_id % 2) AS a, toxic + 2 * (doc_id % 2) AS b {_PAIRS}) GROUP BY 1",

@@ -385,6 +385,93 @@ def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.stop_loops(log).groupBy("run_id", SID).agg(_n("action = 'escalate'").alias("loops"))
 
 
+def _k(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+@_query("crosscheck")
+def _crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four events a draft: its generation, two scores of which the last counts, and the independent judgement."""
+    rows = _k(_events(spark, sf_dir)).withColumn("gen_id", F.concat(F.lit("g-"), F.floor(F.col("event_id") / 4).cast("string"))).withColumn("part", F.col("event_id") % 4)
+    generations = rows.where("part = 0").select(F.col("event_id").alias("offset"), "gen_id", (F.col("event_id") % 8 == 0).alias("is_first_pass"))
+    scores = rows.where("part in (1, 2)").select(F.col("event_id").alias("offset"), "gen_id", (F.col("k") % 3).alias("grounding_checked"), (F.col("k") % 2 * 2).alias("grounding_total"))
+    judged = rows.where("part = 3").select("gen_id", (F.col("k") % 3).alias("verified"), F.lit(2).alias("total"))
+    return reports.crosscheck(generations, scores, judged).select("gen_id", "gate_clean", "oracle_clean", "agree")
+
+
+@_query("recovery_report")
+def _recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _k(_events(spark, sf_dir))
+    return reports.recovery(rows.select((F.col("event_type") == "view").alias("prompt_recovered"), (F.col("value") > 5).alias("agentic_recovered"), F.lit(1).alias("prompt_llm_calls"), (1 + F.col("k") % 3).alias("agentic_llm_calls"), (F.col("k") % 5).alias("agentic_tool_calls"), (F.col("k") % 2 == 0).alias("agentic_forced_final"), (F.col("k") % 7 == 0).alias("agentic_coverage_forced")))
+
+
+@_query("apply_decisions")
+def _apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _k(_events(spark, sf_dir)).withColumn("gen_id", F.concat(F.lit("g-"), F.col("event_id").cast("string")))
+    action = F.when(F.col("event_type") == "click", "decline").when(F.col("event_type") == "purchase", "edit").otherwise("approve")
+    asked = rows.select("gen_id", action.alias("action"), F.when(F.col("k") % 2 == 0, "").otherwise("T").alias("final_text"), (F.col("k") % 5 == 0).alias("override"))
+    return reports.apply_decisions(rows.where("user_id % 4 <> 0").select("gen_id", F.concat(F.lit("draft "), "gen_id").alias("draft")), asked, rows.where("k % 3 = 0").select("gen_id"))
+
+
+@_query("over_limits")
+def _over_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _k(_events(spark, sf_dir))
+    calls = rows.select((F.col("event_id") % 60).alias("gen_id"), (F.col("k") % 4 - 1).alias("round_index"), F.col("event_type").alias("tool_name"), F.lit("").alias("argument"), (F.col("event_id") % 3 == 0).alias("cached"))
+    return rounds.over_limits(calls)
+
+
+@_query("step_problems")
+def _step_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of either type with none to four calls, and with a draft or a blank one; some are missing."""
+    kind = F.when(F.col("event_type") == "view", "tools").when(F.col("event_type") == "click", "final").otherwise("odd")
+    step = F.struct(kind.alias("type"), F.expr("slice(array(1, 2, 3, 4), 1, cast(k % 5 as int))").alias("calls"), F.when(F.col("k") % 3 == 0, " ").otherwise("x").alias("draft"))
+    return _k(_events(spark, sf_dir)).select("event_id", F.when(F.col("event_id") % 11 > 0, step).alias("step")).select("event_id", F.expr(rounds.step_problem()).alias("problem"))
+
+
+@_query("ingest_counts")
+def _ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "click", "decline").when(F.col("event_type") == "view", "approve").otherwise("edit")
+    return memory.ingest_counts(_events(spark, sf_dir).select(F.col("event_id").alias("offset"), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("pool"), action.alias("action")), 100)
+
+
+@_query("calibration_items")
+def _calibration_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.calibration_items(_events(spark, sf_dir).select(F.concat(F.lit("d-"), F.col("event_id").cast("string")).alias("draft_id"), (F.col("event_id") % 2 == 0).alias("clean")), 8, 3)
+
+
+@_query("rubric_rows")
+def _rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's answers on and off the scale, without a field, and broken."""
+    text = F.expr("case event_id % 4 when 0 then concat('{\"tone\": ', k % 6, ', \"clarity\": 3, \"acceptable\": true}') when 1 then concat('{\"tone\": 2, \"clarity\": ', k % 6, ', \"acceptable\": false}') when 2 then '{\"tone\": 2, \"clarity\": 3}' else '{\"tone\": 2' end")
+    return stats.rubric_rows(_k(_events(spark, sf_dir)).select(F.col("event_id").alias("item_id"), text.alias("output"))).select("item_id", "scores.tone", "scores.clarity", "scores.acceptable", "parse_ok")
+
+
+@_query("percentile")
+def _percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.percentile(_events(spark, sf_dir), "value", 0.3).select(F.round("value", 6).alias("value"))
+
+
+@_on_ledger("draft_length")
+def _draft_length(x: Ledger) -> DataFrame:
+    return reports.draft_length(_golden(x).withColumn("pass_label", F.col("pool")))
+
+
+@_on_ledger("missing_evidence")
+def _missing_evidence(x: Ledger) -> DataFrame:
+    """What overdue invoices require and some calls have looked up, with other cases of letters; failed calls don't count."""
+    subjects = ledger.invoice_facts(x).where("status = 'overdue'").select(SID, F.col("id").alias("subject"))
+    required = rounds.required_evidence(ledger.view(x).select(SID, "unapplied_cash_total", "unapplied_credit_total"), subjects)
+    one = x.client.select(SID, F.lit("get_account_summary").alias("tool_name"), F.lit(None).cast("string").alias("argument"), (F.substring(SID, 3, 20).cast("long") % 2 == 0).alias("ok"))
+    calls = one.unionByName(x.invoice.where("pos % 3 = 0").select(SID, F.lit("get_invoice").alias("tool_name"), F.lower("id").alias("argument"), F.lit(True).alias("ok")))
+    return rounds.missing_evidence(required, calls)
+
+
+@_on_ledger("random_entries")
+def _random_entries(x: Ledger) -> DataFrame:
+    asks = x.client.where("pool = 'B'").select(F.col(SID).alias("query_id"))
+    return memory.random_entries(asks, memory.kept(_entries(x)), 2, 5).select("query_id", "place", "entry_id")
+
+
 # Agreement of the two labels of documents, by language.
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
