@@ -279,12 +279,12 @@ def _links(member: DataFrame, sets: DataFrame, similarity: float, weighted: bool
 
 def _similarities(pairs: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
     """The sets of u are sent to their v. A v with very many pairs is copied to _FANOUT places, so they aren't one task's."""
-    hot = pairs.groupBy("v").count().where(F.col("count") > _FANOUT * 8).select("v", F.lit(_FANOUT).alias("ways"))
+    hot = saved(pairs.groupBy("v").count().where(F.col("count") > _FANOUT * 8).select("v", F.lit(_FANOUT).alias("ways")), "hot")  # saved, so that Spark can split the join
     spread = saved(pairs.join(hot, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("ways", F.lit(1))).alias("p")), "spread")
     copies = spread.select("v", "p").distinct().join(sets.select(F.col("k").alias("v"), F.col("e").alias("e2"), F.col("c").alias("c2")).hint("merge"), "v")
     both = spread.join(sets.select(F.col("k").alias("u"), F.col("e").alias("e1"), F.col("c").alias("c1")).hint("merge"), "u").join(copies.hint("merge"), ["v", "p"])
     found = saved(both.select("u", "v", "e1", "c1", "e2", "c2").mapInArrow(_compare(weighted), "u long, v long, similarity double, profile array<int>"), "compared")
-    forget(spread)
+    forget(hot, spread)
     return found
 
 
