@@ -104,9 +104,14 @@ def keyed(df: DataFrame, name: str = KEY) -> DataFrame:
     return rows.drop("__file")
 
 
+def column(name: str) -> Column:
+    """The column of this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame, columns: list[str]) -> Column:
     """These columns of docs as one struct ``rest``, so that their names can't clash with an operator's."""
-    return F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in columns)).alias("rest")
+    return F.struct(F.lit(1).alias("__one"), *(column(c) for c in columns)).alias("rest")
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import KEY, forget, keyed, saved
+from ledgerloom.llm.common import KEY, column, forget, keyed, saved
 
 #: Code points to a piece at most; in the first HEAD code points of a text, FINE.
 PIECE, HEAD, FINE = 96, 256, 16
@@ -150,7 +150,7 @@ def version_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     come last, equal ids in the order of the table; each repeated row is a document. A single
     document is its own next. An empty table gives no rows. Columns other than id and text aren't read.
     """
-    base = keyed(docs.select(F.col(f"`{id}`").alias("i"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")), KEY)
+    base = keyed(docs.select(column(id).alias("i"), F.coalesce(column(text).cast("string"), F.lit("")).alias("t")), KEY)
     base = base.select(F.col(KEY).alias("k"), "i", "t")
     # The order of documents: numbered within ranges of ids, the ranges chained by their first rows.
     down = (F.col("i").desc_nulls_last(), F.col("k").asc())

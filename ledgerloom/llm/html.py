@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import bound_batches, forget, packed, saved
+from ledgerloom.llm.common import bound_batches, column, forget, packed, saved
 
 #: A subtree is template if it is on so many different pages of its host or section, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
@@ -270,9 +270,9 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     """
     bound_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c != "blocks"]
-    address = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
+    address = F.coalesce(column(url).cast("string"), F.lit(""))
     pattern = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*/?([^/?#]*)"
-    base = pages.select(F.lower(F.regexp_extract(address, pattern, 1)).alias("host"), F.regexp_extract(address, pattern, 2).alias("section"), F.col(f"`{html}`").cast("string").alias("page"), packed(pages, [c for c in cols if c != html]))
+    base = pages.select(F.lower(F.regexp_extract(address, pattern, 1)).alias("host"), F.regexp_extract(address, pattern, 2).alias("section"), column(html).cast("string").alias("page"), packed(pages, [c for c in cols if c != html]))
     found = base.select("host", "section", "page").mapInArrow(_subtrees, "host string, section string, digest long, whole long")
     counts = saved(found.distinct().groupBy("host", "section", "digest").agg(F.count("*").alias("n")), "subtrees")
     limits = (min_pages, min_share, own_pages, own_share)

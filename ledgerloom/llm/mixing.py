@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import packed, saved
+from ledgerloom.llm.common import column, packed, saved
 from ledgerloom.llm.packing import source_name
 
 BLOCKS = 256
@@ -74,9 +74,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     if (max_repeats is None) == (target_entropy is None):
         raise ValueError("give max_repeats or target_entropy")
     cols = [c for c in docs.columns if c != "mix"]
-    tokens = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(blocks)).cast("int")
-    rows = docs.select(packed(docs, cols), source_name(F.col(f"`{source}`")).alias("s"), block.alias("block"), tokens.alias("tokens"))
+    tokens = F.coalesce(F.regexp_count(column(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
+    block = F.pmod(F.xxhash64(F.lit(seed), column(key)), F.lit(blocks)).cast("int")
+    rows = docs.select(packed(docs, cols), source_name(column(source)).alias("s"), block.alias("block"), tokens.alias("tokens"))
     sums = saved(rows.groupBy("s", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     totals = sums.groupBy("s").agg(F.sum("tokens").alias("total"))
     live = totals.where("total > 0")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import KEY, bound_batches, forget, keyed, list_column, saved
+from ledgerloom.llm.common import KEY, bound_batches, column, forget, keyed, list_column, saved
 from ledgerloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     representative. Null ids sort last. An empty table gives no rows. row_key is that of
     ``common.keyed``; columns other than id and text aren't read.
     """
-    return _classes(keyed(docs.select(F.col(f"`{id}`").alias(id), F.col(f"`{text}`").alias(text)), KEY), id, text, similarity, shingle, weighted, bands, rows)
+    return _classes(keyed(docs.select(column(id).alias(id), column(text).alias(text)), KEY), id, text, similarity, shingle, weighted, bands, rows)
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -212,14 +212,14 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     Nulls, repeated rows and short texts are as in near_duplicates(). All columns are kept.
     """
     own = keyed(docs, KEY)
-    found = _classes(own.select(KEY, F.col(f"`{id}`"), F.col(f"`{text}`")), id, text, similarity, shingle, weighted, bands, rows)
+    found = _classes(own.select(KEY, column(id), column(text)), id, text, similarity, shingle, weighted, bands, rows)
     gone = saved(found.where(~F.col("representative")).select(F.col("row_key").alias(KEY)), "gone")
-    return own.join(gone, KEY, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.join(gone, KEY, "left_anti").select(*(column(c) for c in docs.columns))
 
 
 def _classes(docs: DataFrame, id: str, text: str, similarity: float, shingle: int, weighted: bool, bands: int, rows: int) -> DataFrame:
     bound_batches(docs.sparkSession)
-    base = docs.select(F.col(KEY).alias("k"), F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+    base = docs.select(F.col(KEY).alias("k"), column(id).alias("i"), column(text).cast("string").alias("t"))
     signed = saved(base.select("k", "t").mapInArrow(_sign(shingle, weighted, bands, rows), "k long, digest binary, bands array<long>"), "signatures")
     # Copies: one node each, named by the smallest row key of its set.
     nodes = saved(signed.where("digest is not null").groupBy("digest").agg(F.min("k").alias("node"), F.min_by("bands", "k").alias("bands")), "nodes")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import bound_batches, packed, saved
+from ledgerloom.llm.common import bound_batches, column, packed, saved
 
 LENGTH, END = 4096, 2
 #: Words whose ids a worker remembers; beyond, it forgets them all. Bounds memory, not results.
@@ -334,7 +334,7 @@ def source_name(column: Column) -> Column:
 
 def _queue(docs: DataFrame, source: str, weights: dict[str, float] | None, queues: int) -> Column:
     """The queue of a row. If there are more than ``queues`` sources, those of fewest documents share some."""
-    name = source_name(F.col(f"`{source}`"))
+    name = source_name(column(source))
     sizes = docs.groupBy(name.alias("q")).count()
     most = [r["q"] for r in sizes.orderBy(F.desc("count"), "q").limit(queues + 1).collect()]
     if len(most) <= queues:
@@ -358,7 +358,7 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    base = docs.select(packed(docs, list(keep)), _queue(docs, source, weights, queues).alias("q"), F.col(f"`{text}`").cast("string").alias("t"))
+    base = docs.select(packed(docs, list(keep)), _queue(docs, source, weights, queues).alias("q"), column(text).cast("string").alias("t"))
     kept = base.schema["rest"]
     told = T.StructType([kept, T.StructField("q", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     tokens = saved(base.mapInArrow(_tokenize(tokenizer, by_word, end), told), "tokens")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import bound_batches
+from ledgerloom.llm.common import bound_batches, column
 
 MAX_LABELLED, MAX_RUNS, RUN = 2000, 4, 64
 MIN_SHARE = 0.5
@@ -211,9 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     texts of an id one does, the same in every run. Labels without a document have no effect.
     """
     bound_batches(docs.sparkSession)
-    some = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{id}`").isNotNull()).groupBy(F.col(f"`{id}`").cast("long").alias("i")).agg(F.min(F.col(f"`{label}`").cast("int")).alias("quality"))
+    some = labels.where(column(label).isNotNull() & column(id).isNotNull()).groupBy(column(id).cast("long").alias("i")).agg(F.min(column(label).cast("int")).alias("quality"))
     some = some.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).join(F.broadcast(some), "i")
+    rows = docs.select(column(id).cast("long").alias("i"), column(text).cast("string").alias("t")).join(F.broadcast(some), "i")
     once = rows.select("i", "t", "quality").mapInArrow(_featurize(max_runs), "i long, quality int, x binary, cut array<int>").groupBy("i").agg(F.min(F.struct("x", "cut", "quality")).alias("r"))
     found = [r["r"] for r in once.orderBy("i").collect()]  # at most max_labelled rows
     if {r["quality"] for r in found} != {0, 1}:
@@ -291,7 +291,7 @@ def line_quality(docs: DataFrame, field: Field | None, text: str = "text", min_s
     """
     bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "quality"]
-    base = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"))
+    base = docs.select(column(text).cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(column(c) for c in cols if c != text)).alias("rest"))
     out = base.mapInArrow(_judge(field), T.StructType([base.schema["rest"], T.StructField("t", T.StringType()), T.StructField("quality", QUALITY)]))
     failed = (F.col("quality.n_words") < 50) | (100 * F.col("quality.n_repeat_words") > 50 * F.col("quality.n_words"))
     verdict = F.col("quality").withField("base_failed", failed).withField("kept", ~failed & (F.col("quality.content_share") >= min_share))

@@ -12,6 +12,7 @@ from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.neardup import near_duplicates
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import line_quality, train
+from ledgerloom.llm.secrets import BASE, findings, scan
 from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.substring import substring_dedup
 from ledgerloom.llm.tokens import token_counts
@@ -171,6 +172,53 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, by a ledger of its distinct texts that is empty at first.
+
+    A null text is an empty one without spans; repeated rows have equal findings. No documents, no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = findings(docs, scan(docs)).select("rest.doc_id", "spans")
+    base = F.array(*(F.lit(r.name) for r in BASE))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_base = F.filter("spans", lambda s: F.array_contains(base, s["rule"]))
+    count = lambda name: F.size(F.filter("spans", lambda s: s["rule"] == name)).cast("long").alias(f"n_{name}")
+    return found.select("doc_id", *(count(r.name) for r in BASE), F.sha2(listed(of_base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+#: Kinds in their order, with the pattern, the group whose length counts, and that length. RE2 would fold letters beyond ASCII too.
+_OP13_RULES = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+]
+#: DuckDB takes patterns and groups as constants only, so each kind has a branch.
+_OP13_KIND = """
+  SELECT row, {place} AS place, '{name}' AS kind, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps,
+    list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) AS sizes, list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x) >= {least}) AS good
+  FROM d WHERE regexp_matches(t, '{pattern}')"""
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents
+), kinds AS ({" UNION ALL ".join(_OP13_KIND.format(place=i, name=n, pattern=p, group=g, least=m) for i, (n, p, g, m) in enumerate(_OP13_RULES))}
+), each_match AS (
+  SELECT row, place, kind, gaps, sizes, good, unnest(range(1, len(sizes) + 1)) AS i FROM kinds
+), spans AS (
+  SELECT row, place, kind, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) - sizes[i] AS a, list_sum(gaps[1:i]) + list_sum(sizes[1:i]) AS b FROM each_match WHERE good[i]
+), told AS (
+  SELECT row, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, place) FILTER (place < 3) AS base,
+    string_agg(concat(kind, ':', CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY a, place) AS spans
+  FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (row)
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_rendezvous_sharding": op2_rendezvous_sharding,
@@ -182,8 +230,10 @@ QUERIES = {
     "op8_section_token_counts": op8_section_token_counts,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_mixture_packing": op10_mixture_packing,
+    "op13_blob_ledger_secrets": op13_blob_ledger_secrets,
 }
 ORACLES = {
     "op4_substring_dedup": OP4_SQL,
     "op9_warc_round_trip": OP9_SQL,
+    "op13_blob_ledger_secrets": OP13_SQL,
 }

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import KEY, keyed, packed
+from ledgerloom.llm.common import KEY, column, keyed, packed
 
 #: Parts into which a shard's records are dealt to number them; each is one task's at most.
 SLOT_PARTS = 1024
@@ -41,7 +41,7 @@ def shard(docs: DataFrame, key: list[str], shards: dict[int, float], grown: dict
     added one are replaced; others may have any name.
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    keys = [F.col(f"`{c}`") for c in key]
+    keys = [column(c) for c in key]
     wider = rendezvous(keys, grown) if grown else F.lit(None).cast("int")
     part = F.pmod(F.xxhash64(KEY), F.lit(parts)).cast("int")
     where = keyed(docs, KEY).select(packed(docs, cols), KEY, rendezvous(keys, shards).alias("shard"), wider.alias("grown_shard"), part.alias("part"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import KEY, bound_batches, forget, keyed, packed, saved
+from ledgerloom.llm.common import KEY, bound_batches, column, forget, keyed, packed, saved
 
 WINDOW, ANCHOR = 35, 10
 #: About so many texts of one anchor meet in a block; it bounds a task's memory, not the result.
@@ -285,7 +285,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, a
     bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "dedup"]
     base = keyed(docs, KEY)
-    base = base.select(F.col(KEY).alias("k"), F.col(f"`{text}`").cast("string").alias("t"), packed(docs, [c for c in cols if c != text]))
+    base = base.select(F.col(KEY).alias("k"), column(text).cast("string").alias("t"), packed(docs, [c for c in cols if c != text]))
     anchors = saved(base.select("k", "t").mapInArrow(_emit_anchors(window, anchor), "a long, k long"), "anchors")
     repeated = saved(anchors.groupBy("a").count().where("count > 1").select("a", F.ceil(F.col("count") / group).cast("int").alias("blocks")), "repeated")
     wanted = saved(anchors.join(repeated, "a").groupBy("k").agg(F.collect_list(F.struct("a", "blocks")).alias("anchors")), "wanted")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import hashing
-from ledgerloom.llm.common import bound_batches
+from ledgerloom.llm.common import bound_batches, column
 
 RULES = ("first", "last", "majority", "split")
 _encoders: dict = {}
@@ -130,7 +130,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", s
     bound_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c != "tokens"]
     more = [] if sections is None else [sections.alias("sections")]
-    base = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(F.col(f"`{c}`") for c in cols if c != text)).alias("rest"), *more)
+    base = docs.select(column(text).cast("string").alias("t"), F.struct(F.lit(1).alias("__one"), *(column(c) for c in cols if c != text)).alias("rest"), *more)
     counts = T.StructType([T.StructField("total", T.LongType()), T.StructField("outside", T.DoubleType()), T.StructField("sections", T.ArrayType(T.StructType([T.StructField("section", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("tokens", T.DoubleType()), T.StructField("crossing", T.LongType())])))])
     found = base.mapInArrow(_count(path, pattern, rule, sections is not None), T.StructType([base.schema["rest"], T.StructField("t", T.StringType()), T.StructField("tokens", counts)]))
     return found.select(*((F.col("t") if c == text else F.col("rest").getField(c)).alias(c) for c in cols), "tokens")

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import KEY, bound_batches, keyed, saved, shared_dir
+from ledgerloom.llm.common import KEY, bound_batches, column, keyed, saved, shared_dir
 
 VERSION = "WARC/1.1"
 #: A new file begins after so many compressed bytes.
@@ -204,8 +204,8 @@ def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    body = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
-    rows = keyed(pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.cast("binary").alias("payload")), KEY)
+    body = F.coalesce(column(payload).cast("string"), F.lit(""))
+    rows = keyed(pages.select(column(id).cast("long").alias("id"), column(url).cast("string").alias("url"), body.cast("binary").alias("payload")), KEY)
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha2("payload", 256)))
     best = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.max(F.struct("id", KEY)).alias("winner"))
     often = rows.where("digest is not null").groupBy("digest").count().where("count > 1")
