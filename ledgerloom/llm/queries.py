@@ -14,6 +14,7 @@ from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import line_quality, train
 from ledgerloom.llm.secrets import BASE, findings, scan
 from ledgerloom.llm.sharding import shard
+from ledgerloom.llm.spelling import variant_groups
 from ledgerloom.llm.substring import substring_dedup
 from ledgerloom.llm.tokens import token_counts
 from ledgerloom.llm.warc import read_warc, resolved, write_warc
@@ -172,6 +173,58 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, an edit planted in every 97th pair of document and word, with their near words, forms and roots.
+
+    A null text has no words; a null doc_id counts as an empty one; repeated rows count each. No
+    documents, no rows.
+    """
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("run"))
+    # Deleting never lengthens a run. ASCII runs take the faster function.
+    runs = runs.where("length(run) >= 5").withColumn("run", F.when(F.length("run") == F.octet_length("run"), F.lower("run")).otherwise(F.translate("run", upper, upper.lower())))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    place = (F.col("h") % F.length("run")).cast("int")
+    edited = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, edited).otherwise(F.col("run")).alias("word")).where("length(word) >= 5")
+    return variant_groups(words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: CRC-32 bit by bit over the bytes' hexadecimal digits; near words share what is left with a hole in place of a code point.
+OP12_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL
+), bytes AS (
+  SELECT *, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))) AS x FROM runs
+), hashed AS (
+  SELECT run, times, 4294967295 - list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: xor(c >> 1, 3988292384 * (c & 1)))) AS h FROM bytes
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), holes AS (
+  SELECT word, n, substr(word, 1, i) || '_' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS shorter FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.shorter = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS m, first(near ORDER BY n DESC, encode(near)) AS near FROM pairs GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word
+), path AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON p.root = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT p.word, p.root FROM path p JOIN forms f ON p.root = f.word WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word
+"""
+
+
 def op13_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document, by a ledger of its distinct texts that is empty at first.
 
@@ -230,10 +283,12 @@ QUERIES = {
     "op8_section_token_counts": op8_section_token_counts,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_mixture_packing": op10_mixture_packing,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_blob_ledger_secrets": op13_blob_ledger_secrets,
 }
 ORACLES = {
     "op4_substring_dedup": OP4_SQL,
     "op9_warc_round_trip": OP9_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "op13_blob_ledger_secrets": OP13_SQL,
 }
