@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import saved, table
 from ledgerloom.llm.fingerprint import version_likeness
 from ledgerloom.llm.html import main_text
 from ledgerloom.llm.mixing import mix
@@ -17,6 +17,7 @@ from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.spelling import variant_groups
 from ledgerloom.llm.substring import substring_dedup
 from ledgerloom.llm.tokens import token_counts
+from ledgerloom.llm.trie import conversation_paths, first_turns, prefix_trie, turns_after
 from ledgerloom.llm.warc import read_warc, resolved, write_warc
 
 
@@ -173,6 +174,50 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the first turns of one of its group of five.
+
+    Null roles and texts are empty; turns with equal numbers, repeated rows too, follow by digest; rows
+    with a null conv_id are of no conversation. No conversations, no rows.
+    """
+    own = saved(conversation_paths(table(spark, sf_dir, "conversations")), "conversations")
+    h = F.crc32(F.col("id").cast("string").cast("binary")) % 9
+    heads = own.where("id % 5 = 0").select(F.col("id").alias("of"), first_turns(F.col("path"), F.lit(8)).alias("head"))
+    joined = own.withColumns({"of": F.expr("id - id % 5"), "h": h}).join(heads, "of", "left")
+    path = F.concat(F.coalesce(first_turns(F.col("head"), F.col("h")), F.lit(b"")), turns_after(F.col("path"), F.col("h")))
+    return prefix_trie(saved(joined.select("id", path.alias("path")), "rebuilt"))
+
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), named AS (
+  SELECT conv_id, turn, {'d': md5(concat(octet_length(encode(r)), ':', r, t)), 'n': octet_length(encode(t))} AS v FROM turns
+), own AS (
+  SELECT conv_id, list(v ORDER BY turn NULLS FIRST, v.d) AS turns, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM named GROUP BY conv_id
+), numbered AS (
+  SELECT conv_id, turns, (4294967295 - list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: xor(c >> 1, 3988292384 * (c & 1))))) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM numbered a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), paths AS (
+  SELECT conv_id, len(turns) AS n, turns, list_transform(range(0, len(turns) + 1), lambda d: array_to_string(list_transform(turns[1:d], lambda v: v.d || v.n), '')) AS keys FROM rebuilt
+), members AS (
+  SELECT conv_id, n, d, keys[d + 1] AS key, CASE WHEN d > 0 THEN keys[d] END AS parent, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS size FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT key, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, max(n) = d AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM members GROUP BY key, d
+), sums AS (
+  SELECT p.keys[a + 1] AS key, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM nodes) v JOIN paths p USING (conv_id) GROUP BY 1
+), children AS (
+  SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v LEFT JOIN nodes u ON v.parent = u.key LEFT JOIN children c ON c.parent = v.key JOIN sums s ON s.key = v.key
+"""
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, an edit planted in every 97th pair of document and word, with their near words, forms and roots.
 
@@ -283,12 +328,14 @@ QUERIES = {
     "op8_section_token_counts": op8_section_token_counts,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_mixture_packing": op10_mixture_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_blob_ledger_secrets": op13_blob_ledger_secrets,
 }
 ORACLES = {
     "op4_substring_dedup": OP4_SQL,
     "op9_warc_round_trip": OP9_SQL,
+    "op11_conversation_prefix_trie": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
     "op13_blob_ledger_secrets": OP13_SQL,
 }
