@@ -16,7 +16,7 @@ ROOT = Path(__file__).parents[2]
 
 def test_queries_are_registered():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert sorted(int(m[1]) for n in found if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in found if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert set(QUERIES) < set(found) and set(ORACLES) < set(sql) and found["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "substring_dedup", "temperature_mixing", "mixture_packing"]
 
