@@ -12,6 +12,8 @@ from ledgerloom.schema import LABELS
 from ledgerloom.sources.shared import saved
 
 CAP = 3
+#: An entry of a store.
+STORE = "entry_id string, source_gen_id string, scenario_id string, pool string, weight double, final_text string, human_action string, note string, ingested_offset long, " + ", ".join(f"{c} boolean" for c in LABELS)
 WEIGHTS = {"edit": 2.0, "approve": 1.0}
 
 
@@ -37,6 +39,14 @@ def kept(entries: DataFrame, cap: int = CAP) -> DataFrame:
     return entries.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= cap).drop("__n")
 
 
+def _store(memory: DataFrame, cap: int = CAP) -> DataFrame:
+    """memory, written, if it is as small as a store: ``cap`` entries for each of 64 classes at most."""
+    own = saved(memory, "store")
+    if (n := own.count()) > cap * 2 ** len(LABELS):
+        raise ValueError(f"{n} entries are more than a store holds; take kept() of them")
+    return own
+
+
 def retrieve(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """query_id, place, entry_id: the best entries for each signature.
 
@@ -46,9 +56,7 @@ def retrieve(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """
     if k <= 0:
         return queries.select("query_id", F.lit(0).alias("place"), F.lit("").alias("entry_id")).where("false")
-    own = saved(memory.select("entry_id", "weight", "ingested_offset", class_key().alias("m_class"), *(F.col(c).alias(f"m_{c}") for c in LABELS)), "store")
-    if (n := own.count()) > CAP * 2 ** len(LABELS):
-        raise ValueError(f"{n} entries are more than a store holds; take kept() of them")
+    own = _store(memory.select("entry_id", "weight", "ingested_offset", class_key().alias("m_class"), *(F.col(c).alias(f"m_{c}") for c in LABELS)))
     # Scenarios of one class retrieve the same entries: rank once for each class.
     classes = queries.select(class_key().alias("class"), *LABELS).distinct()
     pairs = classes.join(F.broadcast(own)).withColumn("shared", overlap("", "m_")).withColumn("exact", F.col("class") == F.col("m_class")).where("shared > 0 or exact")
@@ -59,7 +67,8 @@ def retrieve(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
 
 def random_entries(queries: DataFrame, memory: DataFrame, k: int, seed: int) -> DataFrame:
     """A control without relevance: k entries for each query in the order of a seeded hash."""
-    pairs = queries.select("query_id").join(F.broadcast(memory.select("entry_id")))
+    own = _store(memory.select("entry_id"))
+    pairs = queries.select("query_id").join(F.broadcast(own))
     order = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "query_id", "entry_id")), "entry_id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -88,8 +97,11 @@ def ingest_counts(decisions: DataFrame, after: int = 0) -> DataFrame:
 
 
 def canonical(memory: DataFrame) -> str:
-    """The store as canonical JSON: entries by offset and id, keys sorted, no nulls. A store is small."""
-    rows = memory.select("entry_id", "source_gen_id", "scenario_id", "pool", "weight", "final_text", "human_action", "note", "ingested_offset", *LABELS).orderBy("ingested_offset", "entry_id").collect()
+    """The store as canonical JSON: entries by offset and id, keys sorted, no nulls. A memory that is larger than a store raises an error."""
+    most = CAP * 2 ** len(LABELS)
+    rows = memory.limit(most + 1).select("entry_id", "source_gen_id", "scenario_id", "pool", "weight", "final_text", "human_action", "note", "ingested_offset", *LABELS).orderBy("ingested_offset", "entry_id").collect()
+    if len(rows) > most:
+        raise ValueError("more entries than a store holds; take kept() of them")
     return json.dumps([{k: v for k, v in r.asDict().items() if v is not None} for r in rows], sort_keys=True, separators=(",", ":"))
 
 

@@ -1,4 +1,4 @@
-"""The event log: JSON lines with their offsets, typed by event_type, and an append that keeps offsets."""
+"""The event log as JSON lines with their offsets, typed by event_type; see sources.log for one that is appended to."""
 
 from __future__ import annotations
 
@@ -86,22 +86,6 @@ def canonical(event: dict) -> str:
     return json.dumps({k: v for k, v in event.items() if v is not None}, sort_keys=True, separators=(",", ":"), default=str)
 
 
-def append_events(table: str, events: DataFrame, order: list[str]) -> None:
-    """Append rows (event_type, line) to a log table with the offsets that follow. Spark's commit leaves no torn line.
-
-    Appends come from one writer at a time, as offsets do in a file.
-    """
-    spark = events.sparkSession
-    try:
-        start = line_count(spark.read.parquet(table))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        start = 0
-    at = F.row_number().over(Window.orderBy(*order)) - 1 + start  # a batch of events, not the log
-    events.withColumn("offset", at.cast("long")).write.mode("append").parquet(table)
-
-
 def line_count(lines: DataFrame) -> int:
     """One more than the last offset."""
     last = lines.agg(F.max("offset").alias("n")).first()["n"]

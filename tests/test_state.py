@@ -143,10 +143,6 @@ def test_event_log(spark, tmp_path):
     with pytest.raises(Exception, match="unknown keys"):
         path.write_text(json.dumps(event("score", odd=1)))
         events.read_events(spark, str(path), "score", "gen_id string").collect()
-    table = str(tmp_path / "table")
-    for part in (["a", "b"], ["c"]):
-        events.append_events(table, spark.createDataFrame([("trace", x) for x in part], "event_type string, line string"), ["line"])
-    assert {(r.offset, r.line) for r in spark.read.parquet(table).collect()} == {(0, "a"), (1, "b"), (2, "c")}
     assert len(events.event_schema()["oneOf"]) == 10
     entry = events.manifest("r", {"b": 1, "a": 2}, {"p": "x"}, "empty", {"S-1": "0"})
     assert entry == events.manifest("r", {"a": 2, "b": 1}, {"p": "x"}, "empty", {"S-1": "0"})
