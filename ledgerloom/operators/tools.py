@@ -1,15 +1,16 @@
-"""Lookups on a ledger, by parameter, and their dispatch."""
+"""Lookups on a ledger, by parameter; a table of requests is answered in one plan, and SQL calls them as table functions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import render
 from ledgerloom.functions.text import document_argument
 from ledgerloom.operators.ledger import SID, documents, invoice_facts, signature, source_facts, totals
+from ledgerloom.sources.shared import saved
 from ledgerloom.sources.tables import Ledger
 
 FIGURES = ("open_invoice_total", "unapplied_cash_total", "unapplied_credit_total", "net_balance")
@@ -82,42 +83,112 @@ def applied_totals(ledger: Ledger) -> DataFrame:
     return own.unionByName(source_facts(ledger).select(SID, "kind", "id", "applied_cents"))
 
 
-#: Lookups by name: their parameter, if they have one, and the function.
-CATALOG: dict[str, tuple[str | None, Callable]] = {
-    "get_account_summary": (None, account_summary),
-    "list_open_invoices": (None, open_invoices),
-    "get_invoice": ("invoice_id", invoice_detail),
-    "list_unapplied_sources": (None, unapplied_sources),
-    "get_source": ("source_id", source_detail),
-    "get_application_history": (None, application_history),
+#: Lookups by name: their parameter, if they have one, the function, and what it tells.
+CATALOG: dict[str, tuple[str | None, Callable, str]] = {
+    "get_account_summary": (None, account_summary, "Totals of the account, its net balance and its structural conditions."),
+    "list_open_invoices": (None, open_invoices, "The invoices with something open: amounts, status and memo."),
+    "get_invoice": ("invoice_id", invoice_detail, "One invoice with what was applied to it; forms like 'inv 12' are understood."),
+    "list_unapplied_sources": (None, unapplied_sources, "The payments and credit memos with something unapplied."),
+    "get_source": ("source_id", source_detail, "One payment or credit memo with what was applied from it; not for invoices."),
+    "get_application_history": (None, application_history, "All applications, and what was applied of each document."),
 }
-
-
-def execute(ledger: Ledger, name: str, scenario_id: str, arguments: dict) -> dict:
-    """Run one lookup; {"ok": True, "data": DataFrame} or {"ok": False, "error": text}. Never raises for bad input."""
-    if name not in CATALOG:
-        return {"ok": False, "error": f"unknown tool: {name}"}
-    parameter, run = CATALOG[name]
-    wanted = {parameter} if parameter else set()
-    if not isinstance(arguments, dict) or set(arguments) != wanted:
-        return {"ok": False, "error": f"{name} takes {sorted(wanted)}"}
-    if parameter is None:
-        return {"ok": True, "data": run(ledger).where(F.col(SID) == scenario_id)}
-    if not isinstance(arguments[parameter], str):
-        return {"ok": False, "error": f"{parameter} must be a string"}
-    asked = ledger.client.sparkSession.createDataFrame([(scenario_id, arguments[parameter])], f"{SID} string, argument string")
-    found = run(ledger, asked)
-    error = found.select("error").first()["error"]
-    return {"ok": False, "error": error} if error else {"ok": True, "data": found.drop("error")}
-
-
-def register_views(ledger: Ledger) -> None:
-    """The lookups without a parameter as temporary views, for SQL."""
-    for name, (parameter, run) in CATALOG.items():
-        if parameter is None:
-            run(ledger).createOrReplaceTempView(name)
-
-
-def duplicate_free(requests: DataFrame) -> DataFrame:
-    """Requests that differ in tool and canonical arguments; a repeated one needs no second run."""
-    return requests.dropDuplicates([SID, "tool_name", "argument"])
+REQUEST = "request_id, scenario_id, tool_name, arguments"
+
+
+def catalog() -> list[dict]:
+    """name, description and parameters (JSON Schema) of each lookup."""
+    told = []
+    for name, (parameter, _, description) in CATALOG.items():
+        kinds = {parameter: {"type": "string"}} if parameter else {}
+        told.append({"name": name, "description": description, "parameters": {"type": "object", "properties": kinds, "additionalProperties": False} | ({"required": [parameter]} if parameter else {})})
+    return told
+
+
+def validated(requests: DataFrame) -> DataFrame:
+    """requests with argument (null if the tool takes none) and error, null if tool and arguments are right."""
+    takes = F.create_map(*(x for name, (p, *_) in CATALOG.items() for x in (F.lit(name), F.array(*([F.lit(p)] if p else [])).cast("array<string>"))))
+    rows = requests.withColumn("takes", F.try_element_at(takes, F.coalesce("tool_name", F.lit(""))))
+    rows = rows.withColumn("given", F.expr("try_variant_get(try_parse_json(arguments), '$', 'map<string,variant>')"))
+    rows = rows.withColumn("value", F.expr("if(size(takes) = 1, given[takes[0]], null)"))
+    error = F.when(F.col("takes").isNull(), F.concat(F.lit("unknown tool: "), F.coalesce("tool_name", F.lit("none"))))
+    error = error.when(F.col("given").isNull(), "arguments must be a JSON object")
+    error = error.when(F.expr("array_sort(map_keys(given)) <> takes"), F.concat("tool_name", F.lit(" takes ["), F.array_join("takes", ", "), F.lit("]")))
+    error = error.when(F.expr("size(takes) = 1 and schema_of_variant(value) <> 'STRING'"), F.concat(F.expr("takes[0]"), F.lit(" must be a string")))
+    return rows.select(*requests.columns, F.expr("try_variant_get(value, '$', 'string')").alias("argument"), error.alias("error"))
+
+
+def _as_json(df: DataFrame, *left_out: str) -> Column:
+    return F.struct(*(c for c in df.columns if c not in {SID, "argument", "error", "pos", "kind_rank", *left_out}))
+
+
+def _listed(rows: DataFrame, *order: str, name: str = "data") -> DataFrame:
+    """A list for each scenario, in this order."""
+    each = F.struct(*order, _as_json(rows).alias("row"))
+    return rows.groupBy(SID).agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["row"]).alias(name))
+
+
+def _for_all(ledger: Ledger, lists: DataFrame, *names: str) -> DataFrame:
+    """Scenarios without rows have empty lists."""
+    rows = ledger.client.select(SID).join(lists, SID, "left")
+    return rows.select(SID, *(F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c) for c in names))
+
+
+def _answers(ledger: Ledger, name: str, asked: DataFrame) -> DataFrame:
+    """scenario_id, argument, error, data (JSON) of one lookup for asked (scenario_id, argument)."""
+    none = F.lit(None).cast("string")
+    parameter, run, _ = CATALOG[name]
+    if parameter:
+        rows = run(ledger, asked)
+        return rows.select(SID, "argument", "error", F.when(F.col("error").isNull(), F.to_json(_as_json(rows))).alias("data"))
+    if name == "get_account_summary":
+        rows = run(ledger)
+        return rows.select(SID, none.alias("argument"), none.alias("error"), F.to_json(_as_json(rows)).alias("data"))
+    if name == "get_application_history":
+        used = applied_totals(ledger).withColumnRenamed("id", "pos").withColumn("id", F.col("pos"))
+        lists = _listed(run(ledger), "pos", name="applications").join(_listed(used, "pos", name="applied"), SID, "full")
+        data = F.to_json(F.struct("applications", "applied"))
+        return _for_all(ledger, lists, "applications", "applied").select(SID, none.alias("argument"), none.alias("error"), data.alias("data"))
+    order = ("pos",) if name == "list_open_invoices" else ("kind_rank", "pos")
+    return _for_all(ledger, _listed(run(ledger), *order), "data").select(SID, none.alias("argument"), none.alias("error"), F.to_json("data").alias("data"))
+
+
+def run_requests(ledger: Ledger, requests: DataFrame) -> DataFrame:
+    """request_id, scenario_id, tool_name, ok, error, data for a table of requests, all six lookups in one plan.
+
+    requests: request_id, scenario_id, tool_name, arguments (JSON text). data is JSON text, null with an
+    error: an unknown tool, arguments that break the tool's schema, an unknown scenario, an unknown or
+    wrong kind of document. No request fails the query; repeated ones are answered each, from one run.
+    Ledgers of scenarios that nobody asks for aren't read beyond a semi-join.
+    """
+    checked = saved(validated(requests.select(*REQUEST.split(", "))), "requests")
+    right = checked.where("error is null").select(SID, "tool_name", "argument").distinct()
+    wanted = right.select(SID).distinct()
+    some = lambda df: df.join(wanted, SID, "left_semi")
+    own = Ledger(some(ledger.client), some(ledger.invoice), some(ledger.payment), some(ledger.credit_memo), some(ledger.application), None if ledger.facts is None else some(ledger.facts))
+    told = None
+    for name in CATALOG:
+        asked = right.where(F.col("tool_name") == name).select(SID, "argument").join(own.client.select(SID), SID, "left_semi")
+        found = _answers(own, name, asked).select(F.lit(name).alias("tool_name"), SID, F.coalesce("argument", F.lit("")).alias("key"), F.col("error").alias("missed"), "data")
+        told = found if told is None else told.unionByName(found)
+    rows = checked.withColumn("key", F.coalesce("argument", F.lit(""))).join(told, ["tool_name", SID, "key"], "left")
+    error = F.coalesce("error", "missed", F.when(F.col("data").isNull(), F.concat(F.lit("unknown scenario: "), F.coalesce(SID, F.lit("none")))))
+    return rows.select("request_id", SID, "tool_name", error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), F.col("data")).alias("data"))
+
+
+def register(ledger: Ledger) -> None:
+    """The lookups as table functions of a session: ``select .. from asked, lateral get_invoice(scenario_id, 'inv 12')``.
+
+    Those without a parameter take the scenario alone. Spark turns the lateral calls of a query into joins.
+    """
+    spark = ledger.client.sparkSession
+    for name, (parameter, run, _) in CATALOG.items():
+        if parameter:  # by canonical id; an argument is resolved by the function's own condition
+            rows = run(ledger, documents(ledger).where(F.col("kind").isin(*(("invoice",) if name == "get_invoice" else ("payment", "credit_memo")))).select(SID, F.col("id").alias("argument"))).drop("error", "argument")
+        else:
+            rows = run(ledger)
+        rows.createOrReplaceTempView(f"{name}_rows")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != SID)
+        where = f"r.{SID} = {name}.scenario" + (f" and r.id = {document_argument(f'{name}.{parameter}', 'array(r.id)')}" if parameter else "")
+        given = "scenario string" + (f", {parameter} string" if parameter else "")
+        chosen = ", ".join(f"r.`{f.name}`" for f in rows.schema if f.name != SID)
+        spark.sql(f"create or replace temporary function {name}({given}) returns table ({columns}) return select {chosen} from {name}_rows r where {where}")

@@ -107,6 +107,17 @@ LEDGER = {
     "get_invoice": "SELECT scenario_id, 'invoice no. 00' || pos AS argument, id, opened AS open_cents, (SELECT string_agg(source_id || '=' || a.cents, ',' ORDER BY a.pos) FROM app a WHERE a.target_invoice = ifact.id) AS applications, CAST(NULL AS VARCHAR) AS error FROM ifact UNION ALL SELECT scenario_id, ' nothing ', 'nothing', NULL, NULL, 'unknown invoice id: nothing' FROM client",
     "list_unapplied_sources": "SELECT scenario_id, kind AS type, id, " + _SHOW(("original_text", "cents"), ("unapplied_text", "opened")) + " FROM sfact WHERE opened > 0",
     "get_source": "SELECT scenario_id, lower(replace(id, '-', '_')) AS argument, id, opened AS unapplied_cents, (SELECT string_agg(target_invoice || '=' || a.cents, ',' ORDER BY a.pos) FROM app a WHERE a.source_id = sfact.id) AS applications, CAST(NULL AS VARCHAR) AS error FROM sfact UNION ALL SELECT scenario_id, lower(replace(id, '-', '_')), id, NULL, NULL, id || ' is an invoice; use get_invoice' FROM inv",
+    "tool_requests": """, fixed AS (SELECT * FROM (VALUES ('no_tool', 'unknown tool: get_nothing'), ('more', 'list_open_invoices takes []'), ('less', 'get_invoice takes [invoice_id]'), ('number', 'source_id must be a string'), ('broken', 'arguments must be a JSON object'), ('nothing', 'unknown invoice id: nothing')) AS v(c, e))
+        SELECT scenario_id || ' ' || c AS request_id, false AS ok, e AS error, CAST(NULL AS VARCHAR) AS told FROM client, fixed
+        UNION ALL SELECT replace(scenario_id, 'S-', 'T-') || ' stranger', false, 'unknown scenario: ' || replace(scenario_id, 'S-', 'T-'), NULL FROM client
+        UNION ALL SELECT scenario_id || ' account', true, NULL, CAST(net AS VARCHAR) FROM tot
+        UNION ALL SELECT scenario_id || ' open', true, NULL, coalesce((SELECT string_agg(id, ',' ORDER BY pos) FROM ifact i WHERE i.scenario_id = c.scenario_id AND opened > 0), '') FROM client c
+        UNION ALL SELECT scenario_id || ' unapplied', true, NULL, coalesce((SELECT string_agg(id, ',' ORDER BY kind DESC, pos) FROM sfact s WHERE s.scenario_id = c.scenario_id AND opened > 0), '') FROM client c
+        UNION ALL SELECT scenario_id || ' history', true, NULL, (SELECT count(*) || ':' || CAST(coalesce(2 * sum(cents), 0) AS BIGINT) FROM app a WHERE a.scenario_id = c.scenario_id) FROM client c
+        UNION ALL SELECT scenario_id || ' get_invoice ' || id, true, NULL, CAST(opened AS VARCHAR) FROM ifact
+        UNION ALL SELECT scenario_id || ' get_invoice ' || id, false, 'unknown invoice id: ' || id, NULL FROM sfact
+        UNION ALL SELECT scenario_id || ' get_source ' || id, true, NULL, CAST(opened AS VARCHAR) FROM sfact
+        UNION ALL SELECT scenario_id || ' get_source ' || id, false, id || ' is an invoice; use get_invoice', NULL FROM inv""",
     "application_history": "SELECT a.scenario_id, source_id, s.kind AS source_type, target_invoice, " + money("a.cents") + " AS amount_text FROM app a JOIN src s ON s.id = a.source_id",
     "applied_totals": "SELECT scenario_id, 'invoice' AS kind, id, applied AS applied_cents FROM ifact UNION ALL SELECT scenario_id, kind, id, applied FROM sfact",
     "golden_draft": "SELECT scenario_id, draft FROM golden",

@@ -99,6 +99,23 @@ def _source(x: Ledger) -> DataFrame:
     return tools.source_detail(x, wanted).select(SID, "argument", "id", "unapplied_cents", _used("target_invoice"), "error")
 
 
+@_on_ledger("tool_requests")
+def _requests(x: Ledger) -> DataFrame:
+    """Requests of all lookups for every scenario and every document, right and wrong, in one plan."""
+    fixed = {"account": ("get_account_summary", "{}"), "open": ("list_open_invoices", "{}"), "unapplied": ("list_unapplied_sources", " { } "), "history": ("get_application_history", "{}"), "no_tool": ("get_nothing", "{}"), "more": ("list_open_invoices", '{"limit": 3}'), "less": ("get_invoice", "{}"), "number": ("get_source", '{"source_id": 5}'), "broken": ("get_invoice", '{"invoice_id": '), "nothing": ("get_invoice", '{"invoice_id": " nothing "}')}
+    cases = F.explode(F.array(*(F.struct(F.lit(case).alias("case"), F.lit(tool).alias("tool_name"), F.lit(given).alias("arguments")) for case, (tool, given) in fixed.items())))
+    asked = x.client.select(SID, cases.alias("c")).select(SID, "c.*").unionByName(x.client.select(F.replace(SID, F.lit("S-"), F.lit("T-")).alias(SID), F.lit("stranger").alias("case"), F.lit("get_account_summary").alias("tool_name"), F.lit("{}").alias("arguments")))
+    named = lambda tool, key: ledger.documents(x).select(SID, F.concat(F.lit(f"{tool} "), "id").alias("case"), F.lit(tool).alias("tool_name"), F.to_json(F.create_map(F.lit(key), F.lower(F.replace("id", F.lit("-"), F.lit("_"))))).alias("arguments"))
+    asked = asked.unionByName(named("get_invoice", "invoice_id")).unionByName(named("get_source", "source_id"))
+    found = tools.run_requests(x, asked.withColumn("request_id", F.concat(SID, F.lit(" "), "case")))
+    ids = F.array_join(F.from_json("data", "array<struct<id:string>>")["id"], ",")
+    history = F.from_json("data", "struct<applications:array<struct<source_id:string>>,applied:array<struct<applied_cents:bigint>>>")
+    total = F.aggregate(history["applied"]["applied_cents"], F.lit(0).cast("long"), lambda a, b: a + b)
+    of = lambda key: F.get_json_object("data", f"$.{key}")
+    told = F.when(F.col("tool_name") == "get_account_summary", of("net_balance")).when(F.col("tool_name").startswith("list"), ids).when(F.col("tool_name") == "get_application_history", F.concat_ws(":", F.size(history["applications"]).cast("string"), total.cast("string")))
+    return found.select("request_id", "ok", "error", F.when(F.col("ok"), told.when(F.col("tool_name") == "get_invoice", of("open_cents")).otherwise(of("unapplied_cents"))).alias("told"))
+
+
 _on_ledger("ledger_block")(render.ledger_block)
 _on_ledger("records_block")(render.records_block)
 _on_ledger("golden_draft")(lambda x: render.golden(ledger.view(x)).select(SID, "draft"))

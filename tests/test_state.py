@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger, memory, render, reports, stats, tools
+from ledgerloom.operators import ledger, memory, render, reports, stats
 from ledgerloom.plans import recovery, rounds
 from ledgerloom.schema import EVENT_TYPES, EVENT_VALUES, LABELS, event_keys
 from ledgerloom.sources import events, fixtures
@@ -224,19 +224,6 @@ def test_label_files(spark, tmp_path):
     assert fixtures.read_rows(spark, str(tmp_path / "none.json"), "a int").count() == 0
 
 
-def test_lookups(spark):
-    books = order_ledger(spark, SMALL)
-    assert tools.execute(books, "nope", "S-0", {})["ok"] is False
-    assert "takes" in tools.execute(books, "get_invoice", "S-0", {})["error"] and "string" in tools.execute(books, "get_invoice", "S-0", {"invoice_id": 3})["error"]
-    id = books.invoice.where("scenario_id = 'S-0'").orderBy("pos").first()["id"]
-    found = tools.execute(books, "get_invoice", "S-0", {"invoice_id": id.lower().replace("-", " ")})
-    assert found["ok"] and found["data"].first()["id"] == id
-    assert "is an invoice" in tools.execute(books, "get_source", "S-0", {"source_id": id})["error"]
-    assert tools.execute(books, "get_account_summary", "S-0", {})["data"].count() == 1
-    tools.register_views(books)
-    assert spark.sql("select count(*) from list_open_invoices where open_cents <= 0").first()[0] == 0
-
-
 def test_reports_are_stable(spark, tmp_path):
     rows = spark.createDataFrame([(0, False), (0, True), (1, True), (1, True), (2, False)], "tier int, caught boolean")
     found = {r.tier: (r.errors, r.caught, r.sensitivity, r.specificity, r.balanced) for r in reports.injected_errors(rows).collect()}
