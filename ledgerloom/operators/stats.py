@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import BLOCK, inversions
+from ledgerloom.sources.shared import saved
+
 NAN = float("nan")
 
 
+#: A column of this name says how often a row counts; without it every row counts once.
+TIMES = "__times"
+
+
 def _pairs(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Counted pairs, the base of all statistics: as many rows as pairs of labels. Nulls aren't ratings."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("k"))
+    times = F.sum(TIMES) if TIMES in df.columns else F.count("*")
+    return rows.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(times.alias("k"))
 
 
 def _one(by: list[str]) -> list[str]:
@@ -55,22 +66,27 @@ def weighted_kappa(df: DataFrame, a: str, b: str, categories: list, by: list[str
     return sums.select(*by, "n", F.when(expected == 0, 1.0).otherwise(1 - F.col("n") * F.col("seen") / expected).alias("weighted_kappa"))
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Concordant and discordant pairs of counted rating pairs, so the join is over distinct labels only; NaN if a rater is constant."""
+def kendall_tau_b(df: DataFrame, a: str, b: str, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Concordant less discordant pairs over those untied on either side, in n log n; NaN if a rater is constant.
+
+    With all pairs, those tied by each rater and by both, and the inversions, concordant pairs are what is left.
+    """
     by = by or []
-    pairs, keys = _keyed(_pairs(df, a, b, by), by), _one(by)
-    other = pairs.select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("k").alias("k2"))
-    sign = F.signum((F.col("a") - F.col("a2")).cast("double")) * F.signum((F.col("b") - F.col("b2")).cast("double"))
-    both = pairs.join(other, keys).groupBy(*keys).agg(F.sum(F.col("k") * F.col("k2") * sign).alias("balance2"))  # each pair twice
-    ties = lambda c: pairs.groupBy(*keys, c).agg(F.sum("k").alias("t")).groupBy(*keys).agg(F.sum(F.expr("t * (t - 1) / 2")).alias(f"ties_{c}"))
-    n = pairs.groupBy(*keys).agg(F.sum("k").alias("n"))
-    whole = n.join(both, keys).join(ties("a"), keys).join(ties("b"), keys).withColumn("all", F.expr("n * (n - 1) / 2"))
-    below = (F.col("all") - F.col("ties_a")) * (F.col("all") - F.col("ties_b"))
-    return whole.select(*by, "n", F.when(below == 0, NAN).otherwise(F.col("balance2") / 2 / F.sqrt(below)).alias("tau_b"))
+    pairs, keys = saved(_keyed(_pairs(df, a, b, by), by), "pairs"), _one(by)
+    of = lambda c: F.expr(f"cast({c} as decimal(20,0)) * ({c} - 1) div 2")
+    ties = lambda c: pairs.groupBy(*keys, c).agg(F.sum("k").alias("t")).groupBy(*keys).agg(F.sum(of("t")).alias(f"ties_{c}"))
+    whole = pairs.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(of("k")).alias("ties_ab")).withColumn("all", of("n"))
+    whole = whole.join(ties("a"), keys).join(ties("b"), keys).join(inversions(pairs, keys, block), keys, "left")
+    # Concordant and discordant pairs are untied on both sides; all sums are exact.
+    balance = F.expr("all - ties_a - ties_b + ties_ab - 2 * coalesce(inverted, 0)").cast("double")
+    below = (F.col("all") - F.col("ties_a")).cast("double") * (F.col("all") - F.col("ties_b")).cast("double")
+    return whole.select(*by, "n", F.when(below == 0, NAN).otherwise(balance / F.sqrt(below)).alias("tau_b"))
 
 
 #: Indices that the driver draws at most.
 MOST_DRAWS = 2_000_000
+#: Pairs of labels that a resampled table has at most, and tasks that boots are dealt to.
+MOST_CELLS, BOOT_TASKS = 10_000, 64
 
 
 def resamples(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
@@ -82,23 +98,77 @@ def resamples(df: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFra
     if not rows:
         raise ValueError("no ratings")
     if len(rows) * n_boot > MOST_DRAWS:
-        raise ValueError("too many ratings to draw from on the driver; use hashed_resamples")
+        raise ValueError("too many ratings to draw from on the driver; use draws='cells'")
     draw = random.Random(seed)
     picks = [(b, draw.randrange(len(rows))) for b in range(n_boot) for _ in rows]
     numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
     return spark.createDataFrame(picks, "boot int, i int").join(F.broadcast(numbered), "i").drop("i")
 
 
-def hashed_resamples(df: DataFrame, key: str, n_boot: int, seed: int, n: int) -> DataFrame:
-    """The same for large tables: draw i of a boot is a hash, so no index leaves the cluster. key: 0 to n-1 without gaps."""
-    spark = df.sparkSession
-    draws = spark.range(n_boot).select(F.col("id").cast("int").alias("boot")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return draws.select("boot", F.pmod(F.xxhash64(F.lit(seed), "boot", "i"), F.lit(n)).alias(key)).join(df, key)
+def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: all counted pairs, sorted. As many as pairs of labels, so a scale of continuous ratings is refused."""
+    cells = _pairs(df, a, b, []).limit(MOST_CELLS + 1).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("a", "b", "k"))).alias("cells"))
+    most = F.when(F.col("n") > MOST_CELLS, F.raise_error(F.lit(f"more than {MOST_CELLS} pairs of labels"))).when(F.col("n") == 0, F.raise_error(F.lit("no ratings")))
+    return cells.select(F.coalesce(most.cast(cells.schema["cells"].dataType), "cells").alias("cells"))
+
+
+def _boots(cells: DataFrame, n_boot: int) -> DataFrame:
+    if n_boot <= 0:
+        raise ValueError("n_boot must be positive")
+    return cells.select("cells", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot")).repartition(BOOT_TASKS, "boot")
+
 
+def cell_resamples(df: DataFrame, a: str, b: str, n_boot: int, seed: int) -> DataFrame:
+    """boot, a, b and how often each pair was drawn: the table of pairs resampled as a multinomial, a binomial for each cell given the last.
 
-def bootstrap_ci(df: DataFrame, a: str, b: str, keys: list[str], categories: list | None = None, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of kappa, or of weighted kappa if ``categories`` is given; NaN statistics are skipped."""
-    drawn = resamples(df, keys, n_boot, seed)
+    The distribution is that of drawing ratings with replacement; the work is boots x cells, whatever
+    the number of ratings. A boot's generator is seeded by it, so its draws are the same wherever it runs.
+    """
+
+    @F.pandas_udf("array<long>")
+    def drawn(boot: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for i, k in zip(boot, counts, strict=True):
+            draw, left, among, found = np.random.Generator(np.random.PCG64([seed, i])), int(sum(k)), int(sum(k)), []
+            for c in k:
+                got = left if c == among else int(draw.binomial(left, c / among))
+                found.append(got)
+                left, among = left - got, among - int(c)
+            out.append(found)
+        return pd.Series(out)
+
+    rows = _boots(_cells(df, a, b), n_boot)
+    times = drawn("boot", F.transform("cells", lambda c: c["k"]))
+    each = F.zip_with("cells", times, lambda c, m: F.struct(c["a"].alias(a), c["b"].alias(b), m.alias(TIMES)))
+    return rows.select("boot", F.inline(each)).where(F.col(TIMES) > 0)
+
+
+def hashed_resamples(df: DataFrame, a: str, b: str, n_boot: int, seed: int) -> DataFrame:
+    """The same by one hashed draw for each rating: draw i of a boot is the pair that holds place md5(seed|boot|i) mod n.
+
+    Places are counted through the sorted pairs, so ratings needn't be numbered. SQL can draw the same.
+    """
+    rows = _boots(_cells(df, a, b), n_boot)
+    ends = F.expr("transform(sequence(1, size(cells)), i -> aggregate(slice(cells, 1, i), 0L, (s, c) -> s + c.k))")
+    rows = rows.withColumn("ends", ends).withColumn("i", F.explode(F.expr("sequence(0L, element_at(ends, -1) - 1)")))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "boot", "i")), 1, 13), 16, 10).cast("long")
+    rows = rows.withColumn("place", F.pmod(draw, F.expr("element_at(ends, -1)")))
+    cell = F.expr("cells[size(filter(ends, e -> e <= place))]")
+    return rows.select("boot", cell.alias("c")).groupBy("boot", F.col("c.a").alias(a), F.col("c.b").alias(b)).agg(F.count("*").alias(TIMES))
+
+
+def bootstrap_ci(df: DataFrame, a: str, b: str, keys: list[str], categories: list | None = None, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05, draws: str = "published") -> DataFrame:
+    """Percentile interval of kappa, or of weighted kappa if ``categories`` is given; NaN statistics are skipped.
+
+    draws: ``published`` (rows, in the order of keys, by Python's generator; small tables), ``cells``
+    (any number of ratings), ``hashed`` (a hash for each rating). The last two don't use keys.
+    """
+    by: dict[str, Callable[[], DataFrame]] = {"published": lambda: resamples(df, keys, n_boot, seed), "cells": lambda: cell_resamples(df, a, b, n_boot, seed), "hashed": lambda: hashed_resamples(df, a, b, n_boot, seed)}
+    if draws not in by:
+        raise ValueError(f"draws must be one of {sorted(by)}")
+    drawn = by[draws]()
+    if draws != "published":
+        drawn = saved(drawn, "draws")
     found = cohen_kappa(drawn, a, b, ["boot"]).select(F.col("kappa").alias("x")) if categories is None else weighted_kappa(drawn, a, b, categories, ["boot"]).select(F.col("weighted_kappa").alias("x"))
     at = lambda q: F.coalesce(F.expr(f"percentile(x, {q})"), F.lit(NAN))
     return found.where(~F.isnan("x")).agg(at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"))

@@ -243,6 +243,16 @@ OTHER = {
     "raw_agreement": f"SELECT lang, count(*) AS n, round(avg(CAST(quality = toxic AS DOUBLE)), 6) AS raw_agreement {_PAIRS} GROUP BY 1",
     "cohen_kappa": f"SELECT lang, n, round((po - pe) / (1 - pe), 6) AS kappa, round(2 * po - 1, 6) AS pabak FROM (SELECT lang, count(*) AS n, avg(CAST(quality = toxic AS DOUBLE)) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe {_PAIRS} GROUP BY 1)",
     "weighted_kappa": f"SELECT lang, round(1 - avg((a - b) * (a - b)) / (avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b)), 6) AS weighted_kappa FROM (SELECT lang, quality + 2 * (doc_id % 2) AS a, toxic + 2 * (doc_id % 2) AS b {_PAIRS}) GROUP BY 1",
+    "kendall_tau_values": """WITH p AS (SELECT event_type, value AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 + user_id % 10 AS b, count(*) AS k FROM events GROUP BY ALL),
+        t AS (SELECT x.event_type, sum(x.k * y.k * sign(x.a - y.a) * sign(x.b - y.b)) / 2 AS s, sum(CASE WHEN x.a <> y.a THEN x.k * y.k ELSE 0 END) / 2 AS ua, sum(CASE WHEN x.b <> y.b THEN x.k * y.k ELSE 0 END) / 2 AS ub FROM p x JOIN p y ON x.event_type = y.event_type GROUP BY 1)
+        SELECT event_type, CAST(n AS BIGINT) AS n, round(s / sqrt(CAST(ua AS DOUBLE) * ub), 6) AS tau_b FROM t JOIN (SELECT event_type, sum(k) AS n FROM p GROUP BY 1) USING (event_type)""",
+    "bootstrap_interval": f"""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS k {_PAIRS} GROUP BY ALL),
+        e AS (SELECT a, b, CAST(sum(k) OVER (ORDER BY a, b) AS BIGINT) AS upto, k FROM c), n AS (SELECT CAST(sum(k) AS BIGINT) AS n FROM c),
+        d AS (SELECT boot, CAST('0x' || substr(md5(concat_ws('|', 5, boot, i)), 1, 13) AS BIGINT) % n AS place, n FROM range(0, 200) AS r(boot), (SELECT n, unnest(range(0, n)) AS i FROM n)),
+        g AS (SELECT boot, a, b, CAST(n AS DOUBLE) AS n FROM d JOIN e ON place < upto AND place >= upto - k),
+        m AS (SELECT boot, any_value(n) AS n, avg(CAST(a = b AS INTEGER)) AS po, (sum(a) * sum(b) + (any_value(n) - sum(a)) * (any_value(n) - sum(b))) / (any_value(n) * any_value(n)) AS pe FROM g GROUP BY 1),
+        x AS (SELECT (po - pe) / (1 - pe) AS x FROM m WHERE pe < 1)
+        SELECT round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM x""",
     "kendall_tau_b": f"WITH p AS (SELECT row_number() OVER () AS i, lang, quality + 2 * (doc_id % 2) AS a, toxic + 2 * (doc_id % 3) AS b {_PAIRS}) SELECT x.lang, round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / sqrt(CAST(count_if(x.a <> y.a) AS DOUBLE) * count_if(x.b <> y.b)), 6) AS tau_b FROM p x JOIN p y ON x.lang = y.lang AND x.i < y.i GROUP BY 1",
     "both_orders": "WITH j AS (SELECT user_id, max(CASE WHEN event_id % 2 = 0 THEN event_id END) AS x, max(CASE WHEN event_id % 2 = 1 THEN event_id END) AS y FROM events GROUP BY 1), v AS (SELECT j.user_id, CASE a.event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'error' THEN NULL ELSE 'tie' END AS p, CASE b.event_type WHEN 'view' THEN 'b' WHEN 'click' THEN 'a' WHEN 'error' THEN NULL ELSE 'tie' END AS q FROM j LEFT JOIN events a ON a.event_id = x LEFT JOIN events b ON b.event_id = y) SELECT 'p-' || user_id AS pair_id, CASE WHEN p = q THEN p ELSE 'tie' END AS verdict, coalesce(p <> q, true) AS flipped FROM v",
     "split_sentences": r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '([Nn]o[.])(\s+)', '\1' || chr(2) || '\2', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(replace(x, chr(2), ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS x FROM documents) SELECT doc_id, CAST(len(x) AS BIGINT) AS n, md5(array_to_string(x, '|')) AS digest FROM s",

@@ -501,6 +501,19 @@ _query("weighted_kappa")(lambda spark, sf: stats.weighted_kappa(_ratings(spark,
 _query("kendall_tau_b")(lambda spark, sf: stats.kendall_tau_b(_ratings(spark, sf), "a", "c", ["lang"]).select("lang", F.round("tau_b", 6).alias("tau_b")))
 
 
+@_query("kendall_tau_values")
+def _tau_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scales of very many values; hashed blocks are small here, so that levels of blocks are used at any size."""
+    rows = _k(_events(spark, sf_dir)).select("event_type", "value", (F.col("k") * 10 + F.col("user_id") % 10).alias("score"))
+    return stats.kendall_tau_b(rows, "value", "score", ["event_type"], block=2000).select("event_type", "n", F.round("tau_b", 6).alias("tau_b"))
+
+
+@_query("bootstrap_interval")
+def _interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of kappa over all labels by hashed draws, which SQL repeats."""
+    return stats.bootstrap_ci(_ratings(spark, sf_dir), "quality", "toxic", [], n_boot=200, seed=5, draws="hashed").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 @_query("both_orders")
 def _both_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordering = F.when(F.col("event_id") % 2 == 0, "ab").otherwise("ba").alias("ordering")

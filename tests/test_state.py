@@ -41,8 +41,6 @@ def test_bootstrap(spark):
     assert one == two and 0.2 < one.lo < 0.75 < one.hi <= 1.0
     same = stats.bootstrap_ci(ratings(spark, [(1, 1)] * 3), "a", "b", ["i"], n_boot=20).first()
     assert (same.lo, same.hi) == (1.0, 1.0)
-    drawn = stats.hashed_resamples(pairs, "i", 40, 1, 16)
-    assert drawn.count() == 640 and drawn.groupBy("boot").count().where("count <> 16").count() == 0
     with pytest.raises(ValueError):
         stats.resamples(pairs.where("false"), ["i"], 5, 0)
     assert stats.percentile(pairs, "i", 0.25).first().value == 3.75
