@@ -118,6 +118,11 @@ LEDGER = {
         UNION ALL SELECT scenario_id || ' get_invoice ' || id, false, 'unknown invoice id: ' || id, NULL FROM sfact
         UNION ALL SELECT scenario_id || ' get_source ' || id, true, NULL, CAST(opened AS VARCHAR) FROM sfact
         UNION ALL SELECT scenario_id || ' get_source ' || id, false, id || ' is an invoice; use get_invoice', NULL FROM inv""",
+    "model_calls": """, tries AS (SELECT 'Rate the reply to ' || scenario_id AS prompt, t AS attempt, answers[1 + (c_custkey * 5 + t * t) % 11] AS output, problems[1 + (c_custkey * 5 + t * t) % 11] AS error
+          FROM client, range(1, 4) AS r(t), (SELECT ['{"tone": 3, "verdict": "good"}', '{"tone": 1, "verdict": "bad", "notes": ["x", "y"]}', '{"tone": 7, "verdict": "good"}', '{"tone": "3", "verdict": "good"}', '{"tone": 3}', '{"tone": 3, "verdict": "so"}', '{"tone": 3, "verdict": "bad", "why": 1}', '{"tone": 3, "verdict": "bad", "notes": ["a", ""]}', '{"tone": ', '[]', NULL] AS answers,
+            [NULL, NULL, '$.tone: maximum is 4', '$.tone: not of type integer', '$: lacks verdict', '$.verdict: not one of good, bad', '$: has other keys', '$.notes[]: shorter than 1', 'not JSON', '$: not of type object', 'no answer'] AS problems))
+        SELECT prompt, CAST(attempt AS INTEGER) AS attempt, error IS NULL AS ok, error, output, bool_or(error IS NULL) OVER (PARTITION BY prompt) AS answered
+        FROM tries a WHERE NOT EXISTS (SELECT 1 FROM tries b WHERE b.prompt = a.prompt AND b.attempt < a.attempt AND b.error IS NULL)""",
     "application_history": "SELECT a.scenario_id, source_id, s.kind AS source_type, target_invoice, " + money("a.cents") + " AS amount_text FROM app a JOIN src s ON s.id = a.source_id",
     "applied_totals": "SELECT scenario_id, 'invoice' AS kind, id, applied AS applied_cents FROM ifact UNION ALL SELECT scenario_id, kind, id, applied FROM sfact",
     "golden_draft": "SELECT scenario_id, draft FROM golden",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,37 +11,6 @@ from ledgerloom.operators.extract import extract_claims
 from ledgerloom.operators.gate import BUDGET, decide, precheck
 from ledgerloom.sources.shared import saved
 
-#: A model at the boundary: from requests (key, prompt) to (key, output, ok). Offline it is a table.
-Completer = Callable[[DataFrame], DataFrame]
-
-
-def stub(responses: DataFrame) -> Completer:
-    """Answers from a table (key, output); a key it lacks is a failed call."""
-
-    def complete(requests: DataFrame) -> DataFrame:
-        found = requests.select("key").join(responses.select("key", "output"), "key", "left")
-        return found.withColumn("ok", F.col("output").isNotNull())
-
-    return complete
-
-
-def with_retries(complete: Completer, valid: str, attempts: int = 3) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    """Ask again, up to ``attempts`` times, where ``valid`` (SQL over output) fails; (answers, a trace row for each attempt)."""
-
-    def run(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        left, done, traces = requests, None, None
-        for attempt in range(1, attempts + 1):
-            answer = complete(left).withColumn("ok", F.col("ok") & F.coalesce(F.expr(valid), F.lit(False)))
-            trace = answer.select("key", F.lit(attempt).alias("attempt"), "ok", "output")
-            traces = trace if traces is None else traces.unionByName(trace)
-            good = answer.where("ok").select("key", "output")
-            done = good if done is None else done.unionByName(good)
-            left = left.join(good.select("key"), "key", "left_anti")
-        return done, traces
-
-    return run
-
-
 def verify(drafts: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims, checked claims, decisions) of drafts: draft_id, scenario_id, draft, revision_index and the columns of ledger.view.
 

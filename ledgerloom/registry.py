@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from ledgerloom.functions import money, text
 from ledgerloom.operators import checks, corrupt, gate, ledger, memory, oracle, render, reports, score, stats, tools
 from ledgerloom.operators.extract import detect, extract_claims
 from ledgerloom.oracles import ORACLES as SQL
-from ledgerloom.plans import recovery, rounds
+from ledgerloom.plans import calls, recovery, rounds
 from ledgerloom.schema import LABELS
-from ledgerloom.sources.shared import saved
+from ledgerloom.sources.shared import saved, shared_dir
 from ledgerloom.sources.tables import Ledger, order_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +141,25 @@ def _draft_prompt(x: Ledger) -> DataFrame:
     return render.ledger_block(x).select(SID, made.alias("p")).select(SID, "p.system", "p.user")
 
 
+_RUBRIC = {"type": "object", "properties": {"tone": {"type": "integer", "minimum": 1, "maximum": 4}, "notes": {"type": "array", "maxItems": 2, "items": {"type": "string", "minLength": 1}}, "verdict": {"enum": ["good", "bad"]}}, "required": ["tone", "verdict"], "additionalProperties": False}
+#: Answers by number, and what is wrong with each.
+_ANSWERS = (
+    ('{"tone": 3, "verdict": "good"}', None), ('{"tone": 1, "verdict": "bad", "notes": ["x", "y"]}', None), ('{"tone": 7, "verdict": "good"}', "$.tone: maximum is 4"), ('{"tone": "3", "verdict": "good"}', "$.tone: not of type integer"), ('{"tone": 3}', "$: lacks verdict"),
+    ('{"tone": 3, "verdict": "so"}', "$.verdict: not one of good, bad"), ('{"tone": 3, "verdict": "bad", "why": 1}', "$: has other keys"), ('{"tone": 3, "verdict": "bad", "notes": ["a", ""]}', "$.notes[]: shorter than 1"), ('{"tone": ', "not JSON"), ("[]", "$: not of type object"), (None, "no answer"),
+)
+
+
+@_on_ledger("model_calls")
+def _calls(x: Ledger) -> DataFrame:
+    """Traces of three attempts a scenario; its answers follow from its number and the attempt."""
+    number, spark = F.substring(SID, 3, 20).cast("long"), x.client.sparkSession
+    asks = x.client.select(F.col(SID).alias("key"), F.concat(F.lit("Rate the reply to "), SID).alias("prompt"))
+    given = x.client.select(F.expr(calls.prompt_sha(f"concat('Rate the reply to ', {SID})")).alias("prompt_sha"), number.alias("number"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
+    answer = F.element_at(F.array(*(F.lit(a) for a, _ in _ANSWERS)), ((F.col("number") * 5 + F.col("attempt") * F.col("attempt")) % len(_ANSWERS) + 1).cast("int"))
+    answers, traces = calls.ask(asks, calls.answer_table(given.withColumn("output", answer)), f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}", "rubric", calls.answer_problem(_RUBRIC))
+    return traces.select("prompt", "attempt", "ok", "error", "output").join(answers.select(F.concat(F.lit("Rate the reply to "), "key").alias("prompt"), F.lit(True).alias("answered")), "prompt", "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
 # Scalar functions over the ledger's figures.
 _on_ledger("money_render")(lambda x: ledger.totals(x).select(SID, F.expr(money.render("net_balance")).alias("shown"), F.expr(money.render("(-net_balance - 7)")).alias("negative")))
 _on_ledger("money_parse")(lambda x: ledger.totals(x).select(SID, F.expr(money.parse_dollars(money.render("net_balance"))).alias("parsed"), F.expr(money.parse_dollars("'$1,25.00'")).alias("odd"), F.expr(money.parse_dollars("'1250.5'")).alias("tenths")))

@@ -271,12 +271,7 @@ def test_log_reports(spark):
     assert {r.gen_id: r.agree for r in reports.crosscheck(generations, scores, judged).collect()} == {"g1": True, "g2": False}
 
 
-def test_model_boundary(spark):
-    requests = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p")], "key string, prompt string")
-    answers = rounds.stub(spark.createDataFrame([("a", "good"), ("b", "bad")], "key string, output string"))
-    done, traces = rounds.with_retries(answers, "output = 'good'")(requests)
-    assert [r.key for r in done.collect()] == ["a"]
-    assert traces.groupBy("key").count().where("key <> 'a' and count = 3 or key = 'a' and count = 1").count() == 3
+def test_steps_limits_and_evidence(spark):
     steps = spark.sql("select stack(5, named_struct('type', 'tools', 'calls', array('x'), 'draft', ''), named_struct('type', 'tools', 'calls', array('a', 'b', 'c', 'd'), 'draft', ''), named_struct('type', 'final', 'calls', slice(array(''), 1, 0), 'draft', 'd'), named_struct('type', 'final', 'calls', slice(array(''), 1, 0), 'draft', ' '), named_struct('type', 'odd', 'calls', slice(array(''), 1, 0), 'draft', '')) as step")
     got = [r[0] for r in steps.select(F.expr(rounds.step_problem())).collect()]
     assert [x is None for x in got] == [True, False, True, False, False]
