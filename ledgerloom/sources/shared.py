@@ -1,9 +1,11 @@
-"""Tables written to the folder that all executors share, to cut a plan between rounds."""
+"""Tables written to the folder that all executors share, to cut a plan between rounds; they go when the session's JVM ends."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,12 +46,48 @@ def saved(df: DataFrame, label: str, settings: dict[str, str] | None = None) ->
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
     return out
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def state_of(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of the names, sizes and times of all files under some paths."""
+    told = hashlib.sha256()
+    for path in paths:
+        files, at = _files(spark, path)
+        found, rows = files.listFiles(at, True), []
+        while found.hasNext():
+            one = found.next()
+            rows.append(f"{one.getPath()}|{one.getLen()}|{one.getModificationTime()}")
+        told.update("\n".join(sorted(rows)).encode())
+    return told.hexdigest()[:16]
+
+
+#: Tables of this process by what they were made of.
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def saved_once(spark: SparkSession, paths: list[str], label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """saved(build()), or the table that this session wrote before from the very same files, if it is still there."""
+    key = (spark.sparkContext.applicationId, label, state_of(spark, paths))
+    held = _MADE.get(key)
+    if held is not None:
+        files, at = _files(spark, f"{held._saved_at}/_SUCCESS")
+        if files.exists(at):
+            return spark.read.schema(held.schema).parquet(held._saved_at)
+    _MADE[key] = saved(build(), label)
+    return _MADE[key]
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove tables made by saved(), once all that was made of them is itself saved."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        files, at = _files(df.sparkSession, df._saved_at)
+        files.delete(at, True)
