@@ -1,20 +1,19 @@
-"""What the training-data operators share: reading tables, shared storage, row keys."""
+"""What the training-data operators share: reading tables, row keys, columns of any name; shared storage is the library's."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import forget, saved, shared_dir
+
+__all__ = ["BATCH_ROWS", "KEY", "bound_batches", "column", "forget", "keyed", "list_column", "packed", "saved", "shared_dir", "table"]
 #: Column names that the operators add start so; input columns may have any other name.
 KEY = "__row_key"
 BATCH_ROWS = 1000
-#: Removes a query's shuffle files when it has ended, instead of when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Numbers of so many files are sent to every task, some 20 MB.
 MOST_FILES = 100_000
 #: A row key is a file's number times this, and the row's place in the file.
@@ -25,50 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. If unset, a temporary one, on a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    if hasattr(found, "isDefined"):
-        found = found.get() if found.isDefined() else None
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return str(found).rstrip("/")
-
-
-def saved(df: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    Shuffle files of the query that made it go at once, since nothing reads them again. settings hold
-    for that query only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    settings = {_CLEANUP: "true", **(settings or {})}
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        df.write.parquet(path)
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Remove tables made by saved(), once all that was made of them is itself saved."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _of_one_table(df: DataFrame) -> bool:
     """Whether df selects rows and columns of one Parquet table, so that each row has a place in a file."""
     plan = df._jdf.queryExecution().analyzed()
