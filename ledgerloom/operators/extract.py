@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import let
-from ledgerloom.functions.text import ANY_CASE, EXPLICIT_ID, LOOSE_ID, MONTH, NUMBER_WORD, UNICODE, amount_cents, found, matches, mention_id, sentences
-from ledgerloom.sources.shared import saved
+from ledgerloom.functions.money import let, quoted
+from ledgerloom.functions.text import ANY_CASE, EXPLICIT_ID, LOOSE_ID, MONTH, MONTHS, NUMBER_WORD, UNICODE, amount_cents, found, matches, mention_id, sentences
+from ledgerloom.sources.shared import HEAVY, saved
 
-# What the detectors look for, amounts and dates in order of priority.
+# What the detectors look for, amounts and dates in order of priority; each with what any match contains, in lower case.
 AMOUNTS = (
-    ("resolvable", UNICODE, r"-?\$\s?\d+(?:,\d{3})*(?:\.\d{1,2})?"),
-    ("resolvable", ANY_CASE, r"\bUSD\s*-?\d+(?:,\d{3})*(?:\.\d{1,2})?\b"),
-    ("resolvable", ANY_CASE, r"-?\b\d+(?:,\d{3})*(?:\.\d{1,2})?\s*(?:dollars?|USD)\b"),
-    ("resolvable", ANY_CASE, rf"\b(?:(?:{NUMBER_WORD})(?:[\s-]+(?:and[\s-]+)?(?:{NUMBER_WORD}))*)\s+dollars\b"),
-    ("unverifiable", ANY_CASE, r"\b\d+(?:\.\d+)?\s?(?:%|percent\b)"),
-    ("unverifiable", ANY_CASE, r"\b(?:(?:a|one|two|three)\s+)?(?:half|third|quarter)s?\s+of\s+(?:the\s+|this\s+|that\s+|your\s+)?(?:invoice|balance|total|amount|(?:INV|PMT|CM)-\d+)"),
-    ("resolvable", UNICODE, r"-?\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b"),
-    ("resolvable", UNICODE, r"-?\b\d+\.\d{2}\b"),
+    ("resolvable", UNICODE, r"-?\$\s?\d+(?:,\d{3})*(?:\.\d{1,2})?", ("$",)),
+    ("resolvable", ANY_CASE, r"\bUSD\s*-?\d+(?:,\d{3})*(?:\.\d{1,2})?\b", ("usd",)),
+    ("resolvable", ANY_CASE, r"-?\b\d+(?:,\d{3})*(?:\.\d{1,2})?\s*(?:dollars?|USD)\b", ("dollar", "usd")),
+    ("resolvable", ANY_CASE, rf"\b(?:(?:{NUMBER_WORD})(?:[\s-]+(?:and[\s-]+)?(?:{NUMBER_WORD}))*)\s+dollars\b", ("dollars",)),
+    ("unverifiable", ANY_CASE, r"\b\d+(?:\.\d+)?\s?(?:%|percent\b)", ("%", "percent")),
+    ("unverifiable", ANY_CASE, r"\b(?:(?:a|one|two|three)\s+)?(?:half|third|quarter)s?\s+of\s+(?:the\s+|this\s+|that\s+|your\s+)?(?:invoice|balance|total|amount|(?:INV|PMT|CM)-\d+)", ("half", "third", "quarter")),
+    ("resolvable", UNICODE, r"-?\b\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?\b", (",",)),
+    ("resolvable", UNICODE, r"-?\b\d+\.\d{2}\b", (".",)),
 )
 DATES = (
-    (UNICODE, r"\b\d{4}-\d{2}-\d{2}\b"),
-    (ANY_CASE, rf"\b(?:{MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b"),
-    (UNICODE, r"\b\d{1,2}/\d{1,2}/\d{4}\b"),
+    (UNICODE, r"\b\d{4}-\d{2}-\d{2}\b", ("-",)),
+    (ANY_CASE, rf"\b(?:{MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b", tuple(sorted({m[:3] for m in MONTHS}))),
+    (UNICODE, r"\b\d{1,2}/\d{1,2}/\d{4}\b", ("/",)),
 )
 TOTAL = r"\b(?:your\s+account|the\s+account|account\s+balance|net\s+balance|total\s+balance|balance\s+due\s+on|total\s+amount\s+due|total\s+due|grand\s+total|in\s+total|altogether|combined|total)\b"
 ROLES = (  # of equally near ones the first
@@ -45,8 +45,11 @@ _KEPT = "array<struct<start:int,end:int,token:string,kind:string>>"
 _STRINGS = "cast(array() as array<string>)"
 
 
-def _tagged(text: str, flags: str, pattern: str, kind: str) -> str:
-    return f"transform({matches(text, pattern, flags)}, h_ -> named_struct('start', h_.start, 'end', h_.end, 'token', h_.token, 'kind', '{kind}'))"
+def _tagged(text: str, flags: str, pattern: str, kind: str, needs: tuple[str, ...]) -> str:
+    """All matches; a plain text (ASCII only) without anything that a match contains isn't searched. Letters beyond ASCII may fold to it."""
+    none = "cast(array() as array<struct<start:int,end:int,token:string>>)"
+    may = " or ".join(f"contains(lower({text}), {quoted(x)})" for x in needs)
+    return f"transform(if(not plain or {may}, {matches(text, pattern, flags)}, {none}), h_ -> named_struct('start', h_.start, 'end', h_.end, 'token', h_.token, 'kind', '{kind}'))"
 
 
 def _claimed(candidates: str, already: str) -> str:
@@ -75,12 +78,13 @@ def detect(drafts: DataFrame) -> DataFrame:
     rows = sentence_rows(drafts)
     mention = f"concat({matches('s', EXPLICIT_ID, ANY_CASE)}, {matches('s', LOOSE_ID, ANY_CASE)})"
     rows = rows.withColumn("ids", F.expr(f"array_sort(transform({mention}, n_ -> named_struct('pos', n_.start, 'id', {mention_id('n_.token', 'known')})))"))
-    amounts = "concat(" + ", ".join(_tagged("s", flags, p, kind) for kind, flags, p in AMOUNTS) + ")"
-    dates = "concat(" + ", ".join(_tagged("s", flags, p, "date") for flags, p in DATES) + ")"
+    rows = rows.withColumn("plain", F.expr("octet_length(s) = length(s)"))
+    amounts = "concat(" + ", ".join(_tagged("s", flags, p, kind, needs) for kind, flags, p, needs in AMOUNTS) + ")"
+    dates = "concat(" + ", ".join(_tagged("s", flags, p, "date", needs) for flags, p, needs in DATES) + ")"
     rows = rows.withColumn("kept", F.expr(_claimed(amounts, "array()")))
     rows = rows.withColumn("amounts", F.expr("array_sort(kept)"))
     rows = rows.withColumn("dates", F.expr(f"array_sort(filter({_claimed(dates, 'kept')}, m_ -> m_.kind = 'date'))"))
-    return rows.drop("kept", "known")
+    return rows.drop("kept", "known", "plain")
 
 
 def _claim(rows: DataFrame, kind: str, pos: str, rank: int, token: str, subjects: str = _STRINGS, role: str = "''", preset: str = "cast(null as string)", turn: str = "0") -> DataFrame:
@@ -129,10 +133,11 @@ def extract_claims(drafts: DataFrame) -> DataFrame:
     amounts that can't be read. A null or empty draft has no claims. Sentences and what the detectors
     find in them are written once; the types of claims are read from that.
     """
-    rows = saved(detect(drafts), "sentences")
+    rows = saved(detect(drafts), "sentences", HEAVY)
     exist = _claim(rows.select("draft_id", "sent", "s", F.explode("ids").alias("i")), "'C-EXIST'", "i.pos", 0, "i.id")
     fuzzy = rows.withColumn("f", F.expr(f"get({matches('s', FUZZY, ANY_CASE)}, 0)")).where("f is not null")
     claims = exist.unionByName(_amount_claims(rows)).unionByName(_date_claims(rows)).unionByName(_status_claims(rows)).unionByName(_claim(fuzzy, "'C-FUZZY'", "f.start", 4, "''"))
+    claims = claims.repartition("draft_id")  # serves both numberings; a draft's claims are few
     once = F.when(F.col("type") == "C-EXIST", F.lit("")).otherwise(F.col("span"))
     reading = ("sent", "pos", "rank", "turn", "token")
     same = Window.partitionBy("draft_id", "type", once, "token", F.array_join("subject_ids", ","), "role").orderBy(*reading)

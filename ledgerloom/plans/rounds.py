@@ -9,16 +9,16 @@ from ledgerloom.operators.checks import check_claims
 from ledgerloom.operators.corrupt import variants
 from ledgerloom.operators.extract import extract_claims
 from ledgerloom.operators.gate import BUDGET, decide, precheck
-from ledgerloom.sources.shared import saved
+from ledgerloom.sources.shared import HEAVY, saved
 
 def verify(drafts: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims, checked claims, decisions) of drafts: draft_id, scenario_id, draft, revision_index and the columns of ledger.view.
 
     Drafts and checked claims are written once, as both are used more than once.
     """
-    drafts = saved(drafts, "drafts")
+    drafts = saved(drafts, "drafts", HEAVY)
     claims = extract_claims(drafts)
-    checked = saved(check_claims(claims, drafts, verdicts), "checked")
+    checked = saved(check_claims(claims, drafts, verdicts), "checked", HEAVY)
     return claims, checked, decide(drafts, checked)
 
 

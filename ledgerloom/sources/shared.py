@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Removes a query's shuffle files when it has ended, instead of when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: For queries that work long on few bytes: shuffles feed all cores rather than partitions of 1 MB.
+HEAVY = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir. If unset, a temporary one, on a local master only."""
