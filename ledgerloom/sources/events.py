@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.digest import table_digest
 from ledgerloom.schema import EVENT_TYPES, EVENT_VALUES, event_keys
 
 
@@ -92,10 +93,10 @@ def line_count(lines: DataFrame) -> int:
     return 0 if last is None else last + 1
 
 
-def manifest(run_id: str, config: dict, prompts: dict[str, str], memory_hash: str, ledger_refs: dict[str, str]) -> dict:
-    """Hashes that identify a run."""
+def manifest(run_id: str, config: dict, prompts: dict[str, str], memory_hash: str, ledger_refs: dict[str, str], tables: dict[str, DataFrame] | None = None) -> dict:
+    """Hashes that identify a run; of ``tables`` their fingerprints, which don't depend on files or order (see operators.digest)."""
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
-    return {"run_id": run_id or uuid.uuid4().hex, "config_hash": sha(canonical(config)), "prompt_hashes": {k: sha(v) for k, v in sorted(prompts.items())}, "memory_state_hash": memory_hash, "ledger_refs": dict(sorted(ledger_refs.items()))}
+    return {"run_id": run_id or uuid.uuid4().hex, "config_hash": sha(canonical(config)), "prompt_hashes": {k: sha(v) for k, v in sorted(prompts.items())}, "memory_state_hash": memory_hash, "ledger_refs": dict(sorted(ledger_refs.items()))} | ({"tables": {name: table_digest(df) for name, df in sorted(tables.items())}} if tables else {})
 
 
 def write_manifest(spark: SparkSession, entry: dict, path: str) -> None:
