@@ -5,20 +5,27 @@ each host and for each section of it (the first part of the path), on how many d
 subtree occurs; those on many are template and are cut from the pages there, wherever they stand.
 Copies of a page count once, so what is on a page often copied isn't template for that.
 
+A subtree hash can't recur where the content is drawn anew on every page, as in adverts, notices and
+comments. So places are counted too, the tags and classes from the page's root to an element: of what stands
+beside an article, and, within an article or where there is none, of what is named like an advert or a
+part of a page's frame. What is in a place that recurs on the host or section is cut, but not a named
+element that holds over half of the words of its pages on average, as a wrapper may be named like a
+sidebar. Where a host has too few pages to count, the article or the name alone decides, within the same limit on the page.
+
 Within an article a subtree must be on more pages to be template, as articles may quote what others
-quote. What a page repeats of no other page (an advert drawn at random, menus of a host with a single
-page, a reader's comment) is known by its element or class name instead.
+quote, and fewer names count. Elements whose tag says that they aren't text (script, nav, footer and such) go everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +33,9 @@ from ledgerloom.llm.common import bound_batches, column, forget, packed, saved
 
 #: A subtree is template if it is on so many different pages of its host or section, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.1
-#: The same for parts of an article.
+#: The same for the place of something beside an article.
+BESIDE_PAGES, BESIDE_SHARE = 2, 0.01
+#: As before, for parts of an article.
 OWN_PAGES, OWN_SHARE = 5, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*?)(?:>|\Z)", re.S)
@@ -36,24 +45,31 @@ _RAW = frozenset("script style textarea title noscript template iframe noembed n
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - frozenset("body html caption tbody td tfoot th thead tr option optgroup legend".split())
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements that are never part of an article's text.
-_DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer aside form button select input textarea label svg canvas object embed audio video dialog menu title math map".split())
+#: Elements that are never part of an article's text, and such that aren't if they hold under half of a page's words.
+_DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer select input textarea svg canvas object embed audio video dialog menu title map annotation annotation-xml".split())
+_MINOR = frozenset("aside form header".split())
+#: Elements that are text within a line of text, and controls elsewhere.
+_INLINE, _LINES = frozenset("button label".split()), frozenset("p li dt dd td th caption figcaption blockquote pre summary h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_NAME = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|navbar|nav|navigation|menu|breadcrumbs?|footer|header|masthead|cookies?|notice|notification|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|login|signup|signin|search|toolbar|widget|pagination|pager|skip|skip-link|hidden|sr-only|alert)"
-_NAMES = re.compile(rf"(?:^|[\s_-]){_NAME}(?:$|[\s_-])", re.I)
-#: Inside an article a name must be all of a class or id, or have only words for a container beside it.
-_WHOLE = re.compile(rf"(?!(?:header|masthead)$){_NAME}(?:[_-]{_NAME})*(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|links?|list|posts|articles|slot|unit|widget|wrap|wrapper))*", re.I)
-_NEGATED = re.compile(r"(?:no|has|without)[_-]", re.I)
+#: What adverts, notices, comments and the like are called, and what else the frame of a page is called outside articles.
+_STRONG = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|navbar|nav|navigation|breadcrumbs?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|widget|pagination|pager|skip-link|sr-only)"
+_FRAME = rf"(?:{_STRONG[3:-1]}|banner|side|menu|footer|header|masthead|notice|notification|login|signup|signin|search|toolbar|skip|hidden|alert)"
+_PARTS = r"(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|items?|links?|list|posts|articles|slot|unit|widget|wrap|wrapper))*"
+#: A class or id must be such a name as a whole, or have only words for a container beside it.
+_INSIDE, _OUTSIDE = (re.compile(rf"(?:site[_-]|page[_-]|main[_-]|global[_-])?{name}(?:[_-]{name})*{_PARTS}", re.I) for name in (_STRONG, _FRAME))
 #: Elements of an article that aren't judged by their names; of a section the id isn't.
-_UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_UNNAMED = frozenset("p h1 h2 h3 h4 h5 h6 table thead tbody tr td th pre blockquote figure math".split())
 #: Classes of article elements that hold a reader's comment.
 _COMMENT = frozenset("comment comments comment-body comment-item comment-reply reply replies".split())
+#: A place that holds such a share of the words isn't cut.
+MOST = 0.5
+
 
 class Node:
-    __slots__ = ("attributes", "children", "digest", "tag")
+    __slots__ = ("attributes", "children", "digest", "tag", "words")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children, self.digest = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.digest, self.words = tag, attributes, [], 0, 0
 
     def named(self) -> dict[str, str]:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(self.attributes)} if self.attributes.strip(" /") else {}
@@ -123,139 +139,219 @@ def _post_order(root: Node) -> list[Node]:
 
 
 def digest(root: Node) -> list[Node]:
-    """Hash every subtree; the nodes, children first."""
+    """Hash every subtree and count its words, scripts and such left out; the nodes, children first."""
     nodes = _post_order(root)
     for node in nodes:
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
         names = _ATTRIBUTE.findall(node.attributes) if "class" in node.attributes or "id" in node.attributes else ()
         h.update("|".join(sorted(f"{n}={a or b or c}" for n, a, b, c in names if n.lower() in ("class", "id"))).encode("utf-8", "replace"))
+        count = 0
         for child in node.children:
             if isinstance(child, Node):
                 h.update(b"<" + (child.digest & (2**64 - 1)).to_bytes(8, "big"))
+                count += child.words
             elif words := child.split():
                 h.update(b">" + " ".join(words).encode("utf-8", "replace"))
+                count += len(words)
         node.digest = int.from_bytes(h.digest(), "big", signed=True)
+        node.words = 0 if node.tag in _DROPPED else count
     return nodes
 
 
-def _unwanted(node: Node, inside: bool) -> bool:
+def _comment(node: Node) -> bool:
+    return node.tag == "article" and "class" in node.attributes and not _COMMENT.isdisjoint(node.named().get("class", "").lower().split())
+
+
+def _never(node: Node, inside: bool, whole: int) -> bool:
+    """Whether an element is no text by its tag or because it is hidden. whole: the page's words."""
     if node.tag in _DROPPED:
         return True
-    if node.tag == "header":
-        return not inside
-    if node.tag in ("html", "body", "main", "article") or not node.attributes:
-        named = node.named() if node.tag == "article" else {}
-        return not _COMMENT.isdisjoint(named.get("class", "").lower().split())
-    named = node.named()
-    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style", ""), re.I):
+    if node.tag in _MINOR:
+        return node.words <= MOST * whole and not (inside and node.tag == "header")
+    if not node.attributes or node.tag in ("html", "body", "main"):
+        return False
+    if _comment(node):
         return True
+    named = node.named()
+    return "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", named.get("style", ""), re.I))
+
+
+def _named(node: Node, inside: bool) -> bool:
+    """Whether an element is named like a part of a page's frame, an advert, a notice or a comment."""
+    if not node.attributes or node.tag in ("html", "body", "main", "article") or (inside and node.tag in _UNNAMED):
+        return False
+    named = node.named()
     if named.get("role", "").lower() in _ROLES:
         return True
-    if inside and node.tag in _UNNAMED:
-        return False
     names = ("class",) if inside and node.tag == "section" else ("class", "id")
-    tokens = [x for name in names for x in named.get(name, "").split() if not _NEGATED.match(x)]
-    return any(_WHOLE.fullmatch(x) if inside else _NAMES.search(x) for x in tokens)
+    return any((_INSIDE if inside else _OUTSIDE).fullmatch(x) for name in names for x in named.get(name, "").split())
+
+
+def _label(node: Node) -> str:
+    """A tag and its classes; numbers in them count as one, since many are ids."""
+    return f"{node.tag}.{re.sub('[0-9]+', '0', ' '.join(sorted(node.named().get('class', '').split())))}" if "class" in node.attributes else node.tag
 
 
-def _scopes(root: Node) -> list[Node]:
-    """The article elements that aren't in another or in something unwanted; else main elements; else the page."""
+def _scopes(root: Node) -> tuple[list[Node], set[int]]:
+    """The article elements that aren't in another, else main elements, else none; and the identities of what holds one.
+
+    Those in something that is named like a frame count only if there are no others.
+    """
     for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted and not _unwanted(node, True):
-                found.append(node)
-            elif node is root or not _unwanted(node, False):
-                todo.extend(reversed([c for c in node.children if isinstance(c, Node)]))
-        if found:
-            return found
-    return [root]
-
-
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), within: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Text blocks of the main text in page order, without subtrees of the template (``within``: in an article). Needs digest() first if there is one."""
-    out, words = [], []
+        for strict in (True, False):
+            found, around, todo = [], set(), [(root, ())]
+            while todo:
+                node, above = todo.pop()
+                if node is not root and (_never(node, False, root.words) or (strict and _named(node, False))):
+                    continue
+                if node.tag == wanted:
+                    found.append(node)
+                    around.update(above)
+                else:
+                    todo.extend((c, (*above, id(node))) for c in reversed(node.children) if isinstance(c, Node))
+            if found:
+                return found, around
+    return [], set()
+
+
+NAMED, BESIDE = 1, 2
+
+
+def places(root: Node, scoped: tuple[list[Node], set[int]]) -> list[tuple[Node, int, int]]:
+    """The elements whose place is counted, with a hash of it and a kind. Needs digest() first.
+
+    With an article, the elements beside what holds it (BESIDE); in it, or if there is none in the
+    whole page, those that are named like no text (NAMED). None within what never is text.
+    """
+    scopes, around = scoped
+    inner = {id(s) for s in scopes}
+    out, todo = [], [(root, "", False)]
+    while todo:
+        node, path, inside = todo.pop()
+        inside = inside or id(node) in inner
+        for child in node.children:
+            if not isinstance(child, Node) or _never(child, inside, root.words):
+                continue
+            own = f"{path}>{_label(child)}"
+            beside = bool(scopes) and not inside and id(child) not in around and id(child) not in inner
+            if beside or ((inside or not scopes) and _named(child, inside)):
+                kind = BESIDE if beside else NAMED
+                out.append((child, int.from_bytes(hashlib.blake2b(f"{kind}{own}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True), kind))
+            if not beside:
+                todo.append((child, own, inside))
+    return out
+
+
+class Template:
+    """What is cut on a host's pages: subtrees, subtrees within articles, and places; few: too few pages to count."""
+
+    def __init__(self, subtrees: Iterable[int] = (), within: Iterable[int] = (), places: Iterable[int] = (), few: bool = True):
+        self.subtrees, self.within, self.places, self.few = frozenset(subtrees), frozenset(within), frozenset(places), few
+
+    def cut(self, root: Node, scoped: tuple[list[Node], set[int]]) -> set[int]:
+        """Identities of the elements of a page that are cut for their place; with few pages all beside an article are."""
+        return {id(node) for node, place, kind in places(root, scoped) if place in self.places or (self.few and (kind == BESIDE or node.words <= MOST * root.words))}
+
+
+def blocks(root: Node, template: Template) -> list[str]:
+    """Text blocks of the main text in page order, without what the template cuts. Needs digest() first."""
+    scopes, around = scoped = _scopes(root)
+    out, words, cut = [], [], template.cut(root, scoped)
+    inner = {id(s) for s in scopes}
 
     def flush() -> None:
         if text := " ".join("".join(words).split()):
             out.append(text)
         words.clear()
 
-    for scope in _scopes(root):
-        inside = scope.tag != "#root"
-        todo: list = [iter(scope.children)]
-        ends: list[bool] = [True]
-        flush()
-        while todo:
-            for child in todo[-1]:
-                if isinstance(child, str):
+    # What holds an article has no text of its own.
+    todo: list = [(iter(root.children), False, False, id(root) in around)]
+    ends: list[bool] = [True]
+    while todo:
+        children, in_line, inside, holds = todo[-1]
+        for child in children:
+            if isinstance(child, str):
+                if not holds:
                     words.append(child)
-                    continue
-                if child.tag == "br" or child.tag == "hr":
-                    words.append(" ")
-                    if child.tag == "hr":
-                        flush()
-                    continue
-                block = child.tag in _BLOCK
-                if _unwanted(child, inside) or child.digest in (within if inside else template):
-                    if block:
-                        flush()
-                    continue
-                if block:
-                    flush()
-                todo.append(iter(child.children))
-                ends.append(block)
-                break
-            else:
-                todo.pop()
-                if ends.pop():
+                continue
+            if child.tag == "br" or child.tag == "hr":
+                words.append(" ")
+                if child.tag == "hr":
                     flush()
-        flush()
+                continue
+            block = child.tag in _BLOCK or id(child) in inner
+            if block:
+                flush()
+            if id(child) not in around and id(child) not in inner:
+                recurring = template.within if inside else template.subtrees
+                if _never(child, inside, root.words) or id(child) in cut or child.digest in recurring or (child.tag in _INLINE and not in_line):
+                    continue
+            todo.append((iter(child.children), child.tag in _LINES or (in_line and not block), inside or id(child) in inner, id(child) in around))
+            ends.append(block)
+            break
+        else:
+            todo.pop()
+            if ends.pop():
+                flush()
+    flush()
     return out
 
 
+_FOUND = "host string, section string, kind int, digest long, share double, whole long"
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different subtrees of each page, with a hash of the page; one row without a subtree for the page itself."""
+    """The different subtrees and named places of each page, with a hash of the page; one row without a digest for the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             some = batch.slice(at, 512)
-            host, section, found, whole = [], [], [], []
+            host, section, kinds, found, share, whole = [], [], [], [], [], []
             for h, s, page in zip(*(some.column(c).to_pylist() for c in ("host", "section", "page"))):
-                nodes = digest(parse(page or ""))
+                root = parse(page or "")
+                nodes = digest(root)
                 own = {n.digest for n in nodes if n.children and n.tag not in ("#root", "html", "body")}
-                host.extend([h] * (len(own) + 1))
-                section.extend([s] * (len(own) + 1))
-                found.extend([*own, None])
-                whole.extend([nodes[-1].digest] * (len(own) + 1))
-            yield pa.record_batch({"host": pa.array(host, pa.string()), "section": pa.array(section, pa.string()), "digest": pa.array(found, pa.int64()), "whole": pa.array(whole, pa.int64())})
+                held: dict[int, list] = {}
+                for node, path, kind in places(root, _scopes(root)):
+                    held.setdefault(path, [kind, 0.0])[1] += node.words / max(1, root.words)
+                n = len(own) + len(held) + 1
+                host.extend([h] * n)
+                section.extend([s] * n)
+                kinds.extend([0] * len(own) + [kind for kind, _ in held.values()] + [None])
+                found.extend([*own, *held, None])
+                share.extend([0.0] * len(own) + [round(x, 4) for _, x in held.values()] + [0.0])
+                whole.extend([root.digest] * n)
+            yield pa.record_batch({"host": pa.array(host, pa.string()), "section": pa.array(section, pa.string()), "kind": pa.array(kinds, pa.int32()), "digest": pa.array(found, pa.int64()), "share": pa.array(share, pa.float64()), "whole": pa.array(whole, pa.int64())})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("page", "template", "section_template", "within", "section_within")
+    names = ("page", "subtrees", "within", "places", "section_subtrees", "section_within", "section_places", "few")
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             some, out = batch.slice(at, 512), []
-            for page, *lists in zip(*(some.column(c).to_pylist() for c in names)):
+            for page, *lists, few in zip(*(some.column(c).to_pylist() for c in names)):
                 root = parse(page or "")
-                template, more, within, more_within = (x or () for x in lists)
-                if template or more:
-                    digest(root)
-                out.append(blocks(root, frozenset(template).union(more), frozenset(within).union(more_within)))
+                digest(root)
+                host, section = lists[:3], lists[3:]
+                out.append(blocks(root, Template(*([*(x or ()), *(y or ())] for x, y in zip(host, section, strict=True)), few is not False)))
             yield pa.record_batch([some.column("rest"), some.column("page"), pa.array(out, pa.list_(pa.string()))], names=["rest", "page", "blocks"])
 
 
 def _template(counts: DataFrame, by: list[str], prefix: str, limits: tuple[int, float, int, float]) -> DataFrame:
-    """by, and the digests that are template outside and within articles. counts: by, digest (null: the pages), n.
+    """by, few, and the subtrees, subtrees within articles and places that are cut. counts: by, kind, digest (null: the pages), n, share.
 
-    At most 1 / share times as many as a page has subtrees, for each host or section.
+    At most 1 / share times as many as a page has, for each host or section.
     """
     pages = counts.where("digest is null").select(*by, F.col("n").alias("pages"))
     least, share, own_least, own_share = limits
-    often = counts.where(F.col("digest").isNotNull() & (F.col("n") >= min(least, own_least))).join(pages, by)
-    enough = lambda n, s: (F.col("n") >= n) & (F.col("n") >= F.lit(s) * F.col("pages"))
-    often = often.where(enough(least, share) | enough(own_least, own_share))
-    return often.groupBy(*by).agg(F.collect_list(F.when(enough(least, share), F.col("digest"))).alias(f"{prefix}template"), F.collect_list(F.when(enough(own_least, own_share), F.col("digest"))).alias(f"{prefix}within"))
+    often = counts.where(F.col("digest").isNotNull() & (F.col("n") >= min(least, own_least, BESIDE_PAGES))).join(pages, by)
+    kind, enough = F.col("kind"), lambda n, s: (F.col("n") >= n) & (F.col("n") >= F.lit(s) * F.col("pages"))
+    tests = {
+        "subtrees": (kind == 0) & enough(least, share), "within": (kind == 0) & enough(own_least, own_share),
+        "places": ((kind == BESIDE) & enough(BESIDE_PAGES, BESIDE_SHARE)) | ((kind == NAMED) & enough(least, share) & (F.col("share") <= MOST * F.col("n"))),
+    }
+    listed = [F.collect_list(F.when(test, F.col("digest"))).alias(prefix + name) for name, test in tests.items()]
+    lists = often.where(reduce(Column.__or__, tests.values())).groupBy(*by).agg(*listed)
+    return pages.select(*by, (F.col("pages") < least).alias(prefix + "few")).join(lists, by, "left")
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, own_pages: int = OWN_PAGES, own_share: float = OWN_SHARE) -> DataFrame:
@@ -265,21 +361,21 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     without navigation, headers, footers, asides, notices, adverts, forms, scripts, comments of
     readers and the template of the host and its section. A null or empty page has no blocks. Pages
     without a host (null url) are one host. Rows with equal pages of one section count as one page.
-    A host with fewer than ``min_pages`` different pages has no template. An empty table gives no
-    rows; a column named blocks is replaced, others may have any name.
+    A host with fewer than ``min_pages`` different pages has no template; there, names decide. An
+    empty table gives no rows; a column named blocks is replaced, others may have any name.
     """
     bound_batches(pages.sparkSession)
     cols = [c for c in pages.columns if c != "blocks"]
     address = F.coalesce(column(url).cast("string"), F.lit(""))
     pattern = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*/?([^/?#]*)"
     base = pages.select(F.lower(F.regexp_extract(address, pattern, 1)).alias("host"), F.regexp_extract(address, pattern, 2).alias("section"), column(html).cast("string").alias("page"), packed(pages, [c for c in cols if c != html]))
-    found = base.select("host", "section", "page").mapInArrow(_subtrees, "host string, section string, digest long, whole long")
-    counts = saved(found.distinct().groupBy("host", "section", "digest").agg(F.count("*").alias("n")), "subtrees")
+    found = base.select("host", "section", "page").mapInArrow(_subtrees, _FOUND)
+    counts = saved(found.distinct().groupBy("host", "section", "kind", "digest").agg(F.count("*").alias("n"), F.sum("share").alias("share")), "subtrees")
     limits = (min_pages, min_share, own_pages, own_share)
-    by_host = saved(_template(counts.groupBy("host", "digest").agg(F.sum("n").alias("n")), ["host"], "", limits), "template")
+    by_host = saved(_template(counts.groupBy("host", "kind", "digest").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), ["host"], "", limits), "template")
     by_section = saved(_template(counts, ["host", "section"], "section_", limits), "template")
     forget(counts)
     out = T.StructType([base.schema["rest"], T.StructField("page", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType()))])
     rows = base.join(by_host, "host", "left").join(by_section, ["host", "section"], "left")
-    got = rows.select("page", "rest", "template", "section_template", "within", "section_within").mapInArrow(_extract, out)
+    got = rows.select("page", "rest", *(p + c for p in ("", "section_") for c in ("subtrees", "within", "places")), "few").mapInArrow(_extract, out)
     return got.select(*((F.col("page") if c == html else F.col("rest").getField(c)).alias(c) for c in cols), "blocks")

@@ -19,7 +19,6 @@ from ledgerloom.llm import hashing, warc
 from ledgerloom.llm.common import KEY, keyed
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.fingerprint import differences, version_likeness
-from ledgerloom.llm.html import blocks, digest, main_text, parse
 from ledgerloom.llm.mixing import entropy_exponent, mix, repeat_exponent
 from ledgerloom.llm.neardup import near_duplicates, signatures
 from ledgerloom.llm.packing import Schedule, WordEncoder, pack
@@ -330,66 +329,6 @@ def test_mixing(spark, docs):
     assert mix(docs, target_entropy=1.0).where("mix.epoch = 0").count() == docs.count()
 
 
-def test_html():
-    page = '<html><body><header><h1>Site</h1></header><div id="cookie-banner">We use</div><main><article><header><h2>T &eacute;</h2></header><p>A<b>b</b> c<p>d<br>e<ul><li>x<li>y</ul><div class="comments"><p>nice</div><form><p>q</form>' "<table><tr><td>1<td>2<tr><td>3</table><pre>a\n b</pre>tail</article></main><aside>z</aside><footer>f</footer><script>if(a<b)</script><p"
-    assert blocks(parse(page)) == ["T é", "Ab c", "d e", "x", "y", "1", "2", "3", "a b", "tail"]
-    assert blocks(parse("plain &lt;text&gt; &amp; more")) == ["plain <text> & more"]
-    assert blocks(parse("")) == [] and blocks(parse("<p>a<!-- b --><p class='ad'>c<p>d")) == ["a", "d"]
-
-
-def test_names_in_an_article():
-    """Only whole names drop a part of an article; headings, section ids and negated names don't."""
-    kept = '<section id="side-effects"><p>a</p></section><h2 id="related-work">b</h2><h2 id="market-share">c</h2><div class="entry-header"><h1>d</h1></div><div class="post-content no-sidebar">e</div><p class="alert">f</p>'
-    gone = '<div class="ad">1</div><div class="box Related">2</div><div id="comments">3</div><div class="share-buttons">4</div><section class="related-posts">5</section><div class="ad-slot">6</div>'
-    assert blocks(parse(f"<article>{kept}{gone}</article>")) == list("abcdef")
-    assert blocks(parse(f'<div class="page without-sidebar"><article class="commentary">{kept}</article></div><article class="odd comment"><p>7</p></article>')) == list("abcdef")
-    assert blocks(parse('<div class="site-header">1</div><p>a</p>')) == ["a"]
-
-
-def template_of(pages):
-    """Brute force: digests by host and by section that are on enough different pages, outside and within articles."""
-    out = []
-    for sections in (False, True):
-        seen, sizes = defaultdict(set), defaultdict(set)
-        for host, section, html in pages:
-            key = (host, section) if sections else host
-            nodes = digest(parse(html or ""))
-            sizes[key].add((section, nodes[-1].digest))
-            for n in nodes:
-                if n.children and n.tag not in ("#root", "html", "body"):
-                    seen[key, n.digest].add((section, nodes[-1].digest))
-        out.append([{(key, d) for (key, d), on in seen.items() if len(on) >= least and len(on) >= share * len(sizes[key])} for least, share in ((3, 0.1), (5, 0.5))])
-    return out
-
-
-def test_site_template(spark):
-    """Templates of large and small hosts, of a section, in articles, of copied pages; nulls, repeats, clashing names, no rows."""
-    menu = "<div class=x>Same <i>on</i> all</div>"
-    rows = [("h.example", "a", f"<body>{menu}<div>Own text {i}</div><section><p>Said on {'all' if i % 2 else i}</p></section></body>") for i in range(30)]
-    rows += [("h.example", "b", f"<body><div>Own {i}</div><div>Section b</div></body>") for i in range(300, 304)]
-    rows += [("small.example", "", f"<body>{menu}<div>Small {i}</div></body>") for i in range(3)] + [("two.example", "", f"<body>{menu}<div>Two {i}</div></body>") for i in range(2)]
-    rows += [("blog.example", "", f"<article><h1>Title {i}</h1><p>Follow us for more</p><p>{'Quoted by some' if i < 9 else 'Only'} here</p><p>Own {i}</p></article>") for i in range(20)]
-    rows += [("copy.example", "", "<article><p>The same page</p></article>")] * 9 + [("copy.example", "", f"<article><p>Other {i}</p></article>") for i in range(3)]
-    pages = [(i, f"https://{h.upper()}:80/{s}/{i}", html, "clash", 1) for i, (h, s, html) in enumerate(rows)] + [(901, None, None, "clash", 1), (902, "x", "", "clash", 1)]
-    given = spark.createDataFrame(pages, "page_id long, url string, html string, host string, section int")
-    got = {r.page_id: r for r in main_text(given).collect()}
-    assert len(got) == len(pages) and all(r.host == "clash" and r.section == 1 for r in got.values())
-    (host, host_own), (section, section_own) = template_of(rows)
-    for i, (h, s, html) in enumerate(rows):
-        root = parse(html)
-        digest(root)
-        all_of = [{d for k, d in x if k == h} | {d for k, d in y if k == (h, s)} for x, y in ((host, section), (host_own, section_own))]
-        assert got[i].blocks == blocks(root, *map(frozenset, all_of))
-    by = defaultdict(list)
-    for i, (h, _, _) in enumerate(rows):
-        by[h].append(got[i].blocks)
-    assert by["h.example"][0] == ["Own text 0", "Said on 0"] and by["h.example"][1] == ["Own text 1"] and by["h.example"][30] == ["Own 300"]
-    assert by["small.example"][0] == ["Small 0"] and by["two.example"][0] == ["Same on all", "Two 0"]
-    assert by["blog.example"][0] == ["Title 0", "Quoted by some here", "Own 0"]  # without counting, 'Follow us' would stay
-    assert by["copy.example"][0] == ["The same page"] and got[901].blocks == [] and got[902].blocks == []
-    assert main_text(given.where("false")).count() == 0
-
-
 def pieces(text):
     find = lambda x, n: re.findall(rf"[^\n]{{1,{n}}}", x)
     return {*find(text[:256], 16), *find(text[256:], 96)}
