@@ -10,9 +10,10 @@ task has to follow another. Only the last sequence is shorter.
 
 With target weights, sources are used up one after the other, and the rest goes on with the others'
 weights. Without, the targets are the sources' shares of all tokens. Sources too rare for two tokens
-a window share the first queue, where each has a turn of at least a TURN-th of a window at distances
-that follow from its own share, with a deficit of its own (``Turns``). Sources without a weight come
-last.
+a window share the first queue, where each has turns of about a TURN-th of a window at distances that
+follow from its own share, with a deficit of its own: ``Tiers`` for any number of sources whose weights
+are their tokens, of which it needs a sum for each tier only; ``Turns`` for those of a list of weights.
+Sources without a weight come last, at even rates.
 """
 
 from __future__ import annotations
@@ -36,10 +37,8 @@ from ledgerloom.llm.common import bound_batches, column, packed, saved
 LENGTH, END = 4096, 2
 #: Words whose ids a worker remembers; beyond, it forgets them all. Bounds memory, not results.
 REMEMBERED = 1_000_000
-#: The queues' totals are brought to the driver: the sources of most documents have queues of their own, so many of them, ...
-QUEUES = 50_000
-#: ... and all other sources, if there are any, are dealt by a hash to so many queues.
-SHARED_QUEUES = 50_000
+#: Parts in which the sources of a tier are numbered.
+SOURCE_PARTS = 256
 #: A rare source's turn has at least this part of a window, and two tokens.
 TURN = 64
 #: Target weights are rounded to this part of their sum.
@@ -222,6 +221,48 @@ class Turns:
             at = stop
 
 
+class Tiers:
+    """The order of tokens of any number of sources, all of which end together.
+
+    Sources with totals within a factor of two are a tier, and have equally many turns, of ``least``
+    to twice as many tokens (one turn if they have fewer). In a turn of the tier its sources follow each other; the
+    first sources, of c tokens in all, have given floor(c * r / turns) in r turns, so what a turn has beyond
+    whole tokens is carried to the next, and a source needs to know only the tokens before it in its
+    tier. The tiers are dealt out in quanta of twice ``least`` tokens at equal distances, each its own.
+    """
+
+    def __init__(self, totals: dict[int, int], least: int):
+        self.least, self.quantum, self.totals = least, 2 * least, dict(sorted(totals.items()))
+        self.counts = {k: -(-n // self.quantum) for k, n in self.totals.items()}
+
+    def _place(self, tier: int, j: int) -> int:
+        """Where quantum j of a tier begins: all quanta are full but the last of each tier."""
+        out, n = 0, self.counts[tier]
+        for k, m in self.counts.items():
+            ahead = (2 * j + 1) * m - n  # quantum i of k is earlier if (2 * i + 1) / m < (2 * j + 1) / n; of equal ones the lower tier's
+            before = ahead // (2 * n) + 1 if k < tier else -(-ahead // (2 * n))
+            out += min(max(0, before) * self.quantum, self.totals[k])
+        return out
+
+    def runs(self, tier: int, base: int, whole: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(start, length, place) of the runs that hold tokens start to start+n of a source of ``whole``, with ``base`` before it in its tier."""
+        turns, total = max(1, (1 << tier) // self.least), self.totals[tier]
+        given = lambda r: (base + whole) * r // turns - base * r // turns
+        at, end = start, start + n
+        r = max(0, start * turns // whole - 1)
+        while given(r + 1) <= at:
+            r += 1
+        while at < end:
+            begin, to = given(r), given(r + 1)
+            stream = total * r // turns + base * (r + 1) // turns - base * r // turns - begin  # of the tier, at this source's token 0
+            while at < min(to, end):
+                j = (stream + at) // self.quantum
+                stop = min(to, end, (j + 1) * self.quantum - stream)
+                yield at, stop - at, self._place(tier, j) + stream + at - j * self.quantum
+                at = stop
+            r += 1
+
+
 class Schedule:
     """After g tokens in all, ``upto(q, g)`` of them came from the first q queues.
 
@@ -229,19 +270,20 @@ class Schedule:
     weights, the tokens given by any queues after g in all are a closed form.
     """
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, length: int):
-        self.length, self.total = length, sum(totals.values())
-        left = {s: totals[s] for s in sorted(totals) if totals[s]}
-        share = {s: Fraction(weights.get(s, 0)) for s in left} if weights else {s: Fraction(n) for s, n in left.items()}
+    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, length: int, rest: dict[int, int] | None = None):
+        """totals: of the sources with queues of their own or a weight. rest: tokens of all others, by tier."""
+        others = sum((rest or {}).values())
+        self.length, self.total = length, sum(totals.values()) + others
+        left = {s: totals[s] for s in sorted(totals)} | ({"": others} if others and not weights else {})
+        share = {s: Fraction(weights[s]) for s in left} if weights else {s: Fraction(n) for s, n in left.items()}
         whole = sum(share.values()) or Fraction(1)
         rate = {s: max(1, round(x / whole * WEIGHTS)) if weights else left[s] for s, x in share.items() if x}
         order = sorted(rate, key=lambda s: Fraction(left[s], rate[s]))
         least, twice = max(2, length // TURN), 2 * sum(rate.values())
-        rare = {s: left[s] for s in sorted(rate) if rate[s] * length < twice}
+        rare = {s: left[s] for s in sorted(rate) if s == "" or (weights and rate[s] * length < twice)}
         hot = [s for s in order if s not in rare]
-        self.shared = [(0, Turns(rare, rate, least))] if rare else []
-        if last := {s: n for s, n in left.items() if s not in rate}:  # sources without a weight come last
-            self.shared.append((sum(rare.values()), Turns(last, last, least)))
+        self.turns = Turns(rare, rate, least) if weights and rare else None
+        self.tiers, self.shift = Tiers(rest or {}, least), sum(rare.values()) if weights else 0  # sources without a weight come last
         self.queue = {s: q for q, s in enumerate(hot, 1)}
         self.tokens, self.weights = ([0, *accumulate(x[s] for s in order)] for x in (left, rate))
         self.rare_tokens, self.rare_weights = ([0, *accumulate(x[s] if s in rare else 0 for s in order)] for x in (left, rate))
@@ -281,14 +323,17 @@ class Schedule:
             lo, hi = (mid, hi) if self.given(q, mid) <= x else (lo, mid)
         return lo
 
-    def pieces(self, source: str, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, window, offset in the window) for tokens start to start+n of a source."""
-        if q := self.queue.get(source, 0):
+    def pieces(self, source: str, start: int, n: int, tier: int | None = None, base: int = 0, whole: int = 0) -> Iterator[tuple[int, int, int, int]]:
+        """(start in the document, length, window, offset in the window) for tokens start to start+n of a source.
+
+        tier, base and whole are those of a source of the rest, see Tiers.
+        """
+        if tier is None and (q := self.queue.get(source, 0)):
             yield from self._pieces(q, 0, start, n)
             return
-        shift, turns = next(x for x in self.shared if source in x[1].at)
-        for at, size, place in turns.runs(source, start, n):
-            yield from self._pieces(0, at - start, place + shift, size)
+        runs = self.turns.runs(source, start, n) if tier is None else self.tiers.runs(tier, base, whole, start, n)
+        for at, size, place in runs:
+            yield from self._pieces(0, at - start, place + (0 if tier is None else self.shift), size)
 
     def _pieces(self, q: int, begins: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """Pieces for tokens start to start+n of a queue, the first of which is at ``begins`` in its document."""
@@ -311,10 +356,10 @@ def _cut(schedule: Schedule):
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 row, out = [], [[], [], [], [], [], []]
-                columns = (some.column(c).to_pylist() for c in ("q", "at", "n", "ids"))
-                for i, (q, at, n, raw) in enumerate(zip(*columns)):
+                columns = (some.column(c).to_pylist() for c in ("q", "at", "n", "tier", "base", "whole", "ids"))
+                for i, (q, at, n, *rest, raw) in enumerate(zip(*columns)):
                     wide = np.frombuffer(raw, np.uint16).astype("<u4").tobytes() if len(raw) == 2 * n else raw
-                    for start, length, w, offset in schedule.pieces(q, at, n):
+                    for start, length, w, offset in schedule.pieces(q, at, n, *rest):
                         row.append(i)
                         for column, value in zip(out, (start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, w, offset)):
                             column.append(value)
@@ -332,18 +377,17 @@ def source_name(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def _queue(docs: DataFrame, source: str, weights: dict[str, float] | None, queues: int) -> Column:
-    """The queue of a row. If there are more than ``queues`` sources, those of fewest documents share some."""
-    name = source_name(column(source))
-    sizes = docs.groupBy(name.alias("q")).count()
-    most = [r["q"] for r in sizes.orderBy(F.desc("count"), "q").limit(queues + 1).collect()]
-    if len(most) <= queues:
-        return name
-    own = [*most[:queues], *(f"={k}" for k in weights or ())]
-    return F.when(name.isin(own), name).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(SHARED_QUEUES)).cast("string")))
+def _tiers(sources: DataFrame) -> DataFrame:
+    """sources (q, whole) with tier and base, the tokens before a source in its tier: numbered in parts, these chained by their sums."""
+    rows = sources.withColumn("tier", F.length(F.bin("whole")) - 1).withColumn("bucket", F.pmod(F.xxhash64("q"), F.lit(SOURCE_PARTS)).cast("int"))
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("tier", "bucket").agg(F.sum("whole").alias("sum"))  # 64 x SOURCE_PARTS rows at most
+    sums = sums.select("tier", "bucket", F.coalesce(F.sum("sum").over(upto(["tier"], "bucket")), F.lit(0)).alias("first"))
+    own = F.coalesce(F.sum("whole").over(upto(["tier", "bucket"], "q")), F.lit(0))
+    return rows.withColumn("own", own).join(F.broadcast(sums), ["tier", "bucket"]).select("q", "whole", "tier", (F.col("first") + F.col("own")).alias("base"))
 
 
-def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", length: int = LENGTH, end: int = END, weights: dict[str, float] | None = None, by_word: bool = True, queues: int = QUEUES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", length: int = LENGTH, end: int = END, weights: dict[str, float] | None = None, by_word: bool = True) -> DataFrame:
     """Pack every token of docs into sequences of ``length``; a row for each piece of a document.
 
     Returns the columns ``keep`` of docs, then start, length, ids_crc32, doc_tokens, sequence_id and
@@ -352,13 +396,12 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     sources are one queue, null ids are kept; an empty table gives no rows. Columns in ``keep`` that
     are named like a result column come out as ``input_<name>``. weights: by source, else the
     sources' shares of the tokens; sources without a weight come last. There may be any number of
-    sources: those beyond ``queues`` of most documents (and of those with a weight) share queues, dealt
-    by a hash; a shared queue has its sources' share of the window, and gives their documents in the
-    table's order.
+    sources: those with a queue or a weight of their own are known to every task, at most half a
+    window's length or as many as there are weights; what is known of others stays in a table.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    base = docs.select(packed(docs, list(keep)), _queue(docs, source, weights, queues).alias("q"), column(text).cast("string").alias("t"))
+    base = docs.select(packed(docs, list(keep)), source_name(column(source)).alias("q"), column(text).cast("string").alias("t"))
     kept = base.schema["rest"]
     told = T.StructType([kept, T.StructField("q", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     tokens = saved(base.mapInArrow(_tokenize(tokenizer, by_word, end), told), "tokens")
@@ -366,11 +409,21 @@ def pack(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), t
     parts = tokens.groupBy("q", "part").agg(F.sum("n").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = saved(parts.select("q", "part", "sum", before.alias("before")), "parts")
-    found = parts.groupBy("q").agg(F.sum("sum").alias("sum")).collect()  # at most queues + SHARED_QUEUES + len(weights)
+    sources = parts.groupBy("q").agg(F.sum("sum").alias("whole"))
+    total = sources.agg(F.sum("whole")).first()[0] or 0
     out = T.StructType([kept, *(T.StructField(c, T.LongType()) for c in _PIECE)])
     named = [F.col("rest").getField(c).alias(f"input_{c}" if c in _PIECE else c) for c in keep]
-    if not found:
+    if not total:
         return spark.createDataFrame([], out).select(*named, *_PIECE)
-    schedule = Schedule({r["q"]: r["sum"] for r in found}, None if weights is None else {f"={k}": v for k, v in weights.items()}, length)
-    rows = tokens.join(parts.select("q", "part", "before"), ["q", "part"]).select("rest", "q", (F.col("before") + F.col("start")).alias("at"), "n", "ids")
+    wanted = None if weights is None else {f"={k}": v for k, v in weights.items() if v > 0}
+    if wanted:
+        own = sources.join(spark.createDataFrame([(k,) for k in wanted], "q string"), "q")
+    else:  # two tokens a window, so at most half a window's length of them
+        own = sources.where(F.col("whole") * F.lit(length) >= F.lit(2 * total))
+    totals = {r["q"]: r["whole"] for r in own.collect()}
+    rest = saved(_tiers(sources.join(own.select("q"), "q", "left_anti")), "sources")
+    tiers = {r["tier"]: r["sum"] for r in rest.groupBy("tier").agg(F.sum("whole").alias("sum")).collect()}  # 64 rows at most
+    schedule = Schedule(totals, wanted and {k: wanted[k] for k in totals}, length, tiers)
+    places = parts.select("q", "part", "before").join(rest, "q", "left")
+    rows = tokens.join(places, ["q", "part"]).select("rest", "q", (F.col("before") + F.col("start")).alias("at"), "n", "tier", "base", "whole", "ids")
     return rows.mapInArrow(_cut(schedule), out).select(*named, *_PIECE)

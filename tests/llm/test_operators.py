@@ -519,24 +519,38 @@ def test_packing(spark, docs, wanted):
     assert pack(docs.where("false"), BPE).count() == 0
 
 
-def test_packing_of_more_sources_than_queues(spark):
-    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'hot', concat('s', id))").alias("source"), F.lit("a few words of text here").alias("text"))
-    got = pack(rows, BPE, length=256, queues=20).collect()
-    tokens = {r.doc_tokens for r in got}
-    assert len(tokens) == 1 and sum(r.length for r in got) == 600 * tokens.pop() and len({(r.doc_id, r.start) for r in got}) == len(got)
-    by = Counter()
-    for r in got:
-        by[r.sequence_id, r.doc_id % 3 == 0] += r.length
-    assert all(abs(by[w, True] - 256 / 3) <= 2 for w in range(max(r.sequence_id for r in got)))
+def scheduled(totals, weights, length):
+    """A schedule, and the pieces of tokens of a source: who has a queue, and tiers of the rest, by definition."""
+    whole = sum(totals.values())
+    own = {s: n for s, n in totals.items() if (weights.get(s, 0) > 0 if weights else n * length >= 2 * whole)}
+    tiers, base = Counter(), {}
+    for s in sorted(set(totals) - set(own)):
+        t = totals[s].bit_length() - 1
+        base[s] = (t, tiers[t], totals[s])
+        tiers[t] += totals[s]
+    schedule = Schedule(own, weights and {s: weights[s] for s in own}, length, tiers)
+    return schedule, lambda s, start, n: schedule.pieces(s, start, n, *base.get(s, ()))
+
+
+def test_packing_of_very_many_sources(spark):
+    """60,000 sources, of which one has a third of all documents: every token once, and the hot source's share in every window."""
+    n = 90_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'hot', concat('s', id))").alias("source"), F.lit("a few words of text here").alias("text")).repartition(4)
+    got = pack(rows, BPE, length=256)
+    (size,) = {r.doc_tokens for r in got.select("doc_tokens").distinct().collect()}
+    by = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.countDistinct("start").alias("starts"))
+    assert by.where(f"n <> {size} or k <> starts").count() == 0 and by.count() == n
+    windows = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum(F.expr("if(doc_id % 3 = 0, length, 0)")).alias("hot"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k"), F.countDistinct("offset").alias("offsets")).orderBy("sequence_id").collect()
+    assert len(windows) == -(-n * size // 256) and all(w.n == w.end == 256 and w.k == w.offsets and abs(w.hot - 256 / 3) <= 2 for w in windows[:-1])
 
 
 def test_schedule_keeps_proportions():
     totals = {"=a": 70000, "=b": 20000, "=c": 9990, "=d": 10}
-    s = Schedule(totals, None, 100)
+    s, _ = scheduled(totals, None, 100)
     for w in range(0, s.total // 100):
         for q, share in ((1, 0.7), (2, 0.2), (3, 0.0999)):
             assert abs(s.given(q, w) - share * 100 * w) <= 2
-    x = Schedule(totals, {"=a": 1, "=b": 1, "=c": 1}, 100)
+    x, _ = scheduled(totals, {"=a": 1, "=b": 1, "=c": 1}, 100)
     assert sum(x.given(q, 10**6) for q in range(4)) == 100000 and abs(x.given(1, 100) - 3333) <= 2
 
 
@@ -547,11 +561,11 @@ def test_rare_sources_keep_their_proportions(hot):
     totals = {f"=s{i}": 2000 + i % 7 * 500 for i in range(5000)}
     if hot:
         totals["=hot"] = sum(totals.values()) // 2
-    s = Schedule(totals, None, 4096)
+    s, pieces = scheduled(totals, None, 4096)
     windows, span = -(-s.total // 4096), 500
     for name in [f"=s{i}" for i in range(0, 5000, 250)]:
         given = Counter()
-        for _, size, w, _ in s.pieces(name, 0, totals[name]):
+        for _, size, w, _ in pieces(name, 0, totals[name]):
             given[w // span] += size
         for k in range(windows // span):
             assert abs(given[k] - totals[name] * span * 4096 / s.total) <= 4 * 64
@@ -561,13 +575,13 @@ def test_rare_sources_keep_their_proportions(hot):
 def test_schedule_places_every_token_once(wanted):
     totals = {f"={i}": 1 + i * i % 97 * (1 + i % 3) for i in range(400)} | {"=hot": 9000}
     weights = wanted and {f"={i}": (i % 11) * 10.0 ** -(i % 4) for i in range(399)} | {"=hot": 50.0}
-    s = Schedule(totals, weights, 128)
-    places = [w * 128 + offset + i for name, n in totals.items() for _, size, w, offset in s.pieces(name, 0, n) for i in range(size)]
+    s, pieces = scheduled(totals, weights, 128)
+    places = [w * 128 + offset + i for name, n in totals.items() for _, size, w, offset in pieces(name, 0, n) for i in range(size)]
     assert sorted(places) == list(range(s.total))
     if weights:  # single weights count among rare sources, and those without a weight come last
-        first = lambda name, n: next(s.pieces(name, n, 1))[2]
+        first = lambda name, n: next(pieces(name, n, 1))[2]
         ten = [name for name in weights if weights[name] == 10]
-        got = sum(size for name in ten for _, size, w, _ in s.pieces(name, 0, totals[name]) if w < 20)
+        got = sum(size for name in ten for _, size, w, _ in pieces(name, 0, totals[name]) if w < 20)
         flow = lambda t: sum(min(totals[name], x * t) for name, x in weights.items())
         t = min((t / 100 for t in range(2000)), key=lambda t: abs(flow(t) - 20 * 128))  # what is left after sources end goes to the others
         assert got == pytest.approx(sum(min(totals[name], 10 * t) for name in ten), abs=2 * len(ten))
