@@ -22,12 +22,12 @@ from ledgerloom.llm.warc import read_warc, resolved, write_warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every document, at a Jaccard similarity of 0.8 of word 5-shingles.
+    """The class of every document, at a Jaccard similarity of 0.8 of word 5-shingles, each weighing as often as it occurs.
 
     Null and wordless texts are alone; repeated rows share a class, of which one row is the
     representative; null ids are kept. No documents, no rows.
     """
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "representative")
+    return near_duplicates(table(spark, sf_dir, "documents"), weighted=True).select("doc_id", "class_id", "class_size", "representative")
 
 
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
