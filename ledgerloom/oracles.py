@@ -179,6 +179,19 @@ _CENTS = {
 }
 _RIGHT = "CASE WHEN ambiguous THEN '{}' ELSE '{}' END"
 _PASSED = (_RIGHT.format("abstain", "human_gate"), _RIGHT.format("ambiguous allocation", "all checks passed"))
+#: The first figure that isn't the net balance, else the first; its first two neighbouring digits that differ, not the leading one if others do, change places.
+_SWAP = r""", figure AS (
+  SELECT scenario_id, draft, gaps, f, coalesce(list_filter(range(1, len(f) + 1), lambda i: f[i] <> """ + money("net") + r""")[1], 1) AS i FROM (
+    SELECT scenario_id, draft, tot.net, string_split_regex(draft, '-?\$[0-9,]+(?:\.[0-9]{1,2})?') AS gaps, regexp_extract_all(draft, '-?\$[0-9,]+(?:\.[0-9]{1,2})?') AS f FROM golden JOIN tot USING (scenario_id))
+), digits AS (
+  SELECT scenario_id, draft, f[i] AS token, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start,
+    CAST(CAST(regexp_replace(f[i], '[^0-9]', '', 'g') AS BIGINT) AS VARCHAR) AS v FROM figure
+), pairs AS (
+  SELECT *, list_filter(range(1, length(v)), lambda k: substr(v, k, 1) <> substr(v, k + 1, 1)) AS c FROM digits
+), swapped AS (
+  SELECT scenario_id, draft, token, start, CASE WHEN token LIKE '-%' OR len(c) = 0 THEN NULL ELSE CAST(substr(v, 1, k - 1) || substr(v, k + 1, 1) || substr(v, k, 1) || substr(v, k + 2) AS BIGINT) END AS w
+  FROM (SELECT *, coalesce(list_filter(c, lambda k: k > 1)[1], c[1]) AS k FROM pairs)
+) """
 LEDGER |= {
     "spoiled_claims": _FIRST + 'SELECT scenario_id, "case", type, role, CAST(CASE "case" ' + " ".join(f"WHEN '{c}' THEN {x}" for c, x in _CENTS.items()) + f" END AS BIGINT) AS cents, status FROM o JOIN tot USING (scenario_id) JOIN owed USING (scenario_id), {_CASES} WHERE needs <= ni",
     "spoiled_decisions": f"""SELECT scenario_id, "case", CAST(r AS INTEGER) AS revision_index,
@@ -195,11 +208,36 @@ LEDGER |= {
         SELECT scenario_id, "case", CASE WHEN ambiguous THEN 'abstain' WHEN contradicts OR incomplete THEN 'revise' ELSE 'human_gate' END AS action,
           CASE WHEN ambiguous THEN 'ambiguous allocation' WHEN contradicts THEN 'itemized amounts contradict the computed totals' WHEN incomplete THEN 'draft is missing required content' ELSE 'all checks passed' END AS reason FROM c""",
     "run_rounds": "SELECT scenario_id, 0 AS revision_index, CASE WHEN ambiguous THEN 'abstain' ELSE 'revise' END AS action, CASE WHEN ambiguous THEN 'ambiguous allocation' ELSE 'correctable code-check failure' END AS reason, ambiguous AS terminal FROM sig UNION ALL SELECT scenario_id, 1, 'human_gate', 'all checks passed', true FROM sig WHERE NOT ambiguous",
+    "validate_other_rules": """, i AS (SELECT scenario_id, id, date, CASE WHEN pos % 7 = 0 THEN date - 1 ELSE due END AS due FROM inv UNION ALL SELECT scenario_id, id, date, CASE WHEN pos % 7 = 0 THEN date - 1 ELSE due END FROM inv WHERE pos % 13 = 0),
+        c AS (SELECT scenario_id, CASE WHEN c_custkey % 2 = 0 THEN DATE '1996-01-01' ELSE as_of END AS as_of FROM client)
+        SELECT scenario_id, 'duplicate id' AS problem, id FROM i GROUP BY ALL HAVING count(*) > 1
+        UNION ALL SELECT scenario_id, 'application from unknown source', 'PMT-0' FROM app WHERE pos % 3 = 0
+        UNION ALL SELECT scenario_id, 'due before date', id FROM i WHERE due < date
+        UNION ALL SELECT scenario_id, 'invoice after as_of', id FROM i JOIN c USING (scenario_id) WHERE date > c.as_of
+        UNION ALL SELECT scenario_id, CASE kind WHEN 'payment' THEN 'payment' ELSE 'credit memo' END || ' after as_of', id FROM src JOIN c USING (scenario_id) WHERE date > c.as_of""",
+    "memory_ingest": f""", m AS (SELECT 'mem-' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS entry_id, event_id AS o, {_BITS} AS class_key, CASE event_type WHEN 'view' THEN 1.0 ELSE 2.0 END AS weight
+          FROM events JOIN sig ON sig.scenario_id = 'S-' || user_id JOIN client ON client.scenario_id = sig.scenario_id WHERE pool = 'A' AND event_id % 5 <> 0 AND event_type <> 'click')
+        SELECT entry_id, class_key, CAST(weight AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY class_key ORDER BY o DESC, entry_id DESC) AS n FROM m) WHERE n <= 3""",
+    "corrections": """SELECT scenario_id, 'break_sum' AS "case", 'The ledger shows ' || """ + money("net") + """ || ' for the total balance due; your draft says ' || """ + money("net + 1000") + """ || '.' AS payload, 'c_sum_fail' AS kinds,
+          'The ledger shows ' || """ + money("net") + """ || ' for the total balance due; your draft says ' || """ + money("net + 1000") + """ || '.' AS corrections FROM tot
+        UNION ALL SELECT scenario_id, 'fabricate_id', NULL, 'c_exist_fail', '' FROM owed WHERE ni > 0""",
+    "swap_amount": _SWAP + "SELECT scenario_id, CASE WHEN w <> 0 THEN substr(draft, 1, start) || " + money("w") + " || substr(draft, start + length(token) + 1) END AS draft FROM swapped",
     "fabricate_id": """, g AS (SELECT scenario_id, draft, (SELECT list(id) FROM inv i WHERE i.scenario_id = golden.scenario_id) AS ids FROM golden), f AS (
         SELECT scenario_id, draft, list_sort(list_transform(list_filter(ids, lambda x: strpos(draft, x) > 0), lambda x: {'at': strpos(draft, x), 'id': x}))[1] AS r,
           list_filter(list_transform(range(1000), lambda n: 'INV-9' || lpad(CAST(n AS VARCHAR), 3, '0')), lambda x: NOT list_contains(ids, x) AND strpos(draft, x) = 0)[1] AS k FROM g)
         SELECT scenario_id, CASE WHEN r IS NOT NULL THEN substr(draft, 1, r.at - 1) || k || substr(draft, r.at + length(r.id)) END AS draft FROM f""",
 }
+LEDGER |= {
+    "injected_errors": _SWAP + LEDGER["error_decisions"].split("SELECT scenario_id, error, tier,")[0] + ", rows AS (SELECT scenario_id, error, tier," + LEDGER["error_decisions"].split("SELECT scenario_id, error, tier,")[1]
+    + """), every AS (SELECT tier, caught FROM rows UNION ALL SELECT 1, true FROM swapped WHERE w <> 0), clean AS (SELECT count(*) AS clean, count_if(NOT caught) AS quiet FROM every WHERE tier = 0)
+        SELECT *, (sensitivity + specificity) // 2 AS balanced FROM (SELECT tier, count(*) AS errors, count_if(caught) AS caught, any_value(clean) AS clean, any_value(quiet) AS quiet, 100 * count_if(caught) // count(*) AS sensitivity, 100 * any_value(quiet) // any_value(clean) AS specificity FROM every, clean WHERE tier > 0 GROUP BY tier)""",
+    "gap_categories": f""", d AS (SELECT 'abstain' AS action, 'ambiguous allocation' AS reason FROM sig WHERE ambiguous UNION ALL SELECT 'escalate', 'fabricated document reference' FROM owed WHERE ni > 0 UNION ALL SELECT 'escalate', 'fuzzy claim cannot be determined from the records' FROM owed
+          UNION ALL SELECT 'escalate', CASE "case" WHEN 'unbound' THEN 'unverifiable quantitative claim' ELSE 'revision budget exhausted' END FROM owed, {_CASES} WHERE needs <= ni AND "case" IN ('unbound', 'open_wrong'))
+        SELECT missing, would_need, resolvable_by, reason AS detail, count(*) AS n FROM d JOIN (VALUES ('allocation_reference', 'remittance advice tying the payment to an invoice', 'human'), ('unverifiable_quant', 'a claim normalizer for non-canonical amount phrasing', 'tool'),
+          ('ambiguous_reference', 'a record or human confirmation of the claimed arrangement', 'human'), ('document_absent', 'drafter constrained to the document set', 'tool'), ('other', 'human review of a draft the loop could not converge', 'human')) AS g(missing, would_need, resolvable_by)
+          ON missing = CASE WHEN action = 'abstain' THEN 'allocation_reference' WHEN reason = 'unverifiable quantitative claim' THEN 'unverifiable_quant' WHEN reason = 'fuzzy claim cannot be determined from the records' THEN 'ambiguous_reference' WHEN reason = 'fabricated document reference' THEN 'document_absent' ELSE 'other' END
+        WHERE action IN ('abstain', 'escalate') GROUP BY ALL""",
+}
 LEDGER["draft_prompt"] = ", b AS (" + LEDGER["ledger_block"] + """) SELECT scenario_id, 'You draft replies.' AS system, 'Records:' || chr(10) || block
     || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || 'Replies that reviewers approved:' || chr(10) || '--- EXAMPLE 1 START ---' || chr(10) || 'One.' || chr(10) || '--- EXAMPLE 1 END ---' || chr(10) || '--- EXAMPLE 2 START ---' || chr(10) || 'For ' || scenario_id || chr(10) || '--- EXAMPLE 2 END ---' ELSE '' END
     || CASE WHEN n % 3 = 0 THEN chr(10) || chr(10) || 'Your last draft has errors:' || chr(10) || 'The total is wrong.' || chr(10) || 'Mend these only and leave all else as it is.' ELSE '' END AS "user" FROM (SELECT *, CAST(substr(scenario_id, 3) AS BIGINT) AS n FROM b)"""

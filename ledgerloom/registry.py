@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -15,8 +16,9 @@ from ledgerloom.operators.extract import detect, extract_claims
 from ledgerloom.oracles import ORACLES as SQL
 from ledgerloom.plans import calls, recovery, rounds
 from ledgerloom.schema import LABELS
-from ledgerloom.sources.shared import saved, shared_dir
+from ledgerloom.sources.shared import HEAVY, saved, shared_dir
 from ledgerloom.sources.tables import Ledger, order_ledger
+from ledgerloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 SID = "scenario_id"
@@ -31,6 +33,16 @@ def _on_ledger(name: str) -> Callable[[Callable[[Ledger], DataFrame]], Callable[
     return add
 
 
+def _on_ledger_files(name: str) -> Callable[[Callable[[Ledger, DataFrame], DataFrame]], Callable[[Ledger, DataFrame], DataFrame]]:
+    """A query of the ledger and the event table."""
+
+    def add(f: Callable[[Ledger, DataFrame], DataFrame]) -> Callable[[Ledger, DataFrame], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(order_ledger(spark, sf_dir), _events(spark, sf_dir))
+        return f
+
+    return add
+
+
 def _query(name: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -65,6 +77,15 @@ def _validate(x: Ledger) -> DataFrame:
     return ledger.validate(spoiled)
 
 
+@_on_ledger("validate_other_rules")
+def _validate_others(x: Ledger) -> DataFrame:
+    """The problems of a ledger spoiled for the other rules: repeated invoices, unknown sources, dates before others or after the statement."""
+    invoice = x.invoice.withColumn("due", F.expr("if(pos % 7 = 0, date_sub(date, 1), due)"))
+    client = x.client.withColumn("as_of", F.when(F.substring(SID, 3, 20).cast("long") % 2 == 0, F.lit("1996-01-01").cast("date")).otherwise(F.col("as_of")))
+    spoiled = Ledger(client, invoice.unionByName(invoice.where("pos % 13 = 0")), x.payment, x.credit_memo, x.application.withColumn("source_id", F.expr("if(pos % 3 = 0, 'PMT-0', source_id)")))
+    return ledger.validate(spoiled)
+
+
 @_on_ledger("find_document")
 def _find(x: Ledger) -> DataFrame:
     wanted = ledger.documents(x).select(SID, "id").union(x.client.select(SID, F.lit("INV-0000")))
@@ -321,6 +342,32 @@ def _gaps(x: Ledger) -> DataFrame:
     return gate.aggregate_gaps(gate.derive_gaps(rounds.verify(_golden(x))[2])).select("missing", "gap_count")
 
 
+@_on_ledger("corrections")
+def _corrections(x: Ledger) -> DataFrame:
+    """What the author of a broken total is told, and of an id that no ledger has."""
+    drafts = _golden(x).select("*", F.explode(F.expr(f"array(named_struct('case', 'break_sum', 'text', {corrupt.break_sum()}), named_struct('case', 'fabricate_id', 'text', {corrupt.fabricate_id()}))")).alias("c"))
+    drafts = saved(drafts.where("c.text is not null").withColumn("draft", F.col("c.text")).withColumn("case", F.col("c.case")).withColumn("draft_id", F.concat_ws("/", SID, "case")).drop("c"), "drafts")
+    told = rounds.verify(drafts)[2].drop(SID).join(drafts.select("draft_id", SID, "case"), "draft_id")
+    kinds = F.array_join(F.array_distinct(F.transform("findings", lambda f: f["kind"])), ",")
+    return told.select(SID, "case", F.when(F.col("case") == "break_sum", F.col("payload")).alias("payload"), kinds.alias("kinds"), F.array_join(F.transform("findings", lambda f: f["correction"]), "|").alias("corrections"))
+
+
+@_on_ledger("gap_categories")
+def _gap_categories(x: Ledger) -> DataFrame:
+    """All five categories: of ambiguous scenarios, unreadable amounts, verdicts that settle nothing, invented documents and spent budgets."""
+    golden, said = _golden(x), spoiled.sentences(ledger.view(x)).withColumnRenamed("sentence", "draft")
+    drafts = [
+        golden.withColumn("case", F.lit("golden")), golden.withColumns({"draft": F.expr(corrupt.fabricate_id()), "case": F.lit("invented")}).where("draft is not null"), golden.withColumns({"draft": F.expr(corrupt.inject_fuzzy()), "case": F.lit("unsure")}),
+        said.where(F.col("case") == "unbound").withColumn("revision_index", F.lit(0)), said.where(F.col("case") == "open_wrong").withColumn("revision_index", F.lit(gate.BUDGET)),
+    ]
+    drafts = [d.withColumn("draft_id", F.concat_ws("/", SID, "case")).select(*golden.columns, "case") for d in drafts]
+    drafts = saved(functools.reduce(DataFrame.unionByName, drafts), "drafts", HEAVY)
+    claims = saved(extract_claims(drafts), "claims", HEAVY)
+    checked = saved(checks.check_claims(claims, drafts, spoiled.verdicts(claims, drafts)), "checked", HEAVY)
+    both = gate.decide(drafts, checked).withColumn("payload", F.lit(""))
+    return gate.derive_gaps(both).groupBy("missing", "would_need", "resolvable_by", "detail").agg(F.count("*").alias("n"))
+
+
 @_on_ledger("run_rounds")
 def _rounds(x: Ledger) -> DataFrame:
     """Every scenario drafted with a broken total, then rightly: two rounds, or an abstention without any."""
@@ -372,6 +419,18 @@ def _entries(x: Ledger) -> DataFrame:
 _on_ledger("memory_kept")(lambda x: memory.kept(_entries(x)).select("entry_id", "class_key"))
 
 
+@_on_ledger_files("memory_ingest")
+def _ingest(x: Ledger, events: DataFrame) -> DataFrame:
+    """The memory after a stream has consumed the event table as decisions, a file a batch; every seventh decision comes twice."""
+    spark, folder = events.sparkSession, f"{shared_dir(events.sparkSession)}/ingest-{uuid.uuid4().hex}"
+    action = F.when(F.col("event_type") == "click", "decline").when(F.col("event_type") == "view", "approve").otherwise("edit")
+    rows = events.select(F.col("event_id").alias("offset"), F.concat(F.lit("g"), "event_id").alias("gen_id"), F.concat(F.lit("S-"), "user_id").alias(SID), F.when(F.col("event_id") % 5 == 0, "B").otherwise("A").alias("pool"), action.alias("action"), F.lit("text").alias("final_text"), F.lit("").alias("reason"))
+    rows.unionByName(rows.where("offset % 7 = 0")).repartition(3, F.col("offset") % 10).write.parquet(f"{folder}/feed")
+    fixtures = ledger.signature(x).join(x.client.select(SID, "pool"), SID)
+    ingest.ingest_stream(spark, f"{folder}/feed", fixtures, f"{folder}/store", f"{folder}/checkpoint", files_per_batch=1).awaitTermination()
+    return ingest.entries(spark, f"{folder}/store").select("entry_id", "class_key", "weight")
+
+
 @_on_ledger("memory_retrieve")
 def _retrieve(x: Ledger) -> DataFrame:
     asks = ledger.signature(x).join(x.client.where("pool = 'B'").select(SID), SID).withColumnRenamed(SID, "query_id")
