@@ -20,8 +20,9 @@ from ledgerloom.llm.common import KEY, keyed
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.fingerprint import differences, version_likeness
 from ledgerloom.llm.mixing import entropy_exponent, mix, repeat_exponent
-from ledgerloom.llm.neardup import near_duplicates, signatures
+from ledgerloom.llm.neardup import drop_near_duplicates, near_duplicates, signatures
 from ledgerloom.llm.packing import Schedule, WordEncoder, pack
+from ledgerloom.llm.queries import op2_rendezvous_sharding
 from ledgerloom.llm.quality import FEATURES, Field, fit, line_quality, train
 from ledgerloom.llm.sharding import shard
 from ledgerloom.llm.substring import substring_dedup
@@ -153,6 +154,41 @@ def test_sharding(spark, docs):
     assert shard(docs.where("false"), ["doc_id"], eight).count() == 0
 
 
+def test_the_query_of_shards_by_definition(spark, docs, tmp_path):
+    """Sizes, checksums and the draws of every shard in plain Python; nulls and repeated ids too."""
+    docs.select("doc_id", "text").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def best(key, shards):
+        name = "null" if key is None else f"={key}"
+        unit = lambda s: (int(hashlib.md5(f"{s}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min(range(shards), key=lambda s: -math.log(unit(s)))
+
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in op2_rendezvous_sharding(spark, str(tmp_path)).collect())
+    assert got == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), "key", best(r.doc_id, 8), best(r.doc_id, 9)) for r in docs.collect())
+
+
+def test_columns_of_any_name(spark, docs):
+    """A backtick, a dot and names of the operators' own columns come through."""
+    odd = ["a`b", "c.d", "rest", "k", "t", "q", "s"]
+    rows = docs.select("doc_id", "text", "source", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    eight = {s: 1.0 for s in range(8)}
+    found = [shard(rows, ["doc_id"], eight), line_quality(rows, None), mix(rows, max_repeats=1.5).where("mix.epoch = 0"), substring_dedup(rows), token_counts(rows, RANKS, tokenizers.PATTERN), pack(rows, BPE, keep=("doc_id", *odd)).where("start = 0")]
+    for df in found:
+        got = df.collect()
+        assert len(got) == rows.count() and all([r[c] for c in odd] == list(range(len(odd))) for r in got)
+    assert all([r[c] for c in odd] == list(range(len(odd))) for r in drop_near_duplicates(rows).collect())
+
+
+def test_transitions_change_a_labelling():
+    """A line that alone looks like boilerplate is content among content, where changes of label cost; the last words decide."""
+    weight = np.zeros((len(FEATURES), 2))
+    weight[0] = [0.0, 1.0]
+    lines = np.zeros((5, len(FEATURES)))
+    lines[:, 0] = [2.0, 2.0, -0.5, 2.0, -3.0]
+    alone, chained = Field(weight, np.zeros((2, 2))), Field(weight, np.array([[0.6, -0.6], [-0.6, 0.6]]))
+    assert alone.decode(lines).tolist() == [1, 1, 0, 1, 0] and chained.decode(lines).tolist() == [1, 1, 1, 1, 0]
+
+
 def test_quality_counts(spark, docs):
     for r in line_quality(docs, None).collect():
         w, q, text = words(r.text), r.quality, r.text or ""
