@@ -14,21 +14,112 @@ HUMAN_ACTIONS = ("approve", "edit", "decline")
 POOLS = ("A", "B")
 NET = "NET"
 CUTOFF_DAYS = 5
-#: Event types, their keys and the keys' types; a question mark is for keys that may be left out.
+#: The keys that every event may have, with their types and whether they must be there.
+EVENT_BASE = (
+    ("event_type", "str", True),
+    ("schema_version", "int", False),
+    ("ts", "str", False),
+    ("run_id", "str", False),
+)
+#: The keys of each type of event.
 EVENT_TYPES = {
-    "run_start": "pass_label:str seed:int git_sha:str model_name:str model_digest:str config_hash:str pool:str memory_state_hash:str",
-    "generation": "gen_id:str scenario_id:str pool:str pass_label:str ledger_ref:str prompt_sha:str draft:str revision_index:int is_first_pass:bool generation_mode?:str",
-    "verification": "gen_id:str claims:list decision:object",
-    "human_decision": "gen_id:str scenario_id:str pool:str action:str final_text:str reason:str decided_at?:str",
-    "capability_gap": "gen_id:str scenario_id:str missing:str detail:str would_need:str resolvable_by:str",
-    "ingest": "consumed_through_offset:int entries_added:int entries_evicted:int memory_state_hash:str",
-    "score": "gen_id:str scenario_id:str pass_label:str stage:str grounding_checked:int grounding_total:int completeness_present:int completeness_total:int revision_count:int terminal_action:str",
-    "judgment": "gen_id?:str pair_id?:str mode:str ordering?:str scores?:object verdict?:str prompt_sha:str parse_ok:bool judge_model?:str",
-    "tool_call": "gen_id:str revision_index:int round_index:int call_index:int tool_name:str arguments?:object result?:object ok:bool error?:str",
-    "trace": "task:str prompt_sha:str prompt:str output:str model_name:str attempt:int ok:bool error?:str meta?:object",
+    "run_start": (
+        ("pass_label", "str", True),
+        ("seed", "int", True),
+        ("git_sha", "str", True),
+        ("model_name", "str", True),
+        ("model_digest", "str", True),
+        ("config_hash", "str", True),
+        ("pool", "str", True),
+        ("memory_state_hash", "str", True),
+    ),
+    "generation": (
+        ("gen_id", "str", True),
+        ("scenario_id", "str", True),
+        ("pool", "str", True),
+        ("pass_label", "str", True),
+        ("ledger_ref", "str", True),
+        ("prompt_sha", "str", True),
+        ("draft", "str", True),
+        ("revision_index", "int", True),
+        ("is_first_pass", "bool", True),
+        ("generation_mode", "str", False),
+    ),
+    "verification": (
+        ("gen_id", "str", True),
+        ("claims", "list", True),
+        ("decision", "object", True),
+    ),
+    "human_decision": (
+        ("gen_id", "str", True),
+        ("scenario_id", "str", True),
+        ("pool", "str", True),
+        ("action", "str", True),
+        ("final_text", "str", True),
+        ("reason", "str", True),
+        ("decided_at", "str", False),
+    ),
+    "capability_gap": (
+        ("gen_id", "str", True),
+        ("scenario_id", "str", True),
+        ("missing", "str", True),
+        ("detail", "str", True),
+        ("would_need", "str", True),
+        ("resolvable_by", "str", True),
+    ),
+    "ingest": (
+        ("consumed_through_offset", "int", True),
+        ("entries_added", "int", True),
+        ("entries_evicted", "int", True),
+        ("memory_state_hash", "str", True),
+    ),
+    "score": (
+        ("gen_id", "str", True),
+        ("scenario_id", "str", True),
+        ("pass_label", "str", True),
+        ("stage", "str", True),
+        ("grounding_checked", "int", True),
+        ("grounding_total", "int", True),
+        ("completeness_present", "int", True),
+        ("completeness_total", "int", True),
+        ("revision_count", "int", True),
+        ("terminal_action", "str", True),
+    ),
+    "judgment": (
+        ("gen_id", "str", False),
+        ("pair_id", "str", False),
+        ("mode", "str", True),
+        ("ordering", "str", False),
+        ("scores", "object", False),
+        ("verdict", "str", False),
+        ("prompt_sha", "str", True),
+        ("parse_ok", "bool", True),
+        ("judge_model", "str", False),
+    ),
+    "tool_call": (
+        ("gen_id", "str", True),
+        ("revision_index", "int", True),
+        ("round_index", "int", True),
+        ("call_index", "int", True),
+        ("tool_name", "str", True),
+        ("arguments", "object", False),
+        ("result", "object", False),
+        ("ok", "bool", True),
+        ("error", "str", False),
+    ),
+    "trace": (
+        ("task", "str", True),
+        ("prompt_sha", "str", True),
+        ("prompt", "str", True),
+        ("output", "str", True),
+        ("model_name", "str", True),
+        ("attempt", "int", True),
+        ("ok", "bool", True),
+        ("error", "str", False),
+        ("meta", "object", False),
+    ),
 }
-EVENT_BASE = "event_type:str schema_version?:int ts?:str run_id?:str"
-#: Keys whose values are of a closed vocabulary.
+#: Keys whose values are of a closed vocabulary.
 EVENT_VALUES = {
     ("generation", "generation_mode"): ("prompt_initial", "prompt_revision", "agentic_recovery"), ("human_decision", "action"): HUMAN_ACTIONS, ("score", "stage"): ("first_pass", "final"),
     ("capability_gap", "missing"): ("allocation_reference", "unverifiable_quant", "ambiguous_reference", "document_absent", "other"), ("capability_gap", "resolvable_by"): ("human", "tool", "records", "nobody"), ("judgment", "mode"): ("rubric", "pairwise"),
@@ -37,11 +128,7 @@ EVENT_VALUES = {
 
 def event_keys(event_type: str) -> dict[str, tuple[str, bool]]:
     """Type and whether it must be there, of each key of an event."""
-    out = {}
-    for part in f"{EVENT_BASE} {EVENT_TYPES[event_type]}".split():
-        name, kind = part.split(":")
-        out[name.rstrip("?")] = (kind, not name.endswith("?"))
-    return out
+    return {name: (kind, needed) for name, kind, needed in (*EVENT_BASE, *EVENT_TYPES[event_type])}
 
 
 _S, _L, _D, _I = T.StringType(), T.LongType(), T.DateType(), T.IntegerType()
