@@ -138,9 +138,16 @@ def cell(value: object) -> str:
     return str(value).replace("\n", " ").replace("|", "\\|")
 
 
+#: A table in a report is for people; one with more rows is refused rather than gathered.
+MOST_ROWS = 100_000
+
+
 def markdown(df: DataFrame, order: list[str]) -> str:
-    """A report's few rows as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *df.orderBy(*order).collect()]
+    """A report's rows as a Markdown table, MOST_ROWS of them at most."""
+    found = df.orderBy(*order).limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows; sum them up first")
+    rows = [df.columns, ["---"] * len(df.columns), *found]
     return "\n".join("| " + " | ".join(cell("" if v is None else v) for v in r) + " |" for r in rows)
 
 

@@ -176,6 +176,7 @@ _FIRST = """, o AS (
 _CENTS = {
     "open_right": "i", "open_wrong": "i + 100", "open_usd": "i", "open_dollars": "i", "open_commas": "i // 100 * 100 + 100000000", "open_plain": "i", "open_grouped": "i", "open_words": "309900", "original_right": "face", "original_wrong": "face + 1",
     "applied_right": "used", "applied_wrong": "used + 1", "unbound": "77", "received_wrong": "77", "remit_right": "net", "remit_wrong": "net + 1", "total_wrong": "net + 1", "subtotal_right": "i + j", "subtotal_wrong": "i + j + 1",
+    "two_documents": "j", "amount_first": "i",
 }
 _RIGHT = "CASE WHEN ambiguous THEN '{}' ELSE '{}' END"
 _PASSED = (_RIGHT.format("abstain", "human_gate"), _RIGHT.format("ambiguous allocation", "all checks passed"))

@@ -39,6 +39,10 @@ CASES: dict[str, tuple[str, bool, str, str, str]] = {
     "subtotal_wrong": (f"concat('Invoices ', i.id, ' and ', j.id, ' come to a total of ', {render('(i.open + j.open + 1)')}, '.')", True, "C-SUM", "total", "fail"),
     "status_right": ("concat('Invoice ', i.id, ' is ', i.status, '.')", False, "C-STATUS", "", "pass"),
     "status_wrong": ("concat('Invoice ', i.id, ' is settled.')", False, "C-STATUS", "", "fail"),
+    "status_weaker": ("concat('Invoice ', i.id, ' is unpaid.')", False, "C-STATUS", "", "pass"),
+    "status_paid_off": ("concat('Invoice ', i.id, ' is paid in full.')", False, "C-STATUS", "", "fail"),
+    "two_documents": (f"concat('On ', i.id, ' and ', j.id, ' a balance of ', {render('j.open')}, ' remains.')", True, "C-AMT", "open", "pass"),
+    "amount_first": (f"concat({render('i.open')}, ' remains on ', i.id, '.')", False, "C-AMT", "open", "pass"),
     "date_iso": ("concat(i.id, ' is dated ', i.date, '.')", False, "C-DATE", "", "pass"),
     "date_named": ("concat(i.id, ' is dated ', date_format(i.date, 'MMMM d, yyyy'), '.')", False, "C-DATE", "", "pass"),
     "date_slashed": ("concat(i.id, ' was due ', month(i.due), '/', day(i.due), '/', year(i.due), '.')", False, "C-DATE", "", "pass"),

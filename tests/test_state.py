@@ -222,6 +222,13 @@ def test_label_files(spark, tmp_path):
     assert fixtures.read_rows(spark, str(tmp_path / "none.json"), "a int").count() == 0
 
 
+def test_a_report_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(reports, "MOST_ROWS", 3)
+    assert reports.markdown(spark.range(3).toDF("a"), ["a"]).count("\n") == 4
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        reports.markdown(spark.range(4).toDF("a"), ["a"])
+
+
 def test_reports_are_stable(spark, tmp_path):
     rows = spark.createDataFrame([(0, False), (0, True), (1, True), (1, True), (2, False)], "tier int, caught boolean")
     found = {r.tier: (r.errors, r.caught, r.sensitivity, r.specificity, r.balanced) for r in reports.injected_errors(rows).collect()}
