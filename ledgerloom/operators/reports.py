@@ -144,7 +144,7 @@ MOST_ROWS = 100_000
 
 def markdown(df: DataFrame, order: list[str]) -> str:
     """A report's rows as a Markdown table, MOST_ROWS of them at most."""
-    found = df.orderBy(*order).limit(MOST_ROWS + 1).collect()
+    found = df.orderBy(*order, *(c for c in df.columns if c not in order)).limit(MOST_ROWS + 1).collect()  # ties in one order too
     if len(found) > MOST_ROWS:
         raise ValueError(f"a report of more than {MOST_ROWS} rows; sum them up first")
     rows = [df.columns, ["---"] * len(df.columns), *found]
