@@ -4,7 +4,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import corrupt
+from ledgerloom import spoiled
+from ledgerloom.operators import corrupt, ledger
+from ledgerloom.plans import rounds
+from ledgerloom.sources.tables import order_ledger
+
+from .conftest import SMALL
 
 
 def _docs(ids):
@@ -24,3 +29,13 @@ def test_fabricated_ids_are_found_without_trying_all(spark):
     began = time.time()
     assert many.withColumn("x", F.concat("x", F.lit(""))).agg(F.max("x")).first()[0].startswith("INV-9000")
     assert time.time() - began < 10  # trying all takes over 20 ms a row
+
+
+def test_verification_shuffles_and_writes_nothing(spark):
+    """Claims, checks and decisions stay in their draft's row, so that a ledger isn't copied for each of its drafts."""
+    scenarios = ledger.view(order_ledger(spark, SMALL))
+    drafts = spoiled.sentences(scenarios).withColumnRenamed("sentence", "draft").withColumn("revision_index", F.lit(0))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    decisions = rounds.verify(drafts)[2]
+    assert plan(decisions).count("Exchange") == plan(drafts).count("Exchange")
+    assert "docs" not in decisions.columns
