@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from ledgerloom.operators import memory
 from ledgerloom.schema import LABELS
@@ -86,3 +87,15 @@ def test_a_store_is_small(spark):
     for use in (memory.canonical, lambda m: memory.random_entries(spark.createDataFrame([("q",)], "query_id string"), m, 2, 1)):
         with pytest.raises(ValueError, match="store holds"):
             use(many)
+
+
+def test_a_snapshot_is_not_one_task_of_all_partitions(spark, fixtures, tmp_path, monkeypatch):
+    """What writes a snapshot's file reads finished rows; coalesced, it would also run all partitions of the join and hold their memory."""
+    plans = []
+    real = DataFrame.write.fget
+    monkeypatch.setattr(DataFrame, "write", property(lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df)))
+    feed, store, check = (str(tmp_path / x) for x in ("feed", "store", "check"))
+    spark.createDataFrame(decisions(random.Random(7), 0, 40), DECISION).repartition(2).write.parquet(feed)
+    ingest_stream(spark, feed, fixtures, store, check, files_per_batch=1).awaitTermination()
+    joins = [p for p in plans if "Join LeftAnti" in p]
+    assert joins and not any("Repartition 1, false" in p for p in joins)
