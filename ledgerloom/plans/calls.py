@@ -20,8 +20,9 @@ from ledgerloom.functions.money import quoted
 #: From requests (prompt_sha, prompt, attempt) to (prompt_sha, output, and error if there is one): a model at the boundary.
 Completer = Callable[[DataFrame], DataFrame]
 CALLS = "task string, prompt_sha string, attempt int, prompt string, output string, model_name string, ok boolean, error string"
-#: Calls that a task makes in turn at most, so that a lost one repeats few.
-TASK_CALLS = 64
+#: Calls that a task makes in turn, so that a lost one repeats few; of more than TASKS times as many, each of TASKS makes its share,
+#: since every task sends a report of what it wrote to the driver.
+TASK_CALLS, TASKS = 64, 1000
 _KINDS = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "null": "VOID"}
 
 
@@ -123,7 +124,7 @@ def ask(requests: DataFrame, complete: Completer, table: str, task: str, problem
         left = left.select("prompt_sha", "prompt", F.lit(attempt).alias("attempt"))
         if not (n := left.count()):
             continue
-        left = left.repartition(-(-n // TASK_CALLS), "prompt_sha")
+        left = left.repartition(min(-(-n // TASK_CALLS), TASKS), "prompt_sha")
         found = complete(left)
         failed = F.col("error") if "error" in found.columns else F.lit(None).cast("string")
         told = left.join(found.select("prompt_sha", "output", failed.alias("failed")), "prompt_sha", "left")

@@ -74,6 +74,15 @@ def test_a_failed_job_commits_nothing(spark, tmp_path):
     assert ask(requests.limit(0), broken, table, "draft", GOOD)[0].count() == 0
 
 
+def test_tasks_of_an_attempt_are_bounded(spark, tmp_path, monkeypatch):
+    """Each task reports to the driver, so there are no more of them than TASKS, whatever the number of calls."""
+    monkeypatch.setattr(calls, "TASK_CALLS", 2)
+    monkeypatch.setattr(calls, "TASKS", 8, raising=False)
+    requests = spark.createDataFrame([(str(i), f"p{i}") for i in range(200)], ASK)
+    answers, _ = ask(requests, lambda r: r.select("prompt_sha", F.lit("good").alias("output")), str(tmp_path / "table"), "draft", GOOD)
+    assert answers.count() == 200 and 1 < len(list((tmp_path / "table").rglob("*.parquet"))) <= 8
+
+
 def test_a_models_own_errors_are_failures(spark, tmp_path):
     complete = lambda r: r.select("prompt_sha", F.lit("good").alias("output"), F.when(F.col("attempt") == 1, "timeout").alias("error"))
     answers, traces = ask(spark.createDataFrame([("a", "p")], ASK), complete, str(tmp_path / "table"), "draft", GOOD)
