@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom import spoiled
 from ledgerloom.operators import corrupt, ledger
 from ledgerloom.plans import rounds
+from ledgerloom.sources import tables
 from ledgerloom.sources.tables import order_ledger
 
 from .conftest import SMALL
@@ -39,3 +40,18 @@ def test_verification_shuffles_and_writes_nothing(spark):
     decisions = rounds.verify(drafts)[2]
     assert plan(decisions).count("Exchange") == plan(drafts).count("Exchange")
     assert "docs" not in decisions.columns
+
+
+def test_the_ledgers_lines_are_sorted_once_in_small_tasks(spark, monkeypatch):
+    """No second sort of the lines after the join, and as many partitions as keep a task's sort small, whatever the setting."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables._order_facts(spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+        full = tables._order_facts(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Window") >= 2
+    assert full.count("Sort [") == 4  # lines, customers, and orders by customer and by order
+    monkeypatch.setattr(tables, "bytes_of", lambda *_: 5 << 30)
+    assert tables._small_tasks(spark, [])["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "640"
