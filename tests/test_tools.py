@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from ledgerloom.functions.text import document_argument
 from ledgerloom.operators import ledger, tools
 from ledgerloom.sources.tables import order_ledger
 from tests.conftest import SMALL
@@ -70,3 +71,26 @@ def test_lookups_are_table_functions(spark, books):
     plan = spark.sql("select * from (select distinct scenario_id from asks) a, lateral list_open_invoices(a.scenario_id)")
     assert plan.count() == tools.open_invoices(books).count()
     assert spark.sql("select net_balance from get_account_summary('S-1')").first()[0] == ledger.totals(books).where("scenario_id = 'S-1'").first().net_balance
+
+
+def test_no_ledger_is_copied_for_each_request(spark, books):
+    """Arguments meet documents by name: no array of all of a scenario's ids is joined to its requests."""
+    asks = asked(spark, *((r.scenario_id, "get_source", json.dumps({"source_id": r.id})) for r in books.payment.limit(20).collect()))
+    found = tools.run_requests(books, asks)
+    assert "collect_set" not in found._jdf.queryExecution().analyzed().toString()
+    assert found.where("ok").count() == 20
+
+
+def test_names_resolve_as_they_do_among_all_ids(spark, books):
+    """Zeros before a number, ids that differ by them only, other ids and odd arguments: as functions.text.document_argument tells."""
+    ids = ["INV-7", "INV-007", "INV-012", "PMT-5", "CM-0", "X-03", "odd"]
+    day = "cast('2000-01-01' as date)"
+    invoice = spark.createDataFrame([("S", n, i) for n, i in enumerate(ids)], "scenario_id string, pos long, id string").selectExpr("*", f"{day} as date", f"{day} as due", "100L as amount_cents", "'' as memo")
+    client = spark.createDataFrame([("S", "A", "c", "n", 30)], "scenario_id string, pool string, client_id string, name string, terms_days int").selectExpr("*", f"{day} as as_of")
+    few = type(books)(client, invoice, books.payment.limit(0), books.credit_memo.limit(0), books.application.limit(0))
+    given = ["inv-7", "INV 007", "Inv_0007", "invoice no. 12", "INV-12", " inv 12 ", "pmt5", "credit memo #00", "cm 9", "X-03", "X-3", "odd", "", "payment number 05", "INV--7", "INV-٧", "cm0"]
+    wanted = spark.createDataFrame([("S", g) for g in given], "scenario_id string, argument string")
+    got = {r.argument: r.id for r in tools.invoice_detail(few, wanted).collect()}
+    array = "array(" + ", ".join(f"'{i}'" for i in ids) + ")"
+    want = {r.argument: r.id for r in wanted.selectExpr("argument", f"{document_argument('argument', array)} as id").collect()}
+    assert got == want and got["Inv_0007"] == "INV-0007" and got["INV-12"] == "INV-012"
