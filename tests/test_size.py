@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom import spoiled
-from ledgerloom.operators import corrupt, ledger
+from ledgerloom.operators import corrupt, ledger, oracle
 from ledgerloom.plans import rounds
 from ledgerloom.sources import tables
 from ledgerloom.sources.tables import order_ledger
@@ -55,3 +55,14 @@ def test_the_ledgers_lines_are_sorted_once_in_small_tasks(spark, monkeypatch):
     assert full.count("Sort [") == 4  # lines, customers, and orders by customer and by order
     monkeypatch.setattr(tables, "bytes_of", lambda *_: 5 << 30)
     assert tables._small_tasks(spark, [])["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "640"
+
+
+def test_grounding_copies_no_figures_for_a_sentence(spark):
+    """Sentences are judged in their draft's row: none is a row of its own, and the drafts are made once."""
+    facts = spark.createDataFrame([("S", {"INV-1": [500], "PMT-2": [700]}, [900])], "scenario_id string, known map<string,array<long>>, totals array<long>")
+    drafts = spark.createDataFrame([("a", "S", "INV-1 is $5.00. The rest is $9.00.\nINV-1 and PMT-2: $7, $9 and $8. INV-3 is $5."), ("b", "S", None), ("c", "T", "INV-1 is $5.00."), ("d", "S", "INV-1.")], "draft_id string, scenario_id string, draft string")
+    found = oracle.grounding(drafts, facts)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[:3] + (None if r.unmatched is None else [tuple(u) for u in r.unmatched],) for r in found.orderBy("draft_id").collect()] == [
+        ("a", 7, 10, [("amount", "$5"), ("amount", "$8"), ("id", "INV-3")]), ("b", 0, 0, None), ("c", 0, 0, None), ("d", 1, 1, []),
+    ]
