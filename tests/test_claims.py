@@ -200,3 +200,13 @@ def test_prompts(spark):
     assert spark.range(1).select(render.judge_prompt(two, F.lit("L"), F.lit("a"), F.lit("b")).alias("p")).first().p.user == "L|a|b"
     with pytest.raises(ValueError):
         render.sections("[SYSTEM]\nonly")
+
+
+def test_sentences_are_searched_only_for_what_they_can_hold(spark):
+    """Without a digit only worded amounts are searched for, in any language; letters that fold to ASCII ones, and other digits, count."""
+    from ledgerloom.operators import extract
+
+    assert extract._detected().count("if(digit and (") == len(extract.DATES) + sum(digits for *_, digits in extract.AMOUNTS)
+    told = {"Pay 5 dollarſ é.": 1, "Pay USD 5 é.": 1, "Pay uſd 5.": 1, "Seven dollarſ are due.": 1, "One thırd of your balance.": 1, "Né à Paris, hier.": 0, "Pay $٥.": 1, "It is 5 PERCENT.": 1}
+    rows = spark.createDataFrame(list(enumerate(told)), "draft_id int, draft string").selectExpr("*", "cast(array() as array<struct<id:string>>) as docs")
+    assert [r.n for r in extract.detect(rows).selectExpr("draft_id", "size(amounts) as n").orderBy("draft_id").collect()] == list(told.values())
