@@ -4,11 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerloom import spoiled
-from ledgerloom.operators import corrupt, ledger, oracle
+from ledgerloom import registry, spoiled
+from ledgerloom.operators import corrupt, ledger, oracle, render
 from ledgerloom.plans import rounds
 from ledgerloom.sources import tables
-from ledgerloom.sources.tables import order_ledger
+from ledgerloom.sources.tables import Ledger, order_ledger
 
 from .conftest import SMALL
 
@@ -66,3 +66,41 @@ def test_grounding_copies_no_figures_for_a_sentence(spark):
     assert [tuple(r)[:3] + (None if r.unmatched is None else [tuple(u) for u in r.unmatched],) for r in found.orderBy("draft_id").collect()] == [
         ("a", 7, 10, [("amount", "$5"), ("amount", "$8"), ("id", "INV-3")]), ("b", 0, 0, None), ("c", 0, 0, None), ("d", 1, 1, []),
     ]
+
+
+def test_draft_length_makes_drafts_of_lines_in_small_tasks(spark, monkeypatch):
+    """Open documents become lines by compiled code; settled ones aren't shuffled; partitions follow the size of the tables."""
+    plan = lambda name: registry.QUERIES[name](spark, SMALL)._jdf.queryExecution()
+    for name in ("draft_length", "golden_draft"):
+        assert "lambda" not in plan(name).optimizedPlan().toString()
+    rows = registry.QUERIES["draft_length"](spark, SMALL)
+    rows.collect()
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("RepartitionByExpression [scenario_id") :]
+    assert "NOT ((amount_cents" in below  # the filter of settled documents
+    monkeypatch.setattr(tables, "bytes_of", lambda *_: 5 << 30)
+    for name in ("draft_length", "golden_claims"):
+        exchanges = [e for e in plan(name).sparkPlan().toString().splitlines() if "REPARTITION_BY_NUM" in e]
+        assert exchanges and all("scenario_id" in e and ", 640)" in e for e in exchanges)
+
+
+def test_the_ledger_is_written_without_what_its_numbers_tell(spark):
+    """Texts that follow from keys are made when the table is read."""
+    assert sorted(n for n, kind in tables._order_facts(spark, SMALL).dtypes if kind == "string") == ["memo", "name"]
+
+
+def test_drafts_of_lines_are_those_of_the_ledgers_rows(spark):
+    """Equal positions, settled and overdrawn documents, scenarios without any, and nulls."""
+    day = lambda *columns: [F.col(c).cast("date").alias(c) for c in columns]
+    client = spark.createDataFrame([("a", "A", "CL-a", "Ann"), ("b", "B", "CL-b", None), ("c", "A", "CL-c", "Cy"), ("d", "B", "CL-d", "Di")], "scenario_id string, pool string, client_id string, name string").select("*", F.lit(30).alias("terms_days"), F.lit("2000-06-30").cast("date").alias("as_of"))
+    invoice = spark.createDataFrame([("a", 1, "INV-2", "2000-01-01", "2000-02-01", 5000, "m"), ("a", 1, "INV-1", "2000-01-01", "2000-02-01", 123456789, None), ("a", 0, "INV-3", "2000-03-01", None, 70, "m"), ("a", 4, "INV-4", "2000-03-01", "2000-07-01", 100, ""), ("b", 1, "INV-5", "2000-03-01", "2000-07-01", 100, ""), ("d", 1, "INV-6", "2000-03-01", "2000-07-01", 100, "")], "scenario_id string, pos long, id string, date string, due string, amount_cents long, memo string").select("scenario_id", "pos", "id", *day("date", "due"), "amount_cents", "memo")
+    paid = lambda *rows: spark.createDataFrame(list(rows), "scenario_id string, pos long, id string, date string, amount_cents long").select("scenario_id", "pos", "id", *day("date"), "amount_cents")
+    payment = paid(("a", 2, "PMT-2", "2000-04-01", 9), ("a", 1, "PMT-1", "2000-04-01", 2000), ("b", 1, "PMT-3", "2000-04-01", 100), ("d", 1, "PMT-4", "2000-04-01", 300))
+    credit = paid(("a", 1, "CM-1", "2000-04-02", 40), ("d", 1, "CM-2", "2000-04-02", None))
+    applied = spark.createDataFrame([("a", 1, "PMT-1", "INV-2", 1500), ("b", 1, "PMT-3", "INV-5", 100), ("d", 1, "PMT-4", "INV-6", 400)], "scenario_id string, pos long, source_id string, target_invoice string, amount_cents long")
+    by_hand = Ledger(client, invoice, payment, credit, applied)
+    for books in (by_hand, order_ledger(spark, SMALL)):
+        lines = render.golden_drafts(books)
+        rows = render.golden(ledger.view(books)).select(*lines.columns)
+        assert lines.count() == rows.count() > 0
+        assert lines.exceptAll(rows).isEmpty() and rows.exceptAll(lines).isEmpty()
