@@ -85,7 +85,8 @@ def test_draft_length_makes_drafts_of_lines_in_small_tasks(spark, monkeypatch):
 
 
 def test_the_ledger_is_written_without_what_its_numbers_tell(spark):
-    """Texts that follow from keys are made when the table is read."""
+    """Texts that follow from keys are made when the table is read; the tasks that shuffle the lines read little each."""
+    assert tables._small_tasks(spark, [])["spark.sql.files.maxPartitionBytes"] == "32m"
     assert sorted(n for n, kind in tables._order_facts(spark, SMALL).dtypes if kind == "string") == ["memo", "name"]
 
 
