@@ -105,3 +105,15 @@ def test_drafts_of_lines_are_those_of_the_ledgers_rows(spark):
         rows = render.golden(ledger.view(books)).select(*lines.columns)
         assert lines.count() == rows.count() > 0
         assert lines.exceptAll(rows).isEmpty() and rows.exceptAll(lines).isEmpty()
+
+
+def test_claims_as_rows_are_found_once(spark):
+    """No test of whether a draft has claims repeats the search for them, once or for each of them."""
+    scenarios = ledger.view(order_ledger(spark, SMALL))
+    drafts = spoiled.sentences(scenarios).withColumnRenamed("sentence", "draft").withColumn("revision_index", F.lit(0))
+    claims, checked, _ = rounds.verify(drafts)
+    for rows in (claims, checked, registry.QUERIES["spoiled_claims"](spark, SMALL)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Filter" in line and "sort_array" in line for line in plan.splitlines())
+    none = drafts.withColumn("draft", F.lit("Thank you.")).limit(1)
+    assert rounds.verify(none)[0].isEmpty() and rounds.verify(none)[1].isEmpty()
