@@ -117,3 +117,15 @@ def test_claims_as_rows_are_found_once(spark):
         assert not any("Filter" in line and "sort_array" in line for line in plan.splitlines())
     none = drafts.withColumn("draft", F.lit("Thank you.")).limit(1)
     assert rounds.verify(none)[0].isEmpty() and rounds.verify(none)[1].isEmpty()
+
+
+def test_sentences_that_errors_share_are_searched_once(spark):
+    """Drafts with errors are found and checked before they become rows, and come out as each does on its own."""
+    drafts = render.golden(ledger.view(order_ledger(spark, SMALL)))
+    found = rounds.errors_run(drafts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("array_position")  # an upper node comes first
+    each = rounds.verify(corrupt.variants(drafts).withColumn("revision_index", F.lit(0)), keep=("error", "tier"))[2]
+    columns = ["draft_id", "error", "tier", "action", "reason", F.transform("findings", lambda f: f["kind"]).alias("kinds")]
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(found.select(*columns[:5], "kinds").collect()) == key(each.select(*columns).collect())
