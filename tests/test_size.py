@@ -129,3 +129,12 @@ def test_sentences_that_errors_share_are_searched_once(spark):
     columns = ["draft_id", "error", "tier", "action", "reason", F.transform("findings", lambda f: f["kind"]).alias("kinds")]
     key = lambda rows: sorted(map(tuple, rows), key=repr)
     assert key(found.select(*columns[:5], "kinds").collect()) == key(each.select(*columns).collect())
+
+
+def test_only_the_sentences_asked_for_are_made(spark):
+    """Cases that a query doesn't use cost it nothing, and texts of one scenario share what is found in them."""
+    rows = spoiled.sentences(ledger.view(order_ledger(spark, SMALL)), ("unbound", "open_wrong"))
+    assert "is settled." not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["case"] for r in rows.select("case").distinct().collect()} == {"unbound", "open_wrong"}
+    plan = registry.QUERIES["corrections"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("array_position")
